@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .bpe import op10_byte_bpe
 from .chat import OP5_SQL, op5_chat_rotation
+from .hilbert import op4_hilbert
+from .minhash import OP8_SQL, op8_minhash
 from .mixing import op3_mixing
+from .quality import op7_quality
 from .sharding import op6_sharding
 from .token_orc import op9_token_orc
+from .toxicity import op1_toxicity
+from .va_file import OP2_SQL, op2_va_file
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_va_file": op2_va_file,
     "op3_mixing": op3_mixing,
+    "op4_hilbert": op4_hilbert,
     "op5_chat_rotation": op5_chat_rotation,
     "op6_sharding": op6_sharding,
+    "op7_quality": op7_quality,
+    "op8_minhash": op8_minhash,
     "op9_token_orc": op9_token_orc,
     "op10_byte_bpe": op10_byte_bpe,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
+    "op2_va_file": OP2_SQL,
     "op5_chat_rotation": OP5_SQL,
+    "op8_minhash": OP8_SQL,
 }
