@@ -32,6 +32,7 @@ MOST_TERMS = 400
 GROUPS = 8
 #: Beginnings of words that may be lexicon entries, in characters.
 STEMS = (4, 5, 6, 7)
+MOST_LEAST = 3
 
 #: Insults that count as lexicon entries even where no label shows it.
 INSULTS = """idiot idiots moron morons stupid scum loser losers pathetic disgusting worthless trash clown imbecile dumbass bastard scumbag
@@ -48,17 +49,19 @@ def plain(text: str | None) -> str:
 
 
 class Lexicon:
-    """Counts entries in texts in one pass. A word entry matches whole words, a stem entry the beginnings of words."""
+    """Counts entries in texts in one pass. A word entry matches whole words, a stem entry the beginnings of words; a stem that clean texts use now and then
+    counts only from its second or third occurrence in a text on."""
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[tuple[str, int]]):
         import ahocorasick
 
-        self.words, self.stems = words, stems
+        self.words, self.stems = words, [w for w, _ in stems]
+        self.least = [1] * len(words) + [n for _, n in stems]
         self.size = len(words) + len(stems)
         self.trie = ahocorasick.Automaton()
         for i, w in enumerate(words):
             self.trie.add_word(f" {w} ", i)
-        for i, w in enumerate(stems):
+        for i, w in enumerate(self.stems):
             self.trie.add_word(f" {w}", len(words) + i)
         if self.size:
             self.trie.make_automaton()
@@ -73,9 +76,12 @@ class Lexicon:
         if not found:
             return [], 0, 0, n
         counts = Counter(i for _, i in found)
+        counts = {i: c for i, c in counts.items() if c >= self.least[i]}
         # the words that were hit, by the place of the blank before them
         places = set()
         for end, i in found:
+            if i not in counts:
+                continue
             entry = self.words[i] if i < len(self.words) else self.stems[i - len(self.words)]
             places.add(end - len(entry) - (1 if i < len(self.words) else 0))
         row = address = 0
@@ -118,15 +124,23 @@ def _one_of_each_family(rows: DataFrame) -> set[int]:
     return kept
 
 
-def _terms(text: str | None) -> set[str]:
-    words = set(plain(text).split())
-    terms = {"=" + w for w in words if len(w) < 40}
+def _terms(text: str | None, wanted: frozenset | None = None) -> set[str]:
+    """What a text says for mining: =word for each word, and a digit before each stem for every number of occurrences (1 to MOST_LEAST) that it reaches."""
+    words = plain(text).split()
+    if wanted is None:
+        terms = {"=" + w for w in set(words) if len(w) < 40}
+    else:
+        terms = {t for t in ("=" + w for w in set(words)) if t in wanted}
     for n in STEMS:
-        terms.update("~" + w[:n] for w in words if len(w) >= n)
+        starts = (w[:n] for w in words if len(w) >= n)
+        if wanted is not None:
+            starts = (x for x in starts if "1" + x in wanted)
+        for x, c in Counter(starts).items():
+            terms.update(f"{m}{x}" for m in range(1, min(c, MOST_LEAST) + 1))
     return terms
 
 
-def _mine(rows: DataFrame, seeds: list[str]) -> tuple[list[str], list[str]]:
+def _mine(rows: DataFrame, seeds: list[str]) -> tuple[list[str], list[tuple[str, int]]]:
     """Words and stems that are nearly always in toxic texts, from document counts by class: first of all terms of toxic texts, then of the frequent ones in clean texts."""
     totals = rows.agg(F.sum("label"), F.count(F.lit(1))).first()
     toxic, n = int(totals[0] or 0), int(totals[1] or 0)
@@ -139,14 +153,7 @@ def _mine(rows: DataFrame, seeds: list[str]) -> tuple[list[str], list[str]]:
             seen: Counter = Counter()
             for b in batches:
                 for text in b.column(0).to_pylist():
-                    if wanted is None:
-                        seen.update(_terms(text))
-                    else:
-                        words = set(plain(text).split())
-                        hit = {"=" + w for w in words if "=" + w in wanted}
-                        for k in STEMS:
-                            hit.update(t for t in ("~" + w[:k] for w in words if len(w) >= k) if t in wanted)
-                        seen.update(hit)
+                    seen.update(_terms(text, wanted))
                 if len(seen) > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
                     seen.clear()
@@ -157,23 +164,21 @@ def _mine(rows: DataFrame, seeds: list[str]) -> tuple[list[str], list[str]]:
 
     in_toxic = counted(rows.where("label = 1"), None)  # terms of at least 1 in 200 of the sample's toxic texts: bounded with the sample
     in_clean = counted(rows.where("label = 0"), frozenset(in_toxic))
-    best = sorted((t for t, k in in_toxic.items() if k >= 19 * in_clean.get(t, 0)), key=lambda t: (-in_toxic[t], len(t), t))
+    pure = {t: k for t, k in in_toxic.items() if k >= 19 * in_clean.get(t, 0)}
     words: list[str] = []
-    stems: list[str] = []
-    for t in best:
-        kind, term, k = t[0], t[1:], in_toxic[t]
+    stems: dict[str, int] = {}
+    for t in sorted(pure, key=lambda t: (-pure[t], len(t), t)):
+        kind, term, k = t[0], t[1:], pure[t]
         if len(words) + len(stems) >= MOST_TERMS:
             break
         if any(term[:m] in stems for m in STEMS if m <= len(term)):
             continue  # a shorter stem says it already
-        if kind == "~":
-            # a stem that one longer stem, or one whole word, makes up nearly all of is left to that
-            if any(in_toxic[o] >= 0.97 * k for o in best if (o[0] == "~" and len(o) == len(t) + 1 or o[0] == "=") and o[1:].startswith(term)):
-                continue
-            stems.append(term)
-        else:
+        if kind == "=":
             words.append(term)
-    return sorted(set(words) | set(seeds)), sorted(set(stems))
+        # a stem that one longer stem, or one whole word, makes up nearly all of is left to that
+        elif not any(o[1:].startswith(term) and pure[o] >= 0.97 * k for o in pure if o[0] == kind and len(o) == len(t) + 1 or o[0] == "="):
+            stems[term] = int(kind)
+    return sorted(set(words) | set(seeds)), sorted(stems.items())
 
 
 def _votes(hits: list) -> np.ndarray:
