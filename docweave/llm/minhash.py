@@ -4,13 +4,12 @@
    form a class at once; one representative stands for each.
 2. A (coordinate, minimum) pair is a token. Two documents that agree in MATCHES of COORDINATES minima share a token among the first
    COORDINATES - MATCHES + 1 of each, if all sort their tokens from the rarest on (prefix). Tokens of one document only need no list, and a document with fewer than MATCHES
-   other tokens has no partner; long lists are skipped, since they come last.
-3. Within a list, collisions of whole signatures are counted, and from the pairs that reach MATCHES a spanning forest of the best is kept: a list of g documents
-   gives at most g - 1 pairs, however many of them are copies of each other. These pairs are confirmed on full shingle sets, and linked documents joined in components.
-4. What a forest left out matters only between documents that are not joined yet: those pairs are listed in a second pass and confirmed likewise.
+   other tokens has no partner; long lists come last and are skipped.
+3. Within a list, collisions of whole signatures are counted, and pairs that reach MATCHES are joined. Pairs that are joined already are skipped (they can't change anything), so a list of g documents gives
+   at most g - 1 pairs, however many are copies of each other. The pairs join documents in candidate clusters.
+4. Every cluster is confirmed on full shingle sets: all its documents are compared exactly, in blocks of bounded size, block against block, and what is linked is given out as at most one row a document and comparison.
 
-A pair at similarity 0.8 reaches 38 of 64 matches but for about 1 in 30,000; every link that counts has been confirmed on full sets.
-Lists longer than LIST_ROWS are dealt into blocks and worked on block against block.
+A pair at similarity 0.8 reaches 38 of 64 matches but for about 1 in 30,000; nothing is linked without its full sets.
 """
 
 from __future__ import annotations
@@ -18,15 +17,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import output_columns, ship, spool, table, text_slices
 
 COORDINATES, MATCHES = 64, 38
 SHINGLE, PERCENT = 2, 80
-#: Rows of a list that are compared with each other in one go.
-LIST_ROWS = 1024
+#: Rows of a list that are compared with each other in one go, and shingles of a cluster whose full sets are.
+LIST_ROWS, BLOCK_SHINGLES = 1024, 400_000
 #: Word hashes that a worker remembers; beyond it the memory is emptied.
 REMEMBERED = 500_000
 SEED = 11
@@ -71,6 +70,11 @@ def signature(h: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def short(sig: bytes) -> bytes:
+    """One byte for each coordinate, to count matches: minima that differ look equal now and then (1 in 256), equal ones always."""
+    return np.frombuffer(sig, np.uint32).astype(np.uint8).tobytes()
+
+
 def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, set_hash (hex text, null for an empty set), sig (binary) of every row."""
     ship(docs.sparkSession)
@@ -90,7 +94,7 @@ def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """token, doc_id, n, sig: every representative under the tokens of its prefix that others share."""
+    """token, doc_id, n, sig (one byte a coordinate), length: every representative under the tokens of its prefix that others share; length is that of the token's list."""
 
     def tokens(batches):
         for b in batches:
@@ -107,116 +111,155 @@ def _postings(reps: DataFrame) -> DataFrame:
     posted = mine.select("doc_id", F.explode("tokens").alias("t")).select("doc_id", F.col("t.token").alias("token"))
     posted = spool(posted, "minhash-prefixes")
     lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("length")).where("length > 1")
-    return posted.join(lists, "token").join(reps.select("doc_id", "n", "sig"), "doc_id")
 
+    def shorten(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([short(x) for x in b.column(2).to_pylist()], pa.binary())], ["doc_id", "n", "sig"])
+
+    sigs = reps.select("doc_id", "n", "sig").mapInArrow(shorten, "doc_id long, n long, sig binary")
+    return posted.join(lists, "token").join(sigs, "doc_id")
 
-def _in_blocks(posted: DataFrame) -> DataFrame:
-    """Adds left, right: the blocks that are compared. A list of b blocks has b * (b + 1) / 2 comparisons, and its documents go to the b that are theirs."""
-    blocks = F.ceil(F.col("length") / LIST_ROWS).cast("int")
-    block = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    with_ = posted.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return with_.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("other", "length")
 
+def _blocks(rows: DataFrame, n_blocks: Column) -> DataFrame:
+    """Adds block, left, right: groups that are dealt into b blocks are compared block against block, b * (b + 1) / 2 comparisons, and a row goes to the b that are its own."""
+    block = F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int")
+    with_ = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    return with_.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("other")
 
-def _groups(batches, columns):
-    """Cut sorted batches into groups with the same first three columns; yields (block numbers, rows as arrays) of whole groups, many groups at a time."""
-    rest = None
+
+def _groups(batches, columns: list[str]):
+    """Rows sorted by ``columns`` as tables of whole groups, many groups at a time, with the group keys as a matrix."""
+    rest: list[pa.Table] = []
+    last = None
     for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in columns], axis=1)
         t = pa.Table.from_batches([b])
-        if rest is not None:
-            t = pa.concat_tables([rest, t])
-        key = np.stack([t.column(c).to_numpy() for c in columns], axis=1)
-        new = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-        if not len(new):
-            rest = t
+        cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        starts_new = last is not None and (key[0] != last).any()
+        last = key[-1]
+        if not len(cut):
+            if starts_new:
+                yield from _whole(rest, columns)
+                rest = []
+            rest.append(t)
             continue
-        yield t.slice(0, new[-1]), key[: new[-1]]
-        rest = t.slice(new[-1])
-    if rest is not None and rest.num_rows:
-        yield rest, np.stack([rest.column(c).to_numpy() for c in columns], axis=1)
+        yield from _whole([*rest, t.slice(0, cut[-1])], columns)
+        rest = [t.slice(cut[-1])]
+    yield from _whole(rest, columns)
+
 
+def _whole(tables: list, columns: list[str]):
+    if tables:
+        t = pa.concat_tables(tables)
+        yield t, np.stack([t.column(c).to_numpy() for c in columns], axis=1)
 
-def _pairs(posted: DataFrame, forest: bool) -> DataFrame:
-    """a, b, matches (a < b): pairs of a list that match in MATCHES coordinates and may be similar by their sizes; with ``forest`` only a spanning forest of each list, else all pairs whose labels differ."""
-    labelled = not forest
+
+def _candidates(posted: DataFrame) -> DataFrame:
+    """a, b: of every list, pairs that match in MATCHES coordinates and may be similar by their sizes, as many as join all that such pairs join."""
 
     def run(batches):
         for t, key in _groups(batches, ["token", "left", "right"]):
             ids, n, block = (t.column(c).to_numpy() for c in ("doc_id", "n", "block"))
-            label = t.column("label").to_numpy() if labelled else None
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
-            size = np.diff(np.append(start, len(key)))
-            group = np.repeat(np.arange(len(start)), size)
-            upto = np.repeat(start + size, size)
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            first = np.concatenate(([True], (key[1:] != key[:-1]).any(1)))
+            end = np.append(np.flatnonzero(first), len(key))[np.cumsum(first)]  # of the row's group
             across = key[:, 1] != key[:, 2]
+            label = np.arange(len(key))
             found = []
-            lag = 1
-            row = np.arange(len(key))
-            while len(row):
-                row = row[row + lag < upto[row]]
-                # few lags at once where lists are short, so that numpy has enough to do
-                i, j = row, row + lag
-                ok = (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (ids[i] != ids[j]) & (~across[i] | (block[i] != block[j]))
-                if labelled:
-                    ok &= label[i] != label[j]
-                i, j = i[ok], j[ok]
-                for s in range(0, len(i), 16_384):
-                    a, b = i[s : s + 16_384], j[s : s + 16_384]
-                    m = (sig[a] == sig[b]).sum(1)
-                    good = m >= MATCHES
-                    if good.any():
-                        found.append(np.stack((group[a[good]], a[good], b[good], m[good]), axis=1))
+            row, lag = np.arange(len(key)), 1
+            while True:  # pairs of rows at a distance of ``lag``, all groups at once
+                row = row[row + lag < end[row]]
+                if not len(row):
+                    break
+                for s in range(0, len(row), 8192):
+                    i = row[s : s + 8192]
+                    j = i + lag
+                    ok = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])) & (ids[i] != ids[j]) & (~across[i] | (block[i] != block[j]))
+                    i, j = i[ok], j[ok]
+                    good = (sig[i] == sig[j]).sum(1) >= MATCHES
+                    for a, b in zip(i[good].tolist(), j[good].tolist()):
+                        la, lb = label[a], label[b]
+                        if la != lb:
+                            found.append((ids[a], ids[b]))
+                            lo, hi = np.searchsorted(end, end[a]), end[a]  # ends ascend, so this is the group
+                            part = label[lo:hi]
+                            part[part == lb] = la
                 lag += 1
-            if not found:
-                continue
-            found = np.concatenate(found)
-            if forest:
-                found = found[_forest(found, len(key), ids)]
-            a, b = ids[found[:, 1]], ids[found[:, 2]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(found[:, 3].astype(np.int32))], ["a", "b", "matches"])
-
-    kind = ["token", "left", "right", "doc_id", "n", "block", "sig"] + (["label"] if labelled else [])
-    return posted.select(*kind).repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "doc_id").mapInArrow(run, "a long, b long, matches int")
-
-
-def _forest(found: np.ndarray, rows: int, ids: np.ndarray) -> np.ndarray:
-    """Which of the pairs (group, row, row, matches) make up a spanning forest of each group, the best pairs first (ties by ids)."""
-    parent = list(range(rows))
-
-    def root(v):
-        while parent[v] != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    order = np.lexsort((ids[found[:, 2]], ids[found[:, 1]], -found[:, 3]))
-    kept = []
-    for k, (a, b) in zip(order.tolist(), found[order, 1:3].tolist()):
-        a, b = root(a), root(b)
-        if a != b:
-            parent[b] = a
-            kept.append(k)
-    return np.array(kept, np.int64)
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough: 100 * intersection >= PERCENT * union. Only texts that occur in a pair are read for their sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id") == F.col("_id"), "left_semi")
-
-    def run(batches):
+            if found:
+                f = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(f.min(1)), pa.array(f.max(1))], ["a", "b"])
+
+    kind = ["token", "left", "right", "doc_id", "n", "block", "sig"]
+    return posted.select(*kind).repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "doc_id").mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(sets: list[np.ndarray], block: np.ndarray, across: bool) -> list[tuple[int, int]]:
+    """(row, row) pairs that join all rows of a group that are linked through links between its rows (of different blocks, if ``across``)."""
+    g = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(g), sizes)
+    _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[code] > 1  # a shingle of one document only adds to no intersection
+    code, owner = code[shared], owner[shared]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    dense = np.cumsum(np.concatenate(([0], np.diff(code) != 0))) if len(code) else code
+    common = np.zeros((g, g), np.float32)  # exact: counts stay far below 2**24
+    width = 4096
+    for c in range(0, int(dense[-1]) + 1 if len(dense) else 0, width):
+        i, j = np.searchsorted(dense, [c, c + width])
+        m = np.zeros((g, width), np.float32)
+        m[owner[i:j], dense[i:j] - c] = 1
+        common += m @ m.T
+    link = 100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
+    np.fill_diagonal(link, False)
+    if across:
+        link &= block[:, None] != block[None, :]
+    out, open_ = [], np.ones(g, bool)
+    for r in range(g):
+        if open_[r]:
+            open_[r] = False
+            ring = np.array([r])
+            while len(ring):
+                ring = np.flatnonzero(link[ring].any(0) & open_)
+                open_[ring] = False
+                out += [(r, k) for k in ring.tolist()]
+    return out
+
+
+def _confirm(clusters: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """a, b: documents (doc_id) of a cluster that are joined by links on full sets. Only texts of clustered documents are read for their sets; a block holds about BLOCK_SHINGLES shingles."""
+    total = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("n_blocks"))
+    mine = clusters.join(total, "cluster").select(F.col("doc_id").alias("_id"), "cluster", "n_blocks")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(mine, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "cluster", "n_blocks")
+
+    def sets_of(batches):
         for b in batches:
             for i, j in text_slices(b.column(1).to_pylist()):
-                sets = [shingles(t, size).view(np.int64) for t in b.column(1).slice(i, j - i).to_pylist()]
-                ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["doc_id", "shingles"])
+                sets = [shingles(t, size).tobytes() for t in b.column(1).slice(i, j - i).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sets, pa.binary()), b.column(2).slice(i, j - i), b.column(3).slice(i, j - i)], ["doc_id", "set", "cluster", "n_blocks"])
+
+    rows = _blocks(texts.mapInArrow(sets_of, "doc_id long, set binary, cluster long, n_blocks int"), F.col("n_blocks"))
+
+    def run(batches):
+        for t, key in _groups(batches, ["cluster", "left", "right"]):
+            ids, block = t.column("doc_id").to_numpy(), t.column("block").to_numpy()
+            raw = t.column("set")
+            cuts = np.append(np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1)))), len(key)).tolist()
+            found = []
+            for i, j in zip(cuts, cuts[1:]):
+                if j - i > 1:
+                    sets = [np.frombuffer(x, np.uint64) for x in raw.slice(i, j - i).to_pylist()]
+                    found += [(ids[i + a], ids[i + b]) for a, b in _linked(sets, block[i:j], key[i, 1] != key[i, 2]) if ids[i + a] != ids[i + b]]
+            if found:
+                f = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(f.min(1)), pa.array(f.max(1))], ["a", "b"])
 
-    sets = spool(texts.mapInArrow(run, "doc_id long, shingles array<bigint>"), "minhash-sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(100 * shared >= PERCENT * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b").distinct()
+    kind = ["cluster", "left", "right", "doc_id", "block", "set"]
+    return rows.select(*kind).repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right", "doc_id").mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -252,17 +295,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     classes = spool(classes, "minhash-classes")
     # a set can only be like a larger one if one more shingle leaves it similar: sets of 4 and more, at 80 %
     reps = classes.where(F.col("n") * (100 - PERCENT) >= PERCENT).select("doc_id", "n", "sig")
-    posted = spool(_in_blocks(_postings(reps)), "minhash-postings")
-    few = docs.select("doc_id", "text")
-
-    first = spool(_pairs(posted, True).groupBy("a", "b").agg(F.max("matches").alias("matches")), "minhash-forest")
-    links = spool(_confirmed(first.select("a", "b"), few, size), "minhash-links")
-    joined = components(links)
-    labelled = posted.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
-    open_ = _pairs(labelled, False).select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    open_ = spool(open_, "minhash-open")
-    if not open_.isEmpty():
-        joined = components(links.unionByName(_confirmed(open_, few, size)))
+    posted = _postings(reps)
+    candidates = components(_candidates(_blocks(posted, F.ceil(F.col("length") / LIST_ROWS).cast("int")).drop("length")))
+    clusters = spool(candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(reps.select("doc_id", "n"), "doc_id"), "minhash-clusters")
+    joined = components(_confirm(clusters, docs.select("doc_id", "text"), size))
 
     classes = classes.select("set_hash", F.col("doc_id").alias("rep")).join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select(F.col("set_hash").alias("_set"), F.coalesce("component", "rep").alias("_component"))
