@@ -234,7 +234,8 @@ def _confirm(clusters: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """a, b: documents (doc_id) of a cluster that are joined by links on full sets. Only texts of clustered documents are read for their sets; a block holds about BLOCK_SHINGLES shingles."""
     total = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("n_blocks"))
     mine = clusters.join(total, "cluster").select(F.col("doc_id").alias("_id"), "cluster", "n_blocks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(mine, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "cluster", "n_blocks")
+    # one plan at every size: texts are dealt by doc_id once and not sorted, the clustered ids of a partition are its hash table
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(mine.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "cluster", "n_blocks")
 
     def sets_of(batches):
         for b in batches:
