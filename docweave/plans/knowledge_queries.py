@@ -12,8 +12,6 @@ from ..operators import retrieval as L
 from . import inputs as I
 from .registry import query
 
-NOW = F.lit(I.NOW)
-
 
 def now():
     return F.lit(I.NOW).cast("timestamp")

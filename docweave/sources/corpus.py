@@ -29,7 +29,7 @@ def read_corpus(spark: SparkSession, root: str, **how) -> DataFrame:
     base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
     relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^.*?\\Q{base}\\E/", "")
     found = scan(files.select(relative.alias("path"), "length", "content"), **how)
-    return found.select("path", "length", "status", F.when(F.col("status") == "accepted", F.decode("content", F.lit("UTF-8"))).alias("content"))
+    return found.select("path", "length", "status", F.when(F.col("status") == "accepted", F.decode("content", "UTF-8")).alias("content"))
 
 
 #: Folders of documentation in order of preference.
