@@ -197,9 +197,9 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     plan = mix_plan(docs, **how).where("copies > 0").groupBy("doc_id", "row_key").agg(F.first("draws").alias("draws"))
     keep = output_columns(docs, ["mix_shard", "mix_place"])
     keyed = docs.select(*keep, F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("_row_key"))
-    plan = plan.select(F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_plan_key"), "draws")
+    plan = plan.select(F.col("doc_id").alias("_doc_id"), F.col("row_key").alias("_plan_key"), F.col("draws").alias("_draws"))
     drawn = keyed.join(plan, keyed["doc_id"].eqNullSafe(F.col("_doc_id")) & (F.col("_row_key") == F.col("_plan_key")))
-    return drawn.select(*keep, F.explode("draws").alias("_draw")).select(*keep, F.col("_draw.shard").alias("mix_shard"), F.col("_draw.place").alias("mix_place"))
+    return drawn.select(*keep, F.explode("_draws").alias("_draw")).select(*keep, F.col("_draw.shard").alias("mix_shard"), F.col("_draw.place").alias("mix_place"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
             x = [statistics(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "label"])
 
-    rows = docs.join(F.broadcast(some), docs["doc_id"] == F.col("_id")).select(docs["text"], "label").mapInArrow(run, "x array<double>, label int").collect()
+    few = docs.select(docs["doc_id"].alias("_doc"), docs["text"].alias("_text"))  # other columns of docs may have any name
+    rows = few.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select("_text", "label").mapInArrow(run, "x array<double>, label int").collect()
     rows.sort(key=lambda r: (r["x"], r["label"]))  # as partitions may come in any order
     return grow(np.array([r["x"] for r in rows]).reshape(-1, len(STATISTICS)), np.array([r["label"] for r in rows], float))
 

@@ -96,7 +96,8 @@ def _training_rows(docs: DataFrame, labels: DataFrame, column: str, folds: int,
     known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(column).cast("int").alias("label"))
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return docs.join(F.broadcast(some), docs["doc_id"] == F.col("_id")).select(docs["text"], "label", F.xxhash64(docs["text"]).alias("key"))
+    few = docs.select(docs["doc_id"].alias("_doc"), docs["text"].alias("_text"))  # other columns of docs may have any name
+    return few.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select(F.col("_text").alias("text"), "label", F.xxhash64("_text").alias("key"))
 
 
 def _one_of_each_family(rows: DataFrame) -> set[int]:
