@@ -20,8 +20,10 @@ K = 20
 CURVES, DIMS, BITS = 20, 8, 4
 #: Share of the rows that a window covers on one curve.
 WINDOW = 0.05
-#: Least number of ranges a curve is cut into, rows of a range at most on average, and rows of a group at most (larger ranges, as of equal vectors, are split).
+#: Ranges a curve is cut into (more where ranges would get too large), rows of a range at most on average, and rows of a group at most (larger ranges, as of equal vectors, are split).
 RANGES, RANGE_ROWS, GROUP_ROWS = 64, 8192, 16384
+#: Rows of a range at least on average; a table with fewer than twice as many is one range, so that all its rows are compared.
+LEAST_ROWS = 32
 SEED = 7
 
 
@@ -73,7 +75,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = K, curves: int = C
     """query_id, rank, vec_id, score of (vec_id long, vector array<double>): the k largest inner products found for each query.
 
     Candidates are all rows but those of the query's own vec_id. Null ids and null, empty, zero or non-finite vectors take no part; vectors are compared with those of their
-    length only. As a query an id counts once. Ties go to the smaller vec_id. With at most GROUP_ROWS / 4 rows a query finds all.
+    length only. As a query an id counts once. Ties go to the smaller vec_id. In tables of less than 2 * LEAST_ROWS rows a query finds all.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -97,14 +99,16 @@ def _search(vectors: DataFrame, d: int, k: int, curves: int, window: float) -> D
 
     rows = spool(vectors.select("vec_id", "vector", "asked").mapInArrow(number, "vec_id long, vector array<double>, asked boolean, keys array<bigint>"), "curves")
     n = rows.count()
-    ranges = max(RANGES, -(-n // RANGE_ROWS))
+    ranges = max(1, min(RANGES, n // LEAST_ROWS), -(-n // RANGE_ROWS))
     reach = max(1, round(window / 2 * ranges))
     on = rows.select("vec_id", "asked", F.posexplode("keys").alias("curve", "key"))
-    at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    cuts = spool(on.groupBy("curve").agg(F.percentile_approx("key", at, F.lit(max(10_000, 4 * ranges))).alias("cuts")), "curve-cuts")
-    # a range's number: how many cuts lie below the key (cuts are sorted)
-    cuts = {r["curve"]: np.array(r["cuts"], np.int64) for r in cuts.collect()}  # curves * ranges numbers
+    cuts = {c: np.zeros(0, np.int64) for c in range(curves)}
+    if ranges > 1:
+        at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+        found = on.groupBy("curve").agg(F.percentile_approx("key", at, F.lit(max(10_000, 4 * ranges))).alias("cuts")).collect()  # curves * ranges numbers
+        cuts = {r["curve"]: np.array(r["cuts"], np.int64) for r in found}
 
+    # a range's number: how many cuts lie below the key (cuts are sorted)
     def place(batches):
         for b in batches:
             if not b.num_rows:

@@ -68,10 +68,11 @@ class Lexicon:
 
     def hits(self, text: str | None) -> tuple[list[tuple[int, int]], int, int, int]:
         """(entry, count) pairs; hits next to each other; hits next to a word of address; words."""
-        s = f" {' '.join(plain(text).split())} "
-        n = s.count(" ") - 1
-        if not self.size or n <= 0:
-            return [], 0, 0, max(n, 0)
+        words = plain(text).split()
+        n = len(words)
+        if not self.size or not n:
+            return [], 0, 0, n
+        s = f" {' '.join(words)} "
         found = [(end, i) for end, i in self.trie.iter(s)]
         if not found:
             return [], 0, 0, n
@@ -206,8 +207,11 @@ class LabelModel:
         """Returns the posterior probability of toxic for each row."""
         n, m = votes.shape
         says = np.stack([votes == -1, votes == 0, votes == 1], axis=2).astype(float)
-        weight = np.ones(m)
-        score = votes.astype(float).sum(1)
+        # voters that always say the same are one voter from the start, or they would be mistaken for the class
+        centred = votes - votes.mean(0)
+        spread = np.sqrt((centred**2).mean(0)) + 1e-6
+        weight = 1 / np.maximum(1, ((centred.T @ centred) / max(n, 1) / np.outer(spread, spread) > 0.97).sum(1))
+        score = votes.astype(float) @ weight
         p = np.where(score > 0, 0.9, np.where(score < 0, 0.05, prior))
         for stage in range(2):
             for _ in range(rounds):
@@ -224,7 +228,7 @@ class LabelModel:
                 sd = np.sqrt((left**2).mean(0)) + 1e-6
                 self.correlation = (left.T @ left) / n / np.outer(sd, sd)
                 shared = np.clip(self.correlation - np.eye(m), 0, 1)
-                weight = 1 / (1 + np.where(shared > 0.1, shared, 0).sum(1))
+                weight = np.minimum(weight, 1 / (1 + np.where(shared > 0.1, shared, 0).sum(1)))
         self.weight = weight
         return p
 
