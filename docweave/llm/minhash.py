@@ -27,7 +27,7 @@ SHINGLE, PERCENT = 2, 80
 #: Rows of a list that are compared with each other in one go, and shingles of a cluster whose full sets are.
 LIST_ROWS, BLOCK_SHINGLES = 1024, 400_000
 #: Word hashes that a worker remembers; beyond it the memory is emptied.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 SEED = 11
 
 _MULTIPLIERS = np.random.default_rng(SEED).integers(1 << 32, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
