@@ -28,7 +28,7 @@ CORPUS = "corpus AS (SELECT doc_id, source || '/' || lang || '/doc-' || doc_id |
 def marked(spark, d) -> DataFrame:
     """The corpus with headings, links and time marks: of its lines every third is a heading, every fifth links to a document, every seventh begins with a time."""
     lines = F.split("content", "\n")
-    line = lambda x, i: F.when(i % 3 == 0, F.concat(F.when(i % 2 == 0, "## ").otherwise("# "), F.substring(x, 1, 60))).when(i % 5 == 1, F.concat(F.lit("see [this]("), F.when(i % 2 == 0, F.concat(F.lit("doc-"), (F.col("doc_id") + i).cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit("../../x-"), i.cast("string"), F.lit(".md#part"))), F.lit(") "), x)).when(i % 7 == 2, F.concat(F.lit("[00:"), F.lpad((i % 60).cast("string"), 2, "0"), F.lit(" - 01:10] "), x)).otherwise(x)
+    line = lambda x, i: F.when(i % 3 == 0, F.concat(F.when(i % 2 == 0, "## ").otherwise("# "), x)).when(i % 5 == 1, F.concat(F.lit("see [this]("), F.when(i % 2 == 0, F.concat(F.lit("doc-"), (F.col("doc_id") + i).cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit("../../x-"), i.cast("string"), F.lit(".md#part"))), F.lit(") "), x)).when(i % 7 == 2, F.concat(F.lit("[00:"), F.lpad((i % 60).cast("string"), 2, "0"), F.lit(" - 01:10] "), x)).otherwise(x)
     return corpus(spark, d).withColumn("content", F.array_join(F.transform(lines, line), "\n"))
 
 
@@ -36,7 +36,7 @@ MARKED = (
     CORPUS
     + r""",
 marked AS (SELECT doc_id, path, source_id, lang, array_to_string(list_transform(string_split(content, chr(10)), lambda x, j:
-  CASE WHEN (j - 1) % 3 = 0 THEN (CASE WHEN (j - 1) % 2 = 0 THEN '## ' ELSE '# ' END) || substr(x, 1, 60)
+  CASE WHEN (j - 1) % 3 = 0 THEN (CASE WHEN (j - 1) % 2 = 0 THEN '## ' ELSE '# ' END) || x
        WHEN (j - 1) % 5 = 1 THEN 'see [this](' || (CASE WHEN (j - 1) % 2 = 0 THEN 'doc-' || (doc_id + j - 1) || '.md' ELSE '../../x-' || (j - 1) || '.md#part' END) || ') ' || x
        WHEN (j - 1) % 7 = 2 THEN '[00:' || lpad(CAST((j - 1) % 60 AS VARCHAR), 2, '0') || ' - 01:10] ' || x ELSE x END), chr(10)) AS content FROM corpus)"""
 )
@@ -291,7 +291,7 @@ def golden(spark, d) -> DataFrame:
     """case_id, query, expected_filepath, kind, expected_route, critical, must_retrieve, reviewed, forbidden_sources, set_id of the questions; the expected path is that of the first document that holds the passage, if there is one."""
     q = questions(spark, d)
     c = corpus(spark, d)
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.substring("text", 1, 60).alias("begin"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("begin"))
     where = c.select("path", "doc_id", "content").join(F.broadcast(b), F.contains("content", F.col("begin"))).groupBy("case_id").agg(F.min_by("path", "doc_id").alias("found"))
     k = F.col("case_id")
     g = q.withColumnRenamed("query_id", "case_id").join(where, "case_id", "left")
@@ -302,7 +302,7 @@ def golden(spark, d) -> DataFrame:
     )
 
 
-GOLDEN = """gw AS (SELECT b.item_id AS case_id, arg_min(c.path, c.doc_id) AS found FROM benchmark b JOIN corpus c ON contains(c.content, substr(b.text, 1, 60)) GROUP BY 1),
+GOLDEN = """gw AS (SELECT b.item_id AS case_id, arg_min(c.path, c.doc_id) AS found FROM benchmark b JOIN corpus c ON contains(c.content, b.text) GROUP BY 1),
 golden AS (SELECT query_id AS case_id, query, 'documents/' || coalesce(found, 'src0/none.md') AS expected_filepath, CASE WHEN query_id % 5 < 2 THEN 'router' WHEN query_id % 5 = 2 THEN 'conceptual' ELSE 'factual' END AS kind,
   CASE WHEN query_id % 5 < 2 THEN ['lifecycle', 'both', 'rag', 'skill'][query_id % 4 + 1] END AS expected_route, query_id % 6 = 0 AS critical, query_id % 12 <> 0 AS must_retrieve, query_id % 9 <> 0 AS reviewed,
   CASE WHEN query_id % 3 = 0 THEN [coalesce(found, 'src0/none.md')] ELSE [] END AS forbidden_sources, query_id % 8 AS set_id FROM questions LEFT JOIN gw ON gw.case_id = query_id)"""

@@ -263,10 +263,14 @@ def r8(spark, d):
 
 
 def _chunks(spark, d):
-    return I.corpus(spark, d).select(F.col("doc_id").alias("chunk_id"), F.substring("content", 1, 1000).alias("text"), F.concat(F.lit("d"), (F.col("doc_id") % 300).cast("string")).alias("document"))
+    from ..operators.normalize import chunk_text
+
+    c = I.corpus(spark, d)
+    chunks = chunk_text(c).join(c.select("path", "doc_id"), "path")
+    return chunks.select((F.col("doc_id") * 100_000 + F.col("chunk")).alias("chunk_id"), "text", F.col("path").alias("document"))
 
 
-_BM25 = rf"""WITH {I.CORPUS}, {I.QUESTIONS}, ch AS (SELECT doc_id AS chunk_id, regexp_extract_all({I.fold_sql('left(content, 1000)')}, '{I.TOKEN}') AS ts, 'd' || (doc_id % 300) AS document FROM corpus), st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM ch),
+_BM25 = rf"""WITH {I.CORPUS}, {I.QUESTIONS}, cs AS (SELECT doc_id, path, content, unnest(range(0, greatest(0, length(content) - 201) + 1, 800)) AS start FROM corpus WHERE trim(content) <> ''), ch AS (SELECT doc_id * 100000 + start // 800 AS chunk_id, regexp_extract_all({I.fold_sql('substr(content, start + 1, 1000)')}, '{I.TOKEN}') AS ts, path AS document FROM cs), st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM ch),
 tf AS (SELECT chunk_id, token, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS token FROM ch) GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), qt AS (SELECT query_id, unnest({I.tokens_sql('query')}) AS token FROM questions),
 s AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(ts) / mean))), 9) AS score FROM qt JOIN tf USING (token) JOIN df USING (token) JOIN ch USING (chunk_id) CROSS JOIN st GROUP BY 1, 2),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 15)"""
@@ -277,7 +281,7 @@ def r9a(spark, d):
     return L.bm25(I.questions(spark, d), _chunks(spark, d), 15).withColumn("score", F.round("score", 5))
 
 
-_COS = """cv AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < (SELECT count(*) FROM benchmark)),
+_COS = """cv AS (SELECT vec_id * 100000 AS chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), qv AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < (SELECT count(*) FROM benchmark)),
 co AS (SELECT query_id, chunk_id, round(list_cosine_similarity(q.e, c.e), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q.e, c.e), 9) DESC, chunk_id) AS rank FROM qv q CROSS JOIN cv c QUALIFY rank <= 15)"""
 
 
@@ -287,7 +291,7 @@ def _query_vectors(spark, d):
 
 
 def _vectors(spark, d):
-    return I.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    return I.table(spark, d, "embeddings").select((F.col("vec_id") * 100_000).alias("chunk_id"), "embedding")
 
 
 @query("r9_cosine", f"WITH {_COS} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM co")
@@ -624,14 +628,14 @@ def j14(spark, d):
 
 
 def _edges(spark, d):
-    l = I.table(spark, d, "lineitem").where("l_orderkey % 10 = 1")
+    l = I.table(spark, d, "lineitem")
     a = l.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"))
     k = F.col("s_suppkey")
     b = I.table(spark, d, "supplier").where(k % 7 != 0).select(F.concat(F.lit("s"), k.cast("string")).alias("source"), F.concat(F.lit("s"), F.floor(k / 2).cast("string")).alias("target"))
     return a.unionByName(b).where("source <> target")
 
 
-_EDGES = "ed AS (SELECT DISTINCT * FROM (SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem WHERE l_orderkey % 10 = 1 UNION ALL SELECT 's' || s_suppkey, 's' || (s_suppkey // 2) FROM supplier WHERE s_suppkey % 7 <> 0) WHERE source <> target)"
+_EDGES = "ed AS (SELECT DISTINCT * FROM (SELECT 'p' || l_partkey AS source, 's' || l_suppkey AS target FROM lineitem UNION ALL SELECT 's' || s_suppkey, 's' || (s_suppkey // 2) FROM supplier WHERE s_suppkey % 7 <> 0) WHERE source <> target)"
 
 
 @query("g1_impact_closure", f"WITH RECURSIVE {_EDGES}, r(node) AS (SELECT 's3' UNION SELECT source FROM r JOIN ed ON ed.target = r.node) SELECT node FROM r")
