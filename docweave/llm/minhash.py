@@ -24,8 +24,8 @@ from .common import output_columns, ship, spool, table, text_slices
 
 COORDINATES, MATCHES = 64, 38
 SHINGLE, PERCENT = 2, 80
-#: Rows of a list that are compared with each other in one go, and shingles of a cluster whose full sets are.
-LIST_ROWS, BLOCK_SHINGLES = 1024, 400_000
+#: Rows of a list that are compared with each other in one go, and shingles and rows of a cluster whose full sets are.
+LIST_ROWS, BLOCK_SHINGLES, BLOCK_ROWS = 1024, 400_000, 2000
 #: Word hashes that a worker remembers; beyond it the memory is emptied.
 REMEMBERED = 200_000
 SEED = 11
@@ -208,13 +208,16 @@ def _linked(sets: list[np.ndarray], block: np.ndarray, across: bool) -> list[tup
     code, owner = code[order], owner[order]
     dense = np.cumsum(np.concatenate(([0], np.diff(code) != 0))) if len(code) else code
     common = np.zeros((g, g), np.float32)  # exact: counts stay far below 2**24
-    width = 4096
+    width = min(4096, int(dense[-1]) + 1) if len(dense) else 1
     for c in range(0, int(dense[-1]) + 1 if len(dense) else 0, width):
         i, j = np.searchsorted(dense, [c, c + width])
         m = np.zeros((g, width), np.float32)
         m[owner[i:j], dense[i:j] - c] = 1
         common += m @ m.T
-    link = 100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
+    link = np.empty((g, g), bool)
+    for s in range(0, g, 256):  # so that wide numbers stand for a few rows at a time
+        c = common[s : s + 256].astype(np.int64)
+        link[s : s + 256] = 100 * c >= PERCENT * (sizes[s : s + 256, None] + sizes[None, :] - c)
     np.fill_diagonal(link, False)
     if across:
         link &= block[:, None] != block[None, :]
@@ -231,8 +234,8 @@ def _linked(sets: list[np.ndarray], block: np.ndarray, across: bool) -> list[tup
 
 
 def _confirm(clusters: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """a, b: documents (doc_id) of a cluster that are joined by links on full sets. Only texts of clustered documents are read for their sets; a block holds about BLOCK_SHINGLES shingles."""
-    total = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("n_blocks"))
+    """a, b: documents (doc_id) of a cluster that are joined by links on full sets. Only texts of clustered documents are read for their sets; a block holds about BLOCK_SHINGLES shingles or BLOCK_ROWS rows, whichever is reached first."""
+    total = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("n_blocks"))
     mine = clusters.join(total, "cluster").select(F.col("doc_id").alias("_id"), "cluster", "n_blocks")
     # one plan at every size: texts are dealt by doc_id once and not sorted, the clustered ids of a partition are its hash table
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(mine.hint("shuffle_hash"), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "cluster", "n_blocks")

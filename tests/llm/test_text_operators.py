@@ -161,6 +161,28 @@ def test_families_and_chains(spark, monkeypatch):
     check_groups(spark, rows)
 
 
+def test_large_families_of_short_texts_go_in_bounded_blocks(spark, monkeypatch):
+    n, plain = 20_000, minhash._linked
+
+    def bounded(sets, block, across):
+        assert len(sets) <= 4500, len(sets)  # two blocks, dealt by hash
+        return plain(sets, block, across)
+
+    monkeypatch.setattr(minhash, "_linked", bounded)
+    head, tail = " ".join(f"h{i}" for i in range(10)), " ".join(f"t{i}" for i in range(9))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(head + " own"), "id", F.lit(" " + tail)).alias("text"))  # 17 of 21 shingles are shared
+    clusters = docs.select("doc_id", F.lit(0).cast("long").alias("cluster"), F.lit(19).cast("long").alias("n"))
+    got = minhash.components(minhash._confirm(clusters, docs, 2)).agg(F.count("node"), F.max("component")).first()
+    assert tuple(got) == (n, 0)
+
+
+def test_blocks_of_few_rows_find_the_same(spark, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[:20], f"x{i % 30}", *words[20 : 20 + i % 7]])) for i in range(200)]
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 16)
+    check_groups(spark, rows)
+
+
 def test_small_and_odd_texts(spark, odd):
     texts = ["", None, " ", "a", "A", "a", "a b", "A  b", "a b c", "b c", "a b c d e f", "a b c d e f g", "a b c d e f g h", "é É", "É É", "x y", "a b a b a b"]
     check_groups(spark, list(enumerate(texts)))
