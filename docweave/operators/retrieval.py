@@ -132,7 +132,7 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: floa
 
 
 def cosine(query_vectors: DataFrame, vectors: DataFrame, k: int, most_queries: int = 4096) -> DataFrame:
-    """query_id, chunk_id, score, rank of the k nearest (chunk_id, embedding) by cosine. Query vectors (query_id, embedding) go out in slices of a fixed size; each Arrow batch is one matrix product, of which k a query are kept."""
+    """query_id, chunk_id, score, rank of the k nearest (chunk_id, embedding) by cosine. Query vectors (query_id, embedding) go out in slices of a fixed size; each Arrow batch is one matrix product, of which k a query are kept: the highest scores rounded to 9 places, ties to the smaller chunk_id."""
     out = None
     slices = max(1, -(-query_vectors.count() // most_queries))
     for i in range(slices):
@@ -147,8 +147,9 @@ def cosine(query_vectors: DataFrame, vectors: DataFrame, k: int, most_queries: i
             ids, q = sent.value
             for b in batches:
                 if len(b):
+                    b = b.sort_values("chunk_id")
                     x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-                    s = q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T
+                    s = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T, 9)
                     top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                     yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "chunk_id": b["chunk_id"].to_numpy()[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
 

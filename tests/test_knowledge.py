@@ -133,6 +133,13 @@ def test_graphs(spark):
     assert rows(graph.dependency_cycles(e), "node") == {("x",), ("y",)} and graph.dependency_cycles(e.limit(3)).count() == 0
 
 
+def test_cosine_ties_go_to_the_smaller_id(spark):
+    q = spark.createDataFrame([(7, [1.0, 2.0, 3.0])], "query_id long, embedding array<double>")
+    v = spark.createDataFrame([(i, [0.3, 0.6, 0.8]) for i in range(25, 0, -1)], "chunk_id long, embedding array<double>").coalesce(1)
+    got = [(r["rank"], r["chunk_id"]) for r in L.cosine(q, v, 15).orderBy("rank").collect()]
+    assert got == [(i, i) for i in range(1, 16)]
+
+
 def test_polls(spark):
     p = spark.createDataFrame([("s", i, h) for i, h in enumerate(["a", "a", None, None, None, "a", "b", None])], "source_id string, seq long, hash string")
     got = [(r["changed"], r["missed"]) for r in V.poll_changes(p).orderBy("seq").collect()]
