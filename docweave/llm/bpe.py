@@ -1,10 +1,13 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The corpus of a replay is the set of distinct chunks (see chunks.py) that a Spark task meets and has not encoded yet. All their pieces are
-laid out in one token list; an inverted index leads from each possible merge to the positions where it applies. Ranks are then replayed in
-order, each over all its positions at once, and only the neighbours that a merge touches are looked up again. What comes out is what the
-tiktoken library gives, as tests check. Documents are then put together from their chunks, so a word costs merges once a task and
-not once an occurrence.
+The corpus of a replay is the set of distinct chunks (see chunks.py) that a Python worker meets in a slice of texts and does not remember. All their
+pieces are laid out in one token list; an inverted index leads from each token pair that merges to the positions where it occurs (pairs that merge
+into the same token have the same rank and share an entry, or the leftmost would not go first). Ranks are then replayed in order, each over all its
+positions at once, and only the neighbours that a merge touches are looked up again. What comes out is what the tiktoken library gives, as tests
+check. Documents are then put together from their chunks, so a word costs merges once in a while and not once an occurrence.
+
+One replay for all words of a table would need every occurrence of every word to go through a shuffle to its ids and back, which is several times
+the texts; replaying a word in each worker costs less and needs no shuffle. Memory stays bounded by the slice and by chunks.REMEMBERED.
 """
 
 from __future__ import annotations
@@ -120,8 +123,12 @@ class Replay(ChunkMemory):
         flat = ids[np.repeat(begins[words] - upto[:-1], n) + np.arange(upto[-1])]
         return flat, upto[np.concatenate(([0], np.cumsum([len(ps) for ps in pieces])))]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: list[int]) -> bytes | None:
+        """The bytes of the ids; None if one of them is no id of the rank file."""
+        try:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        except KeyError:
+            return None
 
 
 _REPLAYS: dict[tuple[str, str], Replay] = {}
@@ -143,32 +150,32 @@ def _rank_file(rank_file: str | None, pattern: str | None) -> tuple[str, str]:
     return rank_file, pattern
 
 
-def encode_documents(docs: DataFrame, text: str = "text", rank_file: str | None = None, pattern: str | None = None, out: str = "token_ids") -> DataFrame:
-    """Add ``out`` array<int>: the BPE ids of the whole text.
+def encode_documents(docs: DataFrame, text: str = "text", rank_file: str | None = None, pattern: str | None = None, out: str = "token_ids", drop: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``out`` array<int>: the BPE ids of the whole text; columns named in ``drop`` are left out.
 
     A null or empty text has no ids. Other columns stay as they are; one that is named like ``out`` is replaced. Rows are independent, so
     ties and repeated rows are simply encoded each.
     """
     rank_file, pattern = _rank_file(rank_file, pattern)
     ship(docs.sparkSession)
-    keep = output_columns(docs, [out])
-    fields = field_list(docs, keep)
+    keep = output_columns(docs, [out, *drop])
+    fields = ", ".join(filter(None, [field_list(docs, keep), f"`{out}` array<int>"]))
 
     def run(batches):
         bpe = replay_of(rank_file, pattern)
         for b in batches:
             at = b.schema.get_field_index(text)
-            for i, j in text_slices(b.column(at).to_pylist()):
+            for i, j in text_slices(b.column(at)):
                 part = b.slice(i, j - i)
-                ids, begins = bpe.encode(part.column(at).to_pylist())
+                ids, begins = bpe.encode(part.column(at))
                 col = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + [col], keep + [out])
 
-    return docs.mapInArrow(run, f"{fields}, `{out}` array<int>")
+    return docs.mapInArrow(run, fields)
 
 
 def decode_documents(tokens: DataFrame, ids: str = "token_ids", rank_file: str | None = None, pattern: str | None = None, out: str = "decoded") -> DataFrame:
-    """Add ``out`` binary: the bytes that the ids stand for; null ids give no bytes."""
+    """Add ``out`` binary: the bytes that the ids stand for; null ids give no bytes, and a row with an id that the rank file lacks has null."""
     rank_file, pattern = _rank_file(rank_file, pattern)
     ship(tokens.sparkSession)
     keep = output_columns(tokens, [out])
@@ -196,9 +203,9 @@ def round_trip_digest(docs: DataFrame, rank_file: str | None = None, pattern: st
         said = {i: str(i) for i in bpe.bytes_of}
         for b in batches:
             texts, names = b.column(1), b.column(0)
-            for i, j in text_slices(texts.to_pylist()):
+            for i, j in text_slices(texts):
                 n, shas, back = [], [], []
-                flat, begins = bpe.encode(texts.slice(i, j - i).to_pylist())
+                flat, begins = bpe.encode(texts.slice(i, j - i))
                 begins = begins.tolist()
                 for k, end in zip(begins, begins[1:]):
                     ids = flat[k:end].tolist()

@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 #: A blank before more white space or the end: no place to cut.
 _LOOSE = re.compile(r" (?:\s|\Z)")
@@ -39,10 +40,11 @@ class _Codes(dict):
 
 
 class ChunkMemory:
-    """Encodes texts by their chunks. ``learn`` gives the ids of many chunks one after another, and where each chunk's ids begin (one more at the end)."""
+    """Encodes texts by their chunks. ``learn`` gives the ids of many chunks one after another, and where each chunk's ids begin (one more at the end).
+    A text that holds one of the strings ``whole`` is not cut: it is a chunk of its own."""
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.learn = learn
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: tuple[str, ...] = ()):
+        self.learn, self.whole = learn, whole
         self.forget()
 
     def forget(self) -> None:
@@ -51,15 +53,17 @@ class ChunkMemory:
         self.ids = np.zeros(0, np.uint32)
         self.begins = np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another (unsigned 32-bit), and where each text's ids begin (one more at the end). Null is the empty text."""
         if self.fresh[0] > REMEMBERED:
             self.forget()
         codes: list[int] = []
         ends = [0]
         first, following = self.first.__getitem__, self.next.__getitem__
-        for t in texts:
-            if t:
+        for t in texts.to_pylist() if isinstance(texts, pa.Array) else texts:
+            if t and any(w in t for w in self.whole):
+                codes.append(first(t))
+            elif t:
                 parts = iter(split(t))
                 codes.append(first(next(parts)))
                 codes.extend(map(following, parts))

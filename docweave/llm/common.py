@@ -8,8 +8,12 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset and all runs in one local process, as in tests) a new one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
         named = sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="docweave-")
         atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
@@ -42,7 +48,17 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     to = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
+    out = spark.read.schema(df.schema).parquet(to)
+    out._spooled_to = to
+    return out
+
+
+def unspool(*frames: DataFrame) -> None:
+    """Delete spooled tables that nothing reads any more. Call it once all that was derived from them has been written."""
+    for df in frames:
+        spark, to = df.sparkSession, df._spooled_to
+        path = spark._jvm.org.apache.hadoop.fs.Path(to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -65,16 +81,23 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(folds) == F.lit(fold)
 
 
-def text_slices(texts: list, most: int = 8 << 20):
-    """Cut a batch of texts into slices of about ``most`` characters, each a (from, to) pair, so that work on one slice has bounded memory."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def text_slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Cut a column of texts into slices of about ``most`` bytes (one longer text is a slice), each a (from, to) pair, so that work on one slice has bounded memory. Only lengths are looked at."""
+    if not len(texts):
+        return
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, n = 0, len(texts)
+    while start < n:
+        before = int(upto[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield start, end
+        start = end
+
+
+def each_text(texts: pa.Array, most: int = 2 << 20) -> Iterator[str | None]:
+    """The texts of a column one after another; no more than a slice of them are Python strings at a time."""
+    for i, j in text_slices(texts, most):
+        yield from texts.slice(i, j - i).to_pylist()
 
 
 def output_columns(df: DataFrame, taken: list[str]) -> list[str]:

@@ -202,6 +202,11 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     return drawn.select(*keep, F.explode("_draws").alias("_draw")).select(*keep, F.col("_draw.shard").alias("mix_shard"), F.col("_draw.place").alias("mix_place"))
 
 
+def shuffled(mixed: DataFrame) -> DataFrame:
+    """The mix in the order in which it is to be written: range-partitioned by shard and place and sorted, so each shard lies together, shuffled locally. Without mix_shard and mix_place."""
+    return mixed.repartitionByRange("mix_shard", "mix_place").sortWithinPartitions("mix_shard", "mix_place").drop("mix_shard", "mix_place")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     shards = F.transform("draws", lambda d: d["shard"])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, ship, table, text_slices
+from .common import each_text, held_out, ship, table
 
 FOLDS, FOLD = 5, 0
 THRESHOLD = 0.3
@@ -148,17 +149,19 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
 
     def run(batches):
         for b in batches:
-            x = [statistics(t) for t in b.column(0).to_pylist()]
+            x = [statistics(t) for t in each_text(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "label"])
 
     few = docs.select(docs["doc_id"].alias("_doc"), docs["text"].alias("_text"))  # other columns of docs may have any name
-    rows = few.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select("_text", "label").mapInArrow(run, "x array<double>, label int").collect()
+    few = few.join(F.broadcast(some), F.col("_doc") == F.col("_id"))
+    few = few.groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.first("label").alias("label"))  # a doc_id may repeat; fit_rows stays the bound
+    rows = few.select("_text", "label").mapInArrow(run, "x array<double>, label int").collect()
     rows.sort(key=lambda r: (r["x"], r["label"]))  # as partitions may come in any order
     return grow(np.array([r["x"] for r in rows]).reshape(-1, len(STATISTICS)), np.array([r["label"] for r in rows], float))
 
 
-def _scores(texts: list, trees: Trees) -> np.ndarray:
-    return trees.predict(np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS)))
+def _scores(texts: pa.Array, trees: Trees) -> np.ndarray:
+    return trees.predict(np.array([statistics(t) for t in each_text(texts)]).reshape(-1, len(STATISTICS)))
 
 
 def score(docs: DataFrame, trees: Trees, text: str = "text", id_: str = "doc_id") -> DataFrame:
@@ -167,8 +170,7 @@ def score(docs: DataFrame, trees: Trees, text: str = "text", id_: str = "doc_id"
 
     def run(batches):
         for b in batches:
-            for i, j in text_slices(b.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(_scores(b.column(1).slice(i, j - i).to_pylist(), trees))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), trees))], ["doc_id", "score"])
 
     return docs.select(docs[id_].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_].dataType.simpleString()}, score double")
 
@@ -178,16 +180,15 @@ def is_good(score_: Column) -> Column:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score at least THRESHOLD, with the columns of ``docs``."""
+    """The documents that score at least THRESHOLD, with the columns of ``docs``. Only texts go to Python and only scores come back; null texts are judged as empty ones."""
     trees = fit(docs, labels)
-    at = docs.columns.index("text")
 
-    def run(batches):
-        for b in batches:
-            keep = [_scores(b.column(at).slice(i, j - i).to_pylist(), trees) >= THRESHOLD for i, j in text_slices(b.column(at).to_pylist())]
-            yield b.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+    @F.arrow_udf("double")
+    def quality(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(_scores(texts, trees))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(quality(docs["text"]) >= THRESHOLD)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,86 +1,123 @@
 """Sharding by longest-processing-time scheduling: documents of equal text stay together, the largest groups are placed first, each on the
 shard that has least so far (a heap).
 
-The heap holds items, not documents. A group of at least total / MOST_ITEMS bytes is an item of its own, so there are at most MOST_ITEMS of
-these however large the table is; all smaller groups are dealt by the hash of their text into MOST_ITEMS parcels, and a parcel is an item.
-That bounds what the driver sees (two numbers for each of at most 2 * MOST_ITEMS items), never splits a group, and leaves the end of
-the schedule, where balance is decided, to parcels of about total / MOST_ITEMS bytes.
+Groups of equal size are alike to the schedule, so the heap takes them size by size with their number, not one by one: sizes are told apart to
+CLASSES steps between powers of two (below CLASSES bytes every size is a class of its own), at most a few ten thousand classes at any scale. The
+driver sees (class, groups, bytes) and gives out, for each class, how many of its groups every shard gets and in which order; which groups these are is settled
+in Spark by their number within the class. One rule holds at every size of table, and no group is split.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import output_columns, spool, table
 
 SHARDS = 8
-MOST_ITEMS = 32768
-#: Rows that are numbered together when slots are given out.
+CLASSES = 1024
+#: Rows that are numbered together when places and slots are given out.
 ROWS_TOGETHER = 20_000
 
 
-def lpt(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """item -> shard, from (item, size): from the largest size (ties: smaller item) to the shard with least so far (ties: smaller shard)."""
-    heap = [(0, s) for s in range(shards)]
+def lpt(classes: list[tuple[int, int, float]], shards: int) -> dict[int, tuple[list[int], list[int], list[int]]]:
+    """class -> (ends, owners, cycle), from (class, groups, bytes), largest class first. The groups of a class are numbered from 0; those below ends[0] go to shard owners[0],
+    those from there below ends[1] to owners[1], and so on; what is left goes round through ``cycle``.
+
+    Each group goes to the shard with least so far (ties: smaller shard). As long as loads differ by more than a group, that fills shards up to a level, the lowest first, so they
+    get their groups at once; then the heap gives the order in which the rest goes round.
+    """
+    loads = [0.0] * shards
     placed = {}
-    for item, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        load, s = heap[0]
-        heapq.heapreplace(heap, (load + size, s))
-        placed[item] = s
+    for c, n, size in sorted(classes, key=lambda x: -x[0]):
+        each = size / n
+        fill = lambda level: [max(0, int((level - load) // each)) for load in loads]  # noqa: B023, E731
+        low, high = min(loads), max(loads)
+        given = fill(high)
+        if sum(given) > n:  # the class does not reach the highest shard: the highest level that it does reach
+            for _ in range(64):
+                middle = (low + high) / 2
+                low, high = (middle, high) if sum(fill(middle)) <= n else (low, middle)
+            given = fill(low)
+        owners = [s for s in range(shards) if given[s]]
+        ends, done = [], 0
+        for s in owners:
+            done += given[s]
+            loads[s] += given[s] * each
+            ends.append(done)
+        heap = [(load, s) for s, load in enumerate(loads)]
+        heapq.heapify(heap)
+        cycle = [heapq.heappop(heap)[1] for _ in range(shards)]
+        rounds, rest = divmod(n - done, shards)
+        for i, s in enumerate(cycle):
+            loads[s] += (rounds + (i < rest)) * each
+        placed[c] = (ends, owners, cycle)
     return placed
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, most_items: int = MOST_ITEMS) -> DataFrame:
+def size_class(size: Column) -> Column:
+    """A number that grows with the size: sizes below CLASSES are their own, above there are CLASSES / 2 classes between powers of two, all of one width."""
+    bits = F.greatest(F.floor(F.log2(size.cast("double"))).cast("int") - (CLASSES.bit_length() - 2), F.lit(0))
+    bits = F.when(F.call_function("shiftright", size, bits) >= CLASSES, bits + 1).when((bits > 0) & (F.call_function("shiftright", size, bits) < CLASSES // 2), bits - 1).otherwise(bits)  # logarithms round
+    return (bits.cast("long") * (CLASSES // 2) + F.call_function("shiftright", size, bits)).cast("long")
+
+
+def _numbered(rows: DataFrame, by: list[str], order: list[str], buckets: Column | int) -> DataFrame:
+    """Adds number: from 0 without gaps within ``by``, in an order of hash buckets of ``order`` and then of ``order``. A prefix sum over buckets, then numbers within them, so no task numbers more than a bucket."""
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets) if isinstance(buckets, int) else buckets))
+    sizes = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_bucket")) - F.col("_n")).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(*order)) - 1
+    return rows.withColumn("_inside", inside).join(before, [*by, "_bucket"]).withColumn("number", (F.col("_before") + F.col("_inside")).cast("long")).drop("_bucket", "_before", "_inside")
+
+
+def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row a document: doc_id, size, text_crc32, text_key, shard, slot.
 
     size is the UTF-8 bytes of the text plus 1, text_crc32 that of the bytes; null text counts as the empty text. Groups are equal
     texts, told by a 64-bit hash (two texts that share it would merely stay together too). slot numbers a shard's documents from 0 without gaps; within a
-    shard the order is by a hash of doc_id, so that large groups spread out, then by doc_id and text. An empty table gives no rows.
+    shard the order is by a hash of doc_id, so that large groups spread out, then by doc_id and text; rows that repeat both follow each other. An empty table gives no rows.
     """
     spark = docs.sparkSession
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("text_key"))
     rows = spool(rows, "shard-rows")
-    all_ = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    large = F.lit((all_["bytes"] or 0) / most_items)
-    parcel = F.pmod("text_key", F.lit(most_items))
-    groups = spool(rows.groupBy("text_key").agg(F.sum("size").alias("bytes")), "shard-groups")
-    own = groups.where(F.col("bytes") >= large)
-    parcels = groups.where(F.col("bytes") < large).groupBy(parcel.alias("item")).agg(F.sum("bytes").alias("bytes"))
-    owned = own.select("text_key", "bytes").collect()  # most_items rows at most
-    packed = parcels.collect()  # the same
-    # items: parcels are numbered from 0, groups of their own from most_items on by their hash
-    keys = sorted(owned, key=lambda r: r["text_key"])
-    placed = lpt([(r["item"], r["bytes"]) for r in packed] + [(most_items + k, r["bytes"]) for k, r in enumerate(keys)], shards)
-    of_group = spark.createDataFrame([(r["text_key"], placed[most_items + k]) for k, r in enumerate(keys)] or [], "text_key long, own_shard int")
-    of_parcel = spark.createDataFrame([(r["item"], placed[r["item"]]) for r in packed] or [], "item long, parcel_shard int")
-    rows = rows.join(F.broadcast(of_group), "text_key", "left").withColumn("item", parcel).join(F.broadcast(of_parcel), "item", "left")
-    rows = rows.withColumn("shard", F.coalesce("own_shard", "parcel_shard")).drop("own_shard", "parcel_shard", "item")
-
-    # slots: a prefix sum over buckets of each shard, then numbers within the buckets
-    buckets = max(1, -(-all_["n"] // ROWS_TOGETHER))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(buckets)))
-    sizes = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("in_bucket"))
-    before = sizes.withColumn("before", F.sum("in_bucket").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("in_bucket"))
-    number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_key"))
-    return rows.withColumn("number", number).join(before, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", "text_key", "shard", (F.col("before") + F.col("number") - 1).alias("slot"))
+    groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    groups = spool(groups.withColumn("class", size_class(F.col("bytes"))), "shard-groups")
+    classes = groups.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect()  # CLASSES / 2 for each power of two: bounded
+    placed = lpt([(r["class"], r["n"], float(r["bytes"])) for r in classes], shards)
+    rule = spark.createDataFrame([(c, *p, max(1, -(-n // ROWS_TOGETHER))) for c, p, n in ((r["class"], placed[r["class"]], r["n"]) for r in classes)], "class long, ends array<long>, owners array<int>, cycle array<int>, buckets long")
+
+    of = _numbered(groups.join(F.broadcast(rule), "class"), ["class"], ["text_key"], F.col("buckets"))
+    early = F.size(F.filter("ends", lambda e: e <= F.col("number")))  # how many ranges end at or before the number
+    turn = F.pmod(F.col("number") - F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)), F.lit(shards)).cast("int")
+    shard = F.coalesce(F.get("owners", early), F.get("cycle", turn))
+    total = rows.count()
+    of = spool(of.select("text_key", "rows", shard.alias("shard")), "shard-of")
+    # texts of at least one in 1,024 rows, at most 1,024 of them, are told to all tasks; so no text's rows have to meet in one task
+    hot = of.where(F.col("rows") * 1024 >= total).select("text_key", "shard")
+    rest = rows.join(F.broadcast(hot), "text_key", "left_anti").join(of.select("text_key", "shard"), "text_key")
+    rows = rows.join(F.broadcast(hot), "text_key").unionByName(rest)
+    rows = _numbered(rows, ["shard"], ["doc_id", "text_key"], max(1, -(-total // ROWS_TOGETHER)))
+    return rows.select("doc_id", "size", "text_crc32", "text_key", "shard", F.col("number").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """Write the documents with all their columns as Parquet, one folder a shard (shard=0, shard=1, ...).
 
-    Columns of ``docs`` named shard or slot are replaced. Documents are told apart by doc_id and text.
+    Columns of ``docs`` named shard or slot are replaced. Documents are told apart by doc_id and text; rows that repeat both get one slot each.
     """
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    # rows that repeat (doc_id, text) have slots one after another: the first of them and a number
     found = assign(docs, shards).groupBy("doc_id", "text_key").agg(F.first("shard").alias("shard"), F.min("slot").alias("slot"))
     keep = output_columns(docs, ["shard", "slot"])
-    keyed = docs.select(*keep, key.alias("_key"))
+    again = F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.lit(0))) - 1
+    keyed = docs.select(*keep, key.alias("_key")).withColumn("_again", again)
     found = found.select(F.col("doc_id").alias("_doc_id"), F.col("text_key").alias("_text_key"), "shard", "slot")
     both = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")))
-    both.select(*keep, "shard", "slot").write.partitionBy("shard").parquet(path)
+    both.select(*keep, "shard", (F.col("slot") + F.col("_again")).alias("slot")).write.partitionBy("shard").parquet(path)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

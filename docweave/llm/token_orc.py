@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import ChunkMemory
-from .common import shared_dir, ship, table, text_slices
+from .common import shared_dir, ship, spool, table, text_slices
 
 END_ID = 0
 
@@ -39,34 +39,30 @@ class Encoder(ChunkMemory):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         # byte-level vocabularies write one character for each byte
         self.bytes_in = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for word, i in self.tokenizer.get_vocab().items():
             self.bytes_in[i] = len(word)
-        super().__init__(self.encode_chunks)
+        # the library finds added tokens before it splits a text, so texts that hold one are encoded whole
+        super().__init__(self.encode_chunks, tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
 
     def encode_chunks(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A chunk that begins with its blank may follow any other without changing its ids, so many are encoded as one text; the others alone."""
         groups: list[list[str]] = []
         for k, c in enumerate(new):
-            if len(c) > 1 and c[0] == " " and not c[1].isspace() and groups and k % 512:
+            if len(c) > 1 and c[0] == " " and not c[1].isspace() and groups and k % 512 and not any(w in c for w in self.whole):
                 groups[-1].append(c)
             else:
                 groups.append([c])
-        ids, begins = [], [np.zeros(1, np.int64)]
-        for i in range(0, len(groups), 64):
-            some = groups[i : i + 64]
-            for group, found in zip(some, self.tokenizer.encode_batch_fast(["".join(g) for g in some], add_special_tokens=False)):
-                own = np.array(found.ids, np.uint32)
-                upto = np.concatenate(([0], np.cumsum(self.bytes_in[own])))
-                ends = np.cumsum([len(c.encode()) for c in group])
-                cuts = np.searchsorted(upto, ends)
-                if not np.array_equal(upto[cuts], ends):
-                    raise ValueError("a token reaches across a place where texts are cut")
-                ids.append(own)
-                begins.append(begins[-1][-1] + cuts)
-        return np.concatenate(ids), np.concatenate(begins)
+        texts = ["".join(g) for g in groups]
+        ids = [np.array(e.ids, np.uint32) for i in range(0, len(texts), 256) for e in self.tokenizer.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
+        ids = np.concatenate(ids)
+        upto = np.concatenate(([0], np.cumsum(self.bytes_in[ids])))
+        ends = np.concatenate(([0], np.cumsum([len(c.encode()) for c in new])))
+        begins = np.searchsorted(upto, ends)
+        if begins[-1] != len(ids) or not np.array_equal(upto[begins], ends):
+            raise ValueError("a token reaches across a place where texts are cut")
+        return ids, begins
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -79,7 +75,10 @@ def encoder_of(path: str) -> Encoder:
 
 
 def tokenize(docs: DataFrame, tokenizer_file: str | None = None, end_id: int | None = END_ID) -> DataFrame:
-    """doc_id long, token_ids array<int>: the ids of the whole text (null: empty), then ``end_id`` (none if None). Rows keep their order within partitions."""
+    """doc_id long, token_ids array<int>: the ids of the whole text (null: empty), then ``end_id`` (none if None). Rows keep their order within partitions.
+
+    Ids are those of the library's plain call: the string of an added token in a text (as <|endoftext|>) is that token.
+    """
     if tokenizer_file is None:
         import public_tokenizers
 
@@ -90,8 +89,8 @@ def tokenize(docs: DataFrame, tokenizer_file: str | None = None, end_id: int | N
         own = encoder_of(tokenizer_file)
         for b in batches:
             texts = b.column(1)
-            for i, j in text_slices(texts.to_pylist()):
-                ids, begins = own.encode(texts.slice(i, j - i).to_pylist())
+            for i, j in text_slices(texts):
+                ids, begins = own.encode(texts.slice(i, j - i))
                 if end_id is not None:
                     ids, begins = np.insert(ids, begins[1:], end_id), begins + np.arange(len(begins))
                 lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids.astype(np.int32)))
@@ -137,8 +136,8 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(flat[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), b.column(2)], ["doc_id", "n_tokens", "ids_crc32", "part"])
 
-    each = read_tokens(spark, path).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, part int")
-    return with_starts(each)
+    # a few numbers a document, read from the files once and used twice
+    return with_starts(spool(read_tokens(spark, path).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, part int"), "token-digests"))
 
 
 def with_starts(each: DataFrame) -> DataFrame:

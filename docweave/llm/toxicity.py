@@ -1,10 +1,10 @@
 """Toxicity by weak supervision.
 
-1. Voters. Lexicons are mined from labelled rows: whole words and word beginnings that occur (almost) only in toxic texts, besides a few
-   fixed insults. They are dealt into groups; each group is a voter, and patterns (several hits, dense hits, hits in a row, hits
-   addressed to a reader, none at all) are voters too. A voter says toxic, clean or nothing. The given label is one more voter.
-2. Label model. A generative model of the votes gets each voter's accuracies by expectation-maximisation, then the correlations that are left
-   between voters within a class; voters that repeat each other count less in a second round.
+1. Voters. Lexicons: fixed insults by language, and words and word beginnings (by length) that occur (almost) only in toxic texts, mined from
+   labelled rows. Patterns: several hits, several kinds, dense hits, hits in a row, hits addressed to a reader, silence, shouting, repetition.
+   A voter says toxic, clean or nothing. Labels serve to mine lexicons only; no voter sees one.
+2. Label model. A generative model of the votes gets each voter's accuracies by expectation-maximisation. Correlations are factors of it: within a
+   class voters hang together in the tree of the strongest dependencies, each given the vote of the one above. Posteriors come from votes alone.
 3. Classifier. A linear (logistic) model over lexicon counts is trained on the posterior labels and scores every whole text.
 
 Only the sample that steps 1 and 2 learn from is bounded (FIT_ROWS labelled rows, those with the smallest hash of doc_id); all texts are scored.
@@ -15,31 +15,39 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, ship, spool, table, text_slices
+from .common import each_text, held_out, ship, spool, table
 
 FOLDS, FOLD = 3, 1
 THRESHOLD = 0.7
 #: Most labelled rows that the voters, the label model and the classifier are fitted on.
 FIT_ROWS = 20_000
-#: Most lexicon entries, and how many voters they are dealt to.
+#: Most lexicon entries.
 MOST_TERMS = 400
-GROUPS = 8
 #: Beginnings of words that may be lexicon entries, in characters.
 STEMS = (4, 5, 6, 7)
 MOST_LEAST = 3
 
 #: Insults that count as lexicon entries even where no label shows it.
-INSULTS = """idiot idiots moron morons stupid scum loser losers pathetic disgusting worthless trash clown imbecile dumbass bastard scumbag
-arschloch dummkopf vollidiot abschaum wichser connard crétin salaud abruti gilipollas imbécil cabrón pendejo escoria""".split()
+INSULTS = {
+    "en": "idiot idiots moron morons stupid scum loser losers pathetic disgusting worthless trash clown imbecile dumbass bastard scumbag".split(),
+    "de": "arschloch dummkopf vollidiot abschaum wichser".split(),
+    "fr": "connard crétin salaud abruti".split(),
+    "es": "gilipollas imbécil cabrón pendejo escoria".split(),
+}
 #: Words that address a reader.
 ADDRESS = frozenset("you your youre u du dich dir ihr tu te toi vous tú usted vosotros".split())
 
+#: The voters. Lexicons say toxic where one of their entries occurs and nothing otherwise; see _votes for the patterns.
+LEXICONS = ("words", "stems_4", "stems_5", "stems_6", "stems_7", *(f"insults_{k}" for k in INSULTS))
+PATTERNS = ("several", "dense", "row", "address", "kinds", "silence", "shouting", "repeating")
+
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -98,7 +106,9 @@ def _training_rows(docs: DataFrame, labels: DataFrame, column: str, folds: int,
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(column).cast("int").alias("label"))
     some = known.orderBy(F.xxhash64("_id"), "_id").limit(most)
     few = docs.select(docs["doc_id"].alias("_doc"), docs["text"].alias("_text"))  # other columns of docs may have any name
-    return few.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select(F.col("_text").alias("text"), "label", F.xxhash64("_text").alias("key"))
+    few = few.join(F.broadcast(some), F.col("_doc") == F.col("_id"))
+    one = few.groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("text"), F.first("label").alias("label"))  # a doc_id may repeat; most stays the bound
+    return one.select("text", "label", F.xxhash64("text").alias("key"))
 
 
 def _one_of_each_family(rows: DataFrame) -> set[int]:
@@ -108,7 +118,7 @@ def _one_of_each_family(rows: DataFrame) -> set[int]:
     def run(batches):
         for b in batches:
             found = []
-            for text in b.column(0).to_pylist():
+            for text in each_text(b.column(0)):
                 w = plain(text).split()
                 ids = np.array([zlib.crc32(x.encode()) for x in w] or [0], np.uint64)
                 h = ids if len(ids) < 3 else (ids[:-2] * np.uint64(0x9E3779B97F4A7C15) + ids[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + ids[2:] * np.uint64(0x165667B19E3779F9))
@@ -154,7 +164,7 @@ def _mine(rows: DataFrame, seeds: list[str]) -> tuple[list[str], list[tuple[str,
         def run(batches):
             seen: Counter = Counter()
             for b in batches:
-                for text in b.column(0).to_pylist():
+                for text in each_text(b.column(0)):
                     seen.update(_terms(text, wanted))
                 if len(seen) > 500_000:
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
@@ -183,55 +193,112 @@ def _mine(rows: DataFrame, seeds: list[str]) -> tuple[list[str], list[tuple[str,
     return sorted(set(words) | set(seeds)), sorted(stems.items())
 
 
-def _votes(hits: list) -> np.ndarray:
-    """Votes (1 toxic, -1 clean, 0 none) from (pairs, row, address, words) of each text."""
-    v = np.zeros((len(hits), GROUPS + 5), np.int8)
-    for k, (pairs, row, address, n) in enumerate(hits):
+def lexicon_of(words: list[str], stems: list[tuple[str, int]]) -> list[int]:
+    """The lexicon (a number in LEXICONS) of every entry."""
+    insults = {w: LEXICONS.index(f"insults_{k}") for k, ws in INSULTS.items() for w in ws}
+    return [insults.get(w, 0) for w in words] + [LEXICONS.index(f"stems_{len(w)}") for w, _ in stems]
+
+
+def manner(text: str | None) -> tuple[float, int]:
+    """Share of capitals among ASCII letters (0 below 20 letters), and the most often that a word follows itself."""
+    raw = (text or "").encode("utf-8", "replace")
+    letters = np.frombuffer(raw, np.uint8)
+    letters = letters[((letters | 32) >= 97) & ((letters | 32) <= 122)]
+    run = most = 0
+    words = raw.lower().split()
+    for a, b in zip(words, words[1:]):
+        run = run + 1 if a == b else 0
+        most = max(most, run)
+    return float((letters < 97).mean()) if len(letters) >= 20 else 0.0, most
+
+
+def _votes(hits: list, lexicons: list[int], manners: list[tuple[float, int]]) -> np.ndarray:
+    """Votes (1 toxic, -1 clean, 0 none) of LEXICONS and PATTERNS from (pairs, row, address, words) and the manner of each text."""
+    v = np.zeros((len(hits), len(LEXICONS) + len(PATTERNS)), np.int8)
+    at = {p: len(LEXICONS) + i for i, p in enumerate(PATTERNS)}
+    for k, ((pairs, row, address, n), (capitals, run)) in enumerate(zip(hits, manners)):
         total = sum(c for _, c in pairs)
         for i, _ in pairs:
-            v[k, i % GROUPS] = 1
-        if not pairs:
-            v[k, :GROUPS:2] = -1  # half of the groups take silence for a sign
-        v[k, GROUPS] = 1 if total >= 2 else -1 if total == 0 else 0
-        v[k, GROUPS + 1] = 1 if total >= 0.01 * max(n, 1) and total else -1 if total < 0.001 * max(n, 1) else 0
-        v[k, GROUPS + 2] = 1 if row else 0
-        v[k, GROUPS + 3] = 1 if address else 0
-        v[k, GROUPS + 4] = 1 if len(pairs) >= 2 else -1 if not pairs else 0
+            v[k, lexicons[i]] = 1
+        v[k, at["several"]] = 1 if total >= 2 else -1 if total == 0 else 0
+        v[k, at["dense"]] = 1 if total >= 0.01 * max(n, 1) and total else -1 if total < 0.001 * max(n, 1) else 0
+        v[k, at["row"]] = 1 if row else 0
+        v[k, at["address"]] = 1 if address else 0
+        v[k, at["kinds"]] = 1 if len(pairs) >= 2 else -1 if not pairs else 0
+        v[k, at["silence"]] = 0 if pairs else -1
+        v[k, at["shouting"]] = 1 if capitals > 0.5 else 0
+        v[k, at["repeating"]] = 1 if run >= 2 else 0
     return v
 
 
 class LabelModel:
-    """A generative model of votes: within a class each voter says toxic, clean or nothing with its own probabilities."""
+    """A generative model of votes. Within a class a voter says toxic, clean or nothing with its own probabilities, given what the voter above it in a
+    dependency tree says (voters without one: by themselves). ``toxic`` and ``clean`` are the probabilities by voter, ``parent`` the tree (-1: none),
+    ``correlation`` the dependency that is left between voters within a class, in nats."""
 
-    def fit(self, votes: np.ndarray, prior: float, rounds: int = 30) -> np.ndarray:
-        """Returns the posterior probability of toxic for each row."""
+    LEAST = 0.01
+
+    def fit(self, votes: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
+        """Returns the posterior probability of toxic for each row. ``prior`` is where the share of toxic rows starts."""
         n, m = votes.shape
+        code = votes.astype(np.int64) + 1
         says = np.stack([votes == -1, votes == 0, votes == 1], axis=2).astype(float)
-        # voters that always say the same are one voter from the start, or they would be mistaken for the class
+        flat = says.reshape(n, 3 * m)
+        usual = np.array([[1.5, 1.0, 0.5], [0.5, 1.0, 1.5]])
+        # at the start, voters that always say the same are one voter, or they would be mistaken for the class
         centred = votes - votes.mean(0)
         spread = np.sqrt((centred**2).mean(0)) + 1e-6
-        weight = 1 / np.maximum(1, ((centred.T @ centred) / max(n, 1) / np.outer(spread, spread) > 0.97).sum(1))
-        score = votes.astype(float) @ weight
+        score = votes.astype(float) @ (1 / np.maximum(1, ((centred.T @ centred) / max(n, 1) / np.outer(spread, spread) > 0.97).sum(1)))
         p = np.where(score > 0, 0.9, np.where(score < 0, 0.05, prior))
-        for stage in range(2):
+        self.parent = np.full(m, -1)
+        for stage in range(3):
             for _ in range(rounds):
-                toxic = (p[:, None, None] * says).sum(0) + np.array([0.5, 1.0, 1.5])
-                clean = ((1 - p)[:, None, None] * says).sum(0) + np.array([1.5, 1.0, 0.5])
-                self.toxic, self.clean = toxic / toxic.sum(1, keepdims=True), clean / clean.sum(1, keepdims=True)
-                ratio = np.log(self.toxic) - np.log(self.clean)
-                logit = np.log(prior / (1 - prior)) + np.einsum("nmk,mk,m->n", says, ratio, weight)
+                q = np.stack([1 - p, p])
+                marginal = (q @ flat).reshape(2, m, 3) + usual[:, None, :]
+                marginal /= marginal.sum(2, keepdims=True)
+                balance = (p.sum() + 10 * prior) / (n + 10)
+                logit = np.full(n, np.log(balance / (1 - balance)))
+                for i, j in enumerate(self.parent):
+                    if j < 0:
+                        logit += np.log(marginal[1, i] / marginal[0, i])[code[:, i]]
+                    else:
+                        pair = [says[:, j].T @ (q[y][:, None] * says[:, i]) + 2 * marginal[y, i] for y in (0, 1)]
+                        given = [x / x.sum(1, keepdims=True) for x in pair]
+                        logit += np.log(given[1] / given[0])[code[:, j], code[:, i]]
                 p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            if stage == 0:
-                # what is left of the votes once the class is known tells which voters repeat each other
-                mean = lambda q: (q[:, None] * votes).sum(0) / max(q.sum(), 1e-9)
-                left = votes - p[:, None] * mean(p) - (1 - p)[:, None] * mean(1 - p)
-                sd = np.sqrt((left**2).mean(0)) + 1e-6
-                self.correlation = (left.T @ left) / n / np.outer(sd, sd)
-                shared = np.clip(self.correlation - np.eye(m), 0, 1)
-                weight = np.minimum(weight, 1 / (1 + np.where(shared > 0.1, shared, 0).sum(1)))
-        self.weight = weight
+            self.clean, self.toxic = marginal
+            self.correlation = self._dependency(flat, p, m)
+            if stage < 2:
+                self.parent = self._tree(self.correlation)
         return p
 
+    @staticmethod
+    def _dependency(flat: np.ndarray, p: np.ndarray, m: int) -> np.ndarray:
+        """Mutual information of every two voters given the class."""
+        out = np.zeros((m, m))
+        for q in (1 - p, p):
+            joint = (flat.T @ (q[:, None] * flat) / max(len(p), 1)).reshape(m, 3, m, 3).transpose(0, 2, 1, 3)
+            share = max(q.mean(), 1e-9)
+            rows, cols = joint.sum(3, keepdims=True), joint.sum(2, keepdims=True)
+            ratio = np.divide(joint * share, rows * cols, out=np.ones_like(joint), where=(joint > 0) & (rows * cols > 0))
+            out += (joint * np.log(ratio)).sum((2, 3))
+        np.fill_diagonal(out, 0)
+        return out
+
+    def _tree(self, dependency: np.ndarray) -> np.ndarray:
+        """Each voter's parent in the tree (or trees) of the strongest dependencies that reach LEAST."""
+        m = len(dependency)
+        parent, inside = np.full(m, -1), np.zeros(m, bool)
+        for _ in range(m):
+            reach = np.where(inside[:, None] & ~inside[None, :], dependency, -1)
+            i, j = np.unravel_index(reach.argmax(), reach.shape)
+            if reach[i, j] < self.LEAST:  # a new tree begins at the voter that most depends on others
+                j = int(np.where(inside, -1, dependency.sum(1)).argmax())
+            else:
+                parent[j] = i
+            inside[j] = True
+        return parent
+
 
 def _features(hits: list, size: int) -> np.ndarray:
     x = np.zeros((len(hits), size + 6))
@@ -259,14 +326,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, strength: float = 1.0, rounds: int =
     return w
 
 
-def _hits_of(texts: list, lexicon: Lexicon) -> list:
-    return [lexicon.hits(t) for t in texts]
-
-
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     """The model: lexicon entries, classifier weights, and the label model's accuracies and correlations (for reports).
 
-    Without labelled rows the fixed insults are the lexicon and the weights are such that two hits or one in a short text are toxic.
+    Where all labelled rows are of one class, or there is none, nothing can be learned: the fixed insults are the lexicon and the weights are such that two hits
+    or one in a short text are toxic.
     """
     ship(docs.sparkSession)
     rows = spool(_training_rows(docs, labels, "toxic", FOLDS, FOLD, fit_rows), "toxicity-rows")
@@ -277,46 +341,72 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
             yield b.filter(pa.array([k in kept for k in b.column(2).to_pylist()], pa.bool_()))
 
     rows = spool(rows.mapInArrow(one_of_each, rows.schema).dropDuplicates(["key"]), "toxicity-families")
-    words, stems = _mine(rows, INSULTS)
+    words, stems = _mine(rows, [w for ws in INSULTS.values() for w in ws])
 
     def look(batches):
         lexicon = Lexicon(words, stems)
         for b in batches:
-            hits = _hits_of(b.column(0).to_pylist(), lexicon)
+            hits, manners = [], []
+            for t in each_text(b.column(0)):
+                hits.append(lexicon.hits(t))
+                manners.append(manner(t))
             pairs = pa.array([[x for pair in h[0] for x in pair] for h in hits], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pairs, *[pa.array([h[k] for h in hits], pa.int32()) for k in (1, 2, 3)], b.column(1)], ["pairs", "row", "address", "n", "label"])
+            numbers = [pa.array([h[k] for h in hits], pa.int32()) for k in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([pairs, *numbers, pa.array([m[0] for m in manners], pa.float64()), pa.array([m[1] for m in manners], pa.int32()), b.column(1)], ["pairs", "row", "address", "n", "capitals", "run", "label"])
 
-    got = rows.mapInArrow(look, "pairs array<int>, row int, address int, n int, label int").collect()  # fit_rows at most, a few numbers each
-    got.sort(key=lambda r: (r["n"], r["row"], r["address"], r["label"], r["pairs"]))  # as partitions may come in any order
+    got = rows.mapInArrow(look, "pairs array<int>, row int, address int, n int, capitals double, run int, label int").collect()  # fit_rows at most, a few numbers each
+    got.sort(key=lambda r: (r["n"], r["row"], r["address"], r["label"], r["capitals"], r["run"], r["pairs"]))  # as partitions may come in any order
     hits = [(list(zip(r["pairs"][::2], r["pairs"][1::2])), r["row"], r["address"], r["n"]) for r in got]
     size = len(words) + len(stems)
     model = {"words": words, "stems": stems}
     y = np.array([r["label"] for r in got])
-    if len(got) < 20 or y.min() == y.max():
+    if not len(got) or y.min() == y.max():
         w = np.zeros(size + 7)
         w[size], w[size + 2], w[-1] = 2.0, 3.0, -3.0
         return model | {"weights": w}
-    votes = np.hstack([_votes(hits), np.where(y == 1, 1, -1)[:, None].astype(np.int8)])
-    labels_ = LabelModel()
-    posterior = labels_.fit(votes, float(np.clip(y.mean(), 0.01, 0.99)))
-    return model | {"weights": _logistic(_features(hits, size), posterior), "toxic_votes": labels_.toxic, "clean_votes": labels_.clean, "correlation": labels_.correlation, "voter_weights": labels_.weight}
+    label_model = LabelModel()
+    votes = _votes(hits, lexicon_of(words, stems), [(r["capitals"], r["run"]) for r in got])
+    posterior = label_model.fit(votes, float(np.clip(y.mean(), 0.01, 0.99)))
+    return model | {"weights": _logistic(_features(hits, size), posterior), "toxic_votes": label_model.toxic, "clean_votes": label_model.clean, "parents": label_model.parent, "correlation": label_model.correlation}
+
+
+def _scorer(model: dict):
+    """texts (an Arrow column) -> scores, hits, words of each; made once a task."""
+    w, lexicon = model["weights"], Lexicon(model["words"], model["stems"])
+
+    def run(texts: pa.Array) -> tuple[np.ndarray, list[int], list[int]]:
+        scores, total, n = np.zeros(len(texts)), [], []
+        hits, at = [], 0
+
+        def flush() -> None:
+            nonlocal hits, at
+            if hits:
+                logit = _features(hits, lexicon.size) @ w[:-1] + w[-1]
+                scores[at : at + len(hits)] = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+                at, hits = at + len(hits), []
+
+        for t in each_text(texts):
+            h = lexicon.hits(t)
+            hits.append(h)
+            total.append(sum(c for _, c in h[0]))
+            n.append(h[3])
+            if len(hits) == 1024:
+                flush()
+        flush()
+        return scores, total, n
+
+    return run
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """doc_id, score, hits, n_words of every row. Null text scores like the empty text; rows are independent of each other."""
     ship(docs.sparkSession)
-    words, stems, w = model["words"], model["stems"], model["weights"]
 
     def run(batches):
-        lexicon = Lexicon(words, stems)
+        scorer = _scorer(model)
         for b in batches:
-            for i, j in text_slices(b.column(1).to_pylist()):
-                hits = _hits_of(b.column(1).slice(i, j - i).to_pylist(), lexicon)
-                logit = np.zeros(len(hits))
-                for k in range(0, len(hits), 1024):
-                    logit[k : k + 1024] = _features(hits[k : k + 1024], lexicon.size) @ w[:-1] + w[-1]
-                p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(p), pa.array([sum(c for _, c in h[0]) for h in hits], pa.int64()), pa.array([h[3] for h in hits], pa.int64())], ["doc_id", "score", "hits", "n_words"])
+            p, hits, n = scorer(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(hits, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "score", "hits", "n_words"])
 
     return docs.select(docs[id_].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_].dataType.simpleString()}, score double, hits long, n_words long")
 
@@ -326,25 +416,16 @@ def is_toxic(score_: Column) -> Column:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose text is not toxic, with the columns of ``docs``. Scores are kept by text, so equal texts share their fate."""
-    ship(docs.sparkSession)
+    """The documents whose text is not toxic, with the columns of ``docs``. Only texts go to Python and only scores come back; null and empty texts stay, equal texts share their fate."""
     model = fit(docs, labels)
-    words, stems, w = model["words"], model["stems"], model["weights"]
-    names = docs.columns
-    at = names.index("text")
 
-    def run(batches):
-        lexicon = Lexicon(words, stems)
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i, j in text_slices(b.column(at).to_pylist()):
-                hits = _hits_of(b.column(at).slice(i, j - i).to_pylist(), lexicon)
-                for k in range(0, len(hits), 1024):
-                    logit = _features(hits[k : k + 1024], lexicon.size) @ w[:-1] + w[-1]
-                    keep[i + k : i + k + len(logit)] = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) < THRESHOLD
-            yield b.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    @F.arrow_udf("double")
+    def toxic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = _scorer(model)
+        for texts in batches:
+            yield pa.array(scorer(texts)[0])
+
+    return docs.where(toxic(docs["text"]) < THRESHOLD)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
-"""What the vector searches share: usable vectors, batches as matrices, and running best lists."""
+"""What the vector searches share: usable vectors, copies, batches as matrices, and running best lists."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,16 @@ def dimensions(vectors: DataFrame, column: str) -> list[int]:
     return sorted(r[0] for r in vectors.select(F.size(column).alias("d")).distinct().collect())
 
 
+def first_copies(vectors: DataFrame, n: int) -> DataFrame:
+    """Of the vec_ids of equal vectors the n smallest. As copies score alike and ties go to the smaller vec_id, no other can be among the n - 1 best of a query.
+
+    Rows that repeat a vec_id and its vector count once. The limit is applied before the shuffle too, so a vector that a third of all rows hold leaves n rows a task.
+    """
+    order = Window.partitionBy("vector").orderBy("vec_id")
+    once = vectors.withColumn("_rank", F.dense_rank().over(order)).where(F.col("_rank") <= n)
+    return once.dropDuplicates(["vector", "vec_id"]).drop("_rank")
+
+
 def matrix(column: pa.Array, d: int, kind) -> np.ndarray:
     """A list column, all lists of length d, as a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(-1, d)
@@ -54,7 +64,5 @@ class Best:
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of (query_id, vec_id, score), ties to the smaller vec_id."""
-    from pyspark.sql import Window
-
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

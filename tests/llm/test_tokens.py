@@ -8,10 +8,11 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docweave.llm import bpe, chunks, token_orc
 
-ODD = ["", " ", "  ", "a  b", "a\n b", "a \n b ", " x", " \tx y z    q", "don't you'll  I'm\r\n\r\n ok ", "aaaa aaaaaaaaa", "日本 語　テキスト 🙂 🙂🙂", "\x1c a \x85b \xa0c", "\n", "word " * 3000, "x" * 5000, "<|endoftext|> is text"]
+ODD = ["", " ", "  ", "a  b", "a\n b", "a \n b ", " x", " \tx y z    q", "don't you'll  I'm\r\n\r\n ok ", "aaaa aaaaaaaaa", "日本 語　テキスト 🙂 🙂🙂", "\x1c a \x85b \xa0c", "\n", "word " * 3000, "x" * 5000, "<|endoftext|> is text", "hello <|endoftext|> world", "a  <|endoftext|>  b<|endoftext|>"]
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +36,6 @@ def test_odd_texts_encode_as_the_libraries_do(encoding, replay):
     import tokenizers
 
     t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = [encoding.encode_ordinary(x) for x in ODD]
     assert ids_of(replay, [*ODD, None]) == [*want, []]
     assert ids_of(token_orc.encoder_of(P.path("byte_bpe_50k.json")), [*ODD, None]) == [*(e.ids for e in t.encode_batch(ODD, add_special_tokens=False)), []]
@@ -81,7 +81,6 @@ def test_op9_reads_back_what_the_library_gives(spark, small):
     import tokenizers
 
     t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect())
     rows = sorted(token_orc.op9_token_orc(spark, small).collect(), key=lambda r: r["doc_id"])
     start = 0
@@ -91,6 +90,41 @@ def test_op9_reads_back_what_the_library_gives(spark, small):
         start += len(ids)
 
 
+def test_added_tokens_in_texts_are_those_of_the_plain_call(spark, tmp_path):
+    import tokenizers
+
+    t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = ["hello <|endoftext|> world", "a  <|endoftext|>", "<|endoftext|>\n<|endoftext|> x", "hello world"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    got = token_orc.tokenize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["token_ids"] for r in got} == {k: t.encode(x, add_special_tokens=False).ids + [0] for k, x in enumerate(texts)}
+
+
+def test_unknown_ids_decode_to_null(spark):
+    df = spark.createDataFrame([([31373, 995],), ([31373, 999_999],), (None,)], "token_ids array<int>")
+    assert [r["decoded"] for r in bpe.decode_documents(df).collect()] == [b"hello world", None, b""]
+
+
+def test_lookups_skip_files_and_row_groups(spark, tmp_path):
+    path = str(tmp_path / "t")
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("some words of a text").alias("text"))
+    token_orc.write_tokens(docs, path, files=2)
+    found = token_orc.lookup(spark, path, [7])
+    assert "In(doc_id" in found._jdf.queryExecution().toString() or "EqualTo(doc_id,7)" in found._jdf.queryExecution().toString()
+    assert found.count() == 1
+    read = found._jdf.queryExecution().executedPlan()
+    rows = found.select("doc_id", "token_ids")
+    rows.collect()
+    scanned = [m.value() for m in _metrics(rows, "numOutputRows")]
+    assert read is not None and min(scanned) < 40_000 / 4, scanned  # row groups of 1,000 rows whose ranges or Bloom filters rule the id out are not read
+
+
+def _metrics(df, name):
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return [leaves.apply(i).metrics().apply(name) for i in range(leaves.size()) if leaves.apply(i).metrics().contains(name)]
+
+
 def test_token_files(spark, tmp_path):
     df = spark.createDataFrame([(5, "b c"), (None, "n"), (2, None), (5, "b c"), (9, "x " * 4000)], "doc_id long, text string")
     path = str(tmp_path / "t")
