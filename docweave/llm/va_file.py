@@ -1,11 +1,12 @@
 """Exact top-k search with a vector-approximation file.
 
-Every vector is stored beside its cell: each component's number among 2**BITS intervals of that dimension. A task scans cells first: the inner
-product with the middle of a cell, plus or minus what the cell's width allows, bounds the true score from both sides. Only vectors whose upper bound
-reaches the kth best so far are read exactly, the most promising first, and the kth result is certain once no bound reaches it.
+Two files hold the vectors: cells (each component's number among 2**BITS intervals of that dimension, one byte each) and the exact vectors. A search scans
+cells only. A cell bounds each component, so it bounds the inner product with a query from both sides: the product with the cell's middle, give or take what the
+widths allow, which is the same for all cells of a query. A row is read exactly only if its upper bound reaches the kth largest lower bound of its query. Exact
+vectors are fetched for these rows alone, by one join for all queries, and looked at in the order of their bounds until no bound reaches the kth result.
 
-Queries go out in chunks of a fixed size to all tasks (so a broadcast never grows with the data); each chunk scans the file once and its results are
-written before the next. Scores are integers, exact for all components below 2**31 / sqrt(dimensions).
+Queries go out in chunks of a fixed size to all tasks (so a broadcast never grows with the data); each chunk scans the cells once. Scores are
+integers, exact for all components below 2**31 / sqrt(dimensions).
 """
 
 from __future__ import annotations
@@ -14,22 +15,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ship, spool, table
-from .vectors import Best, dimensions, matrix, ranked, usable
+from .vectors import dimensions, first_copies, matrix, ranked, usable
 
 K = 20
 BITS = 5
-#: Queries that are sent out together, and rows that are looked at together in a task.
-QUERIES_TOGETHER, ROWS_TOGETHER = 8192, 4096
+#: Queries that are sent out together, and rows and queries that are looked at together in a task.
+QUERIES_TOGETHER, ROWS_TOGETHER, BLOCK = 32768, 4096, 512
 SCALE = 64
 
 
-def build(vectors: DataFrame, bits: int = BITS) -> tuple[DataFrame, dict]:
-    """The file (vec_id, vector array<bigint>, cell binary) of integer vectors of one length, and its grid: least value and cell width by dimension."""
+def build(vectors: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame, dict]:
+    """Of (vec_id, vector array<bigint>), all of one length: the exact file, the cells (vec_id, cell binary), and the grid: least value and cell width by dimension."""
     ship(vectors.sparkSession)
+    file = spool(vectors.select("vec_id", "vector"), "va-vectors")
 
     def extent(batches):
         lo = hi = None
@@ -41,93 +43,127 @@ def build(vectors: DataFrame, bits: int = BITS) -> tuple[DataFrame, dict]:
         if lo is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lo), dtype=np.int32)), pa.array(lo), pa.array(hi)], ["dim", "lo", "hi"])
 
-    found = vectors.select("vector").mapInArrow(extent, "dim int, lo long, hi long").groupBy("dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("dim").collect()
+    found = file.select("vector").mapInArrow(extent, "dim int, lo long, hi long").groupBy("dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("dim").collect()
     lo = np.array([r["lo"] for r in found], np.float64)
     hi = np.array([r["hi"] for r in found], np.float64)
     width = np.maximum(1.0, np.ceil((hi - lo + 1) / (1 << bits)))  # in whole steps: a cell of width w holds w integers
-    grid = {"lo": lo, "width": width}
+    grid = {"lo": lo, "width": width, "cells": 1 << bits}
 
     def cells(batches):
         for b in batches:
             if b.num_rows:
                 x = matrix(b.column(1), len(lo), np.float64)
                 code = np.minimum(np.floor((x - lo) / width), (1 << bits) - 1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in code], pa.binary())], ["vec_id", "vector", "cell"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in code], pa.binary())], ["vec_id", "cell"])
 
-    return spool(vectors.mapInArrow(cells, "vec_id long, vector array<bigint>, cell binary"), "va-file"), grid
+    return file, spool(file.mapInArrow(cells, "vec_id long, cell binary"), "va-cells"), grid
 
 
-def search(file: DataFrame, grid: dict, queries: tuple[np.ndarray, np.ndarray], k: int = K) -> DataFrame:
-    """query_id, vec_id, score: at least the k best pairs of each query (a task returns its own best). queries: ids, and the vectors as rows."""
-    ids, q = queries
-    sent = file.sparkSession.sparkContext.broadcast((ids, q, grid))
+def scan(cells: DataFrame, grid: dict, queries: tuple[np.ndarray, np.ndarray], k: int = K) -> DataFrame:
+    """query_id, vec_id, about, slack: every row whose score may be among the k best of its query as far as its task can tell. The score lies within ``slack`` of ``about``. queries: ids, and the vectors as rows."""
+    sent = cells.sparkSession.sparkContext.broadcast((*queries, grid))
 
-    def scan(batches):
+    def run(batches):
         ids, q, grid = sent.value
         d = q.shape[1]
-        best = Best(len(ids), k, np.int64)
         qf = q.astype(np.float64)
         half = (grid["width"] - 1) / 2
-        slack = np.abs(qf) @ half
+        per_cell = (qf * grid["width"]).astype(np.float32)
+        base = qf @ (grid["lo"] + half)
+        rounding = (np.abs(qf * grid["width"]).sum(1) * grid["cells"]) * (d + 4) * 1.2e-7 + np.abs(base) * 1e-12
+        slack = np.abs(qf) @ half + rounding
+        best = np.full((len(ids), k), -np.inf)  # the k largest so far of each query
+        found = []
         for b in batches:
             for r in range(0, b.num_rows, ROWS_TOGETHER):
                 part = b.slice(r, ROWS_TOGETHER)
                 own = part.column(0).to_numpy()
-                code = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(-1, d)
-                middle = grid["lo"] + code * grid["width"] + half
-                x = None
-                for s in range(0, len(ids), 512):
-                    about = qf[s : s + 512] @ middle.T
-                    wide = (slack[s : s + 512] + 1e-9 * np.abs(about).max(initial=0) + 1e-6)[:, None]
-                    about[ids[s : s + 512, None] == own[None, :]] = -np.inf
-                    x = matrix(part.column(1), d, np.int64) if x is None else x
-                    # the most promising are read first ...
-                    some = min(2 * k, len(own))
-                    top = np.argpartition(-about, some - 1, axis=1)[:, :some]
-                    rows, cols = np.nonzero(np.isfinite(np.take_along_axis(about, top, 1)))
-                    cols = top[rows, cols]
-                    sure = best.kth(-np.inf)[s : s + 512, None]
-                    first = about[rows, cols] + wide[rows, 0] >= sure[rows, 0]
-                    rows, cols = rows[first], cols[first]
-                    best.add(s + rows, exact(q, x, s + rows, cols), own[cols])
-                    # ... then all others whose bound still reaches the kth
-                    sure = best.kth(-np.inf)[s : s + 512, None]
-                    np.put_along_axis(about, top, -np.inf, 1)
-                    rows, cols = np.nonzero((about + wide >= sure) & np.isfinite(about))
-                    for t in range(0, len(rows), 100_000):
-                        best.add(s + rows[t : t + 100_000], exact(q, x, s + rows[t : t + 100_000], cols[t : t + 100_000]), own[cols[t : t + 100_000]])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.score)], ["query_id", "vec_id", "score"])
-
-    return file.mapInArrow(scan, "query_id long, vec_id long, score long")
-
-
-def exact(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    out = np.empty(len(rows), np.int64)
-    for i in range(0, len(rows), 20_000):
-        out[i : i + 20_000] = np.einsum("ij,ij->i", q[rows[i : i + 20_000]], x[cols[i : i + 20_000]])
-    return out
+                code = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, d).astype(np.float32).T
+                for s in range(0, len(ids), BLOCK):
+                    about = (per_cell[s : s + BLOCK] @ code).astype(np.float64) + base[s : s + BLOCK, None]
+                    about[ids[s : s + BLOCK, None] == own[None, :]] = -np.inf
+                    some = min(k, len(own))
+                    top = np.concatenate((best[s : s + BLOCK], np.partition(about, len(own) - some, axis=1)[:, len(own) - some :]), axis=1)
+                    best[s : s + BLOCK] = np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k :]
+                    least = best[s : s + BLOCK].min(1) - 2 * slack[s : s + BLOCK]
+                    rows, cols = np.nonzero((about >= least[:, None]) & np.isfinite(about))
+                    found.append((s + rows, own[cols], about[rows, cols]))
+            if sum(len(f[0]) for f in found) > 1_000_000:
+                found = [_reaching(found, best, slack)]
+        if found:
+            row, own, about = _reaching(found, best, slack)
+            for i in range(0, len(row), 100_000):
+                part = row[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(own[i : i + 100_000]), pa.array(about[i : i + 100_000]), pa.array(slack[part])], ["query_id", "vec_id", "about", "slack"])
+
+    return cells.mapInArrow(run, "query_id long, vec_id long, about double, slack double")
+
+
+def _reaching(found: list, best: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row, own, about = (np.concatenate(x) for x in zip(*found))
+    keep = about >= (best.min(1) - 2 * slack)[row]
+    return row[keep], own[keep], about[keep]
+
+
+def fetch(reaching: DataFrame, file: DataFrame, asked: DataFrame, k: int = K) -> DataFrame:
+    """query_id, vec_id, score: exact scores of rows (query_id, vec_id, about, slack), looked at by descending bound and for each query until the kth is certain."""
+    vectors = file.select(F.col("vec_id").alias("_id"), "vector")
+    queries = asked.select(F.col("vec_id").alias("_query"), F.col("vector").alias("query"))
+    both = reaching.join(vectors, F.col("vec_id") == F.col("_id")).join(queries, F.col("query_id") == F.col("_query"))
+
+    def run(batches):
+        now, scores = None, []  # the query at hand, and its k best scores
+        for b in batches:
+            ids, bound = b.column(0).to_numpy(), b.column(2).to_numpy() + b.column(3).to_numpy()
+            d = len(b.column(4)[0]) if b.num_rows else 1
+            x, q = matrix(b.column(4), d, np.int64), matrix(b.column(5), d, np.int64)
+            keep, out = [], []
+            for i in range(b.num_rows):
+                if ids[i] != now:
+                    now, scores = ids[i], []
+                if len(scores) == k and bound[i] < scores[-1]:
+                    continue  # no later bound of this query reaches the kth
+                score = int(x[i] @ q[i])
+                scores = sorted([*scores, score], reverse=True)[:k]
+                keep.append(i)
+                out.append(score)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), b.column(1).take(pa.array(keep, pa.int32())), pa.array(out, pa.int64())], ["query_id", "vec_id", "score"])
+
+    cols = ["query_id", "vec_id", "about", "slack", "vector", "query"]
+    return both.select(*cols).repartition("query_id").sortWithinPartitions("query_id", F.col("about").desc(), "vec_id").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, bits: int = BITS) -> DataFrame:
     """query_id, rank, vec_id, score of integer vectors (vec_id long, vector array<bigint>): each query's k highest inner products.
 
     ``is_query`` picks the queries; candidates are all rows but those of the query's own vec_id. Null ids and null or empty vectors take no part, vectors are compared
-    with those of their length only. Repeated rows of a vec_id are candidates each; as a query an id counts once (with its smallest vector).
-    Ties go to the smaller vec_id. An empty table gives no rows.
+    with those of their length only. Rows that repeat a vec_id with another vector are candidates each, rows that repeat both count once; as a query an id counts once (with its
+    smallest vector). Ties go to the smaller vec_id. An empty table gives no rows.
     """
     spark = vectors.sparkSession
     vectors = vectors.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0))
     parts = []
     for d in dimensions(vectors, "vector"):
-        file, grid = build(vectors.where(F.size("vector") == d), bits)
-        asked = spool(file.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")), "va-queries")
+        own = vectors.where(F.size("vector") == d)
+        file, cells, grid = build(first_copies(own, k + 1), bits)
+        asked = spool(own.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")), "va-queries")
         chunks = -(-asked.count() // QUERIES_TOGETHER)
+        found = []
         for c in range(chunks):
             rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).collect()  # about QUERIES_TOGETHER rows
             if rows:
                 ids = np.array([r["vec_id"] for r in rows], np.int64)
-                found = ranked(search(file, grid, (ids, np.array([r["vector"] for r in rows], np.int64)), k), k)
-                parts.append(spool(found, "va-found") if chunks > 1 else found)
+                some = scan(cells, grid, (ids, np.array([r["vector"] for r in rows], np.int64)), k)
+                # the kth largest over all tasks decides what is worth reading
+                order = Window.partitionBy("query_id").orderBy(F.col("about").desc())
+                some = some.withColumn("_n", F.row_number().over(order))
+                kth = F.min(F.when(F.col("_n") <= k, F.col("about"))).over(Window.partitionBy("query_id"))
+                some = some.withColumn("_kth", kth).where((F.col("about") >= F.col("_kth") - 2 * F.col("slack"))).select("query_id", "vec_id", "about", "slack")
+                found.append(spool(some, "va-reaching"))
+        if found:
+            # one entry a query and id: a vec_id that stands for several vectors has all of them looked at, in the order of the best bound
+            reaching = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.max("about").alias("about"), F.max("slack").alias("slack"))
+            parts.append(ranked(fetch(reaching, file, asked, k), k))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return reduce(DataFrame.unionByName, parts)
