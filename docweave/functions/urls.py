@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import casefold_safe, slug
 
 
+#: Scheme, authority, path and query of a URL by the generic syntax, for single strings.
+PARTS = re.compile(r"(?s)(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?")
+
+
 class Url:
     """The parts of a URL as columns, told apart by the generic syntax (scheme, authority, path, query); nothing fails on malformed text."""
 

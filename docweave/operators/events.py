@@ -102,22 +102,28 @@ def impact_batch(state: DataFrame, seen: DataFrame, corpus_documents: int = CORP
 def impact_budget(batches: DataFrame, budget: int = IMPACT_BUDGET) -> DataFrame:
     """package_id, seq, status: batches in order of arrival; one is put on the backlog if the 24 hours before it (inclusive) already hold ``budget`` batches that were not.
 
-    What goes on the backlog does not count, so this is no window frame: a linear pass over each package's batches, which are few, in an Arrow helper.
+    What goes on the backlog does not count, so this is no window frame. Packages are sorted by arrival and run through in Arrow batches; a package's memory is the ``budget`` latest times that were
+    taken, whatever its size: of the times taken, ``budget`` reach into the window exactly if the ``budget``-th latest does.
     """
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("seq")
-        taken: list = []
-        out = []
-        for at, status in zip(b["created_at"], b["status"]):
-            if sum(t >= at - pd.Timedelta(hours=24) for t in taken) >= budget:
-                out.append("backlog")
-            else:
-                out.append(status)
-                taken.append(at)
-        return b.assign(status=out)[["package_id", "seq", "status"]]
-
-    return batches.where("status <> 'none'").select("package_id", "seq", "created_at", "status").groupBy("package_id").applyInPandas(run, "package_id long, seq long, status string")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        package, latest = None, []
+        for b in frames:
+            out = []
+            for key, at, status in zip(b["package_id"], b["_at"], b["status"]):
+                if key != package:
+                    package, latest = key, []
+                if len(latest) == budget and latest and latest[0] >= at - 24 * 3600:
+                    out.append("backlog")
+                elif budget <= 0:
+                    out.append("backlog")
+                else:
+                    out.append(status)
+                    latest = sorted([*latest, at])[-budget:]
+            yield b.assign(status=out)[["package_id", "seq", "status"]]
+
+    rows = batches.where("status <> 'none'").select("package_id", "seq", (F.unix_micros(F.col("created_at").cast("timestamp")) / F.lit(1e6)).alias("_at"), "status")
+    return rows.repartition("package_id").sortWithinPartitions("package_id", "seq").mapInPandas(run, "package_id long, seq long, status string")
 
 
 def poll_changes(polls: DataFrame) -> DataFrame:
@@ -151,18 +157,25 @@ def accept_greedily(times: Iterator, window_seconds: float, limit: int) -> list[
 
     Times may go back; then what was accepted later does not count, as it lies after the submission.
     """
-    kept: deque = deque()
-    out = []
-    for t in times:
-        n = sum(1 for k in kept if 0 <= (t - k) <= window_seconds)
-        ok = n < limit
-        out.append(ok)
+    rule = Greedy(window_seconds, limit)
+    return [rule.accepts(t) for t in times]
+
+
+class Greedy:
+    """The rule of accept_greedily for one subject, submission by submission. ``kept`` are the accepted times that may still count."""
+
+    def __init__(self, window_seconds: float, limit: int):
+        self.window, self.limit = window_seconds, limit
+        self.kept: deque = deque()
+
+    def accepts(self, t: float) -> bool:
+        ok = sum(1 for k in self.kept if 0 <= (t - k) <= self.window) < self.limit
         if ok:
-            kept.append(t)
-            if len(kept) > 4 * limit:  # far older ones can't count again unless times go back by more than a window
-                newest = max(kept)
-                kept = deque(k for k in kept if newest - k <= 10 * window_seconds)
-    return out
+            self.kept.append(t)
+            if len(self.kept) > 4 * self.limit:  # far older ones can't count again unless times go back by more than a window
+                newest = max(self.kept)
+                self.kept = deque(k for k in self.kept if newest - k <= 10 * self.window)
+        return ok
 
 
 def due_times(occurred: list[float], debounce: float = DEBOUNCE, most: float = MOST_DEBOUNCE) -> list[tuple[float, float, float, int]]:

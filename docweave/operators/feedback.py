@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import records as R
-from .events import accept_greedily
+from .events import Greedy
 
 #: Thresholds and limits.
 INVESTIGATION, REGRESSION, ABSTENTION, ABSTENTION_LEAST, RATE_LIMIT, RATE_WINDOW = 3, 0.03, 0.10, 100, 20, 60
@@ -51,12 +53,19 @@ def rate_limit(feedback: DataFrame, limit: int = RATE_LIMIT, window: int = RATE_
     later = F.col("seq") > F.col("_first")
     f = f.withColumn("code", F.when(later & (F.col("content_hash") == F.col("_hash")), "duplicate").when(later, "feedback_id_conflict").when(F.col("seq") > F.col("_event_first"), "feedback_replay"))
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("seq")
-        seconds = b["occurred_at"].astype("datetime64[us]").astype("int64") / 1e6
-        return pd.DataFrame({"feedback_id": b["feedback_id"], "seq": b["seq"], "code": ["accepted" if ok else "rate_limited" for ok in accept_greedily(seconds, window, limit)]})
-
-    open_ = f.where("code IS NULL").select("feedback_id", "seq", "subject_hash", "occurred_at").groupBy("subject_hash").applyInPandas(run, "feedback_id string, seq long, code string")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        subject, rule = None, None
+        for b in frames:
+            codes = []
+            for key, at in zip(b["subject_hash"], b["_at"]):
+                if key != subject:
+                    subject, rule = key, Greedy(window, limit)
+                codes.append("accepted" if rule.accepts(at) else "rate_limited")
+            yield pd.DataFrame({"feedback_id": b["feedback_id"], "seq": b["seq"], "code": codes})
+
+    # subjects are sorted by arrival and run through in Arrow batches; a subject's memory is its accepted times of late
+    open_ = f.where("code IS NULL").select("feedback_id", "seq", "subject_hash", (F.unix_micros(F.col("occurred_at").cast("timestamp")) / F.lit(1e6)).alias("_at"))
+    open_ = open_.repartition("subject_hash").sortWithinPartitions("subject_hash", "seq").mapInPandas(run, "feedback_id string, seq long, code string")
     return f.where("code IS NOT NULL").select("feedback_id", "seq", "code").unionByName(open_)
 
 

@@ -1,41 +1,64 @@
-"""Graph-shaped work as iterative joins: only the frontier moves, intermediate tables are checkpointed, loops end when nothing is new."""
+"""Graph-shaped work as iterative joins: only the frontier moves, intermediate tables are written to the shared folder, loops end when nothing is new."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .quality import crawl_skip_reason
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() into spark.checkpoint.dir; a folder of its own only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named:
-            named = tempfile.mkdtemp(prefix="docweave-")
-            atexit.register(shutil.rmtree, named, True)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a new one only where that is unset and all runs in one local process."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="docweave-")
+        atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
-    return df.checkpoint()
+    return named.rstrip("/")
+
+
+class Spool:
+    """Tables that grow by pieces, written as Parquet into the shared folder. A piece is computed once, survives lost executors and has no lineage."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.at, self.pieces, self.schema = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", [], None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a piece; returns it as read again."""
+        self.pieces.append(f"{self.at}/{len(self.pieces)}")
+        self.schema = df.schema
+        df.write.parquet(self.pieces[-1])
+        return self.spark.read.schema(df.schema).parquet(self.pieces[-1])
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.pieces)
 
 
-def impact_closure(edges: DataFrame, changed: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """node, depth: the changed nodes (node) and all that reach one over edges (source -> target: source depends on target)."""
-    e = edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
-    seen = cut(changed.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
-    for depth in range(1, most_rounds + 1):
+def cut(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read again."""
+    return Spool(df.sparkSession, "cut").add(df)
+
+
+def impact_closure(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """node, depth: the changed nodes (node) and all that reach one over edges (source -> target: source depends on target). One round a depth; edges are settled once, and every round writes what is new only."""
+    e = cut(edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
+    seen = Spool(e.sparkSession, "closure")
+    frontier = seen.add(changed.select("node").distinct().withColumn("depth", F.lit(0)))
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
         step = e.join(frontier.select(F.col("node").alias("target")), "target").select(F.col("source").alias("node")).distinct()
-        frontier = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
-    raise RuntimeError(f"the closure did not end in {most_rounds} rounds")
+        frontier = seen.add(step.join(seen.all().select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+    return seen.all()
 
 
 def graph_faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -47,19 +70,14 @@ def graph_faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return twice.unionByName(unknown).unionByName(bad)
 
 
-def dependency_cycles(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def dependency_cycles(edges: DataFrame) -> DataFrame:
     """node: what is left when nodes without open dependencies, and nodes on which nothing open depends, are peeled off again and again. Empty if and only if there is no cycle; else the nodes on cycles and on ways between them."""
     e = cut(edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
-    before = e.count()
-    for _ in range(most_rounds):
+    before, now = None, e.count()
+    while now != before:
         e = e.join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
         e = cut(e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target"))
-        now = e.count()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"peeling did not end in {most_rounds} rounds")
+        before, now = now, e.count()
     return e.select(F.explode(F.array("source", "target")).alias("node")).distinct()
 
 
@@ -98,14 +116,11 @@ def change_impact(operations: DataFrame, edges: DataFrame) -> DataFrame:
     names = lambda *xs: F.array(*map(F.lit, xs))
     checks = F.concat(names("contract", "dependency_graph"), F.when(has(SOURCE_CHANGES), names("rights", "privacy", "retrieval", "revocation")).otherwise(none), F.when(has(EDITORIAL), names("derivatives", "golden", "editorial_review")).otherwise(none), F.when(has(("page_edit",)), names("commercial_decision")).otherwise(none))
     # all changes at once: a closure over (change_id, node) pairs
-    pairs = cut(operations.select("change_id", F.col("target_id").alias("node")).distinct())
-    seen, frontier = pairs, pairs
-    e = edges.select("source", "target").distinct()
-    for _ in range(100):
+    e = cut(edges.select("source", "target").distinct())
+    seen = Spool(e.sparkSession, "impact")
+    frontier = seen.add(operations.select("change_id", F.col("target_id").alias("node")).distinct())
+    while not frontier.isEmpty():
         step = e.join(frontier.withColumnRenamed("node", "target"), "target").select("change_id", F.col("source").alias("node")).distinct()
-        frontier = cut(step.join(seen, ["change_id", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = cut(seen.unionByName(frontier))
-    n = seen.groupBy("change_id").agg(F.count(F.lit(1)).alias("affected"))
+        frontier = seen.add(step.join(seen.all(), ["change_id", "node"], "left_anti"))
+    n = seen.all().groupBy("change_id").agg(F.count(F.lit(1)).alias("affected"))
     return g.join(n, "change_id").select("change_id", classification.alias("classification"), F.array_sort(checks).alias("checks"), "targets", "affected")

@@ -10,6 +10,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import urljoin, urlsplit
 from xml.etree import ElementTree
 
@@ -62,102 +63,95 @@ def with_title(docs: DataFrame) -> DataFrame:
 # --- HTML -----------------------------------------------------------------------------------------------------------
 
 
-class _Markdown(HTMLParser):
-    """Markdown of an HTML page: headings, paragraphs, list items, code blocks and links; what is not shown is skipped."""
+#: Elements that are not shown, elements that stand in paragraphs of their own, and headings.
+HIDDEN = frozenset(("script", "style", "noscript", "template", "svg"))
+BLOCKS = ("p", "div", "section", "article", "header", "footer", "main", "aside", "blockquote", "tr")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
-    #: Elements that are not shown, and elements that stand in paragraphs of their own.
-    HIDDEN = {"script", "style", "noscript", "template", "svg"}
-    BLOCKS = {"p", "div", "section", "article", "header", "footer", "main", "aside", "blockquote", "tr"}
-    HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: What is written where an element begins and ends. Links are not in the tables, as what they write depends on their target.
+BEGINS = {"br": "\n", "li": "\n- ", "pre": "\n\n```\n"} | dict.fromkeys(BLOCKS, "\n\n") | {h: f"\n\n{'#' * n} " for n, h in enumerate(HEADINGS, 1)}
+ENDS = dict.fromkeys((*BLOCKS, *HEADINGS, "li"), "\n")
+FENCE = "\n```\n"
 
-    def __init__(self, base: str):
+
+class _Tokens(HTMLParser):
+    """An HTML text as a list of (+1, tag, attributes), (-1, tag, None) and (0, text, None)."""
+
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.base, self.out, self.links, self.title, self.open = base, [], [], [], []
-        self.hidden = self.code = self.scripts = self.seen = 0
-        self.link = self.canonical = None
-
-    def resolve(self, href: str | None) -> str | None:
-        if not href:
-            return None
-        try:
-            url = urljoin(self.base, href)
-            return canonical_of(url) if urlsplit(url).scheme in ("http", "https") else None
-        except ValueError:
-            return None
+        self.found: list[tuple[int, str, dict | None]] = []
+        self.feed(html)
 
     def handle_starttag(self, tag, attrs):
-        self.open.append(tag)
-        if tag in self.HIDDEN:
-            self.hidden += 1
-            self.scripts += tag == "script"
-            return
-        if self.hidden or tag == "title":
-            return
-        own = {k: v or "" for k, v in attrs}
-        if tag == "link" and "canonical" in own.get("rel", "").lower().split():
-            self.canonical = self.resolve(own.get("href")) or self.canonical
-        if tag in self.HEADINGS:
-            self.out.append("\n\n" + "#" * int(tag[1]) + " ")
-        elif tag in self.BLOCKS:
-            self.out.append("\n\n")
-        elif tag == "br":
-            self.out.append("\n")
-        elif tag == "li":
-            self.out.append("\n- ")
-        elif tag == "pre":
-            self.code += 1
-            self.out.append("\n\n```\n")
-        elif tag == "a" and (to := self.resolve(own.get("href"))):
-            self.link = to
-            self.links.append(to)
-            self.out.append("[")
+        self.found.append((1, tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
-        if tag in self.HIDDEN and self.hidden:
-            self.hidden -= 1
-        if tag in self.open:  # nesting may be wrong: the nearest open one is closed
-            del self.open[len(self.open) - 1 - self.open[::-1].index(tag)]
-        if self.hidden or tag == "title":
-            return
-        if tag == "a" and self.link:
-            self.out.append(f"]({self.link})")
-            self.link = None
-        elif tag == "pre" and self.code:
-            self.code -= 1
-            self.out.append("\n```\n")
-        elif tag in self.BLOCKS or tag in self.HEADINGS or tag == "li":
-            self.out.append("\n")
+        self.found.append((-1, tag, None))
 
     def handle_data(self, data):
-        if self.hidden:
-            return
-        if "title" in self.open:
-            self.title.append(data.strip())
-        elif self.code:
-            self.out.append(data)
-            self.seen += len(data.strip())
-        elif data.strip():
-            self.out.append(re.sub(r"\s+", " ", data))
-            self.seen += len(re.sub(r"\s+", " ", data).strip())
+        self.found.append((0, data, None))
+
+
+def _depths(tokens: list, tags) -> list[int]:
+    """How many of the elements ``tags`` are open after each token; an end without a beginning counts for nothing."""
+    steps = (step if step and name in tags else 0 for step, name, _ in tokens)
+    return list(accumulate(steps, lambda depth, step: max(0, depth + step), initial=0))[1:]
+
+
+def _target(base: str, href: str | None) -> str | None:
+    """The canonical URL that a link leads to; None if it leads to no page."""
+    try:
+        url = urljoin(base, href) if href else ""
+        return canonical_of(url) if urlsplit(url).scheme in ("http", "https") else None
+    except ValueError:
+        return None
 
 
 def canonical_of(url: str) -> str:
-    """The plain-Python twin of functions.urls.canonicalize_url, for links inside pages."""
-    p = urlsplit(url.strip())
-    if p.scheme not in ("http", "https"):
+    """functions.urls.canonicalize_url for one string, by the same split into parts."""
+    parts = U.PARTS.match(url.strip())
+    scheme, netloc, path, query = (x or "" for x in parts.groups())
+    scheme = scheme.lower()
+    if scheme not in ("http", "https"):
         return url.strip()
-    host = (p.hostname or "").lower()
-    port = p.port
-    place = p.netloc if p.username is not None or p.password is not None else host if port in (None, {"http": 80, "https": 443}[p.scheme]) else f"{host}:{port}"
-    path = p.path.rstrip("/") or "/"
-    return f"{p.scheme}://{place}{path}" + (f"?{p.query}" if p.query else "")
+    urlsplit(url).port  # noqa: B018  malformed ports raise ValueError, as malformed hosts do
+    if "@" not in netloc:
+        netloc = re.sub(r":(?:80)?$" if scheme == "http" else r":(?:443)?$", "", netloc.lower())
+    return f"{scheme}://{netloc}{path.rstrip('/') or '/'}{'?' + query if query else ''}"
 
 
 def html_to_markdown(html: str, url: str) -> dict:
-    m = _Markdown(url)
-    m.feed(html)
-    content = re.sub(r"\n{3,}", "\n\n", "".join(m.out)).strip()
-    return {"content": content, "canonical": m.canonical or canonical_of(url), "title": " ".join(t for t in m.title if t) or None, "links": list(dict.fromkeys(m.links)), "browser_required": m.scripts > 0 and m.seen < 80}
+    """content (Markdown: headings, paragraphs, list items, code and links of what is shown), canonical, title, links, browser_required of a page."""
+    tokens = _Tokens(html).found
+    scripts = sum(step == 1 and name == "script" for step, name, _ in tokens)
+    # what is hidden goes, then the title is taken out
+    tokens = [t for t, depth in zip(tokens, _depths(tokens, HIDDEN)) if not depth]
+    in_title = _depths(tokens, ("title",))
+    title = [t[1].strip() for t, depth in zip(tokens, in_title) if depth and t[0] == 0]
+    tokens = [t for t, depth in zip(tokens, in_title) if (t[1] != "title" if t[0] else not depth)]
+    out, links, canonical, link, seen = [], [], None, None, 0
+    code_before = 0
+    for (step, name, own), code in zip(tokens, _depths(tokens, ("pre",))):
+        if step == 0:
+            text = name if code else re.sub(r"\s+", " ", name) if name.strip() else ""
+            seen += len(text.strip())
+            out.append(text)
+        elif step == 1:
+            out.append(BEGINS.get(name, ""))
+            if name == "a" and (to := _target(url, own.get("href"))):
+                link = to
+                links.append(to)
+                out.append("[")
+            elif name == "link" and "canonical" in own.get("rel", "").lower().split():
+                canonical = _target(url, own.get("href")) or canonical
+        elif name == "a" and link:
+            out.append(f"]({link})")
+            link = None
+        else:
+            out.append(FENCE if code < code_before else ENDS.get(name, ""))
+        code_before = code
+    content = re.sub(r"\n{3,}", "\n\n", "".join(out)).strip()
+    return {"content": content, "canonical": canonical or canonical_of(url), "title": " ".join(filter(None, title)) or None, "links": list(dict.fromkeys(links)), "browser_required": scripts > 0 and seen < 80}
 
 
 def normalize_html(pages: DataFrame) -> DataFrame:
@@ -216,52 +210,69 @@ def openapi_endpoints(files: DataFrame) -> DataFrame:
     return ops.where(F.lower("method").isin(*METHODS)).select("path", "endpoint", F.upper("method").alias("method"), "op.summary", "op.description", F.coalesce(responses, F.array().cast("array<string>")).alias("responses"))
 
 
-def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
+def openapi_markdown(files: DataFrame) -> DataFrame:
+    """path, content: title, version, description and servers of a JSON API description, then its operations by endpoint and method, each with its responses. Other documents have no row."""
+    info = F.from_json("content", "struct<openapi:string,swagger:string,info:struct<title:string,version:string,description:string>,servers:array<struct<url:string>>>")
+    docs = files.select("path", info.alias("d")).where("d.openapi IS NOT NULL OR d.swagger IS NOT NULL")
+    line = lambda head, value: F.when(F.trim(value) != "", F.concat(F.lit(head), F.trim(value)))
+    servers = F.when(F.size("d.servers") > 0, F.concat(F.lit("## Servers\n\n"), F.array_join(F.transform("d.servers", lambda x: F.concat(F.lit("- "), x["url"])), "\n")))
+    head = docs.select("path", F.concat_ws("\n\n", line("# ", F.coalesce("d.info.title", T.file_stem(F.col("path")))), line("Version: ", F.col("d.info.version")), line("", F.col("d.info.description")), servers).alias("head"))
+    e = openapi_endpoints(files)
+    responses = F.when(F.size("responses") > 0, F.concat(F.lit("Responses:\n\n"), F.array_join(F.transform("responses", lambda x: F.concat(F.lit("- "), x)), "\n")))
+    block = F.concat_ws("\n\n", F.concat(F.lit("### "), "method", F.lit(" "), "endpoint"), line("", F.col("summary")), line("", F.col("description")), responses)
+    blocks = e.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("endpoint", "method", block.alias("block")))).alias("blocks"))  # as many as the file describes
+    return head.join(blocks, "path", "left").select("path", F.concat(F.concat_ws("\n\n", "head", F.when(F.size("blocks") > 0, F.concat(F.lit("## Endpoints\n\n"), F.array_join("blocks.block", "\n\n")))), F.lit("\n")).alias("content"))
 
 
-def _all_text(e) -> str:
-    return "".join(e.itertext()).strip() if e is not None else ""
+#: The parts of an office file that hold text, and what stands for one line of it: a row's cells, or a run of text.
+PARTS = {"xlsx": (re.compile(r"xl/worksheets/sheet(\d+)\.xml"), "row"), "pptx": (re.compile(r"ppt/slides/slide(\d+)\.xml"), "t")}
+#: What a cell of each type says, from the texts of its value, inline string and formula; other types say their value.
+CELLS = {"s": lambda c, shared: shared.get(c.get("v", ""), c.get("v", "")), "inlineStr": lambda c, shared: c.get("is", "")}
 
 
-def ooxml_parts(data: bytes, kind: str, limit: int = 100 * 1024 * 1024) -> list[tuple[int, str]]:
-    """(number, text) of the sheets of an .xlsx or the slides of a .pptx. Raises ValueError for what is no such archive or expands beyond ``limit``."""
-    try:
-        z = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile as e:
-        raise ValueError("not an archive") from e
-    if sum(i.file_size for i in z.infolist()) > limit:
-        raise ValueError("archive too large")
-    form = r"xl/worksheets/sheet(\d+)\.xml" if kind == "xlsx" else r"ppt/slides/slide(\d+)\.xml"
-    names = sorted((int(m[1]), n) for n in z.namelist() if (m := re.fullmatch(form, n)))
-    if not names:
-        raise ValueError("no sheets or slides")
-    shared = []
-    if kind == "xlsx" and "xl/sharedStrings.xml" in z.namelist():
-        shared = [_all_text(e) for e in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(e.tag) == "si"]
-    out = []
-    for k, (_, name) in enumerate(names, 1):
-        root = ElementTree.fromstring(z.read(name))
-        if kind == "pptx":
-            text = "\n".join(t for e in root.iter() if _local(e.tag) == "t" and (t := _all_text(e)))
-        else:
-            text = "\n".join(line for row in root.iter() if _local(row.tag) == "row" and (line := "\t".join(_cell(c, shared) for c in row if _local(c.tag) == "c")))
-        if text:
-            out.append((k, text))
-    return out
+def _elements(z: zipfile.ZipFile, name: str) -> Iterator[tuple[str, ElementTree.Element]]:
+    """(name without namespace, element) of an XML part, as elements end."""
+    with z.open(name) as part:
+        for _, e in ElementTree.iterparse(part):
+            yield e.tag.rpartition("}")[2], e
+
+
+def _said(e: ElementTree.Element) -> str:
+    return "".join(e.itertext()).strip()
+
 
+def _cell(e: ElementTree.Element, shared: dict[str, str]) -> str:
+    own: dict[str, str] = {}
+    for child in e:
+        own.setdefault(child.tag.rpartition("}")[2], _said(child))
+    said = CELLS.get(e.get("t"), lambda c, shared: c.get("v", ""))(own, shared) or ("=" + own["f"] if "f" in own else "")
+    place = e.get("r", "").strip()
+    return f"{place}={said}" if place else said
 
-def _cell(c, shared: list[str]) -> str:
-    child = {_local(e.tag): e for e in reversed(c)}
-    value = _all_text(child.get("v"))
-    if c.get("t") == "s" and value.isdigit() and int(value) < len(shared):
-        value = shared[int(value)]
-    elif c.get("t") == "inlineStr":
-        value = _all_text(child.get("is"))
-    if not value and "f" in child:
-        value = "=" + _all_text(child["f"])
-    at = (c.get("r") or "").strip()
-    return f"{at}={value}" if at else value
+
+def _lines(z: zipfile.ZipFile, name: str, line: str, shared: dict[str, str]) -> Iterator[str]:
+    for tag, e in _elements(z, name):
+        if tag == line:
+            yield "\t".join(_cell(c, shared) for c in e if c.tag.rpartition("}")[2] == "c") if line == "row" else _said(e)
+            e.clear()  # a part's lines are not kept
+
+
+def ooxml_parts(data: bytes, kind: str, limit: int = 100 * 1024 * 1024) -> list[tuple[int, str]]:
+    """(number, text) of the sheets of an .xlsx or the slides of a .pptx, in order; parts without text are left out but keep their number.
+    Raises ValueError for what is no such archive or expands beyond ``limit``."""
+    if not zipfile.is_zipfile(io.BytesIO(data)):
+        raise ValueError("not an archive")
+    form, line = PARTS.get(kind, PARTS["pptx"])
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        if sum(i.file_size for i in z.infolist()) > limit:
+            raise ValueError("archive too large")
+        parts = sorted((int(m[1]), m[0]) for m in map(form.fullmatch, z.namelist()) if m)
+        if not parts:
+            raise ValueError("no sheets or slides")
+        strings = (_said(e) for tag, e in _elements(z, "xl/sharedStrings.xml") if tag == "si") if line == "row" and "xl/sharedStrings.xml" in z.namelist() else ()
+        shared = {str(i): text for i, text in enumerate(strings)}
+        texts = ["\n".join(filter(None, _lines(z, name, line, shared))) for _, name in parts]
+    return [(k, text) for k, text in enumerate(texts, 1) if text]
 
 
 def ooxml_text(files: DataFrame) -> DataFrame:
@@ -273,7 +284,7 @@ def ooxml_text(files: DataFrame) -> DataFrame:
             for path, data in zip(b["path"], b["bytes"]):
                 try:
                     rows += [(path, n, t, None) for n, t in ooxml_parts(data or b"", str(path).rsplit(".", 1)[-1].lower())]
-                except (ValueError, ElementTree.ParseError) as e:
+                except (ValueError, ElementTree.ParseError, zipfile.BadZipFile) as e:
                     rows.append((path, 0, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "number", "text", "error"])
 
@@ -295,42 +306,42 @@ SPECIAL = r"(?i)^(Page|Slide|Sheet|Cell)\s+(\d+)$"
 def extract_locators(docs: DataFrame) -> DataFrame:
     """One row a locator of (path, content, format): kind, label, level, number, start, end, line_start, line_end, available.
 
-    Sections (headings from level two on; page, slide, sheet and cell headings by number) end before the next heading of any level, which is found inside the row, so a document's
-    lines are never shuffled. Then time marks of the line, then code definitions in code formats. A document without any has one ``normalized_section``.
+    Sections (headings from level two on; page, slide, sheet and cell headings by number) end before the next heading of any level. Then time marks of a line, then code definitions in
+    code formats. A document without any has one ``normalized_section``. All are found in arrays of the document's own row: one pass, no shuffle, and only found locators become rows.
     """
-    numbered = F.transform(T.lines(F.col("content")), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line"), x.rlike(ANY_HEADING).alias("heads")))
-    d = docs.select("path", "format", numbered.alias("lines"))
-    heads = F.transform(F.filter("lines", lambda x: x["heads"]), lambda x: x["n"])
-    d = d.withColumns({"heads": heads, "n_lines": F.size("lines")})
-    row = d.select("path", "format", "heads", "n_lines", F.explode_outer("lines").alias("l"))
-    line, n = F.col("l.line"), F.col("l.n")
-    label = F.trim(F.regexp_extract(line, HEADING, 2))
-    level = F.length(F.regexp_extract(line, HEADING, 1))
-    next_head = F.try_element_at(F.filter("heads", lambda h: h > n), F.lit(1))
     none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
-    special = label.rlike(SPECIAL)
-    section = F.when(
-        line.rlike(HEADING) & (level >= 2) & (label != ""),
-        F.struct(
-            F.when(special, F.lower(F.regexp_extract(label, SPECIAL, 1))).otherwise("section").alias("kind"), label.alias("label"),
-            F.when(~special, level).alias("level"), F.when(special, F.regexp_extract(label, SPECIAL, 2).cast("int")).alias("number"),
-            none_s.alias("start"), none_s.alias("end"), n.alias("line_start"), F.coalesce(next_head - 1, "n_lines").alias("line_end"),
-        ),
-    )
-    form = F.when(line.rlike(TIME_RANGE), F.array(F.regexp_extract(line, TIME_RANGE, 1), F.regexp_extract(line, TIME_RANGE, 2))).when(line.rlike(TIME_BRACKET), F.array(F.regexp_extract(line, TIME_BRACKET, 1), F.nullif(F.regexp_extract(line, TIME_BRACKET, 2), F.lit(""))))
-    stamp = F.when(
-        form.isNotNull(),
-        F.struct(F.lit("timestamp").alias("kind"), F.array_join(form, " - ").alias("label"), none_i.alias("level"), none_i.alias("number"), form[0].alias("start"), form[1].alias("end"), n.alias("line_start"), n.alias("line_end")),
-    )
-    name = F.concat(*[F.regexp_extract(line, DEFINITION, i) for i in (1, 2, 3)])
-    definition = F.when(
-        F.col("format").isin(*CODE) & (name != ""),
-        F.struct(F.lit("identifier").alias("kind"), name.alias("label"), none_i.alias("level"), none_i.alias("number"), none_s.alias("start"), none_s.alias("end"), n.alias("line_start"), n.alias("line_end")),
-    )
-    found = row.select("path", F.explode(F.array_compact(F.array(section, stamp, definition))).alias("x")).select("path", "x.*", F.lit(True).alias("available"))
-    without = d.select("path", "n_lines").join(found.select("path").distinct(), "path", "left_anti")
-    fallback = without.select("path", F.lit("normalized_section").alias("kind"), F.lit("normalized-content").alias("label"), none_i.alias("level"), none_i.alias("number"), none_s.alias("start"), none_s.alias("end"), F.lit(1).alias("line_start"), F.greatest("n_lines", F.lit(1)).alias("line_end"), F.lit(False).alias("available"))
-    return found.unionByName(fallback)
+
+    def locator(kind, label, first, last, level=none_i, number=none_i, start=none_s, end=none_s, available=True):
+        values = {"kind": kind, "label": label, "level": level, "number": number, "start": start, "end": end, "line_start": first, "line_end": last, "available": F.lit(available)}
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    numbered = F.transform(T.lines(F.col("content")), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
+    d = docs.select("path", "format", numbered.alias("lines"))
+    d = d.select("path", "format", "lines", F.filter("lines", lambda x: x["line"].rlike(ANY_HEADING)).alias("heads"))
+
+    def section(x, i):
+        label, level = F.trim(F.regexp_extract(x["line"], HEADING, 2)), F.length(F.regexp_extract(x["line"], HEADING, 1))
+        last = F.coalesce(F.get("heads", i + 1)["n"] - 1, F.size("lines"))
+        special = label.rlike(SPECIAL)
+        kind = F.when(special, F.lower(F.regexp_extract(label, SPECIAL, 1))).otherwise("section")
+        return F.when((level >= 2) & (label != ""), locator(kind, label, x["n"], last, F.when(~special, level), F.when(special, F.regexp_extract(label, SPECIAL, 2).cast("int"))))
+
+    def stamp(x):
+        ranged = x["line"].rlike(TIME_RANGE)
+        part = lambda k: F.when(ranged, F.regexp_extract(x["line"], TIME_RANGE, k)).otherwise(F.regexp_extract(x["line"], TIME_BRACKET, k))
+        start, end = part(1), F.nullif(part(2), F.lit(""))
+        return locator(F.lit("timestamp"), F.concat_ws(" - ", start, end), x["n"], x["n"], start=start, end=end)
+
+    def definition(x):
+        return locator(F.lit("identifier"), F.concat(*[F.regexp_extract(x["line"], DEFINITION, i) for i in (1, 2, 3)]), x["n"], x["n"])
+
+    stamps = F.transform(F.filter("lines", lambda x: x["line"].rlike(TIME_RANGE) | x["line"].rlike(TIME_BRACKET)), stamp)
+    coded = F.when(F.col("format").isin(*CODE), F.col("lines")).otherwise(F.slice("lines", 1, 0))
+    definitions = F.transform(F.filter(coded, lambda x: x["line"].rlike(DEFINITION)), definition)
+    found = F.concat(F.array_compact(F.transform("heads", section)), stamps, definitions)
+    whole = F.array(locator(F.lit("normalized_section"), F.lit("normalized-content"), F.lit(1), F.greatest(F.size("lines"), F.lit(1)), available=False))
+    d = d.select("path", found.alias("found"), whole.alias("whole"))
+    return d.select("path", F.inline(F.when(F.size("found") > 0, F.col("found")).otherwise(F.col("whole"))))
 
 
 def outline(docs: DataFrame, max_headings: int = 40) -> DataFrame:
@@ -385,12 +396,12 @@ def transcript_segments(transcripts: DataFrame, max_bytes: int = 2_000_000, max_
     return t.select("transcript_id", (F.col("i") + 1).alias("segment"), "start_ms", "end_ms", F.col("said").alias("text"), error.alias("error"))
 
 
-def chunk_text(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """path, chunk (from 0), start (from 0), text: windows of ``size`` characters, each ``overlap`` into the last. Blank and null texts have none; the last window reaches the end."""
+def chunk_text(docs: DataFrame, size: int = 1000, overlap: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, the columns ``keep``, chunk (from 0), start (from 0), text: windows of ``size`` characters, each ``overlap`` into the last. Blank and null texts have none; the last window reaches the end."""
     n = F.length("content")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - overlap - 1), F.lit(size - overlap))
-    found = docs.where("content IS NOT NULL AND trim(content) <> ''").select("path", "content", F.posexplode(starts).alias("chunk", "start"))
-    return found.select("path", "chunk", "start", F.substring("content", F.col("start") + 1, F.lit(size)).alias("text"))
+    found = docs.where("content IS NOT NULL AND trim(content) <> ''").select("path", *keep, "content", F.posexplode(starts).alias("chunk", "start"))
+    return found.select("path", *keep, "chunk", "start", F.substring("content", F.col("start") + 1, F.lit(size)).alias("text"))
 
 
 def corpus_metrics(docs: DataFrame, package: str = "source_id", per_chunk: int = 950) -> DataFrame:

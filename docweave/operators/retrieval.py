@@ -13,50 +13,50 @@ from ..functions import records as R
 from ..functions import text as T
 from ..functions import urls as U
 
-#: Most queries that are broadcast in one job; longer query tables are worked in slices.
-MOST_QUERIES = 20_000
+def phrase_hits(phrases: DataFrame, docs: DataFrame, fold: bool = True) -> DataFrame:
+    """query_id, path of the documents (path, content) that hold the whole phrase of (query_id, phrase); both case-folded, unless ``fold`` is false.
+
+    The first and last token of a phrase may go on in a longer word, those between stand as they are in any text that holds it. So a document must have the rarest of the tokens between: an inverted join
+    on that token alone, then the test on what it leaves. Phrases of fewer than three tokens have none between; these alone are tested on all documents.
+    """
+    p = phrases.where("phrase <> ''").select("query_id", (T.casefold(F.col("phrase")) if fold else F.col("phrase")).alias("phrase"), T.token_list(F.col("phrase")).alias("_ts"))
+    between = p.where(F.size("_ts") > 2).select("query_id", F.explode(F.array_distinct(F.slice("_ts", F.lit(2), F.size("_ts") - 2))).alias("token"))
+    text = T.casefold_safe(F.col("content")) if fold else F.col("content")
+    postings = docs.select("path", F.explode(T.tokens(F.col("content"))).alias("token")).join(between.select("token").distinct(), "token", "left_semi")
+    df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # a token that no document has rules the phrase out, and so does any join on it
+    rarest = between.join(df, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
+    pairs = postings.join(rarest, "token").select("query_id", "path")
+    found = pairs.join(p.select("query_id", "phrase"), "query_id").join(docs.select("path", text.alias("_text")), "path").where(F.contains("_text", F.col("phrase"))).select("query_id", "path")
+    short = p.where(F.size("_ts") <= 2).select("query_id", "phrase")
+    return found.unionByName(docs.select("path", text.alias("_text")).join(short, F.contains("_text", F.col("phrase"))).select("query_id", "path"))
 
 
 def rank_documents(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     """query_id, path, score, rank: the k best documents (path, content) of each query (query_id, query).
 
     score = share of the query's tokens in the content + half the share in the path + 0.5 if the whole query occurs in the content, all case-folded. Documents without any hit
-    score 0 and fill short lists; ties go by path. Documents are tokenised once and meet the queries through shared tokens only. The phrase can hide inside longer words, so it is looked for
-    in all contents, query table broadcast (``queries`` holds MOST_QUERIES at most, see rank_many).
+    score 0 and fill short lists; ties go by path. Documents meet the queries through shared tokens only; which side of a join is sent to all tasks is left to the optimiser's size check.
     """
-    q = queries.select("query_id", F.coalesce("query", F.lit("")).alias("query"), T.tokens(F.col("query")).alias("tokens")).withColumn("n", F.size("tokens"))
-    words = F.broadcast(q.select("query_id", F.explode("tokens").alias("token")))
-    in_content = docs.select("path", F.explode(T.tokens(F.col("content"))).alias("token")).select("path", "token", F.lit(1.0).alias("w"))
-    in_path = docs.select("path", F.explode(T.tokens(F.col("path"))).alias("token")).select("path", "token", F.lit(0.5).alias("w"))
-    shares = in_content.unionByName(in_path).join(words, "token").groupBy("query_id", "path").agg(F.count_if(F.col("w") == 1.0).alias("c"), F.count_if(F.col("w") == 0.5).alias("p"))
-    phrases = F.broadcast(q.where("query <> ''").select("query_id", T.casefold(F.col("query")).alias("phrase")))
-    folded = docs.select("path", T.casefold_safe(F.col("content")).alias("folded"))
-    phrase = folded.join(phrases, F.contains("folded", F.col("phrase"))).select("query_id", "path", F.lit(1).alias("ph"))
-    hits = shares.join(phrase, ["query_id", "path"], "full_outer").join(F.broadcast(q.select("query_id", "n")), "query_id")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    n = F.greatest("n", F.lit(1))
-    hits = hits.select("query_id", "path", (z("c") / n + z("p") / n * 0.5 + z("ph") * 0.5).alias("score"))
+    q = queries.select("query_id", F.coalesce("query", F.lit("")).alias("phrase"), T.tokens(F.col("query")).alias("tokens")).withColumn("n", F.size("tokens"))
+    words = q.select("query_id", "n", F.explode("tokens").alias("token"))
+    # content and path of a document are one list of (token, weight), so a token is joined once
+    in_content, in_path = T.tokens(F.col("content")), T.tokens(F.col("path"))
+    both = F.concat(F.transform(in_content, lambda t: F.struct(t.alias("token"), F.lit(1.0).alias("w"))), F.transform(in_path, lambda t: F.struct(t.alias("token"), F.lit(0.5).alias("w"))))
+    held = docs.select("path", F.explode(both).alias("t")).select("path", "t.token", "t.w")
+    n = F.greatest(F.first("n"), F.lit(1))
+    shares = held.join(words, "token").groupBy("query_id", "path").agg((F.count_if(F.col("w") == 1.0) / n + F.count_if(F.col("w") == 0.5) / n * 0.5).alias("share"))
+    phrase = phrase_hits(q, docs).withColumn("ph", F.lit(0.5))
+    hits = shares.join(phrase, ["query_id", "path"], "full_outer").select("query_id", "path", (F.coalesce("share", F.lit(0.0)) + F.coalesce("ph", F.lit(0.0))).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "path")
     top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    # fill: of the first 2k paths at most k are hits already, so k others are always left
-    found = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
-    short = q.select("query_id").join(found, "query_id", "left").where(F.coalesce("found", F.lit(0)) < k).select("query_id")
+    # fill: of the first 2k paths at most k are hits already, so k others are always left; a hit among them has a better score and stands with that
     first = docs.select("path").distinct().orderBy("path").limit(2 * k)
-    fill = F.broadcast(first).join(short, F.lit(True)).join(hits, ["query_id", "path"], "left_anti").select("query_id", "path", F.lit(0.0).alias("score"))
-    all_ = top.drop("rank").unionByName(fill)
+    fill = q.select("query_id").join(F.broadcast(first), F.lit(True)).select("query_id", "path", F.lit(0.0).alias("score"))
+    all_ = top.drop("rank").unionByName(fill).groupBy("query_id", "path").agg(F.max("score").alias("score"))
     return all_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def rank_many(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """rank_documents for any number of queries: slices of about MOST_QUERIES, one pass over the documents each."""
-    slices = max(1, -(-queries.count() // MOST_QUERIES))
-    parts = [rank_documents(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i) if slices > 1 else queries, docs, k) for i in range(slices)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def citations(hits: DataFrame) -> DataFrame:
     """source, citations (distinct, in order) from (source, locators array of struct<kind, label>)."""
     all_ = F.array_compact(F.transform("locators", lambda x: R.citation(F.col("source"), x["kind"], x["label"])))
@@ -117,13 +117,13 @@ def lexical_fast_path(queries: DataFrame, hits: DataFrame, min_hits: int = 3) ->
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, chunk_id, score, rank of the k best chunks (chunk_id, text). Document frequencies count all chunks."""
-    t = chunks.select("chunk_id", F.explode(T.token_list(F.col("text"))).alias("token"))
-    lengths = chunks.select("chunk_id", F.size(T.token_list(F.col("text"))).alias("len"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    words = F.broadcast(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")))
-    tf = t.join(words.select("token").distinct(), "token", "left_semi").groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    listed = chunks.select("chunk_id", T.token_list(F.col("text")).alias("ts"))
+    stats = listed.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("mean"))
+    words = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token"))
+    t = listed.select("chunk_id", F.size("ts").alias("len"), F.explode("ts").alias("token"))
+    tf = t.join(words.select("token").distinct(), "token", "left_semi").groupBy("chunk_id", "len", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    w = tf.join(df, "token").join(lengths, "chunk_id").crossJoin(F.broadcast(stats))
+    w = tf.join(df, "token").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     s = w.select("chunk_id", "token", part.alias("part")).join(words, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))

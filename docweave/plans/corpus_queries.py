@@ -207,10 +207,9 @@ def s4(spark, d):
 SELECT package_id, count(*) AS documents, CAST(sum(n) AS BIGINT) AS characters FROM a GROUP BY 1""",
 )
 def s5(spark, d):
-    from ..operators.graph import cut
+    from ..operators.graph import shared_dir
 
-    cut(spark.range(1))  # so that a shared folder is set
-    path = f"{spark.sparkContext.getCheckpointDir()}/package-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/package-{uuid.uuid4().hex}"
     c = I.corpus(spark, d)
     docs = c.select(F.col("source_id").alias("package_id"), F.col("path").alias("destination"), "content")
     e = I.entries(spark, d).withColumn("destination", F.col("path"))

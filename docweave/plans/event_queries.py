@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import events as V
 from ..operators import feedback as B
-from ..operators.graph import cut
+from ..operators.graph import cut, shared_dir
 from ..streaming import events as S
 from . import inputs as I
 from .registry import query
@@ -300,8 +300,7 @@ def j13(spark, d):
 
 def _streamed(spark, d, frame, build, schema):
     """Write a derived table as the source of a stream, run the stream over it, and return what it wrote."""
-    cut(spark.range(1))
-    at = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     frame.write.parquet(f"{at}/in")
     S.run_available(build(spark.readStream.schema(frame.schema).parquet(f"{at}/in")), f"{at}/out", f"{at}/checkpoint")
     return spark.read.schema(schema).parquet(f"{at}/out")

@@ -242,7 +242,7 @@ DECISIONS = (
     SOURCES
     + ", "
     + GRANTS
-    + f""", dj AS (SELECT s.source_id, g.purpose, s.source_id % 37 = 5 AS unknown_, s.status, s.revoked, s.lifecycle, s.valid_from AS sf, s.valid_until AS su, s.privacy, s.retention_until, g.decision, g.valid_from, g.valid_until, g.review_after, g.regions FROM src s JOIN ng g USING (source_id)),
+    + f""", dj AS MATERIALIZED (SELECT s.source_id, g.purpose, s.source_id % 37 = 5 AS unknown_, s.status, s.revoked, s.lifecycle, s.valid_from AS sf, s.valid_until AS su, s.privacy, s.retention_until, g.decision, g.valid_from, g.valid_until, g.review_after, g.regions FROM src s JOIN ng g USING (source_id)),
 dr AS (SELECT source_id, purpose, CASE WHEN unknown_ THEN 'RIGHTS_BLOCKED/governance_unknown' WHEN status IN ('withdrawn', 'revoked', 'archived', 'inactive') THEN 'SOURCE_REVOKED/registry_source_inactive' WHEN revoked OR lifecycle = 'revoked' THEN 'SOURCE_REVOKED/source_revoked'
   WHEN lifecycle = 'archived' AND purpose NOT IN ('acquisition', 'storage') THEN 'SOURCE_ARCHIVED/source_archived' WHEN sf > TIMESTAMP '{NOW}' OR su <= TIMESTAMP '{NOW}' THEN 'EVIDENCE_STALE/source_validity_inactive'
   WHEN decision <> 'allowed' THEN 'RIGHTS_BLOCKED/grant_unknown_or_denied' WHEN valid_from > TIMESTAMP '{NOW}' THEN 'RIGHTS_BLOCKED/grant_not_yet_valid' WHEN valid_until <= TIMESTAMP '{NOW}' THEN 'RIGHTS_BLOCKED/grant_expired'
@@ -289,10 +289,12 @@ CONFLICTS = """cf AS (SELECT 'c-' || c_custkey AS conflict_id, [c_custkey % n, (
 
 def golden(spark, d) -> DataFrame:
     """case_id, query, expected_filepath, kind, expected_route, critical, must_retrieve, reviewed, forbidden_sources, set_id of the questions; the expected path is that of the first document that holds the passage, if there is one."""
+    from ..operators.retrieval import phrase_hits
+
     q = questions(spark, d)
     c = corpus(spark, d)
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("begin"))
-    where = c.select("path", "doc_id", "content").join(F.broadcast(b), F.contains("content", F.col("begin"))).groupBy("case_id").agg(F.min_by("path", "doc_id").alias("found"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
+    where = phrase_hits(b, c, fold=False).join(c.select("path", "doc_id"), "path").groupBy(F.col("query_id").alias("case_id")).agg(F.min_by("path", "doc_id").alias("found"))
     k = F.col("case_id")
     g = q.withColumnRenamed("query_id", "case_id").join(where, "case_id", "left")
     route = F.element_at(F.array(*map(F.lit, ("lifecycle", "both", "rag", "skill"))), (k % 4 + 1).cast("int"))

@@ -265,8 +265,7 @@ def r8(spark, d):
 def _chunks(spark, d):
     from ..operators.normalize import chunk_text
 
-    c = I.corpus(spark, d)
-    chunks = chunk_text(c).join(c.select("path", "doc_id"), "path")
+    chunks = chunk_text(I.corpus(spark, d), keep=("doc_id",))
     return chunks.select((F.col("doc_id") * 100_000 + F.col("chunk")).alias("chunk_id"), "text", F.col("path").alias("document"))
 
 
@@ -490,11 +489,16 @@ def w6(spark, d):
     from pyspark.sql import Window
 
     c = _catalog(spark, d).where(F.array_contains("aliases", "large ring"))
-    return c.select("slug", "confidence", (F.round(F.col("confidence") - F.lead("confidence").over(Window.partitionBy(F.lit(1)).orderBy(F.col("confidence").desc(), "slug")), 6) <= 0.05).alias("close"))
+    # the next confidence below, from one row a confidence; of equal ones all but the last have a neighbour at no distance
+    levels = c.groupBy("confidence").agg(F.max("slug").alias("last"))
+    lower = levels.select("confidence", "last", F.lead("confidence").over(Window.orderBy(F.col("confidence").desc())).alias("lower"))  # at most as many rows as there are confidences
+    gap = F.when(F.col("slug") < F.col("last"), F.lit(0.0)).otherwise(F.col("confidence") - F.col("lower"))
+    return c.join(lower, "confidence").select("slug", "confidence", (F.round(gap, 6) <= 0.05).alias("close"))
 
 
-_ELIG = f"""WITH {I.DECISIONS}, {I.CLAIMS}, {I.REFS}, es AS (SELECT s.* FROM src s JOIN de ON de.source_id = s.source_id AND de.purpose = 'internal_query' AND de.allowed),
-el AS (SELECT * FROM cl WHERE (valid_from IS NULL OR valid_from <= TIMESTAMP '{I.NOW}') AND (valid_until IS NULL OR TIMESTAMP '{I.NOW}' < valid_until) AND (region IS NULL OR region = 'R1') AND claim_id IN (SELECT claim_id FROM rf JOIN es ON es.source_id = rf.source_id WHERE rf.observed_revision IS NULL OR rf.observed_revision = es.observed_revision))"""
+_ELIG = f"""WITH {I.DECISIONS}, {I.CLAIMS}, {I.REFS}, es AS MATERIALIZED (SELECT s.* FROM src s JOIN de ON de.source_id = s.source_id AND de.purpose = 'internal_query' AND de.allowed),
+sup AS MATERIALIZED (SELECT DISTINCT claim_id, es.source_type, es.authority_class, es.published_at FROM rf JOIN es ON es.source_id = rf.source_id WHERE rf.observed_revision IS NULL OR rf.observed_revision = es.observed_revision),
+el AS MATERIALIZED (SELECT * FROM cl WHERE (valid_from IS NULL OR valid_from <= TIMESTAMP '{I.NOW}') AND (valid_until IS NULL OR TIMESTAMP '{I.NOW}' < valid_until) AND (region IS NULL OR region = 'R1') AND claim_id IN (SELECT claim_id FROM sup))"""
 
 
 def _eligible(spark, d, **how):
@@ -506,7 +510,7 @@ def j5(spark, d):
     return _eligible(spark, d).select("claim_id", "classification", "region")
 
 
-@query("j5_eligible_claims_filtered", _ELIG + " SELECT claim_id FROM el WHERE classification = 'official_rule' AND claim_id IN (SELECT claim_id FROM rf JOIN es ON es.source_id = rf.source_id WHERE (rf.observed_revision IS NULL OR rf.observed_revision = es.observed_revision) AND source_type = 'study' AND authority_class = 'community' AND published_at >= '2021' AND published_at <= '2023-12-31')")
+@query("j5_eligible_claims_filtered", _ELIG + " SELECT claim_id FROM el WHERE classification = 'official_rule' AND claim_id IN (SELECT claim_id FROM sup WHERE source_type = 'study' AND authority_class = 'community' AND published_at >= '2021' AND published_at <= '2023-12-31')")
 def j5b(spark, d):
     return _eligible(spark, d, claim_type="official_rule", source_kind="study", authority="community", published_from="2021", published_until="2023-12-31").select("claim_id")
 

@@ -20,20 +20,26 @@ def _is(value, kind: str) -> bool:
     return isinstance(value, _KINDS[kind])
 
 
-def _resolve(schema: dict, root: dict) -> dict:
+def _resolve(schema: dict, root: dict) -> dict | None:
+    """What a reference stands for; None if it leads nowhere."""
     seen = 0
     while "$ref" in schema and seen < 32:
         at = root
         for part in schema["$ref"].removeprefix("#/").split("/"):
-            at = at[part]
+            at = at.get(part) if isinstance(at, dict) else None
+        if not isinstance(at, dict):
+            return None
         schema, seen = at, seen + 1
     return schema
 
 
 def errors_of(value, schema: dict, root: dict | None = None, at: str = "$") -> list[tuple[str, str]]:
-    """(code, JSON path) of every fault of a parsed value; a value of the wrong type is not looked into."""
+    """(code, JSON path) of every fault of a parsed value; a value of the wrong type is not looked into. A schema whose reference leads nowhere is a fault
+    of the value (unknown_reference). Key words beside $ref are not judged; those beside oneOf and anyOf are."""
     root = root or schema
     schema = _resolve(schema, root)
+    if schema is None:
+        return [("unknown_reference", at)]
     kinds = schema.get("type")
     if kinds is not None and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
         return [("type", at)]

@@ -7,19 +7,49 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.events import DEBOUNCE, MOST_DEBOUNCE, accept_greedily
+from ..operators.events import DEBOUNCE, MOST_DEBOUNCE, accept_greedily, incident_ledger
 from ..operators.feedback import RATE_LIMIT, RATE_WINDOW
 
 
+LEDGER = "fingerprint string, status string, first_seen_at timestamp, last_seen_at timestamp, resolved_at timestamp"
+
+
 def dedupe_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """The first event of each event_id within the watermark of occurred_at."""
     return events.withWatermark("occurred_at", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def _seconds(times: pd.Series) -> list[float]:
-    return (pd.to_datetime(times).astype("datetime64[us]").astype("int64") / 1e6).tolist()
+def event_codes_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """event_id, seq, code of every event (event_id, seq, payload_hash, occurred_at): accepted, duplicate or conflict as in the batch form, by the first event of the id. An id is forgotten ``late`` after its newest event.
+
+    Within a micro-batch events go by seq.
+    """
+    memory = pd.Timedelta(late).total_seconds()
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, newest = state.get if state.exists else (None, 0.0)
+        rows = pd.concat(list(batches)).sort_values("seq")
+        out = []
+        for seq, payload in zip(rows["seq"], rows["payload_hash"]):
+            out.append("event_accepted" if first is None else "event_duplicate" if payload == first else "event_id_conflict")
+            first = payload if first is None else first
+        newest = max(newest, float(rows["_at"].max()))
+        state.update((first, newest))
+        state.setTimeoutTimestamp(max(int((newest + memory) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": rows["event_id"], "seq": rows["seq"], "code": out})
+
+    return _timed(events, late).groupBy("event_id").applyInPandasWithState(run, "event_id string, seq long, code string", "first string, newest double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    """With _at, the time in seconds since the epoch: set by Spark, because times reach Python in the session's zone while watermarks are in UTC."""
+    return events.withColumn("_at", F.unix_micros(F.col("occurred_at").cast("timestamp")) / F.lit(1e6)).withWatermark("occurred_at", late)
 
 
 def debounce_stream(events: DataFrame, late: str = "1 minute", debounce: float = DEBOUNCE, most: float = MOST_DEBOUNCE) -> DataFrame:
@@ -28,7 +58,7 @@ def debounce_stream(events: DataFrame, late: str = "1 minute", debounce: float =
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending = sorted(state.get[0]) if state.exists else []
         for b in batches:
-            pending += _seconds(b["occurred_at"])
+            pending += b["_at"].tolist()
         pending.sort()
         mark = state.getCurrentWatermarkMs() / 1000
         out = []
@@ -52,25 +82,44 @@ def debounce_stream(events: DataFrame, late: str = "1 minute", debounce: float =
         if out:
             yield pd.DataFrame(out, columns=["job_key", "first", "last", "due", "events"])
 
-    return events.withWatermark("occurred_at", late).groupBy("job_key").applyInPandasWithState(
+    return _timed(events, late).groupBy("job_key").applyInPandasWithState(
         run, "job_key string, first double, last double, due double, events long", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def rate_limit_stream(feedback: DataFrame, late: str = "1 minute", limit: int = RATE_LIMIT, window: float = RATE_WINDOW) -> DataFrame:
-    """feedback_id, seq, accepted: the greedy limit of the batch form for each subject_hash; accepted times within the window before the watermark are the state. Within a micro-batch submissions go by seq."""
+    """feedback_id, seq, accepted: the greedy limit of the batch form for each subject_hash. Within a micro-batch submissions go by seq.
+
+    The state of a subject is the accepted times that a submission not yet too late may still count: those of the window and ``late`` before its newest. It goes when the watermark has passed that.
+    """
+    memory = window + pd.Timedelta(late).total_seconds()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values("seq")
-        times = _seconds(rows["occurred_at"])
+        times = rows["_at"].tolist()
         ok = accept_greedily(iter(kept + times), window, limit)[len(kept) :]
         kept += [t for t, a in zip(times, ok) if a]
-        newest = max(kept, default=0)
-        state.update(([t for t in kept if newest - t <= window + 60],))
+        newest = max(kept, default=0.0)
+        state.update(([t for t in kept if newest - t <= memory],))
+        state.setTimeoutTimestamp(max(int((newest + memory) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"feedback_id": rows["feedback_id"], "seq": rows["seq"], "accepted": ok})
 
-    return feedback.withWatermark("occurred_at", late).groupBy("subject_hash").applyInPandasWithState(run, "feedback_id string, seq long, accepted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return _timed(feedback, late).groupBy("subject_hash").applyInPandasWithState(run, "feedback_id string, seq long, accepted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def keep_ledger(active: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep an incident ledger (see incident_ledger) up to date from a stream of active fingerprints: every micro-batch is what is active now. Version n of the ledger is ``path``/n, made from version n - 1, so a batch that is run again after a failure gives the same version."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        prior = spark.read.parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], LEDGER)
+        incident_ledger(prior, batch.select("fingerprint"), F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return active.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:

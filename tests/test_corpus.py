@@ -21,6 +21,45 @@ def test_html_to_markdown():
     assert "hidden" not in m["content"] and "x()" not in m["content"] and m["browser_required"]
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("a</p>b", "a\nb"), ("<h1>One</h1>x<h3>Three", "# One\nx\n\n### Three"), ("<div><p>x</p></div>", "x"), ("<pre>a\n  b</pre>c", "```\na\n  b\n```\nc"), ("<script>a</script>b<style>c", "b"),
+        ("<a href='/x'>one<a href='/y'>two</a>three</a>", "[one[two](https://s.org/y)three"), ("title <b>title</b>", "title title"), ("x<br>y<br/>z", "x\ny\nz"), ("&lt;b&gt; &amp;  c", "<b> & c"), ("<a href='mailto:x'>m</a>", "m"), ("", ""),
+        ("<svg><title>no</title>no</svg>yes</svg>", "yes"), ("<table><tr><td>a</td></tr><tr><td>b</td></tr></table>", "a\n\n\nb".replace("\n\n\n", "\n\n")), ("<title>T</title><title>U</title>x", "x"),
+    ],
+)
+def test_fixed_pages(html, want):
+    assert N.html_to_markdown(html, "https://s.org/")["content"] == want
+
+
+def test_fixed_urls_agree_with_the_column_form(spark):
+    from docweave.functions import urls as U
+
+    urls = ["HTTPS://Docs.Org:443/a/b//", "http://h.org:80?x=1#f", "http://me:PW@H.org:81/p/", "mailto:a@b.c", " https://x.org ", "https://x.org:8080/", "", "/only/path", "https://X.org?", "http://h.org:443/"]
+    got = [r[0] for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(U.canonicalize_url(F.col("u"))).collect()]
+    assert got == [N.canonical_of(u) for u in urls]
+
+
+def test_workbooks_and_api_descriptions(spark):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("xl/sharedStrings.xml", "<sst xmlns='u'><si><t>Peso</t><r><t> (kg)</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", "<w xmlns='u'><sheetData><row><c r='A1' t='s'><v>0</v></c><c r='B1' t='inlineStr'><is><t>in</t></is></c></row><row/><row><c><v>7</v></c><c r='B3'><f>A1*2</f></c><c r='C3' t='s'><v>9</v></c></row></sheetData></w>")
+        z.writestr("xl/worksheets/sheet10.xml", "<w><row/></w>")
+        z.writestr("xl/worksheets/sheet2.xml", "<w><row><c r='A1'><v>z</v></c></row></w>")
+    assert N.ooxml_parts(buf.getvalue(), "xlsx") == [(1, "A1=Peso (kg)\tB1=in\n7\tB3==A1*2\tC3=9"), (2, "A1=z")]
+    with pytest.raises(ValueError):
+        N.ooxml_parts(buf.getvalue(), "xlsx", limit=10)
+    api = '{"openapi":"3.0","info":{"title":"Parts","version":"2"},"servers":[{"url":"https://a.org"}],"paths":{"/b":{"get":{"summary":"reads","responses":{"200":{"description":"ok"}}}},"/a":{"post":{"description":"adds"},"x-note":{}}}}'
+    rows = N.openapi_markdown(spark.createDataFrame([("p.json", api), ("q.json", "{}"), ("r.json", None)], "path string, content string")).collect()
+    assert [(r["path"], r["content"]) for r in rows] == [("p.json", "# Parts\n\nVersion: 2\n\n## Servers\n\n- https://a.org\n\n## Endpoints\n\n### POST /a\n\nadds\n\n### GET /b\n\nreads\n\nResponses:\n\n- 200: ok\n")]
+
+
+def test_unknown_references_are_reported(spark):
+    assert contracts.errors_of({"a": 1}, {"properties": {"a": {"$ref": "#/$defs/none"}}}) == [("unknown_reference", "$.a")]
+
+
 def test_html_rows_with_nulls(spark):
     df = spark.createDataFrame([(1, None, None), (2, "http://[bad", "<p>x</p>"), (3, "https://a.org", "<p>ok")], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in N.normalize_html(df).collect()}

@@ -1,6 +1,7 @@
 """Some of the registered queries against their SQL on the smallest tables (the driver compares them all), and the streams against the batch forms."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from docweave.operators import events as V
@@ -33,14 +34,56 @@ def test_rate_limit_stream_equals_batch(spark, small):
         assert [stream[r["feedback_id"], r["seq"]] for r in rs] == ok
 
 
-def test_debounce_stream_equals_batch(spark, small):
+@pytest.fixture(params=["UTC", "America/New_York", "Asia/Tokyo"])
+def zone(spark, request):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_debounce_stream_equals_batch(spark, small, zone):
     got = {}
     for r in event_queries.t3(spark, small).collect():
         got.setdefault(r["job_key"], []).append((round(r["first"], 3), round(r["last"], 3), round(r["due"], 3), r["events"]))
     times = {}
-    for r in inputs.events(spark, small).collect():
-        times.setdefault(f"{r['package_id']}/{r['type']}", []).append(r["occurred_at"].timestamp())
+    for r in inputs.events(spark, small).select("package_id", "type", F.unix_micros("occurred_at").alias("at")).collect():
+        times.setdefault(f"{r['package_id']}/{r['type']}", []).append(r["at"] / 1e6)
     want = {k: sorted(V.due_times(v)) for k, v in times.items()}
-    shift = next(iter(got.values()))[0][0] - want[next(iter(got))][0][0]  # collect() gives times of the driver's zone
-    near = lambda a, b: all(abs(x - shift - y) < 0.01 for x, y in zip(a[:3], b[:3])) and a[3] == b[3]
+    near = lambda a, b: all(abs(x - y) < 0.01 for x, y in zip(a[:3], b[:3])) and a[3] == b[3]
     assert got.keys() == want.keys() and all(len(got[k]) == len(want[k]) and all(map(near, sorted(got[k]), want[k])) for k in want)
+
+
+def test_event_codes_of_a_stream_are_those_of_the_batch_form(spark, small):
+    from docweave.streaming import events as S
+
+    e = inputs.events(spark, small).select("event_id", "seq", "payload_hash", "occurred_at")
+    out = event_queries._streamed(spark, small, e, lambda s: S.event_codes_stream(s, "3650 days"), "event_id string, seq long, code string")
+    want = V.dedupe_events(e)
+    rows = lambda df: sorted((r["event_id"], r["seq"], r["code"]) for r in df.collect())
+    assert rows(out) == rows(want) and {r["code"] for r in want.select("code").distinct().collect()} == {"event_accepted", "event_duplicate", "event_id_conflict"}
+
+
+def test_ledger_of_a_stream(spark, tmp_path):
+    from docweave.streaming import events as S
+
+    for i, names in enumerate((["a", "b"], ["b", "c"])):
+        spark.createDataFrame([(n,) for n in names], "fingerprint string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        S.keep_ledger(spark.readStream.schema("fingerprint string").parquet(str(tmp_path / "in")), str(tmp_path / "ledger"), str(tmp_path / "checkpoint")).awaitTermination()
+        got = {r["fingerprint"]: r["status"] for r in spark.read.parquet(str(tmp_path / f"ledger/{i}")).collect()}
+        assert got == ({"a": "open", "b": "open"} if i == 0 else {"a": "closed", "b": "open", "c": "open"})
+
+
+def test_budget_against_a_plain_loop(spark, small):
+    e = inputs.events(spark, small).select((F.col("package_id") % 3).alias("package_id"), "seq", F.col("occurred_at").alias("created_at"), F.lit("candidate_requested").alias("status"))
+    got = {(r["package_id"], r["seq"]): r["status"] for r in V.impact_budget(e).collect()}
+    by = {}
+    for r in e.select("package_id", "seq", F.unix_micros("created_at").alias("at")).orderBy("seq").collect():
+        by.setdefault(r["package_id"], []).append((r["seq"], r["at"]))
+    for package, rows in by.items():
+        taken = []
+        for seq, at in rows:
+            full = sum(t >= at - 86_400_000_000 for t in taken) >= 4
+            assert got[package, seq] == ("backlog" if full else "candidate_requested")
+            taken += [] if full else [at]
+    assert set(got.values()) == {"backlog", "candidate_requested"}
