@@ -25,6 +25,8 @@ CEILING = 2.0
 BLOCK_WORDS = 4096
 MOST_BLOCKS = 65536
 SHARDS = 16
+#: Sources whose quotas stand in one row of the tree.
+SOURCES_TOGETHER = 512
 SEED = 20240601
 
 
@@ -92,34 +94,43 @@ def _hypergeometric(u: Column, all_: Column, good: Column, drawn: Column) -> Col
     return F.when(hi <= lo, lo).otherwise(a + F.aggregate(support, start, count, lambda acc: acc["n"]))
 
 
-def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def _draws(counts: str, all_: str, drawn: str, *keys) -> Column:
+    """How many of ``drawn`` blocks fall to each entry of ``counts`` (array of struct<s, n>), given what is left after those before it. An array of the same form."""
+
+    def draw(acc, x):
+        got = _hypergeometric(_uniform(*keys, x["s"]), acc["all"], x["n"], acc["drawn"])
+        once = F.transform(F.array(got), lambda g: F.struct((acc["all"] - x["n"]).alias("all"), (acc["drawn"] - g).alias("drawn"), F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), g.alias("n")))).alias("out")))
+        return once[0]
+
+    start = F.struct(F.col(all_).alias("all"), F.col(drawn).alias("drawn"), F.array().cast("array<struct<s:bigint,n:bigint>>").alias("out"))
+    return F.aggregate(counts, start, draw, lambda acc: acc["out"])
+
+
+def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED, together: int = SOURCES_TOGETHER) -> DataFrame:
     """source_rank, shard, n: how many of each source's block draws every shard gets, from (source_rank long, quota long).
 
-    A row a node and level; a node holds its counts by source in an array. At a node with m shards, the left half takes
-    round(blocks * left / m) blocks; source by source, the part of them that is the source's is hypergeometric given what is left.
+    A row a node, level and group of ``together`` sources, with the group's counts by source in an array. At a node with m shards, the left half takes
+    round(blocks * left / m) blocks. How many of these come from each group of sources, and then within a group from each source, is hypergeometric given what is left; drawing groups
+    first is the same distribution, and no row holds more than ``together`` sources or the groups.
     """
-    tree = quotas.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("source_rank").cast("long").alias("s"), F.col("quota").cast("long").alias("n")))).alias("counts"))
-    tree = tree.select(F.lit(0).cast("long").alias("first"), F.lit(shards).cast("long").alias("width"), "counts")
+    entry = lambda s, n: F.array_sort(F.collect_list(F.struct(F.col(s).cast("long").alias("s"), F.col(n).cast("long").alias("n"))))
+    tree = quotas.groupBy(F.floor(F.col("source_rank") / together).alias("group")).agg(entry("source_rank", "quota").alias("counts"))
+    tree = tree.select(F.lit(0).cast("long").alias("first"), F.lit(shards).cast("long").alias("width"), "group", "counts")
     level = 0
     while (1 << level) < shards:
-        blocks = F.aggregate("counts", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
-        tree = tree.withColumns({"left": F.floor((F.col("width") + 1) / 2), "blocks": blocks})
-        tree = tree.withColumn("take", F.when(F.col("width") > 1, F.floor(F.col("blocks") * F.col("left") / F.col("width") + 0.5)).otherwise(F.col("blocks")))
-        kind = "array<struct<s:bigint,n:bigint>>"
-
-        def draw(acc, x):
-            got = _hypergeometric(_uniform(F.lit(seed), F.lit(level), F.col("first"), x["s"]), acc["all"], x["n"], acc["drawn"])  # noqa: B023
-            once = F.transform(F.array(got), lambda g: F.struct((acc["all"] - x["n"]).alias("all"), (acc["drawn"] - g).alias("drawn"), F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), g.alias("n")))).alias("out")))
-            return once[0]
-
-        start = F.struct(F.col("blocks").alias("all"), F.col("take").alias("drawn"), F.array().cast(kind).alias("out"))
-        tree = tree.withColumn("lefts", F.aggregate("counts", start, draw, lambda acc: acc["out"]))
+        tree = tree.withColumn("blocks", F.aggregate("counts", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]))
+        nodes = tree.groupBy("first", "width").agg(entry("group", "blocks").alias("groups"), F.sum("blocks").alias("all"))
+        nodes = nodes.withColumn("left", F.floor((F.col("width") + 1) / 2))
+        nodes = nodes.withColumn("take", F.when(F.col("width") > 1, F.floor(F.col("all") * F.col("left") / F.col("width") + 0.5)).otherwise(F.col("all")))
+        takes = nodes.withColumn("takes", _draws("groups", "all", "take", F.lit(seed), F.lit(level), F.col("first"), F.lit("group"))).select("first", "left", F.inline("takes")).select("first", "left", F.col("s").alias("group"), F.col("n").alias("take"))
+        tree = tree.join(takes, ["first", "group"])
+        tree = tree.withColumn("lefts", _draws("counts", "blocks", "take", F.lit(seed), F.lit(level), F.col("first")))
         rights = F.zip_with("counts", "lefts", lambda c, x: F.struct(c["s"].alias("s"), (c["n"] - x["n"]).alias("n")))
         halves = F.array(
-            F.struct(F.col("first").alias("first"), F.when(F.col("width") > 1, F.col("left")).otherwise(F.col("width")).alias("width"), F.col("lefts").alias("counts")),
-            F.struct((F.col("first") + F.col("left")).alias("first"), (F.col("width") - F.col("left")).alias("width"), rights.alias("counts")),
+            F.struct(F.col("first").alias("first"), F.when(F.col("width") > 1, F.col("left")).otherwise(F.col("width")).alias("width"), F.col("group").alias("group"), F.col("lefts").alias("counts")),
+            F.struct((F.col("first") + F.col("left")).alias("first"), (F.col("width") - F.col("left")).alias("width"), F.col("group").alias("group"), rights.alias("counts")),
         )
-        tree = tree.select(F.inline(F.filter(halves, lambda h: h["width"] > 0)))
+        tree = spool(tree.select(F.inline(F.filter(halves, lambda h: h["width"] > 0))), "mix-tree")
         level += 1
     return tree.select(F.col("first").alias("shard"), F.inline("counts")).select(F.col("s").alias("source_rank"), "shard", "n")
 
