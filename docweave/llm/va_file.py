@@ -22,7 +22,8 @@ from .common import ship, spool, table
 from .vectors import dimensions, first_copies, matrix, ranked, usable
 
 K = 20
-BITS = 5
+#: Bits of a cell number; a byte holds it, so fewer save nothing and only widen the bounds.
+BITS = 8
 #: Queries that are sent out together, and rows and queries that are looked at together in a task.
 QUERIES_TOGETHER, ROWS_TOGETHER, BLOCK = 32768, 4096, 512
 SCALE = 64
