@@ -104,6 +104,21 @@ def tree_hash(snapshot: DataFrame, width: int = 2) -> DataFrame:
     return level.groupBy("package_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.array("bucket", "hash")))), 256).alias("tree_hash"))
 
 
+def snapshot_ids(snapshot: DataFrame, headers: DataFrame) -> DataFrame:
+    """package_id, snapshot_id: one hash over a package's corpus hash and all header fields (headers: one row a package). A package with a header but without documents has the hash of an empty corpus."""
+    h = headers.join(corpus_hash(snapshot).select("package_id", F.col("corpus_hash").alias("_corpus")), "package_id", "left")
+    fields = {"corpus_hash": F.coalesce("_corpus", F.sha2(F.lit("[]"), 256))} | {c: F.col(c) for c in headers.columns if c != "package_id"}
+    return h.select("package_id", R.canonical_hash(fields).alias("snapshot_id"))
+
+
+def validate_snapshot(pinned: DataFrame, current: DataFrame, active: DataFrame) -> DataFrame:
+    """package_id, code of pinned snapshots (package_id, snapshot_id, revocation_hash): rag_snapshot_incompatible where the package as it is (package_id, snapshot_id) has another identity or is gone,
+    else rag_snapshot_revoked where the revocations in force (package_id, revocation_hash) are others, else null: the snapshot may be served."""
+    p = pinned.join(current.select("package_id", F.col("snapshot_id").alias("_id")), "package_id", "left").join(active.select("package_id", F.col("revocation_hash").alias("_rev")), "package_id", "left")
+    code = F.when(F.col("_id").isNull() | ~F.col("_id").eqNullSafe(F.col("snapshot_id")), "rag_snapshot_incompatible").when(~F.col("_rev").eqNullSafe(F.col("revocation_hash")), "rag_snapshot_revoked")
+    return p.select("package_id", code.alias("code"))
+
+
 def package_revisions(layers: DataFrame) -> DataFrame:
     """package_id, the six layer revisions, composition_hash, release_id from (package_id, layer, revision). A missing policy is default-policy-v1, other missing layers are ``unknown``."""
     names = ["corpus", "index", "skill", "router", "policy", "golden"]
@@ -113,6 +128,20 @@ def package_revisions(layers: DataFrame) -> DataFrame:
     return p.withColumn("release_id", F.concat(F.lit("release-"), F.substring("composition_hash", 1, 24)))
 
 
+def revision_evidence(recorded: DataFrame, layers: DataFrame) -> DataFrame:
+    """package_id, status of recorded revisions (the columns of package_revisions) against layers as they are: incomplete (a recorded field is null or empty), invalidated (one differs), valid.
+
+    The golden set is no part of the package: its recorded revision enters the current composition as it is. A package without layers has their defaults.
+    """
+    golden = recorded.select("package_id", F.lit("golden").alias("layer"), F.col("golden_revision").alias("revision"))
+    current = package_revisions(layers.where("layer <> 'golden'").join(recorded.select("package_id"), "package_id", "left_semi").unionByName(golden))
+    fields = [c for c in current.columns if c != "package_id"]
+    r = recorded.join(current.select("package_id", *[F.col(c).alias(f"_{c}") for c in fields]), "package_id", "left")
+    some = lambda fits: F.exists(F.array(*[fits(c) for c in fields]), lambda x: x)
+    status = F.when(some(lambda c: F.coalesce(F.col(c), F.lit("")) == ""), "incomplete").when(some(lambda c: ~F.col(c).eqNullSafe(F.col(f"_{c}"))), "invalidated").otherwise("valid")
+    return r.select("package_id", status.alias("status"))
+
+
 #: What is compared before documents may be reused, in this order, and the reason if it differs.
 REUSE_ORDER = (
     ("embedding", "embedding_changed"), ("model", "model_changed"), ("configuration", "configuration_changed"), ("artifacts", "artifacts_changed"), ("revocation", "revocation_changed"),

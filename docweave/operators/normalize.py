@@ -154,19 +154,23 @@ def html_to_markdown(html: str, url: str) -> dict:
     return {"content": content, "canonical": canonical or canonical_of(url), "title": " ".join(filter(None, title)) or None, "links": list(dict.fromkeys(links)), "browser_required": scripts > 0 and seen < 80}
 
 
+def pages_of(htmls: pd.Series, urls: pd.Series) -> pd.DataFrame:
+    """html_to_markdown for the pages of a batch."""
+    rows = []
+    for html, url in zip(htmls, urls):
+        try:
+            rows.append(html_to_markdown(html or "", url or ""))
+        except ValueError:
+            rows.append(html_to_markdown(html or "", "") | {"canonical": url})
+    return pd.DataFrame(rows, columns=["content", "canonical", "title", "links", "browser_required"], index=htmls.index)
+
+
 def normalize_html(pages: DataFrame) -> DataFrame:
     """page_id, url, content (Markdown), canonical, title, links, browser_required of (page_id, url, html); one Arrow batch at a time, nothing is shuffled. Null html is empty, a page with null or malformed url keeps it as canonical."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for html, url in zip(b["html"], b["url"]):
-                try:
-                    rows.append(html_to_markdown(html or "", url or ""))
-                except ValueError:
-                    rows.append(html_to_markdown(html or "", "") | {"canonical": url})
-            found = pd.DataFrame(rows, columns=["content", "canonical", "title", "links", "browser_required"], index=b.index)
-            yield pd.concat([b[["page_id", "url"]], found], axis=1)
+            yield pd.concat([b[["page_id", "url"]], pages_of(b["html"], b["url"])], axis=1)
 
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, content string, canonical string, title string, links array<string>, browser_required boolean")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
@@ -114,6 +116,32 @@ def sensitive_fields(schema: S.StructType, names: frozenset = SENSITIVE_FIELDS,
     return out
 
 
+def _present(schema: S.StructType, names: frozenset, at: str, get: Callable[..., Column]) -> list[tuple[str, Column]]:
+    """(path, whether a row holds a value there) of the sensitive fields of a struct whose fields ``get`` gives."""
+    out = []
+    for f in schema.fields:
+        value, kind = get(f.name), f.dataType
+        if f.name.lower() in names:
+            out.append((at + f.name, value.isNotNull()))
+        if isinstance(kind, S.StructType):
+            out += _present(kind, names, f"{at}{f.name}.", value.getField)
+        elif isinstance(kind, S.ArrayType) and isinstance(kind.elementType, S.StructType):
+            for path in sensitive_fields(kind.elementType, names):
+                out.append((f"{at}{f.name}.{path}", F.exists(value, _holds(kind.elementType, names, path))))
+    return out
+
+
+def _holds(kind: S.StructType, names: frozenset, path: str) -> Callable[[Column], Column]:
+    return lambda x: F.coalesce(dict(_present(kind, names, "", x.getField))[path], F.lit(False))
+
+
+def sensitive_findings(df: DataFrame, key: str) -> DataFrame:
+    """key, field: one row for each sensitive field that a row holds a value in, at any depth of structs and arrays of structs. A table without findings may be taken as it is; the schema is walked once on the driver."""
+    found = _present(df.schema, SENSITIVE_FIELDS, "", lambda name: F.col(f"`{name}`"))
+    paths = F.array_compact(F.array(*[F.when(held, F.lit(path)) for path, held in found])) if found else F.array().cast("array<string>")
+    return df.select(F.col(f"`{key}`").alias(key), F.explode(paths).alias("field"))
+
+
 #: Credentials as they stand in texts.
 CREDENTIALS = (
     r"\bsk-[A-Za-z0-9]{20,}\b",

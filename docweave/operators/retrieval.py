@@ -182,6 +182,16 @@ def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFram
     return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "document", "chunk_id", "score", "rank")
 
 
+def hybrid_retriever(query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, pool: int = 50) -> Callable[[DataFrame, DataFrame, int], DataFrame]:
+    """hybrid_search as a retriever for the registry: the chunks of the documents asked about, with vectors of queries and chunks that some model gave before."""
+
+    def run(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+        own = chunks.join(docs.select(F.col("path").alias("document")), "document", "left_semi")
+        return hybrid_search(queries, query_vectors, own, vectors, k, pool).select("query_id", F.col("document").alias("path"), "score", "rank")
+
+    return run
+
+
 #: Retrievers by name: (queries, docs, k) -> hits (query_id, path, score, rank). Users add their own.
 RETRIEVERS: dict[str, Callable[[DataFrame, DataFrame, int], DataFrame]] = {"lexical": rank_documents, "memory": rank_documents}
 

@@ -578,3 +578,14 @@ def q16(spark, d):
     t = I.table(spark, d, "documents").select("doc_id", "text", F.struct("lang", F.lit("x").alias("secret"), F.array(F.struct(F.lit(1).alias("n"), F.lit("y").alias("token"))).alias("items")).alias("meta"))
     r = Q.drop_sensitive_fields(t)
     return r.select("doc_id", F.to_json(F.struct("doc_id", "meta")).alias("json"))
+
+
+@query(
+    "q16_sensitive_findings",
+    "SELECT doc_id, 'text' AS field FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, 'meta.secret' FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'meta.items.token' FROM documents WHERE source LIKE '%1'",
+)
+def q16b(spark, d):
+    k = F.col("doc_id")
+    items = F.array(F.struct(F.lit(1).alias("n"), F.lit(None).cast("string").alias("token")), F.struct(F.lit(2).alias("n"), F.when(F.col("source").endswith("1"), F.col("lang")).alias("token")))
+    t = I.table(spark, d, "documents").select("doc_id", "text", F.struct("lang", F.when(k % 3 != 0, "x").alias("secret"), items.alias("items")).alias("meta"))
+    return Q.sensitive_findings(t, "doc_id")

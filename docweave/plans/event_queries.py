@@ -74,10 +74,16 @@ def t5(spark, d):
     return V.impact_batch(s, seen, 1000, 40).select("package_id", "relevant", "status")
 
 
-@query("w8_impact_budget")
+_BUDGET = f"""WITH RECURSIVE {I.EVENTS}, b AS MATERIALIZED (SELECT package_id, seq, epoch_us(occurred_at) AS t, CASE WHEN seq % 3 = 0 THEN 'review_required' ELSE 'candidate_requested' END AS status, row_number() OVER (PARTITION BY package_id ORDER BY seq) AS n FROM ev WHERE type = 'error'),
+w AS (SELECT package_id, seq, n, status AS out, [t] AS kept FROM b WHERE n = 1
+UNION ALL SELECT b.package_id, b.seq, b.n, CASE WHEN len(kept) = 4 AND kept[1] >= t - 86400000000 THEN 'backlog' ELSE status END, CASE WHEN len(kept) = 4 AND kept[1] >= t - 86400000000 THEN kept ELSE list_slice(list_sort(list_append(kept, t)), -4, -1) END FROM w JOIN b ON b.package_id = w.package_id AND b.n = w.n + 1)
+SELECT package_id, seq, out AS status FROM w"""
+
+
+@query("w8_impact_budget", _BUDGET)
 def w8(spark, d):
-    e = I.events(spark, d).where("type = 'error'")
-    return V.impact_budget(e.select("package_id", "seq", F.col("occurred_at").alias("created_at"), F.when(F.col("seq") % 3 == 0, "review_required").otherwise("candidate_requested").alias("status")))
+    status = F.when(F.col("type") != "error", "none").when(F.col("seq") % 3 == 0, "review_required").otherwise("candidate_requested")
+    return V.impact_budget(I.events(spark, d).select("package_id", "seq", F.col("occurred_at").alias("created_at"), status.alias("status")))
 
 
 def _polls(spark, d):
@@ -139,7 +145,23 @@ def l1(spark, d):
     return B.normalize_feedback(raw).select("event_id", "seq", "error", "question_hash", "occurrence_hash")
 
 
-@query("t6_rate_limit")
+def _greedy(of: str, more: str, subject: str) -> str:
+    """Which rows of a table (subject, seq, t in microseconds, n: number in the order of seq for each subject) the limit of 2 in 1,800 seconds accepts, row by row."""
+    fits = "len(list_filter(kept, lambda x: t - x BETWEEN 0 AND 1800000000)) < 2"
+    return f"""WITH RECURSIVE {I.FEEDBACK}, {more} b AS MATERIALIZED (SELECT feedback_id, subject_hash, seq, epoch_us(occurred_at) AS t, row_number() OVER (PARTITION BY subject_hash ORDER BY seq) AS n FROM {of}),
+g AS (SELECT feedback_id, subject_hash, seq, n, true AS accepted, [t] AS kept FROM b WHERE n = 1
+UNION ALL SELECT b.feedback_id, b.subject_hash, b.seq, b.n, {fits}, CASE WHEN {fits} THEN list_append(kept, t) ELSE kept END FROM g JOIN b ON b.subject_hash = g.subject_hash AND b.n = g.n + 1)
+{subject}"""
+
+
+_RATED = _greedy(
+    "(SELECT * FROM co WHERE code IS NULL)",
+    """co AS (SELECT fb.*, CASE WHEN seq > fs AND content_hash = fh THEN 'duplicate' WHEN seq > fs THEN 'feedback_id_conflict' WHEN seq > es THEN 'feedback_replay' END AS code FROM fb JOIN (SELECT feedback_id, min(seq) AS fs, arg_min(content_hash, seq) AS fh FROM fb GROUP BY 1) USING (feedback_id) JOIN (SELECT event_id, min(seq) AS es FROM fb GROUP BY 1) USING (event_id)),""",
+    "SELECT feedback_id, seq, code FROM co WHERE code IS NOT NULL UNION ALL SELECT feedback_id, seq, CASE WHEN accepted THEN 'accepted' ELSE 'rate_limited' END FROM g",
+)
+
+
+@query("t6_rate_limit", _RATED)
 def t6(spark, d):
     return B.rate_limit(I.feedback(spark, d), limit=2, window=1800)
 
@@ -312,14 +334,20 @@ def t1s(spark, d):
     return _streamed(spark, d, e, lambda s: S.dedupe_stream(s).select("event_id"), "event_id string")
 
 
-@query("t3_debounce_stream")
+_DEBOUNCED = f"""WITH RECURSIVE {I.EVENTS}, b AS MATERIALIZED (SELECT job_key, t, row_number() OVER (PARTITION BY job_key ORDER BY t) AS n FROM (SELECT package_id || '/' || type AS job_key, epoch_us(occurred_at) / 1e6 AS t FROM ev)),
+g AS (SELECT job_key, n, t AS first, t AS last, least(t + 60, t + 300) AS due, CAST(1 AS BIGINT) AS events FROM b WHERE n = 1
+UNION ALL SELECT b.job_key, b.n, CASE WHEN t <= due THEN first ELSE t END, t, least(t + 60, CASE WHEN t <= due THEN first ELSE t END + 300), CASE WHEN t <= due THEN events + 1 ELSE 1 END FROM g JOIN b ON b.job_key = g.job_key AND b.n = g.n + 1)
+SELECT job_key, first, max(last) AS last, max(due) AS due, max(events) AS events FROM g GROUP BY 1, 2"""
+
+
+@query("t3_debounce_stream", _DEBOUNCED)
 def t3(spark, d):
     e = I.events(spark, d).select(F.concat_ws("/", F.col("package_id").cast("string"), "type").alias("job_key"), "occurred_at")
     last = e.agg(F.max("occurred_at").alias("m")).select(F.lit("end").alias("job_key"), (F.col("m") + F.expr("INTERVAL 1 DAY")).alias("occurred_at"))
     return _streamed(spark, d, e.unionByName(last), S.debounce_stream, "job_key string, first double, last double, due double, events long").where("job_key <> 'end'")
 
 
-@query("t6_rate_limit_stream")
+@query("t6_rate_limit_stream", _greedy("fb", "", "SELECT feedback_id, seq, accepted FROM g"))
 def t6s(spark, d):
     f = I.feedback(spark, d).select("subject_hash", "feedback_id", "seq", "occurred_at")
     return _streamed(spark, d, f, lambda s: S.rate_limit_stream(s, limit=2, window=1800), "feedback_id string, seq long, accepted boolean")

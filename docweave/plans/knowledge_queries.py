@@ -9,6 +9,7 @@ from ..operators import governance as G
 from ..operators import graph
 from ..operators import identity as D
 from ..operators import retrieval as L
+from ..operators.sql import register_functions
 from . import inputs as I
 from .registry import query
 
@@ -98,6 +99,26 @@ def o7(spark, d):
     return D.snapshot_documents(c.select("package_id", "path", "content"), c.where("doc_id % 97 = 8").select("package_id", "path"))
 
 
+_SNAP = "sha256('{\"corpus_hash\":\"' || c || '\",\"embedding\":\"e' || n % 5 || '\",\"release_id\":\"release-' || n || '\"}')"
+
+
+@query(
+    "o7_validate_snapshot",
+    f"""WITH {I.RECORDS}, n AS (SELECT package_id, length(package_id) + ascii(right(package_id, 1)) AS n FROM (SELECT DISTINCT source_id AS package_id FROM corpus)),
+h AS (SELECT 1 AS old, package_id, sha256('[' || string_agg('["' || path || '","' || sha256(content) || '"]', ',' ORDER BY path) || ']') AS c FROM prev GROUP BY 2 UNION ALL SELECT 0, package_id, sha256('[' || string_agg('["' || path || '","' || sha256(content) || '"]', ',' ORDER BY path) || ']') FROM cur GROUP BY 2),
+i AS (SELECT old, package_id, n, {_SNAP} AS id FROM h JOIN n USING (package_id)), p AS (SELECT package_id, n, id FROM i WHERE old = CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END)
+SELECT p.package_id, CASE WHEN c.id IS NULL OR c.id <> p.id THEN 'rag_snapshot_incompatible' WHEN p.n % 4 = 1 THEN 'rag_snapshot_revoked' END AS code FROM p LEFT JOIN i c ON c.package_id = p.package_id AND c.old = 0""",
+)
+def o7b(spark, d):
+    n = F.length("package_id") + F.ascii(F.substring("package_id", -1, 1))
+    p = I.corpus(spark, d).select(F.col("source_id").alias("package_id")).distinct()
+    headers = p.select("package_id", F.concat(F.lit("e"), (n % 5).cast("string")).alias("embedding"), F.concat(F.lit("release-"), n.cast("string")).alias("release_id"))
+    ids = lambda current: D.snapshot_ids(D.snapshot_documents(I.records(spark, d, current).select("package_id", "path", "content")), headers)
+    pinned = ids(False).where(n % 3 == 0).unionByName(ids(True).where(n % 3 != 0)).withColumn("revocation_hash", F.sha2("package_id", 256))
+    active = p.select("package_id", F.sha2(F.when(n % 4 == 1, F.concat("package_id", F.lit("!"))).otherwise(F.col("package_id")), 256).alias("revocation_hash"))
+    return D.validate_snapshot(pinned, ids(True), active)
+
+
 @query("a2_corpus_hash", f"WITH {I.RECORDS} SELECT package_id, count(*) AS documents, CAST(sum(strlen(content)) AS BIGINT) AS bytes, sha256('[' || string_agg('[\"' || path || '\",\"' || sha256(content) || '\"]', ',' ORDER BY path) || ']') AS corpus_hash FROM cur GROUP BY 1")
 def a2(spark, d):
     return D.corpus_hash(D.snapshot_documents(I.records(spark, d, True).select("package_id", "path", "content")))
@@ -111,19 +132,38 @@ def a2b(spark, d):
     return D.tree_hash(D.snapshot_documents(I.records(spark, d, True).select("package_id", "path", "content")))
 
 
-@query(
-    "a3_package_revisions",
-    """WITH l AS (SELECT s_suppkey AS package_id, ['corpus', 'index', 'skill', 'router', 'policy', 'golden'][(s_nationkey % 6) + 1] AS layer, 'r' || s_nationkey AS revision FROM supplier UNION ALL SELECT s_suppkey, 'corpus', 'c' || (s_suppkey % 5) FROM supplier WHERE s_nationkey % 6 <> 0),
-p AS (SELECT package_id, coalesce(max(revision) FILTER (WHERE layer = 'corpus'), 'unknown') AS c, coalesce(max(revision) FILTER (WHERE layer = 'index'), 'unknown') AS i, coalesce(max(revision) FILTER (WHERE layer = 'skill'), 'unknown') AS s, coalesce(max(revision) FILTER (WHERE layer = 'router'), 'unknown') AS r, coalesce(max(revision) FILTER (WHERE layer = 'policy'), 'default-policy-v1') AS p, coalesce(max(revision) FILTER (WHERE layer = 'golden'), 'unknown') AS g FROM l GROUP BY 1),
-h AS (SELECT package_id, sha256('{"corpus_revision":"' || c || '","golden_revision":"' || g || '","index_revision":"' || i || '","policy_revision":"' || p || '","router_revision":"' || r || '","skill_revision":"' || s || '"}') AS composition_hash FROM p)
-SELECT package_id, composition_hash, 'release-' || left(composition_hash, 24) AS release_id FROM h""",
-)
-def a3(spark, d):
+_LAYERS = """l AS (SELECT s_suppkey AS package_id, ['corpus', 'index', 'skill', 'router', 'policy', 'golden'][(s_nationkey % 6) + 1] AS layer, 'r' || s_nationkey AS revision FROM supplier UNION ALL SELECT s_suppkey, 'corpus', 'c' || (s_suppkey % 5) FROM supplier WHERE s_nationkey % 6 <> 0),
+p AS (SELECT package_id, coalesce(max(revision) FILTER (WHERE layer = 'corpus'), 'unknown') AS c, coalesce(max(revision) FILTER (WHERE layer = 'index'), 'unknown') AS i, coalesce(max(revision) FILTER (WHERE layer = 'skill'), 'unknown') AS s, coalesce(max(revision) FILTER (WHERE layer = 'router'), 'unknown') AS r, coalesce(max(revision) FILTER (WHERE layer = 'policy'), 'default-policy-v1') AS p, coalesce(max(revision) FILTER (WHERE layer = 'golden'), 'unknown') AS g FROM l GROUP BY 1)"""
+
+
+def _composed(c: str) -> str:
+    return f"""sha256('{{"corpus_revision":"' || {c} || '","golden_revision":"' || g || '","index_revision":"' || i || '","policy_revision":"' || p || '","router_revision":"' || r || '","skill_revision":"' || s || '"}}')"""
+
+
+def _layers(spark, d):
     s = I.table(spark, d, "supplier")
     layer = F.element_at(F.array(*map(F.lit, ("corpus", "index", "skill", "router", "policy", "golden"))), (F.col("s_nationkey") % 6 + 1).cast("int"))
     own = s.select(F.col("s_suppkey").alias("package_id"), layer.alias("layer"), F.concat(F.lit("r"), F.col("s_nationkey").cast("string")).alias("revision"))
     more = s.where("s_nationkey % 6 <> 0").select(F.col("s_suppkey").alias("package_id"), F.lit("corpus").alias("layer"), F.concat(F.lit("c"), (F.col("s_suppkey") % 5).cast("string")).alias("revision"))
-    return D.package_revisions(own.unionByName(more)).select("package_id", "composition_hash", "release_id")
+    return own.unionByName(more)
+
+
+@query("a3_package_revisions", f"WITH {_LAYERS}, h AS (SELECT package_id, {_composed('c')} AS composition_hash FROM p) SELECT package_id, composition_hash, 'release-' || left(composition_hash, 24) AS release_id FROM h")
+def a3(spark, d):
+    return D.package_revisions(_layers(spark, d)).select("package_id", "composition_hash", "release_id")
+
+
+@query(
+    "a3_revision_evidence",
+    f"""WITH {_LAYERS}, w AS (SELECT *, CASE WHEN package_id % 3 = 0 AND c LIKE 'c%' THEN 'c1' ELSE c END AS was FROM p), h AS (SELECT *, {_composed('c')} AS now_hash, {_composed('was')} AS then_hash FROM w)
+SELECT package_id, CASE WHEN i = 'unknown' AND package_id % 4 = 1 THEN 'incomplete' WHEN now_hash <> then_hash THEN 'invalidated' ELSE 'valid' END AS status FROM h""",
+)
+def a3b(spark, d):
+    layers = _layers(spark, d)
+    k = F.col("package_id")
+    then = D.package_revisions(layers.withColumn("revision", F.when((k % 3 == 0) & (F.col("layer") == "corpus") & F.col("revision").startswith("c"), "c1").otherwise(F.col("revision"))))
+    recorded = then.withColumn("index_revision", F.when(~((F.col("index_revision") == "unknown") & (k % 4 == 1)), F.col("index_revision")))
+    return D.revision_evidence(recorded, layers)
 
 
 def _headers(spark, d, current):
@@ -209,6 +249,11 @@ def u1(spark, d):
     return L.search("memory", I.questions(spark, d), I.corpus(spark, d), 3).select("retriever", "query_id", "path", "rank")
 
 
+def _hybrid(spark, d):
+    L.register_retriever("hybrid", L.hybrid_retriever(_query_vectors(spark, d), _chunks(spark, d), _vectors(spark, d)))
+    return L.search("hybrid", I.questions(spark, d), I.corpus(spark, d), 5)
+
+
 @query("o2_top_terms", f"WITH {I.CORPUS}, t AS (SELECT unnest({I.tokens_sql('content')}) AS token FROM corpus) SELECT token, count(*) AS documents FROM t GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 def o2(spark, d):
     from ..functions import text as T
@@ -298,17 +343,30 @@ def r9b(spark, d):
     return L.cosine(_query_vectors(spark, d), _vectors(spark, d), 15).withColumn("score", F.round("score", 6))
 
 
-@query(
-    "r9_hybrid_search",
+_FUSED = (
     _BM25 + ", " + _COS + """, fu AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) AS score FROM bm a FULL JOIN co b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id),
 fd AS (SELECT query_id, document, chunk_id, score, row_number() OVER (PARTITION BY query_id, document ORDER BY score DESC, chunk_id) AS n FROM fu JOIN ch USING (chunk_id)),
-fr AS (SELECT query_id, document, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document) AS rank FROM fd WHERE n = 1)
-SELECT query_id, document, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 5""",
+fr AS (SELECT query_id, document, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document) AS rank FROM fd WHERE n = 1)"""
 )
+
+
+@query("r9_hybrid_search", _FUSED + " SELECT query_id, document, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 5")
 def r9c(spark, d):
     return L.hybrid_search(I.questions(spark, d), _query_vectors(spark, d), _chunks(spark, d), _vectors(spark, d), 5).withColumn("score", F.round("score", 6))
 
 
+@query("u1_hybrid_retriever", _FUSED + " SELECT 'hybrid' AS retriever, query_id, document AS path, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM fr WHERE rank <= 5")
+def u1b(spark, d):
+    return _hybrid(spark, d).withColumn("score", F.round("score", 6))
+
+
+@query("u3_sql_cosine", "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def u3(spark, d):
+    register_functions(spark)
+    I.table(spark, d, "embeddings").createOrReplaceTempView("docweave_vectors")
+    return spark.sql("SELECT a.vec_id, round(cosine(CAST(a.embedding AS ARRAY<DOUBLE>), CAST(b.embedding AS ARRAY<DOUBLE>)), 6) AS score FROM docweave_vectors a JOIN docweave_vectors b ON b.vec_id = a.vec_id + 1")
+
+
 # --- evaluation -----------------------------------------------------------------------------------------------------
 
 _EV = f"WITH {I.CORPUS}, {I.QUESTIONS}, {I.GOLDEN}, {I.HITS}"
@@ -560,10 +618,26 @@ def l7(spark, d):
     return G.normalize_claims(raw.withColumn("position", F.lit(1)).unionByName(old)).select("claim_id", "error", "n_refs")
 
 
-@query("r3_query_evidence")
+_EVID = (
+    _ELIG
+    + f""", {I.CORPUS}, {I.QUESTIONS}, {I.CONFLICTS}, {I.HITS},
+eq AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'large ring' WHEN query_id % 3 = 1 THEN 'hot bolt' ELSE query END AS query FROM questions),
+qw AS (SELECT DISTINCT query_id, unnest(regexp_extract_all({I.fold_sql('query')}, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM eq), ew AS (SELECT DISTINCT claim_id, classification, unnest(regexp_extract_all({I.fold_sql('text')}, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM el),
+m AS (SELECT query_id, claim_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE classification WHEN 'x' THEN 0 @PRIORITY@ ELSE 0 END DESC, claim_id) AS position FROM (SELECT DISTINCT query_id, claim_id, classification FROM qw JOIN ew USING (w))),
+k AS (SELECT DISTINCT conflict_id, unnest(claim_ids) AS claim_id FROM cf WHERE status = 'open'), kq AS (SELECT DISTINCT query_id FROM (SELECT query_id, conflict_id FROM k JOIN m USING (claim_id) GROUP BY 1, 2 HAVING count(*) >= 2)),
+hs AS (SELECT query_id, path AS source, CAST(regexp_extract(path, '(\\d+)\\.md$', 1) AS BIGINT) % 100 AS source_id, rank FROM hits), ok AS (SELECT * FROM hs WHERE source_id IN (SELECT source_id FROM de WHERE allowed AND purpose = 'internal_query')),
+ei AS (SELECT query_id, 0 AS f, position AS r, rf.source_id || '|' || document_id AS item FROM m JOIN rf USING (claim_id) UNION ALL SELECT query_id, 1, rank, source_id || '|' || source || '|section|' || source FROM ok),
+e AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY f, r, item) AS position FROM (SELECT query_id, item, min(f) AS f, arg_min(r, f * 1000000000 + r) AS r FROM ei GROUP BY 1, 2))
+SELECT query_id, 'claim' AS kind, CAST(position AS INTEGER) AS position, CAST(claim_id AS VARCHAR) AS item FROM m WHERE position <= 5 UNION ALL SELECT query_id, 'evidence', CAST(position AS INTEGER), item FROM e WHERE position <= 15
+UNION ALL SELECT query_id, 'result', CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, source) AS INTEGER) AS position, source FROM ok QUALIFY position <= 5
+UNION ALL SELECT query_id, 'outcome', 1, CASE WHEN query_id IN (SELECT query_id FROM kq) THEN 'conflicting' WHEN query_id IN (SELECT query_id FROM e UNION SELECT query_id FROM m) THEN 'supported' ELSE 'insufficient_evidence' END FROM eq"""
+).replace("@PRIORITY@", " ".join(f"WHEN '{n}' THEN {v}" for n, v in G.PRIORITY.items()))
+
+
+@query("r3_query_evidence", _EVID)
 def r3(spark, d):
     q = I.questions(spark, d).withColumn("query", F.when(F.col("query_id") % 3 == 0, "large ring").when(F.col("query_id") % 3 == 1, "hot bolt").otherwise(F.col("query")))
-    h = I.hits(spark, d).select("query_id", F.col("path").alias("source"), (F.crc32(F.col("path").cast("binary")) % 100).alias("source_id"), "rank", F.array(F.struct(F.lit("section").alias("kind"), F.col("path").alias("label"))).alias("locators"))
+    h = I.hits(spark, d).select("query_id", F.col("path").alias("source"), (F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long") % 100).alias("source_id"), "rank", F.array(F.struct(F.lit("section").alias("kind"), F.col("path").alias("label"))).alias("locators"))
     return G.query_evidence(q, _eligible(spark, d), I.refs(spark, d), I.conflicts(spark, d), h, I.decisions(spark, d))
 
 

@@ -77,6 +77,14 @@ def errors_of(value, schema: dict, root: dict | None = None, at: str = "$") -> l
     return out
 
 
+def faults_of(text: str | None, schema: dict) -> list[tuple[str, str]]:
+    """errors_of for JSON text; what is no JSON has the one fault invalid_json."""
+    try:
+        return errors_of(json.loads(text if text is not None else ""), schema)
+    except ValueError:
+        return [("invalid_json", "$")]
+
+
 def validate_contract(rows: DataFrame, schema: dict) -> DataFrame:
     """row_id, code, path of every fault of the JSON texts (row_id long, json); what is no JSON has the code invalid_json. Texts without fault have no row. One Arrow batch at a time, nothing is shuffled."""
 
@@ -84,11 +92,7 @@ def validate_contract(rows: DataFrame, schema: dict) -> DataFrame:
         for b in batches:
             out = []
             for id_, text in zip(b["row_id"], b["json"]):
-                try:
-                    found = errors_of(json.loads(text if text is not None else ""), schema)
-                except ValueError:
-                    found = [("invalid_json", "$")]
-                out += [(id_, c, p) for c, p in found]
+                out += [(id_, c, p) for c, p in faults_of(text, schema)]
             yield pd.DataFrame(out, columns=["row_id", "code", "path"])
 
     return rows.select("row_id", "json").mapInPandas(run, "row_id long, code string, path string")

@@ -62,20 +62,24 @@ def detect_license(files: DataFrame) -> DataFrame:
     return out.select("repo", F.when(F.col("f").isNull(), "unknown").otherwise("declared").alias("status"), F.col("f.path").alias("file"), F.when(F.col("f.mit"), "MIT").when(F.col("f").isNotNull(), "declared").alias("identifier"))
 
 
+def sitemap_urls(xml: str | None, limit: int = 1000) -> tuple[bool, list[str]]:
+    """Whether a sitemap is an index of sitemaps, and its http(s) locations in canonical form, the first of each, at most ``limit``. Malformed XML has none."""
+    try:
+        root = ElementTree.fromstring(xml or "")
+    except ElementTree.ParseError:
+        return False, []
+    found = [(e.text or "").strip() for e in root.iter() if e.tag.rsplit("}", 1)[-1].lower() == "loc"]
+    return root.tag.rsplit("}", 1)[-1].lower() == "sitemapindex", list(dict.fromkeys(canonical_of(u) for u in found if u.startswith(("http://", "https://"))))[:limit]
+
+
 def parse_sitemap(sitemaps: DataFrame, limit: int = 1000) -> DataFrame:
-    """sitemap_id, position, url, nested of (sitemap_id, xml): http(s) locations in canonical form, the first of each, at most ``limit`` a sitemap; nested tells indexes from pages. Malformed XML has none."""
+    """sitemap_id, position, url, nested of (sitemap_id, xml): what sitemap_urls finds, one row a location; nested tells indexes from pages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for id_, xml in zip(b["sitemap_id"], b["xml"]):
-                try:
-                    root = ElementTree.fromstring(xml or "")
-                except ElementTree.ParseError:
-                    continue
-                nested = root.tag.rsplit("}", 1)[-1].lower() == "sitemapindex"
-                found = [(e.text or "").strip() for e in root.iter() if e.tag.rsplit("}", 1)[-1].lower() == "loc"]
-                found = list(dict.fromkeys(canonical_of(u) for u in found if u.startswith(("http://", "https://"))))[:limit]
+                nested, found = sitemap_urls(xml, limit)
                 rows += [(id_, k, u, nested) for k, u in enumerate(found)]
             yield pd.DataFrame(rows, columns=["sitemap_id", "position", "url", "nested"])
 

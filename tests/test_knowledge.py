@@ -144,3 +144,59 @@ def test_polls(spark):
     p = spark.createDataFrame([("s", i, h) for i, h in enumerate(["a", "a", None, None, None, "a", "b", None])], "source_id string, seq long, hash string")
     got = [(r["changed"], r["missed"]) for r in V.poll_changes(p).orderBy("seq").collect()]
     assert got == [(True, 0), (False, 0), (False, 1), (False, 2), (False, 3), (False, 0), (True, 0), (False, 1)]
+
+
+def test_snapshots_that_may_be_served(spark):
+    docs = spark.createDataFrame([("p", "a", "x"), ("q", "a", "x"), ("r", "a", "x")], "package_id string, path string, content string")
+    headers = spark.createDataFrame([("p", "m"), ("q", "m"), ("r", "m"), ("empty", "m")], "package_id string, model string")
+    ids = lambda d, h=headers: D.snapshot_ids(D.snapshot_documents(d), h)
+    pinned = ids(docs).withColumn("revocation_hash", F.lit("h"))
+    now = docs.where("package_id <> 'r'").withColumn("content", F.when(F.col("package_id") == "q", "y").otherwise(F.col("content")))
+    active = spark.createDataFrame([("p", "h"), ("q", "other"), ("r", "h"), ("empty", None)], "package_id string, revocation_hash string")
+    got = rows(D.validate_snapshot(pinned, ids(now, headers.where("package_id <> 'r'")), active), "package_id", "code")
+    assert got == {("p", None), ("q", "rag_snapshot_incompatible"), ("r", "rag_snapshot_incompatible"), ("empty", "rag_snapshot_revoked")}
+    assert rows(D.validate_snapshot(pinned, ids(docs, headers.withColumn("model", F.lit("n"))), active), "code") == {("rag_snapshot_incompatible",)}
+
+
+def test_revision_evidence(spark):
+    layers = spark.createDataFrame([(p, x, "1") for p in "abcd" for x in ("corpus", "index")], "package_id string, layer string, revision string")
+    then = layers.unionByName(spark.createDataFrame([("a", "golden", "g")], layers.schema))
+    k = F.col("package_id")
+    recorded = D.package_revisions(then).withColumns({"index_revision": F.when(k == "b", "").otherwise(F.col("index_revision")), "release_id": F.when(k == "c", "release-x").otherwise(F.col("release_id"))})
+    now = layers.withColumn("revision", F.when((k == "d") & (F.col("layer") == "corpus"), "2").otherwise(F.col("revision")))
+    assert rows(D.revision_evidence(recorded, now), "package_id", "status") == {("a", "valid"), ("b", "incomplete"), ("c", "invalidated"), ("d", "invalidated")}
+
+
+def test_sensitive_findings_at_any_depth(spark):
+    from docweave.operators import quality as Q
+
+    kind = "k long, token string, a struct<secret:string,b:array<struct<c:struct<Password:string>,n:int>>>"
+    data = [(1, "t", (None, [((None,), 1), (("p",), 2)])), (2, None, ("s", [((None,), 1)])), (3, None, None), (4, None, (None, None)), (5, None, (None, [(None, 1), None]))]
+    assert rows(Q.sensitive_findings(spark.createDataFrame(data, kind), "k"), "k", "field") == {(1, "token"), (1, "a.b.c.Password"), (2, "a.secret")}
+    assert rows(Q.sensitive_findings(spark.createDataFrame([(1, "x")], "k long, name string"), "k"), "k", "field") == set()
+
+
+def test_functions_for_sql(spark, small):
+    from docweave.operators import normalize as N
+    from docweave.operators.sql import register_functions
+
+    register_functions(spark)
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    pages.createOrReplaceTempView("sql_pages")
+    got = spark.sql("SELECT page_id, m.content, m.canonical, m.title FROM (SELECT page_id, page_markdown(html, url) AS m FROM sql_pages)")
+    columns = ("page_id", "content", "canonical", "title")
+    assert rows(got, *columns) == rows(N.normalize_html(pages), *columns)
+    one = lambda x: spark.sql(f"SELECT {x} AS x").first()["x"]
+    assert one("page_markdown(NULL, NULL)")["content"] == "" and one("office_text('a.xlsx', CAST(NULL AS BINARY))") is None
+    assert one("sitemap_urls('<urlset><url><loc>https://a.org/x</loc></url><url><loc>ftp://a.org</loc></url></urlset>')") == ["https://a.org/x"] and one("sitemap_urls('<')") == []
+    assert [tuple(f) for f in one("""contract_faults('{"a": 1}', '{"required": ["b"]}')""")] == [("required", "$.b")] and [f["code"] for f in one("contract_faults('{', '{}')")] == ["invalid_json"]
+    assert abs(one("cosine(array(1D, 0D), array(1D, 1D))") - 0.5**0.5) < 1e-12 and one("cosine(array(0D), array(1D))") is None and one("cosine(array(1D), array(1D, 1D))") is None
+
+
+def test_a_hybrid_retriever_sees_the_documents_asked_about_only(spark):
+    chunks = spark.createDataFrame([(1, "alpha beta", "a.md"), (2, "alpha alpha", "b.md")], "chunk_id long, text string, document string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "chunk_id long, embedding array<double>")
+    queries = spark.createDataFrame([(7, "alpha")], "query_id long, query string")
+    L.register_retriever("hybrid", L.hybrid_retriever(spark.createDataFrame([(7, [1.0, 0.1])], "query_id long, embedding array<double>"), chunks, vectors))
+    assert rows(L.search("hybrid", queries, spark.createDataFrame([("a.md",), ("b.md",)], "path string"), 5), "retriever", "query_id", "path") == {("hybrid", 7, "a.md"), ("hybrid", 7, "b.md")}
+    assert rows(L.search("hybrid", queries, spark.createDataFrame([("b.md",)], "path string"), 5), "path", "rank") == {("b.md", 1)}
