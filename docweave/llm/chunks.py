@@ -16,8 +16,8 @@ import pyarrow as pa
 _LOOSE = re.compile(r" (?:\s|\Z)")
 _SAFE = re.compile(r" (?=\S)")
 
-#: Chunks a worker process remembers between slices. Beyond it the memory is emptied and filled again; results do not change.
-REMEMBERED = 1_000_000
+#: Chunks, and characters in them, that a worker process remembers between slices (texts without blanks are one chunk each). Beyond either the memory is emptied and filled again; results do not change.
+REMEMBERED, REMEMBERED_CHARACTERS = 1_000_000, 32_000_000
 
 
 def split(text: str) -> list[str]:
@@ -52,10 +52,11 @@ class ChunkMemory:
         self.first, self.next = _Codes("", self.fresh), _Codes(" ", self.fresh)
         self.ids = np.zeros(0, np.uint32)
         self.begins = np.zeros(1, np.int64)
+        self.characters = 0
 
     def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another (unsigned 32-bit), and where each text's ids begin (one more at the end). Null is the empty text."""
-        if self.fresh[0] > REMEMBERED:
+        if self.fresh[0] > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
             self.forget()
         codes: list[int] = []
         ends = [0]
@@ -70,6 +71,7 @@ class ChunkMemory:
             ends.append(len(codes))
         if len(self.fresh) > 1:
             ids, begins = self.learn(self.fresh[1:])
+            self.characters += sum(map(len, self.fresh[1:]))
             self.ids = np.concatenate((self.ids, ids.astype(np.uint32)))
             self.begins = np.concatenate((self.begins, begins[1:] + self.begins[-1]))
             del self.fresh[1:]

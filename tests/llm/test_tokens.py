@@ -57,6 +57,15 @@ def test_memory_may_be_forgotten(encoding, monkeypatch):
         assert ids_of(own, [text]) == [encoding.encode_ordinary(text)]
 
 
+def test_memory_is_bounded_where_texts_have_no_blanks(encoding, monkeypatch):
+    monkeypatch.setattr(chunks, "REMEMBERED_CHARACTERS", 100)
+    own = bpe.Replay(bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    for i in range(20):
+        text = f"{i}日本語" * 10
+        assert ids_of(own, [text]) == [encoding.encode_ordinary(text)]
+        assert own.characters <= 100 + len(text) and sum(map(len, own.first)) <= 100 + len(text)
+
+
 def test_op10_on_the_small_table(spark, small, encoding):
     from docweave.llm.bpe import op10_byte_bpe
 
