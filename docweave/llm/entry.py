@@ -11,6 +11,7 @@ from .minhash import OP8_SQL, op8_minhash
 from .mixing import op3_mixing
 from .quality import op7_quality
 from .sharding import op6_sharding
+from .spelling import OP11_SQL, op11_spelling
 from .token_orc import op9_token_orc
 from .toxicity import op1_toxicity
 from .va_file import OP2_SQL, op2_va_file
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_token_orc": op9_token_orc,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_spelling": op11_spelling,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -33,4 +35,5 @@ ORACLES = {
     "op2_va_file": OP2_SQL,
     "op5_chat_rotation": OP5_SQL,
     "op8_minhash": OP8_SQL,
+    "op11_spelling": OP11_SQL,
 }
