@@ -7,6 +7,7 @@ import corpus_pipeline
 from .bpe import op10_byte_bpe
 from .chat import OP5_SQL, op5_chat_rotation
 from .hilbert import op4_hilbert
+from .merkle import OP13_SQL, op13_merkle
 from .minhash import OP8_SQL, op8_minhash
 from .mixing import op3_mixing
 from .quality import op7_quality
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_token_orc": op9_token_orc,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_spelling": op11_spelling,
+    "op13_merkle": op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -36,4 +38,5 @@ ORACLES = {
     "op5_chat_rotation": OP5_SQL,
     "op8_minhash": OP8_SQL,
     "op11_spelling": OP11_SQL,
+    "op13_merkle": OP13_SQL,
 }
