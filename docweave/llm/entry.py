@@ -16,6 +16,7 @@ from .spelling import OP11_SQL, op11_spelling
 from .token_orc import op9_token_orc
 from .toxicity import op1_toxicity
 from .va_file import OP2_SQL, op2_va_file
+from .wrapper import op12_wrapper
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_token_orc": op9_token_orc,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_spelling": op11_spelling,
+    "op12_wrapper": op12_wrapper,
     "op13_merkle": op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
