@@ -1,9 +1,12 @@
 """Exact top-k search with a vector-approximation file.
 
-Two files hold the vectors: cells (each component's number among 2**BITS intervals of that dimension, one byte each) and the exact vectors. A search scans
-cells only. A cell bounds each component, so it bounds the inner product with a query from both sides: the product with the cell's middle, give or take what the
-widths allow, which is the same for all cells of a query. A row is read exactly only if its upper bound reaches the kth largest lower bound of its query. Exact
-vectors are fetched for these rows alone, by one join for all queries, and looked at in the order of their bounds until no bound reaches the kth result.
+Two files hold the vectors: cells (each component's number among 2**BITS intervals of that dimension) and the exact vectors. Intervals balance depth and width, are cut by a bounded sample and then
+measured over all rows: a cell knows the least and the largest component that lies in it. There are fewer cells than values, so a cell stands for several, and the product of a query with
+a row lies within that row's own slack of the product with its cells' middles.
+
+A search scans cells only. Before it, each query is compared with the sample; no row whose upper bound lies below the kth score found there can be among its best, so a task only sends rows that still
+may be, however many tasks there are. Exact vectors are then read in the order of the bounds, in two steps: the 2 * k rows with the highest upper bounds of each query give its kth score; what has a bound
+that reaches that score is read and looked at by descending bound until the kth result is certain.
 
 Queries go out in chunks of a fixed size to all tasks (so a broadcast never grows with the data); each chunk scans the cells once. Scores are
 integers, exact for all components below 2**31 / sqrt(dimensions).
@@ -18,96 +21,143 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, spool, table
+from .common import ship, spool, table, unspool
 from .vectors import dimensions, first_copies, matrix, ranked, usable
 
 K = 20
-#: Bits of a cell number; a byte holds it, so fewer save nothing and only widen the bounds.
-BITS = 8
+#: Bits of a cell number: 32 cells a dimension.
+BITS = 5
+#: Rows that the cuts are taken from and that give the first threshold: those with the smallest hash of vec_id. Cells and their extents are those of all rows.
+SAMPLE_ROWS = 8192
 #: Queries that are sent out together, and rows and queries that are looked at together in a task.
 QUERIES_TOGETHER, ROWS_TOGETHER, BLOCK = 32768, 4096, 512
 SCALE = 64
 
 
-def build(vectors: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame, dict]:
-    """Of (vec_id, vector array<bigint>), all of one length: the exact file, the cells (vec_id, cell binary), and the grid: least value and cell width by dimension."""
+def cuts(sample: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """By dimension 2**bits - 1 ascending cuts (dimensions as rows); component x lies in the cell that counts the cuts at or below x. Cells balance depth and width: each holds an equal part of the sum of
+    sqrt(rows * gap) over the sample's values, which makes the expected width of a row's cell least. There is at most a cell for two values, so cells stay coarser than values."""
+    out = []
+    for column in sample.T:
+        values, rows = np.unique(column, return_counts=True)
+        most = min(1 << bits, max(1, len(values) // 2))
+        part = np.sqrt(rows * np.diff(values.astype(np.float64), append=values[-1] + 1.0))
+        cell = ((np.cumsum(part) - part / 2) / part.sum() * most).astype(np.int64)
+        at = values[1:][cell[1:] != cell[:-1]]
+        out.append(np.concatenate((at, np.full((1 << bits) - 1 - len(at), np.iinfo(np.int64).max))))
+    return np.array(out, np.int64)
+
+
+def codes(x: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    return np.stack([np.searchsorted(cut[j], x[:, j], side="right") for j in range(x.shape[1])], axis=1).astype(np.uint8)
+
+
+def build(vectors: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame, dict, tuple[np.ndarray, np.ndarray]]:
+    """Of (vec_id, vector array<bigint>), all of one length: the exact file, the cells (vec_id, cell binary), the grid (middle and half width of every cell, as dimensions by cells), and the sample (ids, vectors)."""
     ship(vectors.sparkSession)
     file = spool(vectors.select("vec_id", "vector"), "va-vectors")
+    some = file.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(SAMPLE_ROWS).collect()
+    ids, sample = np.array([r["vec_id"] for r in some], np.int64), np.array([r["vector"] for r in some], np.int64)
+    cut = cuts(sample, bits)
+    d, cells = sample.shape[1], 1 << bits
 
     def extent(batches):
-        lo = hi = None
+        lo, hi = np.full((d, cells), np.iinfo(np.int64).max), np.full((d, cells), np.iinfo(np.int64).min)
         for b in batches:
             if b.num_rows:
-                x = matrix(b.column(0), len(b.column(0)[0]), np.int64)
-                lo = x.min(0) if lo is None else np.minimum(lo, x.min(0))
-                hi = x.max(0) if hi is None else np.maximum(hi, x.max(0))
-        if lo is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lo), dtype=np.int32)), pa.array(lo), pa.array(hi)], ["dim", "lo", "hi"])
-
-    found = file.select("vector").mapInArrow(extent, "dim int, lo long, hi long").groupBy("dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).orderBy("dim").collect()
-    lo = np.array([r["lo"] for r in found], np.float64)
-    hi = np.array([r["hi"] for r in found], np.float64)
-    width = np.maximum(1.0, np.ceil((hi - lo + 1) / (1 << bits)))  # in whole steps: a cell of width w holds w integers
-    grid = {"lo": lo, "width": width, "cells": 1 << bits}
-
-    def cells(batches):
+                x = matrix(b.column(0), d, np.int64)
+                c = codes(x, cut)
+                for j in range(d):
+                    np.minimum.at(lo[j], c[:, j], x[:, j])
+                    np.maximum.at(hi[j], c[:, j], x[:, j])
+        dim, cell = np.nonzero(lo <= hi)
+        yield pa.RecordBatch.from_arrays([pa.array(dim.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(lo[dim, cell]), pa.array(hi[dim, cell])], ["dim", "cell", "lo", "hi"])
+
+    found = file.select("vector").mapInArrow(extent, "dim int, cell int, lo long, hi long").groupBy("dim", "cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()  # dimensions * cells rows
+    middle, half = np.zeros((d, cells)), np.zeros((d, cells))
+    for r in found:
+        middle[r["dim"], r["cell"]] = (r["lo"] + r["hi"]) / 2
+        half[r["dim"], r["cell"]] = (r["hi"] - r["lo"]) / 2
+
+    def number(batches):
         for b in batches:
             if b.num_rows:
-                x = matrix(b.column(1), len(lo), np.float64)
-                code = np.minimum(np.floor((x - lo) / width), (1 << bits) - 1).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in code], pa.binary())], ["vec_id", "cell"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in codes(matrix(b.column(1), d, np.int64), cut)], pa.binary())], ["vec_id", "cell"])
+
+    return file, spool(file.mapInArrow(number, "vec_id long, cell binary"), "va-cells"), {"middle": middle, "half": half}, (ids, sample)
 
-    return file, spool(file.mapInArrow(cells, "vec_id long, cell binary"), "va-cells"), grid
 
+def thresholds(asked: DataFrame, sample: tuple[np.ndarray, np.ndarray], k: int = K) -> DataFrame:
+    """Adds least: the query's kth score among the sampled rows (one row a vec_id, not its own), which its kth score over all rows can't fall below."""
+    first = np.unique(sample[0], return_index=True)[1]
+    sent = asked.sparkSession.sparkContext.broadcast((sample[0][first], sample[1][first]))
 
-def scan(cells: DataFrame, grid: dict, queries: tuple[np.ndarray, np.ndarray], k: int = K) -> DataFrame:
-    """query_id, vec_id, about, slack: every row whose score may be among the k best of its query as far as its task can tell. The score lies within ``slack`` of ``about``. queries: ids, and the vectors as rows."""
+    def run(batches):
+        ids, x = sent.value
+        x = x.astype(np.float64).T  # exact below 2**53
+        for b in batches:
+            for r in range(0, b.num_rows, BLOCK):
+                part = b.slice(r, BLOCK)
+                q = matrix(part.column(1), x.shape[0], np.float64)
+                score = q @ x
+                score[part.column(0).to_numpy()[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) >= k else np.full(len(q), -np.inf)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(least)], ["vec_id", "vector", "least"])
+
+    return asked.select("vec_id", "vector").mapInArrow(run, "vec_id long, vector array<bigint>, least double")
+
+
+def scan(cells: DataFrame, grid: dict, queries: tuple[np.ndarray, np.ndarray, np.ndarray], k: int = K) -> DataFrame:
+    """query_id, vec_id, about, slack: every row whose score may be among the k best of its query as far as its task can tell; the score lies within the row's ``slack`` of ``about``. queries: ids, the vectors as rows, and what the kth score reaches at least."""
     sent = cells.sparkSession.sparkContext.broadcast((*queries, grid))
 
     def run(batches):
-        ids, q, grid = sent.value
+        ids, q, least, grid = sent.value
         d = q.shape[1]
         qf = q.astype(np.float64)
-        half = (grid["width"] - 1) / 2
-        per_cell = (qf * grid["width"]).astype(np.float32)
-        base = qf @ (grid["lo"] + half)
-        rounding = (np.abs(qf * grid["width"]).sum(1) * grid["cells"]) * (d + 4) * 1.2e-7 + np.abs(base) * 1e-12
-        slack = np.abs(qf) @ half + rounding
-        best = np.full((len(ids), k), -np.inf)  # the k largest so far of each query
+        middle, half = grid["middle"].astype(np.float32), grid["half"].astype(np.float32)
+        rounding = (np.abs(qf) @ (np.abs(grid["middle"]).max(1) + grid["half"].max(1))) * (d + 4) * 1.2e-7
+        product, spread = qf.astype(np.float32), np.abs(qf).astype(np.float32)
+        best = np.full((len(ids), k), -np.inf)  # the k largest lower bounds so far of each query
         found = []
+        dims = np.arange(d)[None, :]
         for b in batches:
             for r in range(0, b.num_rows, ROWS_TOGETHER):
                 part = b.slice(r, ROWS_TOGETHER)
                 own = part.column(0).to_numpy()
-                code = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, d).astype(np.float32).T
+                code = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, d)
+                x, w = middle[dims, code].T, half[dims, code].T
                 for s in range(0, len(ids), BLOCK):
-                    about = (per_cell[s : s + BLOCK] @ code).astype(np.float64) + base[s : s + BLOCK, None]
-                    about[ids[s : s + BLOCK, None] == own[None, :]] = -np.inf
+                    t = slice(s, s + BLOCK)
+                    about, slack = (product[t] @ x).astype(np.float64), (spread[t] @ w).astype(np.float64)
+                    slack += rounding[t, None]
+                    about[ids[t, None] == own[None, :]] = -np.inf
                     some = min(k, len(own))
-                    top = np.concatenate((best[s : s + BLOCK], np.partition(about, len(own) - some, axis=1)[:, len(own) - some :]), axis=1)
-                    best[s : s + BLOCK] = np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k :]
-                    least = best[s : s + BLOCK].min(1) - 2 * slack[s : s + BLOCK]
-                    rows, cols = np.nonzero((about >= least[:, None]) & np.isfinite(about))
-                    found.append((s + rows, own[cols], about[rows, cols]))
+                    low = about - slack
+                    top = np.concatenate((best[t], np.partition(low, len(own) - some, axis=1)[:, len(own) - some :]), axis=1)
+                    best[t] = np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k :]
+                    bar = np.maximum(best[t].min(1), least[t])
+                    rows, cols = np.nonzero((about + slack >= bar[:, None]) & np.isfinite(about))
+                    found.append((s + rows, own[cols], about[rows, cols], slack[rows, cols]))
             if sum(len(f[0]) for f in found) > 1_000_000:
-                found = [_reaching(found, best, slack)]
+                found = [_reaching(found, best, least)]
         if found:
-            row, own, about = _reaching(found, best, slack)
+            row, own, about, slack = _reaching(found, best, least)
             for i in range(0, len(row), 100_000):
-                part = row[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(own[i : i + 100_000]), pa.array(about[i : i + 100_000]), pa.array(slack[part])], ["query_id", "vec_id", "about", "slack"])
+                j = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[j]]), pa.array(own[j]), pa.array(about[j]), pa.array(slack[j])], ["query_id", "vec_id", "about", "slack"])
 
     return cells.mapInArrow(run, "query_id long, vec_id long, about double, slack double")
 
 
-def _reaching(found: list, best: np.ndarray, slack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    row, own, about = (np.concatenate(x) for x in zip(*found))
-    keep = about >= (best.min(1) - 2 * slack)[row]
-    return row[keep], own[keep], about[keep]
+def _reaching(found: list, best: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ...]:
+    row, own, about, slack = (np.concatenate(x) for x in zip(*found))
+    keep = about + slack >= np.maximum(best.min(1), least)[row]
+    return row[keep], own[keep], about[keep], slack[keep]
 
 
 def fetch(reaching: DataFrame, file: DataFrame, asked: DataFrame, k: int = K) -> DataFrame:
-    """query_id, vec_id, score: exact scores of rows (query_id, vec_id, about, slack), looked at by descending bound and for each query until the kth is certain."""
+    """query_id, vec_id, score: exact scores of rows (query_id, vec_id, upper), looked at by descending upper bound and for each query until the kth is certain."""
     vectors = file.select(F.col("vec_id").alias("_id"), "vector")
     queries = asked.select(F.col("vec_id").alias("_query"), F.col("vector").alias("query"))
     both = reaching.join(vectors, F.col("vec_id") == F.col("_id")).join(queries, F.col("query_id") == F.col("_query"))
@@ -115,9 +165,11 @@ def fetch(reaching: DataFrame, file: DataFrame, asked: DataFrame, k: int = K) ->
     def run(batches):
         now, scores = None, []  # the query at hand, and its k best scores
         for b in batches:
-            ids, bound = b.column(0).to_numpy(), b.column(2).to_numpy() + b.column(3).to_numpy()
-            d = len(b.column(4)[0]) if b.num_rows else 1
-            x, q = matrix(b.column(4), d, np.int64), matrix(b.column(5), d, np.int64)
+            if not b.num_rows:
+                continue
+            ids, bound = b.column(0).to_numpy(), b.column(2).to_numpy()
+            d = len(b.column(3)[0])
+            x, q = matrix(b.column(3), d, np.int64), matrix(b.column(4), d, np.int64)
             keep, out = [], []
             for i in range(b.num_rows):
                 if ids[i] != now:
@@ -130,41 +182,60 @@ def fetch(reaching: DataFrame, file: DataFrame, asked: DataFrame, k: int = K) ->
                 out.append(score)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int32())), b.column(1).take(pa.array(keep, pa.int32())), pa.array(out, pa.int64())], ["query_id", "vec_id", "score"])
 
-    cols = ["query_id", "vec_id", "about", "slack", "vector", "query"]
-    return both.select(*cols).repartition("query_id").sortWithinPartitions("query_id", F.col("about").desc(), "vec_id").mapInArrow(run, "query_id long, vec_id long, score long")
+    cols = ["query_id", "vec_id", "upper", "vector", "query"]
+    return both.select(*cols).repartition("query_id").sortWithinPartitions("query_id", F.col("upper").desc(), "vec_id").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def read_in_order(reaching: DataFrame, file: DataFrame, asked: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
+    """Exact scores of what two steps read (both spooled): first the 2 * k rows with the highest upper bounds of every query, then the others whose bound reaches the kth score of these."""
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("upper").desc(), "vec_id"))
+    placed = spool(reaching.withColumn("place", place), "va-placed")
+    head = spool(fetch(placed.where(F.col("place") <= 2 * k), file, asked, k), "va-read")
+    kth = ranked(head, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+    rest = placed.where(F.col("place") > 2 * k).join(kth, "query_id", "left").where(F.col("upper") >= F.coalesce("kth", F.lit(float("-inf"))))
+    tail = spool(fetch(rest.select("query_id", "vec_id", "upper"), file, asked, k), "va-read")
+    unspool(placed)
+    return head, tail
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, bits: int = BITS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, bits: int = BITS, reads: list | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of integer vectors (vec_id long, vector array<bigint>): each query's k highest inner products.
 
     ``is_query`` picks the queries; candidates are all rows but those of the query's own vec_id. Null ids and null or empty vectors take no part, vectors are compared
     with those of their length only. Rows that repeat a vec_id with another vector are candidates each, rows that repeat both count once; as a query an id counts once (with its
-    smallest vector). Ties go to the smaller vec_id. An empty table gives no rows.
+    smallest vector). Ties go to the smaller vec_id. An empty table gives no rows. Equal vectors beyond the k + 1 smallest ids can't be among the k best, so these are not kept.
+    ``reads``, if given, gets a (queries, rows, exact rows read) for each length.
     """
     spark = vectors.sparkSession
     vectors = vectors.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0))
     parts = []
     for d in dimensions(vectors, "vector"):
         own = vectors.where(F.size("vector") == d)
-        file, cells, grid = build(first_copies(own, k + 1), bits)
-        asked = spool(own.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")), "va-queries")
-        chunks = -(-asked.count() // QUERIES_TOGETHER)
+        file, cells, grid, sample = build(first_copies(own, k + 1), bits)
+        asked = spool(thresholds(own.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector")), sample, k), "va-queries")
+        n = asked.count()
+        chunks = -(-n // QUERIES_TOGETHER)
         found = []
         for c in range(chunks):
             rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).collect()  # about QUERIES_TOGETHER rows
             if rows:
-                ids = np.array([r["vec_id"] for r in rows], np.int64)
-                some = scan(cells, grid, (ids, np.array([r["vector"] for r in rows], np.int64)), k)
-                # the kth largest over all tasks decides what is worth reading
-                order = Window.partitionBy("query_id").orderBy(F.col("about").desc())
+                ids, least = np.array([r["vec_id"] for r in rows], np.int64), np.array([r["least"] for r in rows], np.float64)
+                some = scan(cells, grid, (ids, np.array([r["vector"] for r in rows], np.int64), least), k)
+                # the kth largest lower bound over all tasks decides what is worth reading
+                order = Window.partitionBy("query_id").orderBy((F.col("about") - F.col("slack")).desc())
                 some = some.withColumn("_n", F.row_number().over(order))
-                kth = F.min(F.when(F.col("_n") <= k, F.col("about"))).over(Window.partitionBy("query_id"))
-                some = some.withColumn("_kth", kth).where((F.col("about") >= F.col("_kth") - 2 * F.col("slack"))).select("query_id", "vec_id", "about", "slack")
+                kth = F.min(F.when(F.col("_n") <= k, F.col("about") - F.col("slack"))).over(Window.partitionBy("query_id"))
+                some = some.withColumn("_kth", kth).where(F.col("about") + F.col("slack") >= F.col("_kth")).select("query_id", "vec_id", (F.col("about") + F.col("slack")).alias("upper"))
                 found.append(spool(some, "va-reaching"))
         if found:
             # one entry a query and id: a vec_id that stands for several vectors has all of them looked at, in the order of the best bound
-            reaching = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.max("about").alias("about"), F.max("slack").alias("slack"))
-            parts.append(ranked(fetch(reaching, file, asked, k), k))
+            reaching = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper"))
+            head, tail = read_in_order(reaching, file, asked, k)
+            if reads is not None:
+                reads.append((n, file.count(), head.count() + tail.count()))
+            parts.append(spool(ranked(head.unionByName(tail), k), "va-best"))
+            unspool(head, tail, *found)
+        unspool(file, cells, asked)
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return reduce(DataFrame.unionByName, parts)

@@ -1,4 +1,4 @@
-"""What the vector searches share: usable vectors, copies, batches as matrices, and running best lists."""
+"""What the vector searches share: usable vectors, copies, batches as matrices, ranked lists."""
 
 from __future__ import annotations
 
@@ -33,35 +33,6 @@ def matrix(column: pa.Array, d: int, kind) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(-1, d)
 
 
-class Best:
-    """For each of many queries, the k pairs with the highest scores so far (ties: smaller id)."""
-
-    def __init__(self, queries: int, k: int, kind):
-        self.k = k
-        self.query = np.zeros(0, np.int64)
-        self.score = np.zeros(0, kind)
-        self.id = np.zeros(0, np.int64)
-        self.queries = queries
-
-    def add(self, query: np.ndarray, score: np.ndarray, id_: np.ndarray) -> None:
-        query, score, id_ = np.concatenate((self.query, query)), np.concatenate((self.score, score)), np.concatenate((self.id, id_))
-        order = np.lexsort((id_, -score, query))
-        query = query[order]
-        first = np.searchsorted(query, query, side="left")
-        keep = np.arange(len(query)) - first < self.k
-        order = order[keep]
-        self.query, self.score, self.id = query[keep], score[order], id_[order]
-
-    def kth(self, none) -> np.ndarray:
-        """Each query's kth score, ``none`` where there are fewer."""
-        out = np.full(self.queries, none, np.float64)
-        n = np.bincount(self.query, minlength=self.queries)
-        last = np.cumsum(n) - 1
-        full = n >= self.k
-        out[full] = self.score[last[full]]
-        return out
-
-
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of (query_id, vec_id, score), ties to the smaller vec_id."""
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

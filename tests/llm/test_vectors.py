@@ -79,7 +79,63 @@ def test_hilbert_numbers_are_a_path():
 
 
 def test_equal_vectors_are_split_in_bounded_groups(spark, monkeypatch):
-    monkeypatch.setattr(hilbert, "GROUP_ROWS", 10)
+    monkeypatch.setattr(hilbert, "UNIT_ROWS", 2)
+    monkeypatch.setattr(hilbert, "PIECE_ROWS", 4)
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(60)] + [(100 + i, [float(i), 1.0, -1.0]) for i in range(10)]
     got = [(r["rank"], r["vec_id"]) for r in hilbert.neighbours(frame(spark, rows), F.col("vec_id") == 0, k=5).orderBy("rank").collect()]
     assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+
+
+def test_cells_are_coarser_than_values_and_few_rows_are_read(spark):
+    """Cells stand for several values in every dimension, all values of a row lie in its cells' extents, and a query reads less than 5 % of the table exactly."""
+    e = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
+    rows = e.select("vec_id", F.transform("embedding", lambda x: F.floor(64 * x.cast("double")).cast("long")).alias("vector"))
+    file, cells, grid, _ = va_file.build(rows)
+    x = {r["vec_id"]: np.array(r["vector"]) for r in file.collect()}
+    code = {r["vec_id"]: np.frombuffer(r["cell"], np.uint8) for r in cells.collect()}
+    ids = sorted(x)
+    values, numbers = np.stack([x[i] for i in ids]), np.stack([code[i] for i in ids])
+    for j in range(values.shape[1]):
+        assert len(np.unique(numbers[:, j])) < len(np.unique(values[:, j])) and grid["half"][j].max() > 0
+    dims = np.arange(values.shape[1])
+    assert (np.abs(values - grid["middle"][dims, numbers]) <= grid["half"][dims, numbers]).all()
+    reads = []
+    va_file.top_k(rows, F.col("vec_id") % 20 == 0, reads=reads)
+    queries, n, read = reads[0]
+    assert queries == 100 and n == 2000 and 20 <= read / queries < 0.05 * n
+
+
+def lengths(kind, n, rng):
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "log-normal":
+        return x * rng.lognormal(0, 1, (n, 1))
+    if kind == "one huge":
+        x[777] *= 1e9
+    if kind == "extreme":  # squares of these are no numbers
+        x[:5] *= 1e200
+        x[5:10] *= 1e-200
+    return x
+
+
+@pytest.mark.parametrize("kind", ["log-normal", "one huge", "extreme"])
+def test_recall_of_unequal_lengths(spark, kind):
+    x = lengths(kind, 1500, np.random.default_rng(3))
+    got = {}
+    for r in hilbert.neighbours(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    q = np.arange(0, 1500, 20)
+    s = x[q] @ x.T
+    s[np.arange(len(q)), q] = -np.inf
+    top = np.argsort(-s, axis=1, kind="stable")[:, :20]
+    assert np.mean([len(got[i] & set(t.tolist())) / 20 for i, t in zip(q.tolist(), top)]) >= 0.9
+
+
+def test_pieces_by_position_give_the_same_windows(spark, monkeypatch):
+    """However curves are cut into pieces, a query meets its whole window."""
+    x = lengths("unit", 600, np.random.default_rng(4))
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    ask = lambda: {(r["query_id"], r["vec_id"]) for r in hilbert.neighbours(df, F.col("vec_id") % 20 == 0, k=5, curves=4).collect()}
+    whole = ask()
+    monkeypatch.setattr(hilbert, "PIECE_ROWS", 1)
+    assert ask() == whole
