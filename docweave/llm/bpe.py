@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import ChunkMemory
-from .common import field_list, output_columns, ship, table, text_slices
+from .common import field_list, lean, output_columns, ship, table, text_slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -171,7 +171,7 @@ def encode_documents(docs: DataFrame, text: str = "text", rank_file: str | None
                 col = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + [col], keep + [out])
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(lean(run), fields)
 
 
 def decode_documents(tokens: DataFrame, ids: str = "token_ids", rank_file: str | None = None, pattern: str | None = None, out: str = "decoded") -> DataFrame:
@@ -187,7 +187,7 @@ def decode_documents(tokens: DataFrame, ids: str = "token_ids", rank_file: str |
             col = pa.array([bpe.decode(x or []) for x in b.column(b.schema.get_field_index(ids)).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [col], keep + [out])
 
-    return tokens.mapInArrow(run, f"{fields}, `{out}` binary")
+    return tokens.mapInArrow(lean(run), f"{fields}, `{out}` binary")
 
 
 def round_trip_digest(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -214,7 +214,7 @@ def round_trip_digest(docs: DataFrame, rank_file: str | None = None, pattern: st
                     back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([names.slice(i, j - i), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_text, output_columns, ship, spool, table, text_slices, unspool
+from .common import each_text, lean, output_columns, ship, spool, table, text_slices, unspool
 
 COORDINATES, MATCHES = 64, 38
 #: Words of a shingle, and the least similarity in percent. The query op8_minhash takes pairs of words, as its contract says.
@@ -96,7 +96,7 @@ def sketch(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                     sigs.append(signature(h).tobytes() if len(h) else None)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(sets, pa.string()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_hash", "sig"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash string, sig binary")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(lean(run), "doc_id long, n_shingles long, set_hash string, sig binary")
 
 
 def _postings(reps: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def _postings(reps: DataFrame) -> DataFrame:
                 ends = np.arange(0, flat.size + 1, COORDINATES, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "tokens"])
 
-    listed = reps.select("doc_id", "sig").mapInArrow(tokens, "doc_id long, tokens array<bigint>").select("doc_id", F.explode("tokens").alias("token"))
+    listed = reps.select("doc_id", "sig").mapInArrow(lean(tokens), "doc_id long, tokens array<bigint>").select("doc_id", F.explode("tokens").alias("token"))
     shared = spool(listed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "minhash-tokens")
     mine = listed.join(shared, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))  # COORDINATES at most
     mine = mine.where(F.size("tokens") >= MATCHES).select("doc_id", F.slice("tokens", F.lit(1), F.size("tokens") - (MATCHES - 1)).alias("tokens"))
@@ -123,7 +123,7 @@ def _postings(reps: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([short(x) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "sig"])
 
-    sigs = reps.select("doc_id", "sig").mapInArrow(shorten, "doc_id long, sig binary")
+    sigs = reps.select("doc_id", "sig").mapInArrow(lean(shorten), "doc_id long, sig binary")
     out = spool(posted.join(lists, "token").join(sigs, "doc_id").select("token", "doc_id", "sig", "length"), "minhash-lists")
     unspool(posted)
     return out
@@ -190,7 +190,7 @@ def _short_lists(posted: DataFrame) -> DataFrame:
                 f = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(f.min(1)), pa.array(f.max(1))], ["a", "b"])
 
-    return posted.select("token", "doc_id", "sig").repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(run, "a long, b long")
+    return posted.select("token", "doc_id", "sig").repartition("token").sortWithinPartitions("token", "doc_id").mapInArrow(lean(run), "a long, b long")
 
 
 def _forest(link: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
@@ -242,7 +242,7 @@ def link_groups(rows: DataFrame, linked: Callable[[list[bytes], np.ndarray, np.n
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(as_, pa.int64()), pa.array(bs, pa.int64())], ["key", "a", "b"])
 
-    met = pivots.unionByName(members).repartition("key", "block").sortWithinPartitions("key", "block", "role", "doc_id").mapInArrow(first, "key long, a long, b long")
+    met = pivots.unionByName(members).repartition("key", "block").sortWithinPartitions("key", "block", "role", "doc_id").mapInArrow(lean(first), "key long, a long, b long")
     met = spool(met, "minhash-met")
 
     open_ = met.where("b IS NULL").select("key", F.col("a").alias("doc_id"))
@@ -268,7 +268,7 @@ def link_groups(rows: DataFrame, linked: Callable[[list[bytes], np.ndarray, np.n
                 f = np.array(found, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(f.min(1)), pa.array(f.max(1))], ["a", "b"])
 
-    across = stay.unionByName(go).repartition("key", "block", "asking").sortWithinPartitions("key", "block", "asking", "asks", "doc_id").mapInArrow(second, "a long, b long")
+    across = stay.unionByName(go).repartition("key", "block", "asking").sortWithinPartitions("key", "block", "asking", "asks", "doc_id").mapInArrow(lean(second), "a long, b long")
     out = spool(met.where("b IS NOT NULL").select("a", "b").unionByName(across).distinct(), "minhash-joined")
     unspool(met)
     return out
@@ -339,7 +339,7 @@ def _confirm(clusters: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 sets = [shingles(t, size, known).tobytes() for t in each_text(part.column(0))]
                 yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), *part.columns[1:]], ["payload", "doc_id", "key", "members", "n_blocks"])
 
-    sets = spool(texts.mapInArrow(sets_of, "payload binary, doc_id long, key long, members long, n_blocks int"), "minhash-sets")
+    sets = spool(texts.mapInArrow(lean(sets_of), "payload binary, doc_id long, key long, members long, n_blocks int"), "minhash-sets")
     out = link_groups(sets, _similar)
     unspool(sets)
     return out

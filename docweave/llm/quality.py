@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_text, held_out, ship, table
+from .common import each_text, held_out, lean, ship, table
 
 FOLDS, FOLD = 5, 0
 THRESHOLD = 0.3
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Trees:
     few = docs.select(docs["doc_id"].alias("_doc"), docs["text"].alias("_text"))  # other columns of docs may have any name
     few = few.join(F.broadcast(some), F.col("_doc") == F.col("_id"))
     few = few.groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.first("label").alias("label"))  # a doc_id may repeat; fit_rows stays the bound
-    rows = few.select("_text", "label").mapInArrow(run, "x array<double>, label int").collect()
+    rows = few.select("_text", "label").mapInArrow(lean(run), "x array<double>, label int").collect()
     rows.sort(key=lambda r: (r["x"], r["label"]))  # as partitions may come in any order
     return grow(np.array([r["x"] for r in rows]).reshape(-1, len(STATISTICS)), np.array([r["label"] for r in rows], float))
 
@@ -172,7 +172,7 @@ def score(docs: DataFrame, trees: Trees, text: str = "text", id_: str = "doc_id"
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), trees))], ["doc_id", "score"])
 
-    return docs.select(docs[id_].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_].dataType.simpleString()}, score double")
+    return docs.select(docs[id_].alias("doc_id"), docs[text].alias("text")).mapInArrow(lean(run), f"doc_id {docs.schema[id_].dataType.simpleString()}, score double")
 
 
 def is_good(score_: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import ChunkMemory
-from .common import shared_dir, ship, spool, table, text_slices
+from .common import lean, shared_dir, ship, spool, table, text_slices
 
 END_ID = 0
 
@@ -96,7 +96,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str | None = None, end_id: int | N
                 lists = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), lists], ["doc_id", "token_ids"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, "doc_id long, token_ids array<int>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(lean(run), "doc_id long, token_ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, files: int | None = None, **how) -> None:
@@ -137,7 +137,7 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), b.column(2)], ["doc_id", "n_tokens", "ids_crc32", "part"])
 
     # a few numbers a document, read from the files once and used twice
-    return with_starts(spool(read_tokens(spark, path).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, part int"), "token-digests"))
+    return with_starts(spool(read_tokens(spark, path).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_crc32 long, part int"), "token-digests"))
 
 
 def with_starts(each: DataFrame) -> DataFrame:

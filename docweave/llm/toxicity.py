@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import each_text, held_out, ship, spool, table
+from .common import each_text, held_out, lean, ship, spool, table
 
 FOLDS, FOLD = 3, 1
 THRESHOLD = 0.7
@@ -128,7 +128,7 @@ def _one_of_each_family(rows: DataFrame) -> set[int]:
 
     seen: set[tuple[int, int]] = set()
     kept = set()
-    for r in sorted(rows.mapInArrow(run, "key long, mins array<long>").collect(), key=lambda r: r["key"]):  # FIT_ROWS at most, five numbers each
+    for r in sorted(rows.mapInArrow(lean(run), "key long, mins array<long>").collect(), key=lambda r: r["key"]):  # FIT_ROWS at most, five numbers each
         mine = set(enumerate(r["mins"]))
         if not mine & seen:
             kept.add(r["key"])
@@ -171,7 +171,7 @@ def _mine(rows: DataFrame, seeds: list[str]) -> tuple[list[str], list[tuple[str,
                     seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-        counts = some.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        counts = some.mapInArrow(lean(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
         return {r["term"]: r["n"] for r in counts.where(F.col("n") >= (enough if wanted is None else 1)).collect()}
 
     in_toxic = counted(rows.where("label = 1"), None)  # terms of at least 1 in 200 of the sample's toxic texts: bounded with the sample
@@ -340,7 +340,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
         for b in batches:
             yield b.filter(pa.array([k in kept for k in b.column(2).to_pylist()], pa.bool_()))
 
-    rows = spool(rows.mapInArrow(one_of_each, rows.schema).dropDuplicates(["key"]), "toxicity-families")
+    rows = spool(rows.mapInArrow(lean(one_of_each), rows.schema).dropDuplicates(["key"]), "toxicity-families")
     words, stems = _mine(rows, [w for ws in INSULTS.values() for w in ws])
 
     def look(batches):
@@ -354,7 +354,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
             numbers = [pa.array([h[k] for h in hits], pa.int32()) for k in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays([pairs, *numbers, pa.array([m[0] for m in manners], pa.float64()), pa.array([m[1] for m in manners], pa.int32()), b.column(1)], ["pairs", "row", "address", "n", "capitals", "run", "label"])
 
-    got = rows.mapInArrow(look, "pairs array<int>, row int, address int, n int, capitals double, run int, label int").collect()  # fit_rows at most, a few numbers each
+    got = rows.mapInArrow(lean(look), "pairs array<int>, row int, address int, n int, capitals double, run int, label int").collect()  # fit_rows at most, a few numbers each
     got.sort(key=lambda r: (r["n"], r["row"], r["address"], r["label"], r["capitals"], r["run"], r["pairs"]))  # as partitions may come in any order
     hits = [(list(zip(r["pairs"][::2], r["pairs"][1::2])), r["row"], r["address"], r["n"]) for r in got]
     size = len(words) + len(stems)
@@ -408,7 +408,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", id_: str = "doc_id")
             p, hits, n = scorer(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(hits, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "score", "hits", "n_words"])
 
-    return docs.select(docs[id_].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_].dataType.simpleString()}, score double, hits long, n_words long")
+    return docs.select(docs[id_].alias("doc_id"), docs[text].alias("text")).mapInArrow(lean(run), f"doc_id {docs.schema[id_].dataType.simpleString()}, score double, hits long, n_words long")
 
 
 def is_toxic(score_: Column) -> Column:
