@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import records as R
 
@@ -68,15 +69,55 @@ def dedupe_canonical(entries: DataFrame) -> DataFrame:
     return entries.withColumn("_later", later).withColumns({"reason": F.when(F.col("_later"), "duplicate-canonical"), "status": F.when(F.col("_later"), "ignored").otherwise(F.col("status"))}).drop("_later")
 
 
+#: A name that was made for a later source: ten hexadecimal figures of a hash, and a number from 2 on.
+_MADE = r"^(.+?)--([0-9a-f]{10})(?:-[0-9]+)?((?:--[0-9a-f]{10}(?:-[0-9]+)?)*)$"
+
+
 def unique_destinations(entries: DataFrame) -> DataFrame:
-    """Entries (package_id, seq, destination, source) with final_destination: the first to want a name gets it, later ones get ten characters of the hash of their source, then -2, -3, ..."""
+    """Entries (package_id, seq, destination, source) with final_destination, no name twice in a package: in order of seq, the first to want a name gets it; others get the name without its folder and ten characters of the hash of
+    their source, then -2, -3, ..., whatever is free. Null sources count as empty, a package's seq are distinct.
+
+    Made names can only meet made names of the same stem and hash, and names that are wanted and look as if they were made. Where no such name is wanted the nth of a stem and hash has number n. The others are settled
+    in order, by stem and hash: few rows each, unless one source wants one name again and again.
+    """
     first = F.row_number().over(Window.partitionBy("package_id", "destination").orderBy("seq")) == 1
-    e = entries.withColumns({"_first": first, "_digest": F.substring(F.sha2("source", 256), 1, 10)})
-    again = F.row_number().over(Window.partitionBy("package_id", "destination", "_digest", "_first").orderBy("seq"))
+    e = entries.withColumns({"_first": first, "_digest": F.substring(F.sha2(F.coalesce("source", F.lit("")), 256), 1, 10)})
     name = F.regexp_extract("destination", r"([^/]*)$", 1)
-    stem, extension = F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(name, r".(\.[^.]*)$", 1)
-    other = F.concat(stem, F.lit("--"), "_digest", F.when(again > 1, F.concat(F.lit("-"), again.cast("string"))).otherwise(""), extension)
-    return e.withColumn("final_destination", F.when(F.col("_first"), F.col("destination")).otherwise(other)).drop("_first", "_digest")
+    e = e.withColumns({"_stem": F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), "_extension": F.regexp_extract(name, r".(\.[^.]*)$", 1)})
+    e = e.withColumn("_stem", F.when(F.col("_stem") == "", "source").otherwise(F.col("_stem")))
+    looks = ~F.contains("destination", F.lit("/")) & F.regexp_like("_stem", F.lit(_MADE))
+    made = F.concat("_stem", F.lit("--"), "_digest")
+    e = e.withColumns({"_looks": looks, "_made": made}).withColumn("_asks", ~F.col("_first") | F.col("_looks"))
+    of = F.when(~F.col("_first"), F.col("_made")).otherwise(F.col("_stem"))
+    e = e.withColumns({"_root": F.regexp_extract(of, _MADE, 1), "_hash": F.regexp_extract(of, _MADE, 2)})
+    group = ["package_id", "_root", "_hash", "_extension"]
+    family = Window.partitionBy(*group)
+    asking = e.where("_asks").withColumn("_hard", F.max(F.col("_looks").cast("int")).over(family) == 1)
+    # no wanted name looks like a made one: numbers
+    again = F.row_number().over(Window.partitionBy(*group, "_made").orderBy("seq"))
+    plain = asking.where("NOT _hard").withColumn("final_destination", F.concat("_made", F.when(again > 1, F.concat(F.lit("-"), again.cast("string"))).otherwise(""), "_extension"))
+
+    def settle(batches):
+        now, used = None, set()
+        for b in batches:
+            out = []
+            for *key, wanted, stem, extension in zip(*(b[c] for c in group), b["destination"], b["_made"], b["_extension"]):
+                if key != now:
+                    now, used = key, set()
+                # a wanted name with a folder, or one that does not look made, can only be taken by the first to want it, who is not here
+                free = wanted not in used and b["_looks"].iat[len(out)]
+                n, own = 2, wanted if free else f"{stem}{extension}"
+                while own in used:
+                    own, n = f"{stem}-{n}{extension}", n + 1
+                used.add(own)
+                out.append(own)
+            yield b.assign(final_destination=out)
+
+    hard = asking.where("_hard").repartition(*group).sortWithinPartitions(*group, "seq")
+    hard = hard.mapInPandas(settle, StructType([*hard.schema.fields, StructField("final_destination", StringType())]))
+    kept = e.where("NOT _asks").withColumn("final_destination", F.col("destination"))
+    columns = [*entries.columns, "final_destination"]
+    return kept.select(*columns).unionByName(plain.select(*columns)).unionByName(hard.select(*columns))
 
 
 def snapshot_documents(docs: DataFrame, blocked: DataFrame | None = None) -> DataFrame:

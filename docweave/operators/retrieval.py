@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..functions import text as T
 from ..functions import urls as U
+from .graph import cut, drop
+from .lexical_index import Index, best_hits, build_index, trigram_hits
+from .vector_store import Store, build_store, nearest
+
 
 def phrase_hits(phrases: DataFrame, docs: DataFrame, fold: bool = True) -> DataFrame:
     """query_id, path of the documents (path, content) that hold the whole phrase of (query_id, phrase); both case-folded, unless ``fold`` is false.
 
     The first and last token of a phrase may go on in a longer word, those between stand as they are in any text that holds it. So a document must have the rarest of the tokens between: an inverted join
-    on that token alone, then the test on what it leaves. Phrases of fewer than three tokens have none between; these alone are tested on all documents.
+    on that token alone, then the test on what it leaves. Phrases of fewer than three tokens have none between; they are found through their trigrams.
     """
     p = phrases.where("phrase <> ''").select("query_id", (T.casefold(F.col("phrase")) if fold else F.col("phrase")).alias("phrase"), T.token_list(F.col("phrase")).alias("_ts"))
     between = p.where(F.size("_ts") > 2).select("query_id", F.explode(F.array_distinct(F.slice("_ts", F.lit(2), F.size("_ts") - 2))).alias("token"))
@@ -29,32 +31,32 @@ def phrase_hits(phrases: DataFrame, docs: DataFrame, fold: bool = True) -> DataF
     pairs = postings.join(rarest, "token").select("query_id", "path")
     found = pairs.join(p.select("query_id", "phrase"), "query_id").join(docs.select("path", text.alias("_text")), "path").where(F.contains("_text", F.col("phrase"))).select("query_id", "path")
     short = p.where(F.size("_ts") <= 2).select("query_id", "phrase")
-    return found.unionByName(docs.select("path", text.alias("_text")).join(short, F.contains("_text", F.col("phrase"))).select("query_id", "path"))
+    if short.isEmpty():
+        return found
+    return found.unionByName(trigram_hits(short, docs.select("path", text.alias("text"))))
 
 
-def rank_documents(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
+def rank_documents(queries: DataFrame, docs: DataFrame, k: int = 5, index: Index | None = None, counts: dict | None = None) -> DataFrame:
     """query_id, path, score, rank: the k best documents (path, content) of each query (query_id, query).
 
     score = share of the query's tokens in the content + half the share in the path + 0.5 if the whole query occurs in the content, all case-folded. Documents without any hit
-    score 0 and fill short lists; ties go by path. Documents meet the queries through shared tokens only; which side of a join is sent to all tasks is left to the optimiser's size check.
+    score 0 and fill short lists; ties go by path. The documents' ``index`` (build_index) may be given; else one of the queries' tokens is built. What can't be among the k best is not expanded (see best_hits).
     """
-    q = queries.select("query_id", F.coalesce("query", F.lit("")).alias("phrase"), T.tokens(F.col("query")).alias("tokens")).withColumn("n", F.size("tokens"))
-    words = q.select("query_id", "n", F.explode("tokens").alias("token"))
-    # content and path of a document are one list of (token, weight), so a token is joined once
-    in_content, in_path = T.tokens(F.col("content")), T.tokens(F.col("path"))
-    both = F.concat(F.transform(in_content, lambda t: F.struct(t.alias("token"), F.lit(1.0).alias("w"))), F.transform(in_path, lambda t: F.struct(t.alias("token"), F.lit(0.5).alias("w"))))
-    held = docs.select("path", F.explode(both).alias("t")).select("path", "t.token", "t.w")
-    n = F.greatest(F.first("n"), F.lit(1))
-    shares = held.join(words, "token").groupBy("query_id", "path").agg((F.count_if(F.col("w") == 1.0) / n + F.count_if(F.col("w") == 0.5) / n * 0.5).alias("share"))
-    phrase = phrase_hits(q, docs).withColumn("ph", F.lit(0.5))
-    hits = shares.join(phrase, ["query_id", "path"], "full_outer").select("query_id", "path", (F.coalesce("share", F.lit(0.0)) + F.coalesce("ph", F.lit(0.0))).alias("score"))
+    q = cut(queries.select("query_id", F.coalesce("query", F.lit("")).alias("phrase"), T.tokens(F.col("query")).alias("tokens")))
+    own = index or build_index(docs, q.select(F.explode("tokens").alias("token")))
+    phrases = cut(phrase_hits(q, docs).distinct())
+    hits = best_hits(q, own, phrases, k, counts)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "path")
     top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     # fill: of the first 2k paths at most k are hits already, so k others are always left; a hit among them has a better score and stands with that
     first = docs.select("path").distinct().orderBy("path").limit(2 * k)
     fill = q.select("query_id").join(F.broadcast(first), F.lit(True)).select("query_id", "path", F.lit(0.0).alias("score"))
     all_ = top.drop("rank").unionByName(fill).groupBy("query_id", "path").agg(F.max("score").alias("score"))
-    return all_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = cut(all_.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    drop(q, phrases, hits)
+    if index is None:
+        own.drop()
+    return out
 
 
 def citations(hits: DataFrame) -> DataFrame:
@@ -80,27 +82,27 @@ def get_document(requests: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def expand_query(queries: DataFrame, synonyms: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """query_id, tokens: the query's tokens and what they expand to, sorted. synonyms (term, expansion) work in one direction, groups (group_id, term) between all their terms. Both tables are configuration and broadcast."""
+    """query_id, tokens: the query's tokens and what they expand to, sorted. synonyms (term, expansion) work in one direction, groups (group_id, term) between all their terms: a query meets a group once, by its id, whatever the group's size. Which side of a join goes to all tasks is left to the optimiser's size check."""
     t = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("term"))
-    pairs = synonyms.select("term", "expansion")
+    more = t.join(synonyms.select("term", "expansion"), "term").select("query_id", F.col("expansion").alias("term"))
     if groups is not None:
-        g = groups.alias("a").join(groups.alias("b"), F.col("a.group_id") == F.col("b.group_id")).where("a.term <> b.term")
-        pairs = pairs.unionByName(g.select(F.col("a.term").alias("term"), F.col("b.term").alias("expansion")))
-    more = t.join(F.broadcast(pairs), "term").select("query_id", F.col("expansion").alias("term"))
+        g = groups.select("group_id", "term").distinct()
+        met = t.join(g, "term").select("query_id", "group_id").distinct()
+        more = more.unionByName(met.join(g, "group_id").select("query_id", "term"))
     return t.unionByName(more).groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("tokens"))
 
 
 def categorize(docs: DataFrame, mappings: DataFrame) -> DataFrame:
-    """path, category: the category of the longest pattern (pattern, category) that the path contains (ties: smallest category); null without any. The mapping is configuration and broadcast."""
-    hit = docs.select("path").join(F.broadcast(mappings), F.contains(F.lower("path"), F.lower("pattern")), "left")
+    """path, category: the category of the longest pattern (pattern, category) that the path contains (ties: smallest category); null without any. Distinct paths meet the patterns in a join by containment, so the mapping is meant to be a short table."""
+    hit = docs.select("path").distinct().join(mappings.select("pattern", "category").distinct(), F.contains(F.lower("path"), F.lower("pattern")), "left")
     best = F.min(F.struct((-F.length("pattern")).alias("l"), "category"))["category"]
     return hit.groupBy("path").agg(best.alias("category"))
 
 
 def keyword_routes(queries: DataFrame, routes: DataFrame) -> DataFrame:
-    """query_id, categories (sorted) whose keyword (keyword, category) the query contains: a preference, not a filter."""
+    """query_id, categories (sorted) whose keyword (keyword, category) the query contains: a preference, not a filter. The routes are meant to be a short table, as queries meet them in a join by containment."""
     q = queries.select("query_id", T.casefold_safe(F.col("query")).alias("folded"))
-    hit = q.join(F.broadcast(routes), F.contains("folded", T.casefold(F.col("keyword"))), "left")
+    hit = q.join(routes.select("keyword", "category"), F.contains("folded", T.casefold(F.col("keyword"))), "left")
     return hit.groupBy("query_id").agg(F.array_sort(F.collect_set("category")).alias("categories"))
 
 
@@ -131,35 +133,16 @@ def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: floa
     return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def cosine(query_vectors: DataFrame, vectors: DataFrame, k: int, most_queries: int = 4096) -> DataFrame:
-    """query_id, chunk_id, score, rank of the k nearest (chunk_id, embedding) by cosine. Query vectors (query_id, embedding) go out in slices of a fixed size; each Arrow batch is one matrix product, of which k a query are kept: the highest scores rounded to 9 places, ties to the smaller chunk_id."""
-    out = None
-    slices = max(1, -(-query_vectors.count() // most_queries))
-    for i in range(slices):
-        rows = query_vectors.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i).select("query_id", "embedding").collect()
-        if not rows:
-            continue
-        ids = np.array([r["query_id"] for r in rows])
-        q = np.array([r["embedding"] for r in rows], np.float64)
-        sent = vectors.sparkSession.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)))
-
-        def run(batches, sent=sent):
-            ids, q = sent.value
-            for b in batches:
-                if len(b):
-                    b = b.sort_values("chunk_id")
-                    x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-                    s = np.round(q @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T, 9)
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "chunk_id": b["chunk_id"].to_numpy()[top.ravel()], "score": np.take_along_axis(s, top, 1).ravel()})
-
-        part = vectors.select("chunk_id", "embedding").where("embedding IS NOT NULL").mapInPandas(run, "query_id long, chunk_id long, score double")
-        out = part if out is None else out.unionByName(part)
+def cosine(query_vectors: DataFrame, vectors: DataFrame, k: int, store: Store | None = None, counts: dict | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank of the k nearest (chunk_id, embedding) by cosine of each query vector (query_id, embedding): scores rounded to 9 places, ties to the smaller chunk_id. Exact.
+
+    A ``store`` of the vectors (build_store) may be given, else one is built. Parts that can't hold one of the k nearest are skipped, and a task sends k rows a query at most.
+    """
+    held = store or build_store(vectors)
+    out = nearest(held, query_vectors, k, counts) if held else None
     if out is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-    out = out.withColumn("score", F.round("score", 9))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out
 
 
 def fuse(lexical: DataFrame, semantic: DataFrame, k: int, constant: int = 60) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import normalize as N
 from ..operators import quality as Q
+from ..operators.sql import register_functions
 from ..sources import contracts, corpus as C
 from . import inputs as I
-from .registry import query
+from .registry import ORACLES, query
 
 # --- functions ------------------------------------------------------------------------------------------------------
 
@@ -156,6 +158,29 @@ def s1(spark, d):
     return C.scan(I.corpus(spark, d).select(path.alias("path"), (k * 1_000_000).alias("length"))).select("path", "length", "status")
 
 
+@query(
+    "s1_read_corpus",
+    f"""WITH {I.CORPUS} SELECT source_id, lang, count(*) AS lines, CAST(sum(length(replace(content, chr(10), ' '))) AS BIGINT) AS characters, true AS text FROM corpus WHERE content IS NOT NULL AND source_id IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT 'tables', lang, count(DISTINCT source_id), NULL, false FROM corpus WHERE content IS NOT NULL AND source_id IS NOT NULL AND lang IS NOT NULL GROUP BY 2""",
+)
+def s1b(spark, d):
+    """Folders of text files, a line a document, beside folders of files that are no text, read back as a corpus."""
+    from ..operators.graph import shared_dir
+
+    path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    c = I.corpus(spark, d).where("content IS NOT NULL AND source_id IS NOT NULL AND lang IS NOT NULL").withColumn("line", F.replace("content", F.lit("\n"), F.lit(" ")))
+    c.select("source_id", "lang", "line").repartition("source_id", "lang", F.pmod(F.xxhash64("line"), F.lit(8))).write.partitionBy("source_id", "lang").text(f"{path}/texts")
+    one = c.groupBy("lang", "source_id").agg(F.count(F.lit(1)).alias("n"))
+    one.repartition("lang").write.partitionBy("lang").parquet(f"{path}/tables")
+    files = C.read_corpus(spark, path, suffixes=("txt", "parquet"))
+    part = lambda name: F.regexp_extract("path", f"{name}=([^/]*)", 1)
+    texts = files.where("path LIKE 'texts/%'").select(part("source_id").alias("source_id"), part("lang").alias("lang"), F.explode(F.split(F.regexp_replace("content", "\n$", ""), "\n")).alias("line"))
+    texts = texts.groupBy("source_id", "lang").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("characters"), F.lit(True).alias("text"))
+    # bytes that are no text come as replacement characters: their count is not asked for, the files must not stop the job
+    tables = files.where("path LIKE 'tables/%' AND length(content) > 0").select(part("lang").alias("lang")).distinct().join(one.groupBy("lang").agg(F.count(F.lit(1)).alias("lines")), "lang")
+    return texts.unionByName(tables.select(F.lit("tables").alias("source_id"), "lang", "lines", F.lit(None).cast("long").alias("characters"), F.lit(False).alias("text")))
+
+
 _REPO_FILES = "rp AS (SELECT source_id || '-' || (doc_id % 7) AS repo, CASE CASE WHEN doc_id % 13 > doc_id % 6 THEN doc_id % 6 ELSE 3 END WHEN 0 THEN 'docs/en/a' WHEN 1 THEN 'docs/b' WHEN 2 THEN 'website/docs/c' WHEN 3 THEN 'src/d' WHEN 4 THEN 'doc/build/e' ELSE 'content/docs/f' END || doc_id || (CASE WHEN doc_id % 11 = 3 THEN '.bin' ELSE '.md' END) AS path FROM corpus)"
 
 
@@ -194,11 +219,15 @@ def s3(spark, d):
     f"SELECT DISTINCT page_id % 25 AS sitemap_id, {I.canonical_sql('url')} AS url, page_id % 25 = 0 AS nested FROM pages",
 )
 def s4(spark, d):
+    return C.parse_sitemap(_sitemaps(spark, d), limit=1_000_000).select("sitemap_id", "url", "nested")
+
+
+def _sitemaps(spark, d):
     p = I.table(spark, d, "pages").select((F.col("page_id") % 25).alias("sitemap_id"), F.concat(F.lit("<x><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></x>")).alias("x"))
     g = p.groupBy("sitemap_id").agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("x"))
     tag = F.when(F.col("sitemap_id") == 0, "sitemapindex").otherwise("urlset")
     xml = F.concat(F.lit('<?xml version="1.0"?><'), tag, F.lit(' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "x", F.lit("</"), tag, F.lit(">"))
-    return C.parse_sitemap(g.select("sitemap_id", xml.alias("xml")), limit=1_000_000).select("sitemap_id", "url", "nested")
+    return g.select("sitemap_id", xml.alias("xml"))
 
 
 @query(
@@ -215,7 +244,7 @@ def s5(spark, d):
     e = I.entries(spark, d).withColumn("destination", F.col("path"))
     learned = c.where("doc_id % 100 = 1").select(F.col("source_id").alias("package_id"), F.concat(F.lit("learned/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("destination"), F.lit("learned").alias("content"))
     C.write_package(docs, e, learned, path)
-    return spark.read.parquet(f"{path}/documents").groupBy("package_id").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("content")).alias("characters"))
+    return C.read_package(spark, path)[0].groupBy("package_id").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("content")).alias("characters"))
 
 
 _SCHEMA = {
@@ -235,15 +264,72 @@ SELECT row_id, 'invalid_json' AS code, '$' AS path FROM e WHERE broken UNION ALL
 UNION ALL SELECT row_id, 'minimum', '$.user.id' FROM e WHERE NOT broken AND user_id < 1 UNION ALL SELECT row_id, 'maximum', '$.value' FROM e WHERE NOT broken AND value > 400 UNION ALL SELECT row_id, 'additionalProperties', '$.extra' FROM e WHERE NOT broken AND extra""",
 )
 def s6(spark, d):
+    return contracts.validate_contract(_contract_rows(spark, d), _SCHEMA)
+
+
+def _contract_rows(spark, d):
     k = F.col("event_id")
     s = F.to_json(F.struct(F.concat(F.lit("e-"), k.cast("string")).alias("event_id"), F.col("event_type").alias("type"), F.struct(F.col("user_id").alias("id")).alias("user"), F.col("value"), "props", F.when(k % 50 == 3, F.lit(1)).alias("extra")))
-    return contracts.validate_contract(I.table(spark, d, "events").select(k.alias("row_id"), F.when(k % 40 == 7, F.substring(s, 1, 20)).otherwise(s).alias("json")), _SCHEMA)
+    return I.table(spark, d, "events").select(k.alias("row_id"), F.when(k % 40 == 7, F.substring(s, 1, 20)).otherwise(s).alias("json"))
+
+
+# --- table functions of SQL -----------------------------------------------------------------------------------------
+
+
+def _sql(spark, frame, name, text):
+    """The rows of a statement over a DataFrame, as an SQL user writes it."""
+    register_functions(spark)
+    frame.createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+@query("u3_sql_sitemap_locations", ORACLES["s4_parse_sitemap"])
+def u3a(spark, d):
+    return _sql(spark, _sitemaps(spark, d), "docweave_sitemaps", "SELECT s.sitemap_id, l.url, l.nested FROM docweave_sitemaps s, LATERAL sitemap_locations(s.xml) l")
+
+
+@query("u3_sql_contract_faults", ORACLES["s6_validate_contract"])
+def u3b(spark, d):
+    rows = _contract_rows(spark, d).withColumn("contract", F.lit(json.dumps(_SCHEMA)))
+    return _sql(spark, rows, "docweave_messages", "SELECT m.row_id, f.code, f.path FROM docweave_messages m, LATERAL contract_fault_rows(m.json, m.contract) f")
+
+
+_BASE = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+
+
+@query(
+    "u3_sql_page_links",
+    f"""WITH l AS (SELECT page_id, {_BASE} || h AS url, i FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h, unnest(range(len(regexp_extract_all(html, '<a href="([^"]*)"')))) AS i FROM pages)),
+f AS (SELECT page_id, url, min(i) AS i FROM l GROUP BY 1, 2) SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS position, url FROM f""",
+)
+def u3c(spark, d):
+    return _sql(spark, I.table(spark, d, "pages"), "docweave_pages", "SELECT p.page_id, l.position, l.url FROM docweave_pages p, LATERAL page_links(p.html, p.url) l")
+
+
+@query(
+    "u3_sql_text_chunks",
+    f"WITH {I.CORPUS}, s AS (SELECT doc_id, content, unnest(range(0, greatest(0, length(content) - 201) + 1, 800)) AS start FROM corpus WHERE trim(content) <> '') SELECT doc_id, CAST(start // 800 AS INTEGER) AS chunk, CAST(start AS INTEGER) AS start, sha256(substr(content, CAST(start AS BIGINT) + 1, 1000)) AS h FROM s",
+)
+def u3d(spark, d):
+    return _sql(spark, I.corpus(spark, d), "docweave_texts", "SELECT t.doc_id, c.chunk, c.start, sha2(c.text, 256) AS h FROM docweave_texts t, LATERAL text_chunks(t.content, 1000, 200) c")
 
 
 # --- normalization --------------------------------------------------------------------------------------------------
 
 
-@query("n1_normalize_html")
+#: The given pages as Markdown: what a head holds goes, links of the menu are list items, headings and paragraphs blocks of their own.
+_MARKDOWN = rf"""w AS (SELECT page_id, url, {_BASE} AS base, regexp_replace(regexp_replace(regexp_replace(html, '^.*?</head>', '', 's'), '<!--.*?-->', '', 'gs'), '\s+', ' ', 'g') AS h, trim(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '\s+', ' ', 'g')) AS t FROM pages),
+x AS (SELECT page_id, url, base, t, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<a href="([^"]*)">(.*?)</a>', '[\2](' || base || '\1)', 'g'), '<li>', chr(10) || chr(10) || '- ', 'g'), '<h1>', chr(10) || chr(10) || '# ', 'g'), '</?(b|a)>', '', 'g') AS h FROM w),
+y AS (SELECT page_id, url, t, regexp_replace(regexp_replace(h, '<br>', chr(10), 'g'), '<[^>]*>', chr(10) || chr(10), 'g') AS h FROM x),
+z AS (SELECT page_id, url, t, replace(replace(replace(replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS h FROM y),
+md AS (SELECT page_id, url, t, trim(regexp_replace(regexp_replace(h, '\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS content FROM z)"""
+
+
+@query(
+    "n1_normalize_html",
+    f"""WITH {_MARKDOWN}, n AS (SELECT page_id, count(DISTINCT h) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages) GROUP BY 1)
+SELECT page_id, {I.canonical_sql('url')} AS canonical, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS title, CAST(length(content) AS INTEGER) AS n, sha256(content) AS h, CAST(coalesce(n_links, 0) AS INTEGER) AS n_links, false AS browser_required FROM md LEFT JOIN n USING (page_id)""",
+)
 def n1(spark, d):
     return N.normalize_html(I.table(spark, d, "pages")).select("page_id", "canonical", "title", F.length("content").alias("n"), F.sha2("content", 256).alias("h"), F.size("links").alias("n_links"), "browser_required")
 
@@ -296,13 +382,26 @@ def n4b(spark, d):
 SELECT 'api-' || (p_partkey % 50) || '.json' AS path, endpoint, m AS method, p_name AS summary, CASE WHEN m = 'GET' THEN 'reads' END AS description, CASE WHEN m = 'GET' THEN '200: ok|404: gone' ELSE '' END AS responses FROM p, (SELECT unnest(['GET', 'POST']) AS m) WHERE p_partkey % 50 <> 7""",
 )
 def n5(spark, d):
+    return N.openapi_endpoints(_api_files(spark, d)).withColumn("responses", F.array_join("responses", "|"))
+
+
+@query(
+    "n5_openapi_markdown",
+    """WITH p AS (SELECT p_partkey % 50 AS f, '/parts/' || p_partkey AS endpoint, trim(p_name) AS name FROM part WHERE p_partkey % 50 <> 7),
+b AS (SELECT f, endpoint, m AS method, concat_ws(chr(10) || chr(10), '### ' || m || ' ' || endpoint, nullif(name, ''), CASE WHEN m = 'GET' THEN 'reads' END, CASE WHEN m = 'GET' THEN 'Responses:' || chr(10) || chr(10) || '- 200: ok' || chr(10) || '- 404: gone' END) AS block FROM p, (SELECT unnest(['GET', 'POST']) AS m))
+SELECT 'api-' || f || '.json' AS path, sha256('# api-' || f || chr(10) || chr(10) || '## Endpoints' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY endpoint, method) || chr(10)) AS h FROM b GROUP BY f""",
+)
+def n5b(spark, d):
+    return N.openapi_markdown(_api_files(spark, d)).select("path", F.sha2("content", 256).alias("h"))
+
+
+def _api_files(spark, d):
     k = F.col("p_partkey")
     get = F.struct(F.col("p_name").alias("summary"), F.lit("reads").alias("description"), F.create_map(F.lit("200"), F.struct(F.lit("ok").alias("description")), F.lit("404"), F.struct(F.lit("gone").alias("description"))).alias("responses"))
     ops = F.create_map(F.lit("get"), get, F.lit("post"), F.struct(F.col("p_name").alias("summary"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("map<string,struct<description:string>>").alias("responses")), F.lit("x-note"), get)
     g = I.table(spark, d, "part").select((k % 50).alias("f"), F.concat(F.lit("/parts/"), k.cast("string")).alias("e"), ops.alias("ops")).groupBy("f").agg(F.map_from_entries(F.collect_list(F.struct("e", "ops"))).alias("paths"))
     json = F.to_json(F.struct(F.when(F.col("f") != 7, "3.1.0").alias("openapi"), "paths"))
-    e = N.openapi_endpoints(g.select(F.concat(F.lit("api-"), F.col("f").cast("string"), F.lit(".json")).alias("path"), json.alias("content")))
-    return e.withColumn("responses", F.array_join("responses", "|"))
+    return g.select(F.concat(F.lit("api-"), F.col("f").cast("string"), F.lit(".json")).alias("path"), json.alias("content"))
 
 
 @query("n6_ooxml_text", f"WITH {I.CORPUS} SELECT 'book-' || doc_id || '.xlsx' AS path, 1 AS number, 'A1=' || doc_id || chr(9) || 'B1=' || source_id || chr(9) || 'C1==A1*2' AS text, CAST(NULL AS VARCHAR) AS error FROM corpus")
@@ -398,10 +497,14 @@ def n12(spark, d):
     return N.corpus_metrics(I.corpus(spark, d))
 
 
-@query("n13_page_entries")
+@query(
+    "n13_page_entries",
+    f"""WITH {_MARKDOWN}, p AS (SELECT page_id AS seq, url AS source, regexp_replace({I.canonical_sql('url')}, '/[0-9]+', '/p', 'g') AS canonical, content FROM md), r AS (SELECT *, trim(content) = '' AS bad, row_number() OVER (PARTITION BY canonical, trim(content) = '' ORDER BY seq) AS n FROM p)
+SELECT seq, source, canonical, CASE WHEN bad THEN 'error' WHEN n > 1 THEN 'ignored' ELSE 'accepted' END AS status, CASE WHEN bad THEN 'empty_document' WHEN n > 1 THEN 'duplicate-canonical' END AS reason, CASE WHEN NOT bad AND n = 1 THEN sha256(content) END AS content_hash FROM r""",
+)
 def n13(spark, d):
     p = N.normalize_html(I.table(spark, d, "pages")).withColumn("canonical", F.regexp_replace("canonical", r"/[0-9]+", "/p")).withColumn("seq", F.col("page_id"))
-    return N.page_entries(p)
+    return N.page_entries(p).drop("destination")
 
 
 # --- quality --------------------------------------------------------------------------------------------------------
@@ -479,7 +582,14 @@ def q6(spark, d):
     return Q.secret_scan(I.corpus(spark, d).select("path", F.concat_ws(" ", clean, s).alias("content")))
 
 
-@query("q6_secret_scan_corpus")
+@query(
+    "q6_secret_scan_corpus",
+    rf"""WITH {I.CORPUS}, t AS (SELECT path, coalesce(content, '') AS t FROM corpus)
+SELECT path, CAST(CASE WHEN regexp_matches(t, '\bsk-[A-Za-z0-9]{{20,}}\b') THEN 1 WHEN regexp_matches(t, '\bgh[pousr]_[A-Za-z0-9]{{20,}}\b') THEN 2 WHEN regexp_matches(t, '\bgithub_pat_[A-Za-z0-9_]{{20,}}\b') THEN 3 WHEN regexp_matches(t, '\bAKIA[0-9A-Z]{{16}}\b') THEN 4 WHEN regexp_matches(t, '\bxox[baprs]-[A-Za-z0-9-]{{20,}}\b') THEN 5
+WHEN len(list_filter(regexp_extract_all(t, '(?i)["'']?(?:bearer[_ -]?token|access[_ -]?token|refresh[_ -]?token|api[_ -]?key|client[_ -]?secret|private[_ -]?key)["'']?\s*[:=]\s*["'']?([A-Za-z0-9][A-Za-z0-9_./+=:@-]{{19,}})', 1), lambda v: NOT regexp_matches(v, '(?i)^(replace(\b|[_-])|your[_ -]?|change[_ -]?me|example\b|placeholder\b)'))) > 0 THEN 6
+WHEN len(list_filter(regexp_extract_all(t, '(?i)\b(?:api[_ -]?key|secret|password|token)\s*[:=]\s*["'']?([A-Za-z0-9_./+=-]{{20,}})', 1), lambda v: NOT regexp_matches(v, '(?i)^replace'))) > 0 THEN 7 END AS INTEGER) AS pattern FROM t
+WHERE pattern IS NOT NULL""",
+)
 def q6b(spark, d):
     return Q.secret_scan(I.corpus(spark, d))
 

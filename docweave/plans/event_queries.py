@@ -328,6 +328,31 @@ def _streamed(spark, d, frame, build, schema):
     return spark.read.schema(schema).parquet(f"{at}/out")
 
 
+@query(
+    "t1_event_codes_stream",
+    f"WITH {I.EVENTS}, f AS (SELECT event_id, min(seq) AS s, arg_min(payload_hash, seq) AS h FROM ev GROUP BY 1) SELECT event_id, seq, CASE WHEN seq = s THEN 'event_accepted' WHEN payload_hash = h THEN 'event_duplicate' ELSE 'event_id_conflict' END AS code FROM ev JOIN f USING (event_id)",
+)
+def t1c(spark, d):
+    e = I.events(spark, d).select("event_id", "seq", "payload_hash", "occurred_at")
+    return _streamed(spark, d, e, S.event_codes_stream, "event_id string, seq long, code string")
+
+
+#: Every hour of the events is a snapshot; what is active then are the packages with an error in that hour. An hour without errors closes all.
+@query(
+    "t8_incident_ledger_stream",
+    f"""WITH {I.EVENTS}, s AS (SELECT DISTINCT time_bucket(INTERVAL 1 HOUR, occurred_at) AS hour FROM ev), a AS (SELECT DISTINCT time_bucket(INTERVAL 1 HOUR, occurred_at) AS hour, 'package-' || package_id AS f FROM ev WHERE type = 'error'),
+c AS (SELECT f, min(hour) AS opened, max(hour) AS seen FROM a GROUP BY 1)
+SELECT f AS fingerprint, CASE WHEN seen = (SELECT max(hour) FROM s) THEN 'open' ELSE 'closed' END AS status, epoch_us(opened) AS first_us, epoch_us(seen) AS last_us, epoch_us((SELECT min(hour) FROM s WHERE s.hour > c.seen)) AS resolved_us FROM c""",
+)
+def t8s(spark, d):
+    e = I.events(spark, d).select(F.date_trunc("hour", "occurred_at").alias("at"), F.when(F.col("type") == "error", F.concat(F.lit("package-"), F.col("package_id").cast("string"))).alias("fingerprint"))
+    rows = e.select("at", F.lit(None).cast("string").alias("fingerprint")).unionByName(e.where("fingerprint IS NOT NULL")).distinct()
+    end = e.agg(F.max("at").alias("m")).select((F.col("m") + F.expr("INTERVAL 1 DAY")).alias("at"), F.lit(None).cast("string").alias("fingerprint"))
+    changes = _streamed(spark, d, rows.unionByName(end), S.ledger_changes, S.LEDGER)
+    us = lambda c: F.unix_micros(c)
+    return S.current_ledger(changes).select("fingerprint", "status", us("first_seen_at").alias("first_us"), us("last_seen_at").alias("last_us"), us("resolved_at").alias("resolved_us"))
+
+
 @query("t1_dedupe_stream", f"WITH {I.EVENTS} SELECT DISTINCT event_id FROM ev")
 def t1s(spark, d):
     e = I.events(spark, d).select("event_id", "occurred_at", "seq")

@@ -82,15 +82,27 @@ def w3(spark, d):
     return D.dedupe_canonical(I.entries(spark, d)).select("package_id", "seq", "status", "reason")
 
 
+#: Every third entry wants a page of another folder, every seventh a name without folder, every eleventh one that looks as if it had been made for another entry.
+_WANTED = """CASE WHEN seq % 11 = 4 THEN 'page-' || (seq % 4) || '--' || left(sha256('file:///repo/' || (seq % 5)), 10) || CASE WHEN seq % 2 = 0 THEN '-2' ELSE '' END || '.md' WHEN seq % 7 = 1 THEN 'page-' || (seq % 4) || '.md' WHEN seq % 3 = 0 THEN 'manual/page-' || (seq % 4) || '.md' ELSE 'guide/page-' || (seq % 4) || '.md' END"""
+
+
 @query(
     "w4_unique_destinations",
-    f"""WITH {I.ENTRIES}, n AS (SELECT package_id, seq, destination, left(sha256('file:///repo/' || (seq % 30)), 10) AS dg, row_number() OVER (PARTITION BY package_id, destination ORDER BY seq) AS n FROM entries),
-m AS (SELECT *, row_number() OVER (PARTITION BY package_id, destination, dg, n = 1 ORDER BY seq) AS m FROM n)
-SELECT package_id, seq, CASE WHEN n = 1 THEN destination ELSE regexp_extract(destination, '([^/]*)\\.md$', 1) || '--' || dg || CASE WHEN m > 1 THEN '-' || m ELSE '' END || '.md' END AS final_destination FROM m""",
+    f"""WITH RECURSIVE {I.ENTRIES}, w AS (SELECT package_id, seq, {_WANTED} AS destination, left(sha256('file:///repo/' || (seq % 5)), 10) AS dg, row_number() OVER (PARTITION BY package_id ORDER BY seq) AS i FROM entries),
+m AS (SELECT *, regexp_extract(destination, '([^/]*)\\.md$', 1) || '--' || dg AS made FROM w),
+s AS (SELECT package_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST([] AS VARCHAR[]) AS used, CAST(NULL AS VARCHAR) AS final_destination FROM (SELECT DISTINCT package_id FROM m)
+UNION ALL SELECT package_id, i, seq, list_append(used, own), own FROM (SELECT m.package_id, m.i, m.seq, used, CASE WHEN NOT list_contains(used, destination) THEN destination ELSE list_filter([made || '.md'] || list_transform(range(2, 2 + len(used)), lambda n: made || '-' || n || '.md'), lambda x: NOT list_contains(used, x))[1] END AS own
+  FROM s JOIN m ON m.package_id = s.package_id AND m.i = s.i + 1))
+SELECT package_id, seq, final_destination FROM s WHERE i > 0""",
 )
 def w4(spark, d):
-    e = I.entries(spark, d).withColumn("source", F.concat(F.lit("file:///repo/"), (F.col("seq") % 30).cast("string")))
-    return D.unique_destinations(e).select("package_id", "seq", "final_destination")
+    k = F.col("seq")
+    at = lambda n: (k % n).cast("string")
+    source = F.concat(F.lit("file:///repo/"), at(5))
+    made = F.concat(F.lit("page-"), at(4), F.lit("--"), F.substring(F.sha2(source, 256), 1, 10), F.when(k % 2 == 0, "-2").otherwise(""), F.lit(".md"))
+    page = F.concat(F.lit("page-"), at(4), F.lit(".md"))
+    wanted = F.when(k % 11 == 4, made).when(k % 7 == 1, page).when(k % 3 == 0, F.concat(F.lit("manual/"), page)).otherwise(F.concat(F.lit("guide/"), page))
+    return D.unique_destinations(I.entries(spark, d).withColumns({"source": source, "destination": wanted})).select("package_id", "seq", "final_destination")
 
 
 @query("o7_snapshot_documents", f"WITH {I.RECORDS}, b AS (SELECT DISTINCT package_id FROM cur WHERE doc_id % 97 = 8) SELECT package_id, path, sha256(content) AS sha256, CAST(strlen(content) AS BIGINT) AS size FROM cur WHERE package_id NOT IN (SELECT package_id FROM b)")
@@ -731,7 +743,7 @@ def g2(spark, d):
 
 @query(
     "g2_dependency_cycles",
-    "SELECT 'n' || n_nationkey AS node FROM nation WHERE n_nationkey < 5 UNION ALL SELECT 'a' UNION ALL SELECT 'b'",
+    "SELECT 'n' || n_nationkey AS node, 'n0' AS component FROM nation WHERE n_nationkey < 5 UNION ALL SELECT 'a', 'a' UNION ALL SELECT 'b', 'a'",
 )
 def g2b(spark, d):
     k = F.col("n_nationkey")
@@ -762,14 +774,28 @@ def g3(spark, d):
     f"""WITH RECURSIVE {_EDGES}, op AS (SELECT c_custkey % 25 AS change_id, ['source_update', 'course_edit', 'page_edit', 'policy_change', 'odd', 'decision_correct'][c_custkey % 6 + 1] AS type, 's' || (c_custkey % 40) AS target FROM customer WHERE c_custkey % 25 <> 3 UNION ALL SELECT 3, 'page_edit', 's2' UNION ALL SELECT 3, 'course_edit', 's2'),
 r(change_id, node) AS (SELECT DISTINCT change_id, target FROM op UNION SELECT r.change_id, ed.source FROM r JOIN ed ON ed.target = r.node), n AS (SELECT change_id, count(*) AS affected FROM r GROUP BY 1),
 g AS (SELECT change_id, list_distinct(list(type)) AS ts, list_distinct(list(CASE WHEN starts_with(type, 'source_') OR type = 'decision_correct' THEN 'factual' WHEN type IN ('course_edit', 'page_edit') THEN 'editorial' WHEN type = 'policy_change' THEN 'mixed' ELSE 'unknown' END)) AS ks, count(DISTINCT target) AS targets FROM op GROUP BY 1)
-SELECT change_id, CASE WHEN len(ks) > 1 OR list_contains(ks, 'mixed') THEN 'mixed' ELSE ks[1] END AS classification, array_to_string(list_sort(list_concat(['contract', 'dependency_graph'], CASE WHEN list_contains(ts, 'source_update') THEN ['rights', 'privacy', 'retrieval', 'revocation'] ELSE [] END, CASE WHEN list_has_any(ts, ['course_edit', 'page_edit']) THEN ['derivatives', 'golden', 'editorial_review'] ELSE [] END, CASE WHEN list_contains(ts, 'page_edit') THEN ['commercial_decision'] ELSE [] END)), '|') AS checks, targets, affected FROM g JOIN n USING (change_id)""",
+SELECT change_id, CASE WHEN len(ks) > 1 OR list_contains(ks, 'mixed') THEN 'mixed' ELSE ks[1] END AS classification, array_to_string(list_sort(list_concat(['contract', 'dependency_graph'], CASE WHEN list_contains(ts, 'source_update') THEN ['rights', 'privacy', 'retrieval', 'revocation'] ELSE [] END, CASE WHEN list_has_any(ts, ['course_edit', 'page_edit']) THEN ['derivatives', 'golden', 'editorial_review'] ELSE [] END, CASE WHEN list_contains(ts, 'page_edit') THEN ['commercial_decision'] ELSE [] END)), '|') AS checks, targets, affected, CASE WHEN change_id % 4 = 1 THEN 'DEPENDENCY_UNKNOWN' ELSE '' END AS blockers, change_id % 4 = 1 AS unknown_dependencies FROM g JOIN n USING (change_id)""",
 )
 def g4(spark, d):
+    op = _operations(spark, d)
+    unknown = op.where("change_id % 4 = 1").select("change_id")
+    return graph.change_impact(op, _edges(spark, d), unknown).withColumns({c: F.array_join(c, "|") for c in ("checks", "blockers")})
+
+
+@query(
+    "g4_affected_nodes",
+    f"""WITH RECURSIVE {_EDGES}, op AS (SELECT c_custkey % 25 AS change_id, 's' || (c_custkey % 40) AS target FROM customer WHERE c_custkey % 25 <> 3 UNION ALL SELECT 3, 's2'),
+r(change_id, node) AS (SELECT DISTINCT change_id, target FROM op UNION SELECT r.change_id, ed.source FROM r JOIN ed ON ed.target = r.node) SELECT * FROM r""",
+)
+def g4_nodes(spark, d):
+    return graph.affected_nodes(_operations(spark, d), _edges(spark, d))
+
+
+def _operations(spark, d):
     k = F.col("c_custkey")
     kind = F.element_at(F.array(*map(F.lit, ("source_update", "course_edit", "page_edit", "policy_change", "odd", "decision_correct"))), (k % 6 + 1).cast("int"))
     op = I.table(spark, d, "customer").where(k % 25 != 3).select((k % 25).alias("change_id"), kind.alias("type"), F.concat(F.lit("s"), (k % 40).cast("string")).alias("target_id"))
-    op = op.unionByName(spark.createDataFrame([(3, "page_edit", "s2"), (3, "course_edit", "s2")], "change_id long, type string, target_id string"))
-    return graph.change_impact(op, _edges(spark, d)).withColumn("checks", F.array_join("checks", "|"))
+    return op.unionByName(spark.createDataFrame([(3, "page_edit", "s2"), (3, "course_edit", "s2")], "change_id long, type string, target_id string"))
 
 
 @query("o3_union_documents", f"WITH {I.CORPUS} SELECT kind, count(*) AS documents FROM (SELECT 'acquired' AS kind FROM corpus UNION ALL SELECT 'learned' FROM conversations WHERE role = 'user') GROUP BY 1")

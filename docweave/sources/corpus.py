@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
@@ -16,20 +17,37 @@ from ..operators.normalize import MAX_BYTES, SUPPORTED, canonical_of, suffix
 IGNORED_FOLDERS = (".git", ".hg", ".svn", "node_modules", "dist", "build", "__pycache__", "img", "images", "assets")
 
 
+#: Suffixes of documents whose bytes are no text.
+BINARY = ("pdf", "docx", "xlsx", "pptx")
+
+
+def _taken(path: Column, suffixes: tuple, ignored: tuple) -> Column:
+    parts = F.split(path, "/")
+    return suffix(path).isin(*suffixes) & ~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, ignored)))
+
+
 def scan(files: DataFrame, suffixes: tuple = SUPPORTED, ignored: tuple = IGNORED_FOLDERS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Files (path, length, ...) that a corpus takes, with status: accepted, or document_too_large. Files in ignored folders at any depth and of other suffixes are left out."""
-    parts = F.split("path", "/")
-    kept = files.where(suffix(F.col("path")).isin(*suffixes) & ~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, ignored))))
+    kept = files.where(_taken(F.col("path"), suffixes, ignored))
     return kept.withColumn("status", F.when(F.col("length") > max_bytes, "document_too_large").otherwise("accepted"))
 
 
-def read_corpus(spark: SparkSession, root: str, **how) -> DataFrame:
-    """path (relative to root), length, status, content (text; null for files that are too large) of all files below ``root``. Listing and reading are Spark's; links are not followed by it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def read_corpus(spark: SparkSession, root: str, suffixes: tuple = SUPPORTED, ignored: tuple = IGNORED_FOLDERS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """path (relative to root), length, status, content, bytes of all files below ``root``: text files have content, in which bytes that are no UTF-8 stand as U+FFFD, the others (pdf and office files) have bytes, for ooxml_text.
+
+    status is accepted or document_too_large; the bytes of the latter are never read, as the limit is a filter of the scan, and both are null. Listing and reading are Spark's; links are not followed by it; a
+    file that vanishes after the listing is left out. An empty folder has no rows.
+    """
     base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
     relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^.*?\\Q{base}\\E/", "")
-    found = scan(files.select(relative.alias("path"), "length", "content"), **how)
-    return found.select("path", "length", "status", F.when(F.col("status") == "accepted", F.decode("content", "UTF-8")).alias("content"))
+    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", ignoreMissingFiles="true").load(root)
+    taken = files.where(_taken(relative, suffixes, ignored))
+    binary = suffix(F.col("path")).isin(*BINARY)
+    small = taken.where(F.col("length") <= max_bytes).select(
+        relative.alias("path"), "length", F.lit("accepted").alias("status"), F.when(~binary, F.make_valid_utf8(F.col("content").cast("string"))).alias("content"), F.when(binary, F.col("content")).alias("bytes")
+    )
+    large = taken.where(F.col("length") > max_bytes).select(relative.alias("path"), "length", F.lit("document_too_large").alias("status"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("binary").alias("bytes"))
+    return small.unionByName(large)
 
 
 #: Folders of documentation in order of preference.
@@ -86,10 +104,51 @@ def parse_sitemap(sitemaps: DataFrame, limit: int = 1000) -> DataFrame:
     return sitemaps.select("sitemap_id", "xml").mapInPandas(run, "sitemap_id long, position int, url string, nested boolean")
 
 
-def write_package(documents: DataFrame, entries: DataFrame, learned: DataFrame, path: str) -> None:
-    """Write accepted documents (package_id, destination, content), learned ones unioned in, and their sources (no content, URLs redacted), both partitioned by package."""
+def _filesystem(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def package_versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, folder) of the packages written to ``path`` and committed, the oldest first."""
+    fs, Path = _filesystem(spark, path)
+    if not fs.exists(Path(f"{path}/commits")):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(Path(f"{path}/commits"))]
+    return sorted((int(n), f"{path}/versions/{v}") for n, _, v in (x.partition("-") for x in names) if n.isdigit() and v)
+
+
+def read_package(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """documents and sources of the package that was committed last; None before the first."""
+    versions = package_versions(spark, path)
+    if not versions:
+        return None
+    at = versions[-1][1]
+    return spark.read.parquet(f"{at}/documents"), spark.read.json(f"{at}/sources")
+
+
+def write_package(documents: DataFrame, entries: DataFrame, learned: DataFrame, path: str, keep: int = 2) -> str:
+    """Write accepted documents (package_id, destination, content), learned ones unioned in, and their sources (no content, URLs redacted), both partitioned by package; returns the version's folder.
+
+    Both tables go to a folder of a version of its own; only when both are whole one rename makes the version the one that read_package sees. So a write that fails or is killed at any point leaves the
+    last package as it was, and readers never see one table without the other. Of two writers at once the later commit wins whole. The last ``keep`` versions stay, for readers that have begun; older ones are
+    deleted.
+    """
+    spark = documents.sparkSession
+    fs, Path = _filesystem(spark, path)
+    version = uuid.uuid4().hex
+    at = f"{path}/versions/{version}"
     accepted = documents.join(entries.where("status = 'accepted'").select("package_id", "destination"), ["package_id", "destination"], "left_semi")
     all_ = accepted.select("package_id", "destination", "content").unionByName(learned.select("package_id", "destination", "content"))
-    all_.repartition("package_id", F.pmod(F.xxhash64("destination"), F.lit(16))).write.partitionBy("package_id").parquet(f"{path}/documents")
+    all_.repartition("package_id", F.pmod(F.xxhash64("destination"), F.lit(16))).write.partitionBy("package_id").parquet(f"{at}/documents")
     sources = entries.withColumns({c: U.redact_url(F.col(c)) for c in ("source", "canonical") if c in entries.columns})
-    sources.drop("content").write.partitionBy("package_id").json(f"{path}/sources")
+    sources.drop("content").write.partitionBy("package_id").json(f"{at}/sources")
+    number = (package_versions(spark, path) or [(0, "")])[-1][0] + 1
+    fs.mkdirs(Path(f"{path}/commits"))
+    fs.create(Path(f"{path}/_{version}")).close()
+    while not fs.rename(Path(f"{path}/_{version}"), Path(f"{path}/commits/{number:012d}-{version}")):
+        number += 1
+    for n, v in package_versions(spark, path)[:-keep]:
+        fs.delete(Path(f"{path}/commits/{n:012d}-{v.rsplit('/', 1)[-1]}"), False)
+        fs.delete(Path(v), True)
+    return at

@@ -7,16 +7,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.events import DEBOUNCE, MOST_DEBOUNCE, accept_greedily, incident_ledger
+from ..operators.events import DEBOUNCE, MOST_DEBOUNCE, accept_greedily
 from ..operators.feedback import RATE_LIMIT, RATE_WINDOW
 
 
-LEDGER = "fingerprint string, status string, first_seen_at timestamp, last_seen_at timestamp, resolved_at timestamp"
-
-
 def dedupe_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """The first event of each event_id within the watermark of occurred_at."""
     return events.withWatermark("occurred_at", late).dropDuplicatesWithinWatermark(["event_id"])
@@ -111,15 +108,83 @@ def rate_limit_stream(feedback: DataFrame, late: str = "1 minute", limit: int =
     return _timed(feedback, late).groupBy("subject_hash").applyInPandasWithState(run, "feedback_id string, seq long, accepted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def keep_ledger(active: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep an incident ledger (see incident_ledger) up to date from a stream of active fingerprints: every micro-batch is what is active now. Version n of the ledger is ``path``/n, made from version n - 1, so a batch that is run again after a failure gives the same version."""
+#: Groups that share the fingerprints of a ledger; each hears of every snapshot.
+LEDGER_GROUPS = 16
+LEDGER = "fingerprint string, status string, first_seen_at timestamp, last_seen_at timestamp, resolved_at timestamp, at timestamp"
+#: transformWithState keeps its state in RocksDB.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+class _Ledger(StatefulProcessor):
+    """Of one group: the incidents by fingerprint, and what waits for its snapshot to be complete. One timer stands for the earliest snapshot that waits."""
+
+    COLUMNS = ["fingerprint", "status", "first", "last", "resolved", "at"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.incidents = handle.getMapState("incidents", "fingerprint string", "open boolean, first long, last long, resolved long")
+        self.waiting = handle.getListState("waiting", "at long, fingerprint string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # an empty name stands for the snapshot itself, which comes to every group
+        new = [(int(at), f if isinstance(f, str) else "") for b in rows for at, f in zip(b["micros"].tolist(), b["fingerprint"].tolist())]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(new)[0] // 1000 + 1)
+        yield pd.DataFrame(columns=self.COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = [(int(at), f) for at, f in self.waiting.get()]
+        rest = [x for x in waiting if x[0] >= mark]
+        snapshots: dict[int, set] = {}
+        for at, f in waiting:
+            if at < mark:
+                snapshots.setdefault(at, set()).add(f)
+        out, changed = [], {}
+        if snapshots:
+            now = {k[0]: tuple(v) for k, v in self.incidents.iterator()}
+            for at in sorted(snapshots):  # in the order of time, whatever micro-batch brought them
+                active = snapshots[at] - {""}
+                for f in sorted(active):
+                    changed[f] = now[f] = (True, now[f][1] if f in now else at, at, None)
+                    out.append((f, "open", now[f][1], at, None, at))
+                for f in sorted(f for f, v in now.items() if v[0] and f not in active):
+                    changed[f] = now[f] = (False, now[f][1], now[f][2], at)
+                    out.append((f, "closed", now[f][1], now[f][2], at, at))
+            for f, v in changed.items():
+                self.incidents.updateValue((f,), v)
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+        if rest:
+            self.handle.registerTimer(min(rest)[0] // 1000 + 1)
+        yield pd.DataFrame(out, columns=self.COLUMNS).astype({"resolved": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def ledger_changes(snapshots: DataFrame, late: str = "10 minutes", groups: int = LEDGER_GROUPS) -> DataFrame:
+    """The changes of an incident ledger (columns of LEDGER; ``at`` is the snapshot that made the change) of a stream of snapshots (at, fingerprint): a row for every incident that is active at that time, and one
+    without fingerprint for the snapshot itself, so that empty snapshots count too.
+
+    New incidents open, seen ones stay open or open again, open ones that a snapshot lacks close. A snapshot is taken when the watermark has passed it, so the ledger is the same however its rows are cut into
+    micro-batches; rows that come later than that are dropped. State is kept by fingerprint: only what a snapshot changes is written. Empty fingerprints count as none. Set STATE_STORE where the query is started (``run_available`` does).
+    """
+    own = F.pmod(F.xxhash64("fingerprint"), F.lit(groups)).cast("int")
+    whole = F.sequence(F.lit(0), F.lit(groups - 1))
+    rows = snapshots.withWatermark("at", late).withColumn("fingerprint", F.nullif("fingerprint", F.lit(""))).withColumn("micros", F.unix_micros(F.col("at").cast("timestamp")))
+    rows = rows.withColumn("group", F.explode(F.when(F.col("fingerprint").isNull(), whole).otherwise(F.array(own)))).select("group", "at", "micros", "fingerprint")
+    made = rows.groupBy("group").transformWithStateInPandas(_Ledger(), "fingerprint string, status string, first long, last long, resolved long, at long", "Append", "eventTime")
+    time = F.timestamp_micros
+    return made.select("fingerprint", "status", time("first").alias("first_seen_at"), time("last").alias("last_seen_at"), time("resolved").alias("resolved_at"), time("at").alias("at"))
 
-    def one(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        prior = spark.read.parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], LEDGER)
-        incident_ledger(prior, batch.select("fingerprint"), F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/{number}")
 
-    return active.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current_ledger(changes: DataFrame) -> DataFrame:
+    """The ledger that changes add up to: each incident as its last change left it."""
+    columns = [c for c in changes.columns if c != "fingerprint"]
+    return changes.groupBy("fingerprint").agg(F.max_by(F.struct(*columns), F.col("at")).alias("_last")).select("fingerprint", *[F.col(f"_last.{c}").alias(c) for c in columns])
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
@@ -129,5 +194,13 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over what its source holds now, into Parquet files."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    """Run a stream over what its source holds now, into Parquet files; state is kept in RocksDB."""
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

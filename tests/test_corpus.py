@@ -123,6 +123,43 @@ def test_read_corpus(spark, tmp_path):
     assert got == {"docs/a.md": "hä", "d.TXT": "yes"}
 
 
+def test_read_corpus_takes_any_bytes(spark, tmp_path):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", '<worksheet><row><c r="A1"><v>7</v></c></row></worksheet>')
+    files = {"a.md": b"caf\xe9 \xff\xfe ok", "b.pdf": b"%PDF-1.4 \xe2\xe3\xcf\xd3", "c.xlsx": buf.getvalue(), "d.md": b"x" * 2000, "e.txt": b"", "f.xlsx": b"\x00" * 3000}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"]: r for r in C.read_corpus(spark, str(tmp_path), max_bytes=1500).collect()}
+    assert got["a.md"]["content"] == files["a.md"].decode("utf-8", "replace") and got["e.txt"]["content"] == ""
+    assert {p: r["status"] for p, r in got.items()} == {p: "document_too_large" if len(x) > 1500 else "accepted" for p, x in files.items()}
+    assert got["b.pdf"]["content"] is None and bytes(got["b.pdf"]["bytes"]) == files["b.pdf"]
+    assert all(got[p]["content"] is None and got[p]["bytes"] is None for p in ("d.md", "f.xlsx"))
+    # the limit is a filter of the scan, and files beyond it are listed without their bytes
+    plan = C.read_corpus(spark, str(tmp_path), max_bytes=1500)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "LessThanOrEqual(length,1500)" in plan and "GreaterThan(length,1500)" in plan
+    office = C.read_corpus(spark, str(tmp_path)).where("bytes IS NOT NULL AND path LIKE '%.xlsx'")
+    assert {(r["path"], r["text"]) for r in N.ooxml_text(office).collect()} == {("c.xlsx", "A1=7"), ("f.xlsx", None)}
+
+
+def test_a_killed_write_leaves_the_old_package(spark, tmp_path):
+    path = str(tmp_path / "package")
+    docs = lambda text: spark.createDataFrame([("p", "a.md", text), ("p", "b.md", text)], "package_id string, destination string, content string")
+    entries = spark.createDataFrame([("p", "a.md", "accepted", "https://u:pw@x.org/a"), ("p", "b.md", "error", "https://x.org/b")], "package_id string, destination string, status string, source string")
+    learned = docs("learned").where("destination = 'none'")
+    assert C.read_package(spark, path) is None
+    C.write_package(docs("one"), entries, learned, path)
+    content = lambda: [r["content"] for r in C.read_package(spark, path)[0].collect()]
+    assert content() == ["one"] and C.read_package(spark, path)[1].count() == 2
+    broken = entries.withColumn("source", F.when(F.col("status") == "error", F.raise_error(F.lit("killed"))).otherwise(F.col("source")))
+    with pytest.raises(Exception, match="killed"):  # after the documents have been written
+        C.write_package(docs("two"), broken, learned, path)
+    assert content() == ["one"] and C.read_package(spark, path)[1].count() == 2
+    for text in ("three", "four", "five"):
+        C.write_package(docs(text), entries, learned, path)
+    assert content() == ["five"] and [n for n, _ in C.package_versions(spark, path)] == [3, 4]
+
+
 def test_chunks_cover_the_text(spark):
     text = "".join(chr(97 + i % 26) for i in range(2350))
     rows = N.chunk_text(spark.createDataFrame([("a", text), ("b", "x"), ("c", None), ("d", "y" * 1000)], "path string, content string")).orderBy("path", "chunk").collect()

@@ -200,3 +200,40 @@ def test_a_hybrid_retriever_sees_the_documents_asked_about_only(spark):
     L.register_retriever("hybrid", L.hybrid_retriever(spark.createDataFrame([(7, [1.0, 0.1])], "query_id long, embedding array<double>"), chunks, vectors))
     assert rows(L.search("hybrid", queries, spark.createDataFrame([("a.md",), ("b.md",)], "path string"), 5), "retriever", "query_id", "path") == {("hybrid", 7, "a.md"), ("hybrid", 7, "b.md")}
     assert rows(L.search("hybrid", queries, spark.createDataFrame([("b.md",)], "path string"), 5), "path", "rank") == {("b.md", 1)}
+
+
+def used_in_order(entries):
+    """The rule row by row: (seq, wanted, source) -> names."""
+    import hashlib
+
+    used, out = set(), {}
+    for seq, wanted, source in sorted(entries):
+        own = wanted
+        if wanted in used:
+            name = wanted.rsplit("/", 1)[-1]
+            stem, dot, ext = (name.rpartition(".") if "." in name[1:] else (name, "", ""))
+            made = f"{stem or 'source'}--{hashlib.sha256((source or '').encode()).hexdigest()[:10]}"
+            own, n = f"{made}{dot}{ext}", 2
+            while own in used:
+                own, n = f"{made}-{n}{dot}{ext}", n + 1
+        used.add(own)
+        out[seq] = own
+    return out
+
+
+def test_destinations_are_unique_in_a_package(spark):
+    import hashlib
+
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()[:10]
+    folders = [(1, "d/a.md", "s1"), (2, "d/a.md", "s2"), (3, "e/a.md", "s1"), (4, "e/a.md", "s2"), (5, "a.md", "s2"), (6, "a.md", "s2"), (7, "d/a.md", None)]
+    made = [(1, f"a--{h('s2')}.md", "s9"), (2, "a.md", "s1"), (3, "a.md", "s2"), (4, "x/a.md", "s2"), (5, "x/a.md", "s2"), (6, f"a--{h('s2')}-2.md", "s2"), (7, f"a--{h('s2')}-3.md", "s4"), (8, f"a--{h('s2')}.md", "s2"), (9, f"a--{h('s2')}.md", "s2"), (10, "README", "s"), (11, "README", "s"), (12, "b/README", "s"), (13, "b/README", "s"), (14, ".env", "s"), (15, ".env", "s")]
+    rng = __import__("random").Random(3)
+    names = ["a.md", "d/a.md", "e/a.md", f"a--{h('s1')}.md", f"a--{h('s1')}-2.md", f"d/a--{h('s1')}.md", f"a--{h('s1')}--{h('s2')}.md", f"a--{h('s1')}-2--{h('s2')}.md"]
+    mixed = [(i, rng.choice(names), rng.choice(["s1", "s2"])) for i in range(120)]
+    cases = {"folders": folders, "made": made, "mixed": mixed}
+    df = spark.createDataFrame([(p, *r) for p, rows_ in cases.items() for r in rows_], "package_id string, seq long, destination string, source string")
+    got = {}
+    for r in D.unique_destinations(df).collect():
+        got.setdefault(r["package_id"], {})[r["seq"]] = r["final_destination"]
+    for p, rows_ in cases.items():
+        assert got[p] == used_in_order(rows_) and len(set(got[p].values())) == len(rows_)

@@ -64,14 +64,39 @@ def test_event_codes_of_a_stream_are_those_of_the_batch_form(spark, small):
     assert rows(out) == rows(want) and {r["code"] for r in want.select("code").distinct().collect()} == {"event_accepted", "event_duplicate", "event_id_conflict"}
 
 
-def test_ledger_of_a_stream(spark, tmp_path):
+def ledger(snapshots):
+    """The rule, snapshot by snapshot: fingerprint -> (status, first, last, resolved)."""
+    out = {}
+    for at in sorted(snapshots):
+        for f in snapshots[at]:
+            out[f] = ("open", out[f][1] if f in out else at, at, None)
+        for f, v in out.items():
+            if v[0] == "open" and f not in snapshots[at]:
+                out[f] = ("closed", v[1], v[2], at)
+    return out
+
+
+def test_ledger_of_a_stream_however_it_is_cut(spark, tmp_path):
+    """Snapshots reach the stream whole or in pieces, in order or not: the ledger is the same."""
+    from datetime import datetime, timedelta
+
     from docweave.streaming import events as S
 
-    for i, names in enumerate((["a", "b"], ["b", "c"])):
-        spark.createDataFrame([(n,) for n in names], "fingerprint string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        S.keep_ledger(spark.readStream.schema("fingerprint string").parquet(str(tmp_path / "in")), str(tmp_path / "ledger"), str(tmp_path / "checkpoint")).awaitTermination()
-        got = {r["fingerprint"]: r["status"] for r in spark.read.parquet(str(tmp_path / f"ledger/{i}")).collect()}
-        assert got == ({"a": "open", "b": "open"} if i == 0 else {"a": "closed", "b": "open", "c": "open"})
+    start = datetime(2024, 1, 1)
+    at = lambda i: start + timedelta(minutes=i)
+    snapshots = {at(0): {"a", "b"}, at(1): {"b", "c"}, at(2): set(), at(3): {"a"}, at(4): {"a", "c"}, at(5): {"c"}}
+    rows = [(t, None) for t in snapshots] + [(t, f) for t, names in snapshots.items() for f in sorted(names)] + [(at(2), "")]
+    cuts = {"one": [rows], "pieces": [rows[3:9], rows[:3], rows[9:]]}
+    for name, batches in cuts.items():
+        for i, part in enumerate([*batches, [(at(600), None)], [(at(1200), None)]]):
+            spark.createDataFrame(part, "at timestamp, fingerprint string").coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+            stream = spark.readStream.schema("at timestamp, fingerprint string").parquet(str(tmp_path / name / "in"))
+            S.run_available(S.ledger_changes(stream, groups=3), str(tmp_path / name / "out"), str(tmp_path / name / "checkpoint"))
+        changes = spark.read.schema(S.LEDGER).parquet(str(tmp_path / name / "out"))
+        # the one snapshot of long after, which has no incidents, closes what was open
+        want = ledger(snapshots | {at(600): set()})
+        got = {r["fingerprint"]: (r["status"], r["first_seen_at"], r["last_seen_at"], r["resolved_at"]) for r in S.current_ledger(changes).collect()}
+        assert got == want
 
 
 def test_budget_against_a_plain_loop(spark, small):
