@@ -55,7 +55,7 @@ class Encoder(ChunkMemory):
             else:
                 groups.append([c])
         texts = ["".join(g) for g in groups]
-        ids = [np.array(e.ids, np.uint32) for i in range(0, len(texts), 256) for e in self.tokenizer.encode_batch_fast(texts[i : i + 256], add_special_tokens=False)]
+        ids = [np.array(e.ids, np.uint32) for i in range(0, len(texts), 32) for e in self.tokenizer.encode_batch_fast(texts[i : i + 32], add_special_tokens=False)]
         ids = np.concatenate(ids)
         upto = np.concatenate(([0], np.cumsum(self.bytes_in[ids])))
         ends = np.concatenate(([0], np.cumsum([len(c.encode()) for c in new])))
