@@ -88,11 +88,19 @@ def impact_sets(events: DataFrame) -> DataFrame:
     return once.groupBy("package_id").agg(n(back).alias("reverted"), n(~F.coalesce(back, F.lit(False)) & (known == "factual")).alias("factual"), n(~F.coalesce(back, F.lit(False)) & ~known.isin("factual", "conceptual")).alias("uncertain"))
 
 
+#: Parts of a package whose relevant documents are hashed together; keys depend on it.
+BATCH_BUCKETS = 1024
+
+
 def impact_batch(state: DataFrame, seen: DataFrame, corpus_documents: int = CORPUS_DOCUMENTS, threshold: int = IMPACT_THRESHOLD) -> DataFrame:
     """package_id, batch_key, relevant, status (none, candidate_requested, review_required): a batch for packages with enough relevant documents whose key was not seen (package_id, batch_key) before."""
     r = state.where("relevant")
+    # the key in two levels: documents are hashed in BATCH_BUCKETS parts of a package, so none holds more than its share of it
     docs = F.array_sort(F.collect_list(F.struct("document_id", "revision", "base_revision", "impact")))
-    b = r.groupBy("package_id").agg(F.count(F.lit(1)).alias("relevant"), F.max((F.col("impact") == "uncertain")).alias("has_uncertain"), F.sha2(F.to_json(docs), 256).alias("batch_key"))
+    parts = r.groupBy("package_id", F.pmod(F.xxhash64("document_id"), F.lit(BATCH_BUCKETS)).alias("bucket"))
+    parts = parts.agg(F.count(F.lit(1)).alias("n"), F.max(F.col("impact") == "uncertain").alias("some_uncertain"), F.sha2(F.to_json(docs), 256).alias("part"))
+    keys = F.array_sort(F.collect_list(F.struct("bucket", "part")))
+    b = parts.groupBy("package_id").agg(F.sum("n").alias("relevant"), F.max("some_uncertain").alias("has_uncertain"), F.sha2(F.to_json(keys), 256).alias("batch_key"))
     enough = (F.col("relevant") >= threshold) | ((F.col("relevant") >= IMPACT_LEAST) & (F.col("relevant") / corpus_documents >= IMPACT_SHARE))
     b = b.join(seen.select("package_id", "batch_key", F.lit(True).alias("_seen")), ["package_id", "batch_key"], "left")
     status = F.when(~enough | F.col("_seen").isNotNull(), "none").when(F.col("has_uncertain"), "review_required").otherwise("candidate_requested")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import records as R
+from .graph import Spool
 
 
 def _keyed(records: DataFrame) -> DataFrame:
@@ -145,6 +146,67 @@ def tree_hash(snapshot: DataFrame, width: int = 2) -> DataFrame:
     return level.groupBy("package_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.array("bucket", "hash")))), 256).alias("tree_hash"))
 
 
+#: Hexadecimal figures of a path's hash that name its bucket in the tree of a package, and so its depth.
+TREE_DEPTH = 4
+
+
+def _bucket_hash(rows: DataFrame, depth: int) -> DataFrame:
+    """package_id, node, hash of the buckets of (package_id, path, sha256)."""
+    node = F.substring(F.sha2("path", 256), 1, depth)
+    return rows.groupBy("package_id", node.alias("node")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("path", F.lit(":"), "sha256"))), "\n"), 256).alias("hash"))
+
+
+def _above(nodes: DataFrame) -> DataFrame:
+    """package_id, node, hash of the parents of nodes (at most 16 children each)."""
+    up = F.substring("node", 1, F.length("node") - 1)
+    return nodes.groupBy("package_id", up.alias("node")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("node", F.lit(":"), "hash"))), "\n"), 256).alias("hash"))
+
+
+def hash_tree(snapshot: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
+    """package_id, node, hash: the Merkle tree of each package's (path, sha256). Nodes are beginnings of the paths' hashes, buckets have ``depth`` figures, the root none; an empty package has no tree."""
+    tree = Spool(snapshot.sparkSession, "tree")
+    level = tree.add(_bucket_hash(snapshot, depth))
+    for _ in range(depth):
+        level = tree.add(_above(level))
+    return tree.all()
+
+
+def refresh_tree(tree: DataFrame, snapshot: DataFrame, changed: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
+    """package_id, node, hash (null: the node goes) of the nodes on the ways from changed paths (package_id, path: added, removed or altered) to their roots; all others of ``tree`` stay as they are.
+
+    k changes touch k buckets and k nodes a level at most, and read their siblings; ``snapshot`` is the packages as they are now, of which the changed buckets alone are hashed.
+    """
+    node = F.substring(F.sha2("path", 256), 1, depth)
+    ways = changed.select("package_id", node.alias("node")).distinct()
+    own = snapshot.withColumn("node", node).join(ways, ["package_id", "node"], "left_semi")
+    touched = Spool(tree.sparkSession, "touched")
+    level = touched.add(ways.join(_bucket_hash(own, depth), ["package_id", "node"], "left"))
+    for n in range(depth, 0, -1):
+        up = level.select("package_id", F.substring("node", 1, n - 1).alias("up")).distinct()
+        old = tree.where(F.length("node") == n).withColumn("up", F.substring("node", 1, n - 1)).join(up, ["package_id", "up"], "left_semi")
+        children = old.join(level.select("package_id", "node"), ["package_id", "node"], "left_anti").select("package_id", "node", "hash").unionByName(level.where("hash IS NOT NULL"))
+        level = touched.add(up.select("package_id", F.col("up").alias("node")).join(_above(children), ["package_id", "node"], "left"))
+    return touched.all()
+
+
+def apply_refresh(tree: DataFrame, touched: DataFrame) -> DataFrame:
+    """The tree with its touched nodes."""
+    return tree.join(touched.select("package_id", "node"), ["package_id", "node"], "left_anti").unionByName(touched.where("hash IS NOT NULL"))
+
+
+def membership_proofs(tree: DataFrame, snapshot: DataFrame, asked: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
+    """package_id, path, proof, root of asked paths (package_id, path) that the snapshot holds: the entries of the path's bucket, then by level the children of the node above, each as ``name:hash``; hashing them level by level leads to the root."""
+    node = F.substring(F.sha2("path", 256), 1, depth)
+    held = snapshot.join(asked.select("package_id", "path").distinct(), ["package_id", "path"], "left_semi").select("package_id", "path", node.alias("bucket"))
+    entries = snapshot.withColumn("bucket", node).join(held.select("package_id", "bucket").distinct(), ["package_id", "bucket"], "left_semi")
+    entries = entries.groupBy("package_id", "bucket").agg(F.array_sort(F.collect_list(F.concat("path", F.lit(":"), "sha256"))).alias("e"))
+    levels = tree.where("node <> ''").groupBy("package_id", F.substring("node", 1, F.length("node") - 1).alias("up")).agg(F.array_sort(F.collect_list(F.concat("node", F.lit(":"), "hash"))).alias("children"))
+    ups = held.select("package_id", "path", "bucket", F.explode(F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda n: F.substring("bucket", F.lit(1), n))).alias("up"))
+    ways = ups.join(levels, ["package_id", "up"]).groupBy("package_id", "path", "bucket").agg(F.array_sort(F.collect_list(F.struct((-F.length("up")).alias("n"), "children"))).alias("ways"))
+    root = tree.where("node = ''").select("package_id", F.col("hash").alias("root"))
+    return ways.join(entries, ["package_id", "bucket"]).join(root, "package_id").select("package_id", "path", F.concat(F.array("e"), F.col("ways.children")).alias("proof"), "root")
+
+
 def snapshot_ids(snapshot: DataFrame, headers: DataFrame) -> DataFrame:
     """package_id, snapshot_id: one hash over a package's corpus hash and all header fields (headers: one row a package). A package with a header but without documents has the hash of an empty corpus."""
     h = headers.join(corpus_hash(snapshot).select("package_id", F.col("corpus_hash").alias("_corpus")), "package_id", "left")

@@ -136,6 +136,30 @@ def a2(spark, d):
     return D.corpus_hash(D.snapshot_documents(I.records(spark, d, True).select("package_id", "path", "content")))
 
 
+_TREE = """t4 AS (SELECT package_id, left(sha256(path), 4) AS node, sha256(string_agg(path || ':' || h, chr(10) ORDER BY path || ':' || h)) AS hash FROM now GROUP BY 1, 2)""" + "".join(
+    f", t{n} AS (SELECT package_id, left(node, {n}) AS node, sha256(string_agg(node || ':' || hash, chr(10) ORDER BY node)) AS hash FROM t{n + 1} GROUP BY 1, 2)" for n in (3, 2, 1, 0)
+)
+
+
+@query(
+    "a2_tree_refresh",
+    f"""WITH {I.RECORDS}, now AS (SELECT package_id, path, sha256(content) AS h FROM cur), old AS (SELECT package_id, path, sha256(content) AS h FROM prev), {_TREE},
+ch AS (SELECT coalesce(now.package_id, old.package_id) AS package_id, coalesce(now.path, old.path) AS path FROM now FULL JOIN old ON now.package_id = old.package_id AND now.path = old.path WHERE now.h IS DISTINCT FROM old.h),
+w AS (SELECT DISTINCT package_id, left(sha256(path), n) AS node FROM ch, (SELECT unnest([0, 1, 2, 3, 4]) AS n))
+SELECT coalesce(t0.package_id, w.package_id) AS package_id, any_value(t0.hash) AS root, count(w.node) AS touched FROM t0 FULL JOIN w USING (package_id) GROUP BY 1""",
+)
+def a2c(spark, d):
+    """The tree of the earlier state, brought up to the later one by the nodes that its changes touch."""
+    of = lambda current: D.snapshot_documents(I.records(spark, d, current).select("package_id", "path", "content")).select("package_id", "path", "sha256")
+    old, new = of(False), of(True)
+    both = old.select("package_id", "path", F.col("sha256").alias("_old")).join(new, ["package_id", "path"], "full")
+    changed = both.where(~F.col("_old").eqNullSafe(F.col("sha256"))).select("package_id", "path")
+    tree = D.hash_tree(old)
+    touched = D.refresh_tree(tree, new, changed)
+    root = D.apply_refresh(tree, touched).where("node = ''").select("package_id", F.col("hash").alias("root"))
+    return root.join(touched.groupBy("package_id").agg(F.count(F.lit(1)).alias("touched")), "package_id", "full").select("package_id", "root", F.coalesce("touched", F.lit(0)).cast("long").alias("touched"))
+
+
 @query(
     "a2_tree_hash",
     f"WITH {I.RECORDS}, l AS (SELECT package_id, left(sha256(path), 2) AS b, sha256('[' || string_agg('[\"' || path || '\",\"' || sha256(content) || '\"]', ',' ORDER BY path) || ']') AS h FROM cur GROUP BY 1, 2) SELECT package_id, sha256('[' || string_agg('[\"' || b || '\",\"' || h || '\"]', ',' ORDER BY b) || ']') AS tree_hash FROM l GROUP BY 1",
@@ -638,8 +662,8 @@ qw AS (SELECT DISTINCT query_id, unnest(regexp_extract_all({I.fold_sql('query')}
 m AS (SELECT query_id, claim_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE classification WHEN 'x' THEN 0 @PRIORITY@ ELSE 0 END DESC, claim_id) AS position FROM (SELECT DISTINCT query_id, claim_id, classification FROM qw JOIN ew USING (w))),
 k AS (SELECT DISTINCT conflict_id, unnest(claim_ids) AS claim_id FROM cf WHERE status = 'open'), kq AS (SELECT DISTINCT query_id FROM (SELECT query_id, conflict_id FROM k JOIN m USING (claim_id) GROUP BY 1, 2 HAVING count(*) >= 2)),
 hs AS (SELECT query_id, path AS source, CAST(regexp_extract(path, '(\\d+)\\.md$', 1) AS BIGINT) % 100 AS source_id, rank FROM hits), ok AS (SELECT * FROM hs WHERE source_id IN (SELECT source_id FROM de WHERE allowed AND purpose = 'internal_query')),
-ei AS (SELECT query_id, 0 AS f, position AS r, rf.source_id || '|' || document_id AS item FROM m JOIN rf USING (claim_id) UNION ALL SELECT query_id, 1, rank, source_id || '|' || source || '|section|' || source FROM ok),
-e AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY f, r, item) AS position FROM (SELECT query_id, item, min(f) AS f, arg_min(r, f * 1000000000 + r) AS r FROM ei GROUP BY 1, 2))
+ei AS (SELECT query_id, 0 AS f, position AS r, 0 AS nth, rf.source_id || '|' || document_id AS item FROM m JOIN rf USING (claim_id) UNION ALL SELECT query_id, 1, rank, 0, source_id || '|' || source || '|section|' || source FROM ok UNION ALL SELECT query_id, 1, rank, 2, source_id || '|' || source || '|page|2' FROM ok),
+e AS (SELECT query_id, item, row_number() OVER (PARTITION BY query_id ORDER BY o, item) AS position FROM (SELECT query_id, item, min((f * 1000000 + r) * 10 + nth) AS o FROM ei GROUP BY 1, 2))
 SELECT query_id, 'claim' AS kind, CAST(position AS INTEGER) AS position, CAST(claim_id AS VARCHAR) AS item FROM m WHERE position <= 5 UNION ALL SELECT query_id, 'evidence', CAST(position AS INTEGER), item FROM e WHERE position <= 15
 UNION ALL SELECT query_id, 'result', CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, source) AS INTEGER) AS position, source FROM ok QUALIFY position <= 5
 UNION ALL SELECT query_id, 'outcome', 1, CASE WHEN query_id IN (SELECT query_id FROM kq) THEN 'conflicting' WHEN query_id IN (SELECT query_id FROM e UNION SELECT query_id FROM m) THEN 'supported' ELSE 'insufficient_evidence' END FROM eq"""
@@ -649,18 +673,25 @@ UNION ALL SELECT query_id, 'outcome', 1, CASE WHEN query_id IN (SELECT query_id
 @query("r3_query_evidence", _EVID)
 def r3(spark, d):
     q = I.questions(spark, d).withColumn("query", F.when(F.col("query_id") % 3 == 0, "large ring").when(F.col("query_id") % 3 == 1, "hot bolt").otherwise(F.col("query")))
-    h = I.hits(spark, d).select("query_id", F.col("path").alias("source"), (F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long") % 100).alias("source_id"), "rank", F.array(F.struct(F.lit("section").alias("kind"), F.col("path").alias("label"))).alias("locators"))
-    return G.query_evidence(q, _eligible(spark, d), I.refs(spark, d), I.conflicts(spark, d), h, I.decisions(spark, d))
+    return G.query_evidence(q, _eligible(spark, d), I.refs(spark, d), I.conflicts(spark, d), _governed_hits(spark, d), I.decisions(spark, d))
+
+
+def _governed_hits(spark, d):
+    """Hits with four locators each, of which three count and one of these has no label; many of the sources may not be used."""
+    at = lambda kind, label: F.struct(F.lit(kind).alias("kind"), label.alias("label"))
+    locators = F.array(at("section", F.col("path")), at("page", F.lit(" ")), at("page", F.lit("2")), at("page", F.lit("3")))
+    return I.hits(spark, d).select("query_id", F.col("path").alias("source"), (F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long") % 100).alias("source_id"), "rank", locators.alias("locators"))
 
 
 @query(
     "r3_evidence_outcome",
-    _ELIG + f", {I.CORPUS}, {I.QUESTIONS}, {I.CONFLICTS}, q AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN ['large', 'ring'] WHEN query_id % 3 = 1 THEN ['hot', 'bolt'] ELSE ['qqq'] END AS ws FROM questions), m AS (SELECT DISTINCT query_id, claim_id FROM q, el WHERE list_has_any(ws, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))), x AS (SELECT DISTINCT conflict_id, unnest(claim_ids) AS claim_id FROM cf WHERE status = 'open'), c AS (SELECT DISTINCT query_id FROM (SELECT query_id, conflict_id FROM x JOIN m USING (claim_id) GROUP BY 1, 2 HAVING count(*) >= 2)) SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM c) THEN 'conflicting' WHEN query_id IN (SELECT query_id FROM m) THEN 'supported' ELSE 'insufficient_evidence' END AS outcome FROM q",
+    _ELIG + f", {I.CORPUS}, {I.QUESTIONS}, {I.CONFLICTS}, {I.HITS}, q AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN ['large', 'ring'] WHEN query_id % 3 = 1 THEN ['hot', 'bolt'] ELSE ['qqq'] END AS ws FROM questions), m AS (SELECT DISTINCT query_id, claim_id FROM q, el WHERE list_has_any(ws, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))), x AS (SELECT DISTINCT conflict_id, unnest(claim_ids) AS claim_id FROM cf WHERE status = 'open'), c AS (SELECT DISTINCT query_id FROM (SELECT query_id, conflict_id FROM x JOIN m USING (claim_id) GROUP BY 1, 2 HAVING count(*) >= 2)), ok AS (SELECT query_id FROM hits WHERE query_id % 2 = 0 AND CAST(regexp_extract(path, '(\\d+)\\.md$', 1) AS BIGINT) % 100 IN (SELECT source_id FROM de WHERE allowed AND purpose = 'internal_query')) SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM c) THEN 'conflicting' WHEN query_id IN (SELECT query_id FROM m UNION SELECT query_id FROM ok) THEN 'supported' ELSE 'insufficient_evidence' END AS outcome FROM q",
 )
 def r3b(spark, d):
+    """Every other query has hits: what is claimed nowhere is supported by a usable hit alone."""
     q = I.questions(spark, d).withColumn("query", F.when(F.col("query_id") % 3 == 0, "large ring").when(F.col("query_id") % 3 == 1, "hot bolt").otherwise("qqq"))
-    h = spark.createDataFrame([], "query_id long, source string, source_id long, rank int, locators array<struct<kind:string,label:string>>")
-    return G.query_evidence(q, _eligible(spark, d), I.refs(spark, d), I.conflicts(spark, d), h, I.decisions(spark, d)).where("kind = 'outcome'").select("query_id", F.col("item").alias("outcome"))
+    found = G.query_evidence(q, _eligible(spark, d), I.refs(spark, d), I.conflicts(spark, d), _governed_hits(spark, d).where("query_id % 2 = 0"), I.decisions(spark, d))
+    return found.where("kind = 'outcome'").select("query_id", F.col("item").alias("outcome"))
 
 
 _BLOCK = f"""WITH {I.SOURCES}, dc AS (SELECT 's-' || source_id || '.md' AS path FROM src), b AS (SELECT 's-' || source_id || '.md' AS path, 'registry' AS r FROM src WHERE status = 'withdrawn' UNION SELECT 's-' || source_id || '.md', 'revocation' FROM src WHERE source_id % 8 = 3 UNION SELECT 's-' || source_id || '.md', 'source_revoked' FROM src WHERE revoked UNION SELECT 's-' || source_id || '.md', 'tombstone' FROM src WHERE source_id % 9 = 6)"""

@@ -36,7 +36,7 @@ def read_corpus(spark: SparkSession, root: str, suffixes: tuple = SUPPORTED, ign
     """path (relative to root), length, status, content, bytes of all files below ``root``: text files have content, in which bytes that are no UTF-8 stand as U+FFFD, the others (pdf and office files) have bytes, for ooxml_text.
 
     status is accepted or document_too_large; the bytes of the latter are never read, as the limit is a filter of the scan, and both are null. Listing and reading are Spark's; links are not followed by it; a
-    file that vanishes after the listing is left out. An empty folder has no rows.
+    file that vanishes after the listing is left out, and so are empty files, which Spark's listing passes over. An empty folder has no rows.
     """
     base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
     relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^.*?\\Q{base}\\E/", "")

@@ -237,3 +237,27 @@ def test_destinations_are_unique_in_a_package(spark):
         got.setdefault(r["package_id"], {})[r["seq"]] = r["final_destination"]
     for p, rows_ in cases.items():
         assert got[p] == used_in_order(rows_) and len(set(got[p].values())) == len(rows_)
+
+
+def test_a_tree_is_refreshed_along_the_ways_of_its_changes(spark):
+    import hashlib
+
+    H = lambda lines: hashlib.sha256("\n".join(sorted(lines)).encode()).hexdigest()
+    old = {("p", f"d/{i}.md"): f"h{i}" for i in range(3000)} | {("q", "only.md"): "x", ("gone", "a.md"): "y"}
+    new = {k: v for k, v in old.items() if k not in (("p", "d/7.md"), ("gone", "a.md"))} | {("p", "d/9.md"): "other", ("p", "new.md"): "n", ("fresh", "b.md"): "z"}
+    frame = lambda x: spark.createDataFrame([(p, path, h) for (p, path), h in x.items()], "package_id string, path string, sha256 string")
+    changed = sorted(k for k in {*old, *new} if old.get(k) != new.get(k))
+    tree = D.hash_tree(frame(old))
+    touched = D.refresh_tree(tree, frame(new), spark.createDataFrame(changed, "package_id string, path string")).collect()
+    assert len(touched) <= 5 * len(changed)  # depth and root of each change
+    after = D.apply_refresh(tree, spark.createDataFrame(touched, "package_id string, node string, hash string"))
+    assert rows(after, "package_id", "node", "hash") == rows(D.hash_tree(frame(new)), "package_id", "node", "hash")
+    asked = [("p", "d/9.md"), ("p", "d/100.md"), ("q", "only.md"), ("p", "missing")]
+    got = {(r["package_id"], r["path"]): r for r in D.membership_proofs(after, frame(new), spark.createDataFrame(asked, "package_id string, path string")).collect()}
+    assert set(got) == set(asked[:3])
+    for (p, path), r in got.items():
+        acc, name = f"{path}:{new[p, path]}", hashlib.sha256(path.encode()).hexdigest()
+        for i, level in enumerate(r["proof"]):
+            assert acc in level
+            acc = f"{name[:4 - i]}:{H(level)}"
+        assert acc == f":{r['root']}"
