@@ -74,7 +74,7 @@ def test_named_elements(spark):
 def test_odd_pages(spark):
     deep = "<div>" * 5000 + "<p>deep text</p>" + "</div>" * 5000
     long = "<article>" + "<p>word</p>" * 30_000 + "</article>"
-    wide = "<body>" + "".join(f"<section class='{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}'><p>t{i}</p></section>" for i in range(700))
+    wide = "<body>" + "".join(f"<section class='q{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}'><p>t{i}</p></section>" for i in range(700))
     broken = "<p title='a>b' data-x=it's>One</b></div><p>Two < three &bogus; <!-- open <p>no"
     rows = [(1, "h", None), (2, "h", ""), (3, None, "<p>no host</p>"), (4, "h", deep), (5, "h", long), (6, "h", wide), (7, "h", broken), (7, "h", broken), (None, "h", "plain text"), (8, "h", "<script>only()"), (9, "h", "<")]
     df = spark.createDataFrame([(*r, "mine", 3, "w") for r in rows], "page_id long, host string, html string, Text string, n_chars int, wrapper string")
