@@ -51,7 +51,7 @@ class Replay(ChunkMemory):
         for i in range(256):
             for j in range(256):
                 self.pairs[i, j] = ranks.get(bytes([i, j]), -1)
-        super().__init__(self.encode_chunks)
+        super().__init__(self.encode_chunks, share=0.4)  # its tasks also hold the index of each replay
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one after another, and where each word's ids begin in them; a word is what one match of the pattern gives."""

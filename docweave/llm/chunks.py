@@ -41,10 +41,10 @@ class _Codes(dict):
 
 class ChunkMemory:
     """Encodes texts by their chunks. ``learn`` gives the ids of many chunks one after another, and where each chunk's ids begin (one more at the end).
-    A text that holds one of the strings ``whole`` is not cut: it is a chunk of its own."""
+    A text that holds one of the strings ``whole`` is not cut: it is a chunk of its own. ``share`` of the usual memory is used."""
 
-    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: tuple[str, ...] = ()):
-        self.learn, self.whole = learn, whole
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], whole: tuple[str, ...] = (), share: float = 1.0):
+        self.learn, self.whole, self.share = learn, whole, share
         self.forget()
 
     def forget(self) -> None:
@@ -56,7 +56,7 @@ class ChunkMemory:
 
     def encode(self, texts: list[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another (unsigned 32-bit), and where each text's ids begin (one more at the end). Null is the empty text."""
-        if self.fresh[0] > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
+        if self.fresh[0] > self.share * REMEMBERED or self.characters > self.share * REMEMBERED_CHARACTERS:
             self.forget()
         codes: list[int] = []
         ends = [0]
