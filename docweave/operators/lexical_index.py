@@ -15,7 +15,7 @@ from .graph import cut, drop
 #: Documents of a block. A token's row for a block holds the block's postings, the best first, and their highest impact.
 BLOCK_DOCUMENTS = 128
 #: A query first looks at its rarest tokens, until they have this many postings for each result wanted.
-SEEDS = 4
+SEEDS = 2
 #: Sums of shares are compared with this much room, as they are added in another order.
 ROOM = 1e-9
 
@@ -62,7 +62,7 @@ def best_hits(questions: DataFrame, index: Index, phrases: DataFrame, k: int, co
 
     1. The postings of a query's rarest tokens are expanded; their documents and those with the phrase have exact scores, and the kth is a threshold.
     2. Common tokens whose highest impacts together stay below the threshold are never looked at: a document with these alone can't reach it. Of the other tokens only those blocks are expanded
-       whose maxima, with all that the common ones could add, reach the threshold.
+       whose maxima, with all that the common ones could add, reach the threshold; and only documents whose own sum does are scored.
     Every document that ties with the kth is among the expanded ones. ``counts``, if given, gets the postings expanded and those that a full join would have met.
     """
     size = F.greatest(F.size("tokens"), F.lit(1))
@@ -90,8 +90,11 @@ def best_hits(questions: DataFrame, index: Index, phrases: DataFrame, k: int, co
     blocks = asked.join(index.postings.select("token", "block", F.col("best").alias("block_best"), "n"), "token")
     reach = blocks.groupBy("query_id", "block").agg((F.sum(F.col("block_best") / F.col("size")) + F.first("others")).alias("reach"), F.first("bar").alias("bar"))
     reach = reach.where(F.col("reach") >= F.col("bar") - ROOM).select("query_id", "block")
-    alive = blocks.join(reach, ["query_id", "block"], "left_semi").select("query_id", "token", "block", "n")
-    more = alive.join(index.postings.select("token", "block", "list"), ["token", "block"]).select("query_id", F.explode("list.path").alias("path")).distinct()
+    alive = blocks.join(reach, ["query_id", "block"], "left_semi").select("query_id", "token", "block", "n", "size", "bar", "others")
+    # the sum over the tokens that were expanded, and what the others can add at most, rule most documents out before they are scored
+    more = alive.join(index.postings.select("token", "block", "list"), ["token", "block"]).select("query_id", "size", "bar", "others", F.explode("list").alias("p"))
+    most = F.sum("p.impact") / F.first("size") + F.first("others")
+    more = more.groupBy("query_id", F.col("p.path").alias("path")).agg(most.alias("most"), F.first("bar").alias("bar")).where(F.col("most") >= F.col("bar") - ROOM).select("query_id", "path")
     second = cut(scored(more.join(first.select("query_id", "path"), ["query_id", "path"], "left_anti")))
     if counts is not None:
         counts["expanded"] = (met.agg(F.sum("n")).first()[0] or 0) + (alive.agg(F.sum("n")).first()[0] or 0)

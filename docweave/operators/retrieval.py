@@ -15,16 +15,17 @@ from .lexical_index import Index, best_hits, build_index, trigram_hits
 from .vector_store import Store, build_store, nearest
 
 
-def phrase_hits(phrases: DataFrame, docs: DataFrame, fold: bool = True) -> DataFrame:
+def phrase_hits(phrases: DataFrame, docs: DataFrame, fold: bool = True, index: Index | None = None) -> DataFrame:
     """query_id, path of the documents (path, content) that hold the whole phrase of (query_id, phrase); both case-folded, unless ``fold`` is false.
 
     The first and last token of a phrase may go on in a longer word, those between stand as they are in any text that holds it. So a document must have the rarest of the tokens between: an inverted join
-    on that token alone, then the test on what it leaves. Phrases of fewer than three tokens have none between; they are found through their trigrams.
+    on that token alone, then the test on what it leaves. Phrases of fewer than three tokens have none between; they are found through their trigrams. The documents' ``index`` spares reading tokens out of texts.
     """
     p = phrases.where("phrase <> ''").select("query_id", (T.casefold(F.col("phrase")) if fold else F.col("phrase")).alias("phrase"), T.token_list(F.col("phrase")).alias("_ts"))
     between = p.where(F.size("_ts") > 2).select("query_id", F.explode(F.array_distinct(F.slice("_ts", F.lit(2), F.size("_ts") - 2))).alias("token"))
     text = T.casefold_safe(F.col("content")) if fold else F.col("content")
-    postings = docs.select("path", F.explode(T.tokens(F.col("content"))).alias("token")).join(between.select("token").distinct(), "token", "left_semi")
+    held = index.documents.select("path", F.explode("in_content").alias("token")) if index else docs.select("path", F.explode(T.tokens(F.col("content"))).alias("token"))
+    postings = held.join(between.select("token").distinct(), "token", "left_semi")
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # a token that no document has rules the phrase out, and so does any join on it
     rarest = between.join(df, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
@@ -44,7 +45,7 @@ def rank_documents(queries: DataFrame, docs: DataFrame, k: int = 5, index: Index
     """
     q = cut(queries.select("query_id", F.coalesce("query", F.lit("")).alias("phrase"), T.tokens(F.col("query")).alias("tokens")))
     own = index or build_index(docs, q.select(F.explode("tokens").alias("token")))
-    phrases = cut(phrase_hits(q, docs).distinct())
+    phrases = cut(phrase_hits(q, docs, index=own).distinct())
     hits = best_hits(q, own, phrases, k, counts)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "path")
     top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
