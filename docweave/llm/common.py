@@ -64,8 +64,15 @@ def unspool(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of a batch that goes to Python. Spark's own limit is 64 MB, which a task holds several times over in the JVM and the worker; a session's other setting is left alone.
+BATCH_BYTES = "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors where PYTHONPATH does not name it already."""
+    """Make this package importable on the executors where PYTHONPATH does not name it already, and bound the batches that go there."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(limit, None) == "67108864b":
+        spark.conf.set(limit, BATCH_BYTES)
     root = Path(__file__).resolve().parents[2]
     known = [os.path.realpath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     if str(root) in known or os.path.realpath(os.getcwd()) == str(root) or getattr(spark.sparkContext, "_docweave_shipped", False):
