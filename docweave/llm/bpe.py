@@ -193,7 +193,8 @@ def decode_documents(tokens: DataFrame, ids: str = "token_ids", rank_file: str |
 def round_trip_digest(docs: DataFrame, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one blank), decoded_sha256 (of the bytes decoded from the ids).
 
-    One pass: encodes each whole text, decodes its ids again and keeps only the digests. Null text counts as empty; a null doc_id stays null.
+    One pass: encodes each whole text, decodes its ids again and keeps only the digests. Null text counts as empty; a null doc_id stays null. Repeated rows
+    and rows of one doc_id are encoded each; texts of any length are encoded whole; further columns, whatever their names, are neither read nor returned; an empty table gives no rows.
     """
     rank_file, pattern = _rank_file(rank_file, pattern)
     ship(docs.sparkSession)

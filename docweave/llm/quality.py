@@ -165,7 +165,7 @@ def _scores(texts: pa.Array, trees: Trees) -> np.ndarray:
 
 
 def score(docs: DataFrame, trees: Trees, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """doc_id, score of every row. Null text scores like the empty text; rows are independent of each other."""
+    """doc_id, score of every row. Null text scores like the empty text; a null id stays null. Rows are independent of each other: equal texts (ties, repeated rows, rows of one id) score alike and stand each, in no stated order; texts of any length are read whole; further columns, whatever their names, are neither read nor returned; an empty table gives no rows."""
     ship(docs.sparkSession)
 
     def run(batches):
