@@ -147,14 +147,20 @@ def reconcile_sources(registry: DataFrame, snapshots: DataFrame) -> DataFrame:
 def resolve_sources(queries: DataFrame, catalog: DataFrame, delta: float = 0.05) -> DataFrame:
     """query_id, slug, status (resolved, requires_decision, not_official, source_not_found) and the number of candidates.
 
-    catalog: (slug, aliases, official, confidence). Names meet over their normal form; with several candidates the first must lead by more than ``delta``.
+    catalog: (slug, aliases, official, confidence). Names meet over their normal form; with several candidates the first must lead by more than ``delta``. A query_id that comes with several queries has the candidates of all.
+
+    Every set of names that is asked for is settled once, by aggregates over its candidates; queries only look their set up, so no row stands for a (query, candidate) pair.
     """
-    names = catalog.select("slug", "official", "confidence", F.explode(F.array_distinct(F.transform(F.concat(F.array("slug"), F.coalesce("aliases", F.array().cast("array<string>"))), T.normalise_name))).alias("name"))
-    q = queries.select("query_id", T.normalise_name(F.col("query")).alias("name"))
-    hit = q.join(names, "name").select("query_id", "slug", "official", "confidence").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.col("confidence").desc(), "slug")
-    ranked = hit.withColumns({"n": F.row_number().over(order), "next": F.lead("confidence").over(order), "candidates": F.count(F.lit(1)).over(Window.partitionBy("query_id"))}).where("n = 1")
-    out = queries.select("query_id").join(ranked, "query_id", "left")
+    asked = queries.groupBy("query_id").agg(F.array_sort(F.collect_set(T.normalise_name(F.col("query")))).alias("names"))
+    sets = asked.select("names").distinct().select("names", F.explode("names").alias("name"))
+    all_names = F.array_distinct(F.transform(F.concat(F.array("slug"), F.coalesce("aliases", F.array().cast("array<string>"))), T.normalise_name))
+    hit = catalog.select("slug", "official", "confidence", F.explode(all_names).alias("name")).join(sets, "name").select("names", "slug", "official", "confidence").distinct()
+    levels = hit.groupBy("names", "confidence").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("slug", "official")).alias("first"))
+    top = levels.groupBy("names").agg(F.max(F.struct("confidence", "n", "first")).alias("top"), F.sum("n").alias("candidates"))
+    # a null confidence comes last, as a level of its own
+    lower = levels.join(top.select("names", F.col("top.confidence").alias("_best")), "names").where("confidence < _best").groupBy("names").agg(F.max("confidence").alias("lower"))
+    ranked = top.join(lower, "names", "left").select("names", F.col("top.first.slug").alias("slug"), F.col("top.first.official").alias("official"), F.col("top.confidence").alias("confidence"), F.when(F.col("top.n") > 1, F.col("top.confidence")).otherwise(F.col("lower")).alias("next"), "candidates")
+    out = queries.select("query_id").join(asked.join(ranked, "names"), "query_id", "left")
     close = F.coalesce(F.round(F.col("confidence") - F.col("next"), 9) <= delta, F.lit(False))
     status = F.when(F.col("slug").isNull(), "source_not_found").when(close, "requires_decision").when(~F.coalesce("official", F.lit(False)), "not_official").otherwise("resolved")
     return out.select("query_id", F.when(~close, F.col("slug")).alias("slug"), status.alias("status"), F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))

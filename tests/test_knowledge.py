@@ -261,3 +261,28 @@ def test_a_tree_is_refreshed_along_the_ways_of_its_changes(spark):
             assert acc in level
             acc = f"{name[:4 - i]}:{H(level)}"
         assert acc == f":{r['root']}"
+
+
+def shuffled(spark, run):
+    """Records that a run shuffles."""
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    written = lambda: sum(s.shuffleWriteRecords() for s in (lambda all_: [all_.apply(i) for i in range(all_.size())])(stages()))
+    before = written()
+    run()
+    return written() - before
+
+
+def test_resolved_names_make_no_pairs(spark):
+    """2,000 queries for names of 500 sources each: a million pairs, none of which is a row. Queries with several names have the candidates of all."""
+    cat = spark.range(1000).selectExpr("concat('s', id) AS slug", "array(if(id % 2 = 0, 'Even', 'Odd')) AS aliases", "id % 4 = 0 AS official", "round(id / 1000, 3) AS confidence")
+    q = spark.range(2000).selectExpr("id AS query_id", "if(id % 2 = 0, ' even', 'odd!') AS query")
+    got = []
+    assert shuffled(spark, lambda: got.extend(G.resolve_sources(q, cat, 0.001).collect())) < 50_000
+    assert {(r["status"], r["candidates"], r["slug"]) for r in got if r["query_id"] % 2 == 0} == {("not_official", 500, "s998")} and {r["slug"] for r in got if r["query_id"] % 2} == {"s999"}
+    several = spark.createDataFrame([(1, "even"), (1, "odd"), (1, "s3"), (2, "s8"), (2, "S 8"), (3, "no"), (4, None)], "query_id int, query string")
+    rows = {r["query_id"]: (r["slug"], r["status"], r["candidates"]) for r in G.resolve_sources(several, cat, 0.001).collect()}
+    assert rows == {1: (None, "requires_decision", 1000), 2: ("s8", "resolved", 1), 3: (None, "source_not_found", 0), 4: (None, "source_not_found", 0)}
+    tied = spark.createDataFrame([("b", ["n"], True, 0.5), ("a", ["n"], True, 0.5), ("c", ["n"], True, None), ("d", ["m"], True, None)], "slug string, aliases array<string>, official boolean, confidence double")
+    q = spark.createDataFrame([(1, "n"), (2, "m")], "query_id int, query string")
+    assert {r["query_id"]: tuple(r)[1:] for r in G.resolve_sources(q, tied).collect()} == {1: (None, "requires_decision", 3), 2: ("d", "resolved", 1)}
