@@ -286,3 +286,27 @@ def test_resolved_names_make_no_pairs(spark):
     tied = spark.createDataFrame([("b", ["n"], True, 0.5), ("a", ["n"], True, 0.5), ("c", ["n"], True, None), ("d", ["m"], True, None)], "slug string, aliases array<string>, official boolean, confidence double")
     q = spark.createDataFrame([(1, "n"), (2, "m")], "query_id int, query string")
     assert {r["query_id"]: tuple(r)[1:] for r in G.resolve_sources(q, tied).collect()} == {1: (None, "requires_decision", 3), 2: ("d", "resolved", 1)}
+
+
+def test_providers_are_asked_once_for_each_set_of_queries(spark):
+    """2,000 query_ids ask for two names; the provider sees two queries and its candidates are ranked twice, whoever asks gets them all."""
+    cat = spark.range(40).selectExpr("concat('s', id) AS slug", "id % 2 = 0 AS official", "id / 100 AS confidence", "if(id % 2 = 0, 'even', 'odd') AS name")
+    seen = []
+
+    def provider(q):
+        seen.append(q.count())
+        return q.join(cat, F.col("query") == F.col("name"))
+
+    G.register_resolver("counted", provider)
+    try:
+        q = spark.range(2000).selectExpr("id AS query_id", "if(id % 2 = 0, 'even', 'odd') AS query")
+        several = spark.createDataFrame([(5000, "even"), (5000, "odd"), (5001, None), (None, "odd")], "query_id long, query string")
+        got = {}
+        for r in G.resolve_with(q.unionByName(several), ["counted"]).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["slug"]))
+    finally:
+        del G.RESOLVERS["counted"]
+    assert seen == [5]
+    best = lambda ids: [(n, f"s{i}") for n, i in enumerate(sorted(ids, reverse=True), 1)]
+    assert sorted(got[1998]) == best(range(0, 40, 2)) and sorted(got[7]) == sorted(got[None]) == best(range(1, 40, 2)) and sorted(got[5000]) == best(range(40))
+    assert got.keys() == {*range(2000), 5000, None}
