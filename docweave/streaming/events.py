@@ -19,29 +19,44 @@ def dedupe_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("occurred_at", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def event_codes_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
+#: Groups that share the ids of a stream of events; a checkpoint belongs to one number.
+ID_GROUPS = 4096
+
+
+def event_codes_stream(events: DataFrame, late: str = "1 hour", groups: int = ID_GROUPS) -> DataFrame:
     """event_id, seq, code of every event (event_id, seq, payload_hash, occurred_at): accepted, duplicate or conflict as in the batch form, by the first event of the id. An id is forgotten ``late`` after its newest event.
 
-    Within a micro-batch events go by seq.
+    Within a micro-batch events go by seq. Ids are dealt to ``groups`` by a hash, so Python is called once a group and not once an id; a group's state is its ids that are not yet forgotten, with the first payload
+    and the newest time of each, and its timer stands for the earliest that may go.
     """
     memory = pd.Timedelta(late).total_seconds()
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        mark = state.getCurrentWatermarkMs()
+        known = {i: (first, newest, until) for i, first, newest, until in zip(*state.get)} if state.exists else {}
+        touched = set()
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches)).sort_values("seq")
+            out = []
+            for i, payload, at in zip(rows["event_id"], rows["payload_hash"], rows["_at"].tolist()):
+                first, newest, _ = known.get(i, (payload, 0.0, 0))
+                out.append("event_accepted" if i not in known else "event_duplicate" if payload is not None and payload == first else "event_id_conflict")
+                newest = max(newest, at)
+                known[i] = first, newest, max(int((newest + memory) * 1000), mark + 1)
+                touched.add(i)
+            yield pd.DataFrame({"event_id": rows["event_id"], "seq": rows["seq"], "code": out})
+        known = {i: k for i, k in known.items() if i in touched or k[2] >= mark}
+        if known:
+            firsts, newest, until = (list(x) for x in zip(*known.values()))
+            state.update((list(known), firsts, newest, until))
+            state.setTimeoutTimestamp(min(until))
+        elif state.exists:
             state.remove()
-            return
-        first, newest = state.get if state.exists else (None, 0.0)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, payload in zip(rows["seq"], rows["payload_hash"]):
-            out.append("event_accepted" if first is None else "event_duplicate" if payload == first else "event_id_conflict")
-            first = payload if first is None else first
-        newest = max(newest, float(rows["_at"].max()))
-        state.update((first, newest))
-        state.setTimeoutTimestamp(max(int((newest + memory) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": rows["event_id"], "seq": rows["seq"], "code": out})
 
-    return _timed(events, late).groupBy("event_id").applyInPandasWithState(run, "event_id string, seq long, code string", "first string, newest double", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = _timed(events, late).withColumn("_group", F.pmod(F.xxhash64("event_id"), F.lit(groups)))
+    return rows.groupBy("_group").applyInPandasWithState(
+        run, "event_id string, seq long, code string", "ids array<string>, firsts array<string>, newest array<double>, until array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def _timed(events: DataFrame, late: str) -> DataFrame:

@@ -112,3 +112,26 @@ def test_budget_against_a_plain_loop(spark, small):
             assert got[package, seq] == ("backlog" if full else "candidate_requested")
             taken += [] if full else [at]
     assert set(got.values()) == {"backlog", "candidate_requested"}
+
+
+def test_event_codes_call_python_a_group_and_forget_by_id(spark, tmp_path):
+    """5,000 ids in one micro-batch touch 7 states; ids of one group are forgotten each at its own time, and null payloads are never duplicates."""
+    from datetime import datetime, timedelta
+
+    from docweave.streaming import events as S
+
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    many = [(f"e{i}", i, "x", at(0)) for i in range(5000)]
+    batches = [many, [("e1", 5001, "x", at(50)), ("e2", 5002, "y", at(50)), (None, 5003, None, at(50)), (None, 5004, None, at(50))], [("z", 6000, "x", at(130))], [("z", 6001, "x", at(131))], [("e1", 7000, "x", at(100)), ("e3", 7001, "x", at(100))]]
+    schema = "event_id string, seq long, payload_hash string, occurred_at timestamp"
+    for part in batches:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = S.event_codes_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "1 hour", groups=7)
+        query = query.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if part is many:
+            assert max(s["numRowsUpdated"] for p in query.recentProgress for s in p["stateOperators"]) <= 7
+    got = {r["seq"]: r["code"].removeprefix("event_") for r in spark.read.schema("event_id string, seq long, code string").parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == sum(map(len, batches)) and {got[i] for i in range(5000)} == {"accepted"}
+    # e1 was last seen at 50 and is known until 110, e3 at 0 and until 60: the watermark is 71 when both come again
+    assert {s: c for s, c in got.items() if s > 5000} == {5001: "duplicate", 5002: "id_conflict", 5003: "accepted", 5004: "id_conflict", 6000: "accepted", 6001: "duplicate", 7000: "duplicate", 7001: "accepted"}
