@@ -140,7 +140,7 @@ def l1(spark, d):
     raw = I.events(spark, d).select(
         "event_id", "seq", "package_id", F.when(k % 40 == 6, "../x").otherwise(F.concat(F.lit("fb-"), "event_id")).alias("feedback_id"), F.col("observed_revision").alias("generation"), F.when(F.col("type") == "error", "wrong_answer").when(F.col("type") == "view", "latency").otherwise(F.col("type")).alias("kind"),
         F.concat(F.lit(" "), "document_id").alias("question"), who.alias("reporter_id"), F.lit(None).cast("string").alias("session_id"), (u % 9 != 4).alias("authenticated"), F.lit("sso").alias("source"), F.when(u % 9 == 5, "other").otherwise(who).alias("subject"), F.lit("sig").alias("proof"),
-        F.when(F.col("value") < 5, -F.col("value")).otherwise(F.col("value")).alias("latency_ms"), F.lit(1.0).alias("cost_units"), "occurred_at",
+        F.when(F.col("value") < 5, F.col("value") - 5).otherwise(F.col("value")).alias("latency_ms"), F.lit(1.0).alias("cost_units"), "occurred_at",
     )
     return B.normalize_feedback(raw).select("event_id", "seq", "error", "question_hash", "occurrence_hash")
 

@@ -135,3 +135,15 @@ def test_event_codes_call_python_a_group_and_forget_by_id(spark, tmp_path):
     assert len(got) == sum(map(len, batches)) and {got[i] for i in range(5000)} == {"accepted"}
     # e1 was last seen at 50 and is known until 110, e3 at 0 and until 60: the watermark is 71 when both come again
     assert {s: c for s, c in got.items() if s > 5000} == {5001: "duplicate", 5002: "id_conflict", 5003: "accepted", 5004: "id_conflict", 6000: "accepted", 6001: "duplicate", 7000: "duplicate", 7001: "accepted"}
+
+
+def test_feedback_of_no_value(spark, small, tmp_path):
+    """A value of 0 or less is below 5 like any other: its number is invalid, as in the SQL."""
+    from pathlib import Path
+
+    for f in Path(small).glob("*.parquet"):
+        if f.name != "events.parquet":
+            (tmp_path / f.name).symlink_to(f)
+    e = spark.read.parquet(f"{small}/events.parquet")
+    e.withColumn("value", F.when(F.col("event_id") % 3 == 0, 0.0).when(F.col("event_id") % 3 == 1, -2.5).otherwise(F.col("value"))).toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    assert_same(entry.QUERIES["l1_normalize_feedback"](spark, str(tmp_path)), entry.ORACLES["l1_normalize_feedback"], str(tmp_path))
