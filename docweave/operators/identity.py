@@ -79,7 +79,7 @@ def unique_destinations(entries: DataFrame) -> DataFrame:
     their source, then -2, -3, ..., whatever is free. Null sources count as empty, a package's seq are distinct.
 
     Made names can only meet made names of the same stem and hash, and names that are wanted and look as if they were made. Where no such name is wanted the nth of a stem and hash has number n. The others are settled
-    in order, by stem and hash: few rows each, unless one source wants one name again and again.
+    in order, by stem and hash: few rows each, unless one source wants one name again and again; then each still takes a step, as numbers are searched on from the last.
     """
     first = F.row_number().over(Window.partitionBy("package_id", "destination").orderBy("seq")) == 1
     e = entries.withColumns({"_first": first, "_digest": F.substring(F.sha2(F.coalesce("source", F.lit("")), 256), 1, 10)})
@@ -99,17 +99,19 @@ def unique_destinations(entries: DataFrame) -> DataFrame:
     plain = asking.where("NOT _hard").withColumn("final_destination", F.concat("_made", F.when(again > 1, F.concat(F.lit("-"), again.cast("string"))).otherwise(""), "_extension"))
 
     def settle(batches):
-        now, used = None, set()
+        now, used, numbers = None, set(), {}
         for b in batches:
             out = []
-            for *key, wanted, stem, extension in zip(*(b[c] for c in group), b["destination"], b["_made"], b["_extension"]):
+            for *key, wanted, stem, extension, looks in zip(*(b[c] for c in group), b["destination"], b["_made"], b["_extension"], b["_looks"]):
                 if key != now:
-                    now, used = key, set()
+                    now, used, numbers = key, set(), {}
                 # a wanted name with a folder, or one that does not look made, can only be taken by the first to want it, who is not here
-                free = wanted not in used and b["_looks"].iat[len(out)]
-                n, own = 2, wanted if free else f"{stem}{extension}"
-                while own in used:
-                    own, n = f"{stem}-{n}{extension}", n + 1
+                own = wanted if looks and wanted not in used else f"{stem}{extension}"
+                if own in used:
+                    n = numbers.get(stem, 2)  # names are never given back, so what was taken below stays taken
+                    while (own := f"{stem}-{n}{extension}") in used:
+                        n += 1
+                    numbers[stem] = n + 1
                 used.add(own)
                 out.append(own)
             yield b.assign(final_destination=out)
