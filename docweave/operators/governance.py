@@ -276,28 +276,37 @@ def query_evidence(queries: DataFrame, claims: DataFrame, refs: DataFrame, confl
 
     claims (eligible ones) must share a word with the query; they come by priority of their class, then id. hits: (query_id, source, source_id, rank, locators array of struct<kind, label>) count only
     with a source that may be used; each adds up to three references. Evidence is cut at three times max_results. The outcome is conflicting, supported or insufficient_evidence.
+
+    Claims are matched, ordered and cut once for each set of words that is asked for, under the smallest query_id that has it; the outcome reads no references of claims, as a claim alone supports.
     """
-    q = queries.select("query_id", T.claim_words(F.col("query")).alias("words"))
+    words = T.claim_words(F.col("query"))
+    own = queries.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(words)))).alias("words"), F.bool_or(F.size(words) == 0).alias("wordless"))
+    sets = own.groupBy("words", "wordless").agg(F.min("query_id").alias("set_id"))
+    of = own.join(sets, ["words", "wordless"]).select("query_id", "set_id")
     cw = claims.select("claim_id", "classification", F.explode(T.claim_words(F.col("text"))).alias("w"))
-    matched = cw.join(q.select("query_id", F.explode("words").alias("w")), "w").select("query_id", "claim_id", "classification").distinct()
-    wordless = q.where("size(words) = 0").select("query_id").join(claims.select("claim_id", "classification"), F.lit(True))
+    matched = cw.join(sets.where("NOT wordless").select("set_id", F.explode("words").alias("w")), "w").select("set_id", "claim_id", "classification").distinct()
+    wordless = sets.where("wordless").select("set_id").join(claims.select("claim_id", "classification"), F.lit(True))
     matched = matched.unionByName(wordless)
-    order = Window.partitionBy("query_id").orderBy(claim_priority(F.col("classification")).desc(), "claim_id")
-    ranked = matched.withColumn("position", F.row_number().over(order))
+    low = -claim_priority(F.col("classification"))
+    first = F.row_number().over(Window.partitionBy("set_id").orderBy(low, "claim_id"))
+    ranked = matched.withColumn("position", first).where(F.col("position") <= max_results).join(of, "set_id")
     k = conflicts.where("status = 'open'").select("conflict_id", F.explode(F.array_distinct("claim_ids")).alias("claim_id"))
-    conflicting = k.join(matched, "claim_id").groupBy("query_id", "conflict_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("query_id").distinct().withColumn("conflicting", F.lit(True))
+    conflicting = k.join(matched, "claim_id").groupBy("set_id", "conflict_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("set_id").distinct().join(of, "set_id").select("query_id", F.lit(True).alias("conflicting"))
     ok = hits.join(decisions.where("allowed AND purpose = 'internal_query'").select("source_id"), "source_id", "left_semi")
-    claim_refs = ranked.join(refs.select("claim_id", "source_id", "document_id"), "claim_id").select("query_id", F.lit(0).alias("from_hit"), F.col("position").alias("rank"), F.lit(0).alias("nth"), F.concat_ws("|", "source_id", "document_id").alias("item"))
+    # what claims refer to comes before what hits do, so of a set's references no more than can be given are needed
+    claim_refs = matched.select("set_id", F.struct(low.alias("low"), "claim_id").alias("o"), "claim_id").join(refs.select("claim_id", "source_id", "document_id"), "claim_id").groupBy("set_id", F.concat_ws("|", "source_id", "document_id").alias("item")).agg(F.min("o").alias("o"))
+    claim_refs = claim_refs.withColumn("rank", F.row_number().over(Window.partitionBy("set_id").orderBy("o", "item"))).where(F.col("rank") <= 3 * max_results)
+    claim_refs = claim_refs.join(of, "set_id").select("query_id", F.lit(0).alias("from_hit"), "rank", F.lit(0).alias("nth"), "item")
     hit_refs = ok.select("query_id", F.lit(1).alias("from_hit"), F.col("rank"), F.posexplode(F.slice("locators", 1, 3)).alias("nth", "l"), "source_id", "source")
     hit_refs = hit_refs.where("trim(l.label) <> ''").select("query_id", "from_hit", "rank", "nth", F.concat_ws("|", "source_id", "source", F.col("l.kind"), F.col("l.label")).alias("item"))
     evidence = claim_refs.unionByName(hit_refs).groupBy("query_id", "item").agg(F.min(F.struct("from_hit", "rank", "nth")).alias("o"))
     evidence = evidence.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("o", "item")))
     results = ok.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "source")))
-    some = evidence.select("query_id").union(ranked.select("query_id")).distinct().withColumn("some", F.lit(True))
-    outcome = q.select("query_id").join(conflicting, "query_id", "left").join(some, "query_id", "left")
+    some = hit_refs.select("query_id").union(matched.select("set_id").distinct().join(of, "set_id").select("query_id")).distinct().withColumn("some", F.lit(True))
+    outcome = queries.select("query_id").join(conflicting, "query_id", "left").join(some, "query_id", "left")
     outcome = outcome.select("query_id", F.lit("outcome").alias("kind"), F.lit(1).alias("position"), F.when(F.col("conflicting"), "conflicting").when(F.col("some"), "supported").otherwise("insufficient_evidence").alias("item"))
     parts = [
-        ranked.where(F.col("position") <= max_results).select("query_id", F.lit("claim").alias("kind"), "position", F.col("claim_id").cast("string").alias("item")),
+        ranked.select("query_id", F.lit("claim").alias("kind"), "position", F.col("claim_id").cast("string").alias("item")),
         evidence.where(F.col("position") <= 3 * max_results).select("query_id", F.lit("evidence").alias("kind"), "position", "item"),
         results.where(F.col("position") <= max_results).select("query_id", F.lit("result").alias("kind"), "position", F.col("source").alias("item")),
         outcome,

@@ -338,3 +338,30 @@ def made_of(source):
     import hashlib
 
     return f"page--{hashlib.sha256(source.encode()).hexdigest()[:10]}"
+
+
+def test_evidence_of_queries_that_say_the_same(spark):
+    """1,000 queries of the same words over 300 claims of two references each: 300,000 matches, none of which is a row; each query has its own hits after the claims' references."""
+    claims = spark.range(300).selectExpr("id AS claim_id", "'a ring' AS text", "if(id % 2 = 0, 'opinion', 'official_rule') AS classification")
+    refs = spark.range(600).selectExpr("id % 300 AS claim_id", "id % 7 AS source_id", "concat('d', id % 11) AS document_id")
+    conflicts = spark.createDataFrame([("k", "open", [1, 2, 900])], "conflict_id string, status string, claim_ids array<long>")
+    q = spark.range(1000).selectExpr("id AS query_id", "if(id % 2 = 0, 'Ring large', 'large RING') AS query").unionByName(spark.createDataFrame([(5000, "nothing"), (5001, "nothing")], "query_id long, query string"))
+    hits = spark.createDataFrame([(0, "s", 1, 1, [("page", "1")]), (5000, "s", 1, 1, [("page", "1"), ("page", " ")])], "query_id long, source string, source_id long, rank int, locators array<struct<kind:string,label:string>>")
+    allowed = spark.createDataFrame([(1, "internal_query", True)], "source_id long, purpose string, allowed boolean")
+    got = {}
+
+    def run():
+        for r in G.query_evidence(q, claims, refs, conflicts, hits, allowed, max_results=30).collect():
+            got.setdefault(r["query_id"], {}).setdefault(r["kind"], []).append((r["position"], r["item"]))
+
+    assert shuffled(spark, run) < 250_000
+    ids = [i for i in range(300) if i % 2] + [i for i in range(300) if i % 2 == 0]
+    seen = {}
+    for i in ids:
+        for item in sorted(f"{n % 7}|d{n % 11}" for n in (i, i + 300)):
+            seen.setdefault(item, None)
+    want = [*seen, "1|s|page|1"]
+    assert sorted(got[0]["claim"]) == [(n, str(i)) for n, i in enumerate(ids[:30], 1)]
+    assert sorted(got[0]["evidence"]) == list(enumerate(want, 1)) and sorted(got[999]["evidence"]) == list(enumerate(want[:-1], 1))
+    assert got[0]["outcome"] == [(1, "conflicting")] and got[5000]["outcome"] == [(1, "supported")] and got[5001]["outcome"] == [(1, "insufficient_evidence")]
+    assert got[5000]["evidence"] == [(1, "1|s|page|1")] and got[5000]["result"] == [(1, "s")]
