@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.events import DEBOUNCE, MOST_DEBOUNCE, accept_greedily
+from ..operators.events import DEBOUNCE, MOST_DEBOUNCE, Greedy
 from ..operators.feedback import RATE_LIMIT, RATE_WINDOW
 
 
@@ -99,6 +101,10 @@ def debounce_stream(events: DataFrame, late: str = "1 minute", debounce: float =
     )
 
 
+#: Rows that a subject of the rate limit gives out at a time.
+ROWS = 10_000
+
+
 def rate_limit_stream(feedback: DataFrame, late: str = "1 minute", limit: int = RATE_LIMIT, window: float = RATE_WINDOW) -> DataFrame:
     """feedback_id, seq, accepted: the greedy limit of the batch form for each subject_hash. Within a micro-batch submissions go by seq.
 
@@ -111,14 +117,29 @@ def rate_limit_stream(feedback: DataFrame, late: str = "1 minute", limit: int =
             state.remove()
             return
         kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("seq")
-        times = rows["_at"].tolist()
-        ok = accept_greedily(iter(kept + times), window, limit)[len(kept) :]
-        kept += [t for t, a in zip(times, ok) if a]
+        # a subject may be a large share of the events: ids stay in Arrow, and only what the rule reads is kept, 16 bytes a row besides them
+        ids, seqs, times = [], [], []
+        for b in batches:
+            ids.append(pa.array(b["feedback_id"], pa.large_string(), from_pandas=True))
+            seqs.append(b["seq"].to_numpy())
+            times.append(b["_at"].to_numpy())
+        ids, seqs, times = pa.chunked_array(ids), np.concatenate(seqs), np.concatenate(times)
+        order = np.argsort(seqs, kind="stable")
+        rule = Greedy(window, limit)
+        for t in kept:
+            rule.accepts(t)
         newest = max(kept, default=0.0)
+        for start in range(0, len(order), ROWS):
+            now = order[start : start + ROWS]
+            ok = []
+            for t in times[now].tolist():
+                ok.append(rule.accepts(t))
+                if ok[-1]:
+                    kept.append(t)
+                    newest = max(newest, t)
+            yield pd.DataFrame({"feedback_id": ids.take(pa.array(now)).to_pandas(), "seq": seqs[now], "accepted": ok})
         state.update(([t for t in kept if newest - t <= memory],))
         state.setTimeoutTimestamp(max(int((newest + memory) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"feedback_id": rows["feedback_id"], "seq": rows["seq"], "accepted": ok})
 
     return _timed(feedback, late).groupBy("subject_hash").applyInPandasWithState(run, "feedback_id string, seq long, accepted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
