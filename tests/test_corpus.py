@@ -181,3 +181,11 @@ def test_the_automaton_rules_no_credential_out(spark):
     want = {(r["path"], r["pattern"]) for r in docs.select("path", first.alias("pattern")).where("pattern IS NOT NULL").collect()}
     assert {(r["path"], r["pattern"]) for r in Q.secret_scan(docs).collect()} == want and {p for _, p in want} == {1, 2, 3, 4, 5, 6, 7}
     assert Q.secret_scan(docs.limit(0)).count() == 0
+
+
+def test_references_without_semicolon():
+    """HTML reads &amp without its end as &, in titles and texts; an escaped one stays text."""
+    from docweave.operators.normalize import html_to_markdown
+
+    got = html_to_markdown("<title>a &amp</title><p>b &amp</p><p>c &amp;amp</p>", "http://x.org/")
+    assert got["title"] == "a &" and got["content"] == "b &\n\nc &amp"
