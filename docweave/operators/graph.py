@@ -330,7 +330,8 @@ def _numbered_changes(operations: DataFrame) -> DataFrame:
 def reached_bits(operations: DataFrame, edges: DataFrame, rounds: list | None = None) -> tuple[DataFrame, DataFrame]:
     """(node, word, bits), (change_id, word, bit): which changes (change_id, target_id) reach a node over edges (source depends on target), 63 changes a row.
 
-    All changes walk together: a node's bits are merged by bit_or before they are shuffled, a round passes on only bits that are new to a node.
+    All changes walk together: a node's bits are merged by bit_or before they are shuffled, a round passes on only bits that are new to a node. Neither its frontier nor the state
+    is broadcast: their files are small for what they hold, and every round would send them through the driver.
     """
     numbers = cut(_numbered_changes(operations))
     e = cut(edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL AND source <> target").distinct())
@@ -338,8 +339,8 @@ def reached_bits(operations: DataFrame, edges: DataFrame, rounds: list | None =
     state = cut(begin.groupBy("node", "word").agg(F.bit_or("bit").alias("bits")))
     frontier = state
     while not frontier.isEmpty():
-        step = e.join(frontier.select(F.col("node").alias("target"), "word", "bits"), "target").groupBy(F.col("source").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
-        old = state.select("node", "word", F.col("bits").alias("_old"))
+        step = e.join(frontier.select(F.col("node").alias("target"), "word", "bits").hint("merge"), "target").groupBy(F.col("source").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        old = state.select("node", "word", F.col("bits").alias("_old")).hint("merge")
         new = step.join(old, ["node", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_old", F.lit(0).cast("long")))))
         new = cut(new.where("bits <> 0").select("node", "word", "bits"))
         both = cut(state.unionByName(new).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")))

@@ -110,3 +110,14 @@ def test_changes_walk_together(spark):
     impact = {r["change_id"]: r for r in graph.change_impact(df, frame(spark, edges), unknown).collect()}
     assert {c: r["affected"] for c, r in impact.items()} == {c: len(want.get(c, ())) for c in [*range(150), 200]}
     assert {c for c, r in impact.items() if r["blockers"] == ["DEPENDENCY_UNKNOWN"] and r["unknown_dependencies"]} == {0, 9} and impact[1]["blockers"] == []
+
+
+def test_reached_bits_send_no_table_through_the_driver(spark):
+    """Three rounds over 20,000 nodes: what stages send to the driver stays far below the tables."""
+    sc = spark.sparkContext
+    sent = lambda: sum(s.resultSize() for s in (lambda a: [a.apply(i) for i in range(a.size())])(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())))
+    edges = spark.range(60_000).selectExpr("concat('node-', id % 20000 + 20000 * cast(id / 20000 as int)) AS source", "concat('node-', id % 20000 + 20000 * (cast(id / 20000 as int) - 1)) AS target")
+    ops = spark.range(20_000).selectExpr("id % 5 AS change_id", "concat('node-', id) AS target_id")
+    before = sent()
+    state, _ = graph.reached_bits(ops, edges)
+    assert state.count() == 60_000 and sent() - before < 1_500_000
