@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: a token of the lexical ranking. Trailing . : / - stay in it.
-TOKEN = r"[\p{L}\p{N}_À-ÿ][\p{L}\p{N}_À-ÿ./:-]*"
+#: Fixed value: a token of the lexical ranking. Trailing . : / - stay in it. The letters that are most frequent stand first, as they are tried in this order; the set is that of [\p{L}\p{N}_À-ÿ].
+TOKEN = r"[a-z0-9_\p{L}\p{N}À-ÿ][a-z0-9_\p{L}\p{N}À-ÿ./:-]*"
 #: Fixed value: a word of claims and claim questions.
 WORD = r"[\p{L}\p{N}_]+"
 #: Fixed value: what ends a line: CR LF together, or one of CR, LF, VT, FF, FS, GS, RS, NEL, LS, PS.

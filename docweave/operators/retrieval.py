@@ -26,6 +26,8 @@ def phrase_hits(phrases: DataFrame, docs: DataFrame, fold: bool = True, index: I
     text = T.casefold_safe(F.col("content")) if fold else F.col("content")
     held = index.documents.select("path", F.explode("in_content").alias("token")) if index else docs.select("path", F.explode(T.tokens(F.col("content"))).alias("token"))
     postings = held.join(between.select("token").distinct(), "token", "left_semi")
+    if index is None:
+        postings = cut(postings)  # read twice; texts are cut into tokens once
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # a token that no document has rules the phrase out, and so does any join on it
     rarest = between.join(df, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
@@ -118,20 +120,43 @@ def lexical_fast_path(queries: DataFrame, hits: DataFrame, min_hits: int = 3) ->
     return q.select("query_id", F.when(F.col("identifier") & (F.coalesce("n", F.lit(0)) >= min_hits), "lexical").otherwise("hybrid").alias("mode"))
 
 
+#: bm25 scores one chunk in so many first; the kth best of a query among these is a bar that its best k of all reach.
+SLICES = 64
+#: Rows (chunk, token) that a task scores: a few times as many (query, chunk) sums must fit its memory.
+SCORED_ROWS = 500_000
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, score, rank of the k best chunks (chunk_id, text). Document frequencies count all chunks."""
+    """query_id, chunk_id, score, rank of the k best chunks (chunk_id, text; one row a chunk). Document frequencies count all chunks.
+
+    Texts are read and cut into tokens once: what is written of a chunk is its length and how often it holds the tokens that are asked for. A chunk's rows are scored in one task, and only scores that reach a
+    query's bar are sorted and sent on.
+    """
+    words = cut(queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")))
     listed = chunks.select("chunk_id", T.token_list(F.col("text")).alias("ts"))
-    stats = listed.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("mean"))
-    words = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token"))
-    t = listed.select("chunk_id", F.size("ts").alias("len"), F.explode("ts").alias("token"))
-    tf = t.join(words.select("token").distinct(), "token", "left_semi").groupBy("chunk_id", "len", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    w = tf.join(df, "token").crossJoin(F.broadcast(stats))  # one row
+    asked = words.select("token", F.col("token").alias("asked")).distinct()
+    t = listed.select("chunk_id", F.size("ts").alias("len"), "ts").select("chunk_id", "len", F.posexplode_outer("ts").alias("at", "token")).join(asked, "token", "left")
+    # each chunk keeps one row at least, for the number of chunks and their mean length
+    t = t.where("asked IS NOT NULL OR coalesce(at, 0) = 0")
+    tf = cut(t.groupBy("chunk_id", "len", F.col("asked").alias("token")).agg(F.count(F.lit(1)).alias("tf"), F.max(F.coalesce("at", F.lit(0)) == 0).alias("first")))
+    stats = tf.where("first").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
+    df = tf.where("token IS NOT NULL").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    s = w.select("chunk_id", "token", part.alias("part")).join(words, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    weights = cut(words.join(df, "token").crossJoin(F.broadcast(stats)).select("query_id", "token", idf.alias("idf"), "mean"))  # one row of stats
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+
+    parts = max(1, -(-tf.count() // SCORED_ROWS))
+
+    def scored(rows: DataFrame, parts: int) -> DataFrame:
+        return rows.repartition(parts, "chunk_id").join(weights, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
+
+    held = tf.where("token IS NOT NULL").select("chunk_id", "len", "token", "tf")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = lambda s: s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    bar = cut(best(scored(held.where(F.pmod(F.xxhash64("chunk_id"), F.lit(SLICES)) == 0), -(-parts // SLICES))).where(F.col("rank") == k).select("query_id", F.col("score").alias("bar")))
+    out = cut(best(scored(held, parts).join(bar, "query_id", "left").where("bar IS NULL OR score >= bar").drop("bar")))
+    drop(words, tf, weights, bar)
+    return out
 
 
 def cosine(query_vectors: DataFrame, vectors: DataFrame, k: int, store: Store | None = None, counts: dict | None = None) -> DataFrame:
@@ -158,7 +183,7 @@ def fuse(lexical: DataFrame, semantic: DataFrame, k: int, constant: int = 60) ->
 def hybrid_search(queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, pool: int = 50) -> DataFrame:
     """query_id, document, chunk_id, score, rank: BM25 and cosine candidates (min(3k, pool) each) fused by rank; each document stands with its best chunk."""
     n = min(3 * k, pool)
-    fused = fuse(bm25(queries, chunks, n), cosine(query_vectors, vectors, n), 2 * n)
+    fused = cut(fuse(bm25(queries, chunks, n), cosine(query_vectors, vectors, n), 2 * n))  # its size is known now: 2n rows a query
     with_doc = fused.drop("rank").join(chunks.select("chunk_id", "document"), "chunk_id")
     best = Window.partitionBy("query_id", "document").orderBy(F.col("score").desc(), "chunk_id")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "document")

@@ -51,6 +51,40 @@ def test_ranking_equals_the_plain_form_and_leaves_postings_out(spark, library):
     assert retrieval.rank_documents(queries.limit(0), docs).count() == 0 and retrieval.rank_documents(queries, docs.limit(0)).count() == 0
 
 
+def test_bm25_reads_each_text_once(spark):
+    import math
+    import re
+
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    texts = [(i, " ".join(rng.choices(words, weights=range(1, 41), k=rng.randint(1, 30)))) for i in range(700)] + [(700, None), (701, ""), (702, "zz zz"), (703, "...")]
+    queries = [(1, "w3 w39 W38"), (2, "zz"), (3, "unheard"), (4, None), (5, "w39 w39 w0 zz")]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string").mapInArrow(count, "chunk_id long, text string")
+    got = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"]) for r in retrieval.bm25(spark.createDataFrame(queries, "query_id long, query string"), chunks, 6).collect()}
+    assert read.value == len(texts)
+    cut = {i: re.findall(r"\w[\w./:-]*", t or "") for i, t in texts}
+    mean, want = sum(map(len, cut.values())) / len(cut), {}
+    for q, query in queries:
+        scores = {}
+        for token in dict.fromkeys((query or "").lower().split()):
+            df = sum(token in ts for ts in cut.values())
+            for i, ts in cut.items():
+                if n := ts.count(token):
+                    scores[i] = scores.get(i, 0) + math.log(1 + (len(cut) - df + 0.5) / (df + 0.5)) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(ts) / mean))
+        for rank, (i, x) in enumerate(sorted(scores.items(), key=lambda p: (-round(p[1], 9), p[0]))[:6]):
+            want[q, rank + 1] = (i, x)
+    assert got.keys() == want.keys()
+    for k, (i, x) in want.items():
+        assert got[k] == (i, pytest.approx(x, abs=2e-9))
+
+
 def test_impacts_stand_first_in_blocks(spark):
     docs = spark.createDataFrame([(f"{'x' if i % 7 else 'word'}/{i}.md", "word other" if i % 3 else "word") for i in range(400)], "path string, content string")
     index = lexical_index.build_index(docs)
