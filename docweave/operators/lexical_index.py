@@ -34,14 +34,18 @@ class Index:
 
 
 def build_index(docs: DataFrame, only: DataFrame | None = None) -> Index:
-    """Of documents (path, content; one row a path). An impact is 1 for a token of the content and half for one of the path. ``only`` (token) keeps what some queries can ask for. Null contents have no tokens; null paths are no documents."""
+    """Of documents (path, content; one row a path). An impact is 1 for a token of the content and half for one of the path. ``only`` (token) keeps what some queries can ask for, of documents too. Null contents have no tokens; null paths are no documents."""
     docs = docs.where("path IS NOT NULL")
-    documents = cut(docs.select("path", T.tokens(F.col("content")).alias("in_content"), T.tokens(F.col("path")).alias("in_path")))
-    blocks = max(1, -(-documents.count() // BLOCK_DOCUMENTS))
+    documents = docs.select("path", T.tokens(F.col("content")).alias("in_content"), T.tokens(F.col("path")).alias("in_path"))
     weighed = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
-    held = documents.select("path", F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.concat(weighed("in_content", 1.0), weighed("in_path", 0.5))).alias("t")).select("path", "block", "t.*")
+    each = lambda d: d.select("path", F.explode(F.concat(weighed("in_content", 1.0), weighed("in_path", 0.5))).alias("t")).select("path", "t.*")
     if only is not None:
-        held = held.join(only.select("token").distinct(), "token", "left_semi")
+        # texts leave the task that reads them as the tokens that are asked for
+        kept = each(documents).join(only.select("token").distinct(), "token", "left_semi").repartition("path")
+        documents = kept.groupBy("path").agg(F.collect_list(F.when(F.col("w") == 1.0, F.col("token"))).alias("in_content"), F.collect_list(F.when(F.col("w") == 0.5, F.col("token"))).alias("in_path"))
+    documents = cut(documents)
+    blocks = max(1, -(-documents.count() // BLOCK_DOCUMENTS))
+    held = each(documents).withColumn("block", F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int"))
     impacts = held.repartition("token", "block").groupBy("token", "block", "path").agg(F.sum("w").alias("impact"))
     listed = F.sort_array(F.collect_list(F.struct("impact", "path")), asc=False)  # a block's documents at most
     postings = cut(impacts.groupBy("token", "block").agg(F.max("impact").alias("best"), F.count(F.lit(1)).alias("n"), listed.alias("list")))
@@ -52,8 +56,9 @@ def build_index(docs: DataFrame, only: DataFrame | None = None) -> Index:
 def _shares(pairs: DataFrame, questions: DataFrame, index: Index) -> DataFrame:
     """query_id, path, share of (query_id, path): the share of the query's tokens in the content and half the share in the path."""
     n = F.greatest(F.size("tokens"), F.lit(1))
-    both = pairs.join(questions.select("query_id", "tokens"), "query_id").join(index.documents, "path")
-    common = lambda c: F.size(F.array_intersect("tokens", c))
+    # a document that holds none of the tokens may still hold a phrase, inside a longer word
+    both = pairs.where("path IS NOT NULL").join(questions.select("query_id", "tokens"), "query_id").join(index.documents, "path", "left")
+    common = lambda c: F.coalesce(F.size(F.array_intersect("tokens", F.coalesce(c, F.array().cast("array<string>")))), F.lit(0))
     return both.select("query_id", "path", (common("in_content") / n + common("in_path") / n * 0.5).alias("share"))
 
 

@@ -51,6 +51,19 @@ def test_ranking_equals_the_plain_form_and_leaves_postings_out(spark, library):
     assert retrieval.rank_documents(queries.limit(0), docs).count() == 0 and retrieval.rank_documents(queries, docs.limit(0)).count() == 0
 
 
+def test_index_of_asked_tokens_holds_no_others(spark, library):
+    docs, _, _, _ = library
+    only = spark.createDataFrame([("term17",), ("common",), ("d/0003.md",)], "token string")
+    index = lexical_index.build_index(docs, only)
+    held = index.documents.select(F.explode(F.concat("in_content", "in_path")).alias("token")).distinct().collect()
+    assert {r["token"] for r in held} == {"term17", "common", "d/0003.md"}
+    index.drop()
+    # a phrase inside a longer word, in a document without any token of the query
+    inside = spark.createDataFrame([("p/1", "xxabcxx"), ("p/2", "other"), (None, "abc")], "path string, content string")
+    got = retrieval.rank_documents(spark.createDataFrame([(1, "abc"), (2, "ab")], "query_id long, query string"), inside, 1).collect()
+    assert {(r["query_id"], r["path"], r["score"]) for r in got} == {(1, "p/1", 0.5), (2, "p/1", 0.5)}
+
+
 def test_bm25_reads_each_text_once(spark):
     import math
     import re
