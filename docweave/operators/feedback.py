@@ -45,28 +45,33 @@ def rate_limit(feedback: DataFrame, limit: int = RATE_LIMIT, window: int = RATE_
     """feedback_id, seq, code: accepted, duplicate (same id and hash as before), feedback_id_conflict, feedback_replay (event id used before), rate_limited.
 
     feedback: (feedback_id, event_id, subject_hash, content_hash, occurred_at, seq). Only accepted submissions count towards the limit of ``limit`` a subject in ``window`` seconds (inclusive), so acceptance is sequential for each
-    subject: after ids are settled by aggregates, one linear pass a subject in an Arrow helper. (An id counts as used from its first submission on, whether that was accepted or not.)
+    subject: after ids are settled by windows, one linear pass a subject in an Arrow helper. (An id counts as used from its first submission on, whether that was accepted or not.)
     """
-    first = feedback.groupBy("feedback_id").agg(F.min(F.struct("seq", "content_hash")).alias("f")).select("feedback_id", F.col("f.seq").alias("_first"), F.col("f.content_hash").alias("_hash"))
-    by_event = feedback.groupBy("event_id").agg(F.min("seq").alias("_event_first"))
-    f = feedback.join(first, "feedback_id").join(by_event, "event_id")
-    later = F.col("seq") > F.col("_first")
-    f = f.withColumn("code", F.when(later & (F.col("content_hash") == F.col("_hash")), "duplicate").when(later, "feedback_id_conflict").when(F.col("seq") > F.col("_event_first"), "feedback_replay"))
+    # a window instead of an aggregate and a join: rows are dealt out once for each of the ids, and the hash stays behind with the first of them
+    f = feedback.select("feedback_id", "event_id", "subject_hash", "content_hash", "occurred_at", "seq")
+    first = F.min(F.struct("seq", "content_hash")).over(Window.partitionBy("feedback_id"))
+    later = F.col("seq") > F.col("_first.seq")
+    f = f.withColumn("_first", first).withColumn("code", F.when(later & (F.col("content_hash") == F.col("_first.content_hash")), "duplicate").when(later, "feedback_id_conflict")).drop("_first", "content_hash")
+    used = F.min("seq").over(Window.partitionBy("event_id"))
+    f = f.withColumn("code", F.coalesce("code", F.when(F.col("seq") > used, "feedback_replay"))).where("feedback_id IS NOT NULL AND event_id IS NOT NULL")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         subject, rule = None, None
         for b in frames:
             codes = []
-            for key, at in zip(b["subject_hash"], b["_at"]):
+            for key, at, code in zip(b["subject_hash"], b["_at"], b["code"]):
+                if isinstance(code, str):  # settled by its ids
+                    codes.append(code)
+                    continue
                 if key != subject:
                     subject, rule = key, Greedy(window, limit)
                 codes.append("accepted" if rule.accepts(at) else "rate_limited")
             yield pd.DataFrame({"feedback_id": b["feedback_id"], "seq": b["seq"], "code": codes})
 
     # subjects are sorted by arrival and run through in Arrow batches; a subject's memory is its accepted times of late
-    open_ = f.where("code IS NULL").select("feedback_id", "seq", "subject_hash", (F.unix_micros(F.col("occurred_at").cast("timestamp")) / F.lit(1e6)).alias("_at"))
-    open_ = open_.repartition("subject_hash").sortWithinPartitions("subject_hash", "seq").mapInPandas(run, "feedback_id string, seq long, code string")
-    return f.where("code IS NOT NULL").select("feedback_id", "seq", "code").unionByName(open_)
+    # settled rows go along, so that nothing above is computed twice
+    all_ = f.select("feedback_id", "seq", "subject_hash", "code", (F.unix_micros(F.col("occurred_at").cast("timestamp")) / F.lit(1e6)).alias("_at"))
+    return all_.repartition("subject_hash").sortWithinPartitions("subject_hash", "seq").mapInPandas(run, "feedback_id string, seq long, code string")
 
 
 def submission_rate(feedback: DataFrame, window: int = RATE_WINDOW) -> DataFrame:

@@ -67,6 +67,22 @@ def test_greedy_rate_limit_forgets_rejected():
     assert V.accept_greedily(iter(times), 60, 20) == [True] * 20 + [False, False, True]
 
 
+def test_rate_limit_reads_submissions_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(f"f{i % 40}", f"e{i}", "s", f"h{i % 80}", T, i) for i in range(100)] + [(None, "e1", "s", "h", T, 200), ("f200", None, "s", "h", T, 201), ("f201", "e1", "s", "h", T, 202)]
+    schema = "feedback_id string, event_id string, subject_hash string, content_hash string, occurred_at timestamp, seq long"
+    got = {r["seq"]: r["code"] for r in B.rate_limit(spark.createDataFrame(rows, schema).mapInArrow(count, schema), limit=3).collect()}
+    assert read.value == len(rows)
+    want = {i: "accepted" if i < 3 else "rate_limited" if i < 40 else "feedback_id_conflict" if i < 80 else "duplicate" for i in range(100)}
+    assert got == want | {202: "feedback_replay"}  # rows without one of the ids have no code
+
+
 def test_rate_limit_ids(spark):
     f = [("a", "e1", "s", "h", T, 1), ("a", "e1", "s", "h", T, 2), ("a", "e9", "s", "other", T, 3), ("b", "e1", "s", "h2", T, 4), ("c", "e3", "s", "h3", T, 5)]
     got = B.rate_limit(spark.createDataFrame(f, "feedback_id string, event_id string, subject_hash string, content_hash string, occurred_at timestamp, seq long"), limit=1)
