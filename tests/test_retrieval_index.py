@@ -64,10 +64,12 @@ def test_index_of_asked_tokens_holds_no_others(spark, library):
     assert {(r["query_id"], r["path"], r["score"]) for r in got} == {(1, "p/1", 0.5), (2, "p/1", 0.5)}
 
 
-def test_bm25_reads_each_text_once(spark):
+@pytest.mark.parametrize("rows", [500_000, 300])
+def test_bm25_reads_each_text_once(spark, rows, monkeypatch):
     import math
     import re
 
+    monkeypatch.setattr(retrieval, "SCORED_ROWS", rows)  # one task, several tasks
     rng = random.Random(9)
     words = [f"w{i}" for i in range(40)]
     texts = [(i, " ".join(rng.choices(words, weights=range(1, 41), k=rng.randint(1, 30)))) for i in range(700)] + [(700, None), (701, ""), (702, "zz zz"), (703, "...")]
