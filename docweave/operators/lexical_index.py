@@ -16,6 +16,8 @@ from .graph import cut, drop
 BLOCK_DOCUMENTS = 128
 #: A query first looks at its rarest tokens, until they have this many postings for each result wanted.
 SEEDS = 2
+#: Up to so many tokens are looked for by a filter in the tasks that read texts.
+ASKED = 10_000
 #: Sums of shares are compared with this much room, as they are added in another order.
 ROOM = 1e-9
 
@@ -33,22 +35,42 @@ class Index:
         drop(self.documents, self.postings, self.tokens)
 
 
-def build_index(docs: DataFrame, only: DataFrame | None = None) -> Index:
-    """Of documents (path, content; one row a path). An impact is 1 for a token of the content and half for one of the path. ``only`` (token) keeps what some queries can ask for, of documents too. Null contents have no tokens; null paths are no documents."""
-    docs = docs.where("path IS NOT NULL")
+def asked_tokens(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """path, in_content, in_path (distinct tokens) of documents (path, content); of ``only`` (token), if given, no others. Up to ASKED tokens stand in a filter where a text is read; more meet the texts' tokens in a join. A written table."""
     documents = docs.select("path", T.tokens(F.col("content")).alias("in_content"), T.tokens(F.col("path")).alias("in_path"))
-    weighed = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
-    each = lambda d: d.select("path", F.explode(F.concat(weighed("in_content", 1.0), weighed("in_path", 0.5))).alias("t")).select("path", "t.*")
-    if only is not None:
-        # texts leave the task that reads them as the tokens that are asked for
-        kept = each(documents).join(only.select("token").distinct(), "token", "left_semi").repartition("path")
-        documents = kept.groupBy("path").agg(F.collect_list(F.when(F.col("w") == 1.0, F.col("token"))).alias("in_content"), F.collect_list(F.when(F.col("w") == 0.5, F.col("token"))).alias("in_path"))
-    documents = cut(documents)
+    if only is None:
+        return cut(documents)
+    wanted = cut(only.select("token").distinct())  # its size is known now
+    few = [r["token"] for r in wanted.limit(ASKED + 1).collect()]
+    if len(few) <= ASKED:
+        asked = lambda c: F.array_distinct(F.filter(T.token_list(F.col(c)), lambda t: t.isin(few)))
+        out = cut(docs.select("path", asked("content").alias("in_content"), asked("path").alias("in_path")))
+    else:
+        weighed = lambda c, w: F.transform(c, lambda t: F.struct(t.alias("token"), F.lit(w).alias("w")))
+        each = documents.select("path", F.explode(F.concat(weighed("in_content", 1.0), weighed("in_path", 0.5))).alias("t")).select("path", "t.*")
+        kept = each.join(wanted, "token", "left_semi").repartition("path")
+        out = cut(kept.groupBy("path").agg(F.collect_list(F.when(F.col("w") == 1.0, F.col("token"))).alias("in_content"), F.collect_list(F.when(F.col("w") == 0.5, F.col("token"))).alias("in_path")))
+    drop(wanted)
+    return out
+
+
+def build_index(docs: DataFrame, only: DataFrame | None = None, also: DataFrame | None = None) -> Index:
+    """Of documents (path, content; one row a path). An impact is 1 for a token of the content and half for one of the path. ``only`` (token) keeps what some queries can ask for, of documents too; of documents ``also`` (token) is kept besides, for phrases to
+    look up. Null contents have no tokens; null paths are no documents.
+
+    Texts leave the task that reads them as tokens; a document goes to its block in one row, and the block's postings are made where it lies.
+    """
+    kept = only if also is None or only is None else only.select("token").unionByName(also.select("token"))
+    documents = asked_tokens(docs.where("path IS NOT NULL"), kept)
     blocks = max(1, -(-documents.count() // BLOCK_DOCUMENTS))
-    held = each(documents).withColumn("block", F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int"))
-    impacts = held.repartition("token", "block").groupBy("token", "block", "path").agg(F.sum("w").alias("impact"))
+    placed = documents.withColumn("block", F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int")).repartition("block")
+    impact = lambda t: F.struct(t.alias("token"), F.when(F.array_contains("in_path", t), 1.5).otherwise(1.0).alias("impact"))
+    path_only = F.transform(F.array_except("in_path", "in_content"), lambda t: F.struct(t.alias("token"), F.lit(0.5).alias("impact")))
+    held = placed.select("block", "path", F.explode(F.concat(F.transform("in_content", impact), path_only)).alias("t")).select("block", "path", "t.*")
+    if only is not kept:
+        held = held.join(only.select("token").distinct(), "token", "left_semi")
     listed = F.sort_array(F.collect_list(F.struct("impact", "path")), asc=False)  # a block's documents at most
-    postings = cut(impacts.groupBy("token", "block").agg(F.max("impact").alias("best"), F.count(F.lit(1)).alias("n"), listed.alias("list")))
+    postings = cut(held.groupBy("block", "token").agg(F.max("impact").alias("best"), F.count(F.lit(1)).alias("n"), listed.alias("list")))
     tokens = cut(postings.groupBy("token").agg(F.sum("n").alias("df"), F.max("best").alias("best")))
     return Index(documents, postings, tokens)
 

@@ -11,32 +11,37 @@ from ..functions import records as R
 from ..functions import text as T
 from ..functions import urls as U
 from .graph import cut, drop
-from .lexical_index import Index, best_hits, build_index, trigram_hits
+from .lexical_index import Index, asked_tokens, best_hits, build_index, trigram_hits
 from .vector_store import Store, build_store, nearest
 
 
 def phrase_hits(phrases: DataFrame, docs: DataFrame, fold: bool = True, index: Index | None = None) -> DataFrame:
     """query_id, path of the documents (path, content) that hold the whole phrase of (query_id, phrase); both case-folded, unless ``fold`` is false.
 
-    The first and last token of a phrase may go on in a longer word, those between stand as they are in any text that holds it. So a document must have the rarest of the tokens between: an inverted join
-    on that token alone, then the test on what it leaves. Phrases of fewer than three tokens have none between; they are found through their trigrams. The documents' ``index`` spares reading tokens out of texts.
+    The first and last token of a phrase may go on in a longer word, those between stand as they are in any text that holds it. So a document must have all tokens between: an inverted join on the rarest of
+    them, then a look at the others, then the test on the texts of what is left, which are joined as they stand and folded after that. Phrases of fewer than three tokens have none between; they are found through
+    their trigrams. The documents' ``index`` spares reading tokens out of texts. The result is a written table.
     """
     p = phrases.where("phrase <> ''").select("query_id", (T.casefold(F.col("phrase")) if fold else F.col("phrase")).alias("phrase"), T.token_list(F.col("phrase")).alias("_ts"))
-    between = p.where(F.size("_ts") > 2).select("query_id", F.explode(F.array_distinct(F.slice("_ts", F.lit(2), F.size("_ts") - 2))).alias("token"))
-    text = T.casefold_safe(F.col("content")) if fold else F.col("content")
-    held = index.documents.select("path", F.explode("in_content").alias("token")) if index else docs.select("path", F.explode(T.tokens(F.col("content"))).alias("token"))
-    postings = held.join(between.select("token").distinct(), "token", "left_semi")
-    if index is None:
-        postings = cut(postings)  # read twice; texts are cut into tokens once
+    p = cut(p.withColumn("between", F.when(F.size("_ts") > 2, F.array_distinct(F.slice("_ts", F.lit(2), F.size("_ts") - 2)))).drop("_ts"))
+    between = p.select("query_id", F.explode("between").alias("token"))
+    documents = index.documents if index else asked_tokens(docs, between)  # read twice; texts are cut into tokens once
+    postings = documents.select("path", F.explode("in_content").alias("token")).join(between.select("token").distinct(), "token", "left_semi")
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     # a token that no document has rules the phrase out, and so does any join on it
-    rarest = between.join(df, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token"))
+    rarest = cut(between.join(df, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("df", F.lit(0)), "token")).alias("token")))
     pairs = postings.join(rarest, "token").select("query_id", "path")
-    found = pairs.join(p.select("query_id", "phrase"), "query_id").join(docs.select("path", text.alias("_text")), "path").where(F.contains("_text", F.col("phrase"))).select("query_id", "path")
-    short = p.where(F.size("_ts") <= 2).select("query_id", "phrase")
-    if short.isEmpty():
-        return found
-    return found.unionByName(trigram_hits(short, docs.select("path", text.alias("text"))))
+    whole = F.size(F.array_except("between", "in_content")) == 0
+    # its size is known now, so texts need not be shuffled to meet a few pairs
+    pairs = cut(pairs.join(p.select("query_id", "between"), "query_id").join(documents.select("path", "in_content"), "path").where(whole).select("query_id", "path"))
+    text = lambda c: T.casefold_safe(F.col(c)) if fold else F.col(c)
+    found = docs.select("path", "content").join(pairs, "path").join(p.select("query_id", "phrase"), "query_id").where(F.contains(text("content"), F.col("phrase"))).select("query_id", "path")
+    short = p.where("between IS NULL").select("query_id", "phrase")
+    if not short.isEmpty():
+        found = found.unionByName(trigram_hits(short, docs.select("path", text("content").alias("text"))))
+    out = cut(found)
+    drop(p, rarest, pairs, *([] if index else [documents]))
+    return out
 
 
 def rank_documents(queries: DataFrame, docs: DataFrame, k: int = 5, index: Index | None = None, counts: dict | None = None) -> DataFrame:
@@ -47,7 +52,7 @@ def rank_documents(queries: DataFrame, docs: DataFrame, k: int = 5, index: Index
     """
     q = cut(queries.select("query_id", F.coalesce("query", F.lit("")).alias("phrase"), T.tokens(F.col("query")).alias("tokens")))
     own = index or build_index(docs, q.select(F.explode("tokens").alias("token")))
-    phrases = cut(phrase_hits(q, docs, index=own).distinct())
+    phrases = phrase_hits(q, docs, index=own)
     hits = best_hits(q, own, phrases, k, counts)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "path")
     top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -287,21 +287,23 @@ CONFLICTS = """cf AS (SELECT 'c-' || c_custkey AS conflict_id, [c_custkey % n, (
   CASE WHEN c_custkey % 4 = 0 THEN 'resolved' ELSE 'open' END AS status, CASE WHEN c_custkey % 8 = 0 THEN 'kept' END AS resolution, CASE WHEN c_custkey % 16 = 0 THEN 'reviewer' END AS reviewer_ref FROM customer, (SELECT count(*) AS n FROM part))"""
 
 
-def golden(spark, d) -> DataFrame:
-    """case_id, query, expected_filepath, kind, expected_route, critical, must_retrieve, reviewed, forbidden_sources, set_id of the questions; the expected path is that of the first document that holds the passage, if there is one."""
+def golden(spark, d, index=None) -> DataFrame:
+    """case_id, query, expected_filepath, kind, expected_route, critical, must_retrieve, reviewed, forbidden_sources, set_id of the questions; the expected path is that of the first document that holds the passage, if there is one. A written table: what joins it several times searches the texts once."""
+    from ..operators.graph import cut
     from ..operators.retrieval import phrase_hits
 
     q = questions(spark, d)
     c = corpus(spark, d)
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase"))
-    where = phrase_hits(b, c, fold=False).join(c.select("path", "doc_id"), "path").groupBy(F.col("query_id").alias("case_id")).agg(F.min_by("path", "doc_id").alias("found"))
+    where = phrase_hits(b, c, fold=False, index=index).join(c.select("path", "doc_id"), "path").groupBy(F.col("query_id").alias("case_id")).agg(F.min_by("path", "doc_id").alias("found"))
     k = F.col("case_id")
     g = q.withColumnRenamed("query_id", "case_id").join(where, "case_id", "left")
     route = F.element_at(F.array(*map(F.lit, ("lifecycle", "both", "rag", "skill"))), (k % 4 + 1).cast("int"))
-    return g.select(
+    g = g.select(
         "case_id", "query", F.concat(F.lit("documents/"), F.coalesce("found", F.lit("src0/none.md"))).alias("expected_filepath"), F.when(k % 5 < 2, "router").when(k % 5 == 2, "conceptual").otherwise("factual").alias("kind"), F.when(k % 5 < 2, route).alias("expected_route"),
         (k % 6 == 0).alias("critical"), (k % 12 != 0).alias("must_retrieve"), (k % 9 != 0).alias("reviewed"), F.when(k % 3 == 0, F.array(F.coalesce("found", F.lit("src0/none.md")))).otherwise(F.array().cast("array<string>")).alias("forbidden_sources"), (k % 8).alias("set_id"),
     )
+    return cut(g)
 
 
 GOLDEN = """gw AS (SELECT b.item_id AS case_id, arg_min(c.path, c.doc_id) AS found FROM benchmark b JOIN corpus c ON contains(c.content, b.text) GROUP BY 1),
@@ -316,10 +318,22 @@ sc AS (SELECT query_id, path, len(list_intersect(ts, ct)) / greatest(len(ts), 1)
 hits AS (SELECT * FROM (SELECT query_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM sc) WHERE rank <= 5)"""
 
 
-def hits(spark, d) -> DataFrame:
+def hits(spark, d, index=None) -> DataFrame:
     from ..operators.retrieval import rank_documents
 
-    return rank_documents(questions(spark, d), corpus(spark, d), 5)
+    return rank_documents(questions(spark, d), corpus(spark, d), 5, index)
+
+
+def golden_and_hits(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Both from one index of the tokens of questions, and of passages to look up phrases, so texts are cut into tokens once."""
+    from ..functions import text as T
+    from ..operators.lexical_index import build_index
+
+    of = lambda df, c: df.select(F.explode(T.tokens(F.col(c))).alias("token"))
+    index = build_index(corpus(spark, d), of(questions(spark, d), "query"), of(table(spark, d, "benchmark"), "text"))
+    both = golden(spark, d, index), hits(spark, d, index)
+    index.drop()
+    return both
 
 
 def hash_of(*columns: str):

@@ -411,12 +411,12 @@ _RK = ", ck AS (SELECT g.case_id, g.kind, min(h.rank) AS rank FROM golden g LEFT
 
 @query("a10_retrieval_metrics", _EV + _RK + " SELECT kind, count(*) AS cases, round(avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, avg(CASE WHEN rank IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.85 AND avg(coalesce(1.0 / rank, 0)) >= 0.7 AS passed FROM ck GROUP BY ROLLUP (kind)")
 def a10(spark, d):
-    return E.retrieval_metrics(I.golden(spark, d), I.hits(spark, d)).withColumns({"recall": F.round("recall", 6), "mrr": F.round("mrr", 6)})
+    return E.retrieval_metrics(*I.golden_and_hits(spark, d)).withColumns({"recall": F.round("recall", 6), "mrr": F.round("mrr", 6)})
 
 
 @query("a10_case_ranks", _EV + _RK + " SELECT case_id, kind, CAST(rank AS INTEGER) AS rank FROM ck")
 def a10b(spark, d):
-    return E.case_ranks(I.golden(spark, d), I.hits(spark, d))
+    return E.case_ranks(*I.golden_and_hits(spark, d))
 
 
 @query("a10_route_accuracy", f"WITH {I.CORPUS}, {I.QUESTIONS}, {I.GOLDEN} SELECT count(*) AS cases, round(avg(CASE WHEN (CASE WHEN case_id % 5 = 1 THEN 'lifecycle' ELSE 'both' END) = expected_route THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM golden WHERE kind = 'router'")
@@ -459,7 +459,7 @@ def j11(spark, d):
 UNION ALL SELECT g.case_id, CASE WHEN g.critical THEN 'CRITICAL_SOURCE_LEAK' ELSE 'SOURCE_LEAK' END, h.path FROM golden g JOIN hits h ON h.query_id = g.case_id AND list_contains(g.forbidden_sources, h.path) UNION ALL SELECT NULL, 'CRITICAL_REVOCATION_LEAK', string_agg(path, '|' ORDER BY path) FROM corpus WHERE doc_id % 211 = 5""",
 )
 def a12(spark, d):
-    return E.leak_check(I.golden(spark, d), I.hits(spark, d), I.corpus(spark, d).where("doc_id % 211 = 5").select("path")).withColumn("sources", F.array_join("sources", "|"))
+    return E.leak_check(*I.golden_and_hits(spark, d), I.corpus(spark, d).where("doc_id % 211 = 5").select("path")).withColumn("sources", F.array_join("sources", "|"))
 
 
 @query("a15_golden_candidates", f"WITH {I.MARKED}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY path) AS n, list_filter({I.lines_sql('content')}, lambda x: regexp_matches(x, '^\\s*#\\s+(.+?)\\s*$')) AS t FROM marked) SELECT source_id, coalesce(trim(regexp_extract(t[1], '^\\s*#\\s+(.+?)\\s*$', 1)), 'doc-' || doc_id) AS query, path AS expected_filepath, 'factual' AS kind, false AS reviewed FROM n WHERE n <= 5")

@@ -152,3 +152,37 @@ def test_vector_store_is_exact_and_skips_parts(spark, part_rows, monkeypatch):
     assert sent.count() == 9 * len(q)  # k rows a query and task, whatever the task reads
     store.delete()
     assert retrieval.cosine(queries, vectors.limit(0), 3).count() == 0 and retrieval.cosine(queries.limit(0), vectors, 3).count() == 0
+
+
+def test_phrases_and_ranks_from_one_index_shuffle_no_texts(spark, monkeypatch):
+    """What stages shuffle stays far below the texts, for phrases with an index and without, and for ranks; results are those of the plain forms, whether asked tokens stand in a filter or in a join."""
+    sc = spark.sparkContext
+    shuffled = lambda: sum(s.shuffleWriteBytes() for s in (lambda a: [a.apply(i) for i in range(a.size())])(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())))
+    rng = random.Random(3)
+    texts = [(f"t/{i:03d}.md", " ".join(f"{rng.getrandbits(60):x}" for _ in range(1500)) + (" One phrase of Straße words" if i % 9 == 0 else " phrase of the words")) for i in range(300)] + [("t/null.md", None)]
+    size = sum(len(x or "") for _, x in texts)
+    docs = spark.createDataFrame(texts, "path string, content string").repartition(4)
+    docs.write.format("noop").mode("overwrite").save()
+    phrases = [(1, "phrase of Straße words"), (2, "one phrase of straße wor"), (3, "phrase of the words"), (4, "words phrase of"), (5, "")]
+    p = spark.createDataFrame(phrases, "query_id long, phrase string")
+    q = p.withColumnRenamed("phrase", "query")
+    tokens = lambda c: q.select(F.explode(F.split(F.lower(c), " ")).alias("token"))
+    from docweave.operators.graph import cut
+
+    held = cut(docs)
+    for asked in (lexical_index.ASKED, 1):
+        monkeypatch.setattr(lexical_index, "ASKED", asked)
+        before = shuffled()
+        index = lexical_index.build_index(held, tokens("query").where("token <> 'of'"), spark.createDataFrame([("of",), ("strasse",)], "token string"))
+        assert index.tokens.where("token = 'of'").isEmpty() and not index.documents.where("array_contains(in_content, 'of')").isEmpty()
+        for fold in (False, True):
+            f = (lambda x: x.lower().replace("ß", "ss")) if fold else (lambda x: x)
+            want = {(i, path) for i, x in phrases for path, text in texts if x and text and f(x) in f(text)}
+            for own in (index, None):
+                assert {tuple(r) for r in retrieval.phrase_hits(p, held, fold, own).collect()} == want
+        index.drop()
+        got = {}
+        for r in retrieval.rank_documents(q, held, 5).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["path"], round(r["score"], 9)))
+        assert got == plain(texts, phrases, 5)
+        assert shuffled() - before < 0.2 * size
