@@ -171,16 +171,19 @@ def graph_faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dependency_cycles(edges: DataFrame, rounds: list | None = None) -> DataFrame:
     """node, component: the nodes that lie on a cycle, with the smallest node of their strongly connected component. Empty if and only if there is no cycle.
 
-    Nodes with one way in are folded first: they lie on a cycle if and only if they lead back to the node that they stand with. Rings of such nodes are components of their own. What is left is parted by colours:
+    Edges that begin where no edge ends, or end where none begins, lie on no cycle and go first. Then nodes with one way in are folded: they lie on a cycle if and only if they lead back to the node that they stand with. Rings of such nodes are components of their own. What is left is parted by colours:
     each node takes the largest name that reaches it, and a component is what its name reaches backwards within its colour; edges between colours lie on no cycle. Nulls are no nodes; an edge
     from a node to itself is a cycle; repeated edges count once. ``rounds``, if given, gets an entry for each round.
     """
-    all_ = cut(edges.where("source IS NOT NULL AND target IS NOT NULL").select(F.col("source").alias("u"), F.col("target").alias("v"), F.lit(1).cast("long").alias("w")).distinct())
+    given = edges.where("source IS NOT NULL AND target IS NOT NULL").select(F.col("source").alias("u"), F.col("target").alias("v"))
+    starts = cut(given.select(F.col("v").alias("u")).distinct())
+    # what no edge leads to lies on no cycle: such edges go before any table of edges is made
+    all_ = cut(given.join(starts, "u", "left_semi").distinct().withColumn("w", F.lit(1).cast("long")))
     # node and component, with no component where a node is known to lie on a cycle only: it is one alone unless it turns up in another
-    found = all_.where("u = v").select(F.col("u").alias("node"), F.lit(None).cast("string").alias("component"))
+    found = cut(all_.where("u = v").select(F.col("u").alias("node"), F.lit(None).cast("string").alias("component")))
     e = cut(all_.where("u <> v"))
-    found = cut(found)
-    drop(all_)
+    drop(starts, all_)
+    e = _trimmed(e, rounds)
     levels, n = [], e.count()
     while n:
         steps: list = []
@@ -197,14 +200,13 @@ def dependency_cycles(edges: DataFrame, rounds: list | None = None) -> DataFrame
             loops = rest.where("u = v").select(F.col("u").alias("node"), F.lit(None).cast("string").alias("component"))
             found = _add(found, loops)
             levels.append((e, to, steps))
-        ends = rest.select(F.col("u").alias("v")).distinct()
-        starts = rest.select(F.col("v").alias("u")).distinct()
-        kept = cut(rest.where("u <> v").join(starts, "u", "left_semi").join(ends, "v", "left_semi").select("u", "v", "w"))
+        kept = cut(_trim(rest))
         if not got:
             drop(e)
         else:
             drop(rest)
-        e, before, n = kept, n, kept.count()
+        e = _trimmed(kept, rounds)
+        before, n = n, e.count()
         if before - n < WORTH * before:
             break
     if n:
@@ -230,6 +232,27 @@ def dependency_cycles(edges: DataFrame, rounds: list | None = None) -> DataFrame
     return out
 
 
+def _trim(e: DataFrame) -> DataFrame:
+    """The edges (u, v, w) that begin where one ends and end where one begins, without loops."""
+    ends = e.select(F.col("u").alias("v")).distinct()
+    starts = e.select(F.col("v").alias("u")).distinct()
+    return e.where("u <> v").join(starts, "u", "left_semi").join(ends, "v", "left_semi").select("u", "v", "w")
+
+
+def _trimmed(e: DataFrame, rounds: list | None) -> DataFrame:
+    """Edges trimmed as long as a trim takes away its share (WORTH), which costs less than a fold: trees go by half in a round. The table of ``e`` is dropped."""
+    n = e.count()
+    while n:
+        kept = cut(_trim(e))
+        drop(e)
+        e, before, n = kept, n, kept.count()
+        if before - n < WORTH * before:
+            break
+        if rounds is not None:
+            rounds.append("trim")
+    return e
+
+
 def _add(found: DataFrame, more: DataFrame) -> DataFrame:
     out = cut(found.unionByName(more.select("node", "component")))
     drop(found)

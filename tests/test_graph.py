@@ -121,3 +121,15 @@ def test_reached_bits_send_no_table_through_the_driver(spark):
     before = sent()
     state, _ = graph.reached_bits(ops, edges)
     assert state.count() == 60_000 and sent() - before < 1_500_000
+
+
+def test_cycles_of_a_large_tree_are_found_after_trims(spark):
+    """What no edge leads to is in no table of edges, and a binary tree goes by half in a round without a fold."""
+    sc = spark.sparkContext
+    written = lambda: sum(s.outputRecords() for s in (lambda a: [a.apply(i) for i in range(a.size())])(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())))
+    tree = {(f"s{k}", f"s{k // 2}") for k in range(2, 256)} | {("s1", "ring1"), ("ring1", "ring2"), ("ring2", "ring3"), ("ring3", "ring1"), ("ring2", "out"), ("loop", "loop"), ("loop", "out"), ("in", "loop")}
+    leaves = spark.range(20_000).selectExpr("concat('p', id) AS source", "concat('s', 1 + id % 255) AS target")
+    edges, rounds, before = frame(spark, tree).unionByName(leaves).unionByName(leaves), [], written()
+    got = {r["node"]: r["component"] for r in graph.dependency_cycles(edges, rounds).collect()}
+    assert got == {"ring1": "ring1", "ring2": "ring1", "ring3": "ring1", "loop": "loop"} == components(tree)
+    assert written() - before < 20_000 and rounds.count("trim") <= 9 and rounds.count("jump") <= 4
