@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -328,6 +329,30 @@ def test_providers_are_asked_once_for_each_set_of_queries(spark):
     assert got.keys() == {*range(2000), 5000, None}
 
 
+def test_candidates_that_many_ask_for_are_dealt_out_without_broadcasts(spark):
+    """One set of queries that 2,500 query_ids have, one of them null, and 400 candidates: a million rows, of which no task writes more than half, also where nothing is broadcast; each query_id has every candidate once."""
+    cat = spark.range(400).selectExpr("concat('s', id) AS slug", "true AS official", "id / 1000 AS confidence", "'n' AS name")
+    G.register_resolver("dealt", lambda q: q.join(cat, F.col("query") == F.col("name")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = spark.range(2500).selectExpr("nullif(id, 7) AS query_id", "'n' AS query").unionByName(spark.createDataFrame([(9000, "none")], "query_id long, query string"))
+        row = F.when(F.coalesce("query_id", F.lit(0)).isin(0, 2499), F.concat("slug", F.lit(" "), F.col("rank").cast("string")))
+        got = G.resolve_with(q, ["dealt"]).groupBy("query_id", F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"), F.sum("rank").alias("ranks"), F.collect_set(row).alias("some")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        del G.RESOLVERS["dealt"]
+    n, ranks, tasks, some = Counter(), Counter(), Counter(), {}
+    for r in got:
+        n[r["query_id"]] += r["n"]
+        ranks[r["query_id"]] += r["ranks"]
+        tasks[r["task"]] += r["n"]
+        some.setdefault(r["query_id"], set()).update(r["some"])
+    assert n.keys() == {*range(2500)} - {7} | {None} and set(n.values()) == {400} and set(ranks.values()) == {400 * 401 // 2}
+    assert some[None] == some[0] == some[2499] == {f"s{400 - i} {i}" for i in range(1, 401)}
+    assert max(tasks.values()) <= 500_000
+
+
 def test_destinations_of_one_source_that_wants_one_name_again_and_again(spark):
     """30,000 rows of one family, some numbers wanted by others: against the plain rule, in a time that would not do for a search from 2 on each time."""
     import time
